@@ -118,8 +118,10 @@ tb_res AS (SELECT al.ai, al.alpha,
 
 
 # ------------------------------------------------------------------ mining
-def mining_sql(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
-               epoch: int, attempts: int = 8, fill: str = "faithful") -> str:
+def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
+                epoch: int, attempts: int = 8, fill: str = "faithful", prefix: str = "",
+                pairs: str = "v1_training") -> str:
+    """CTEs ending in ``{prefix}mres(row_id, slot, target_id, text, score, raw, is_fill)``."""
     from ..operators import mining as mn
     if anchor == "query":
         a_col, x_col, a_dict, t_dict = "text1", "text2", "v1_query", "v1_cand"
@@ -153,36 +155,44 @@ def mining_sql(anchor: str, method: str, n: int, pt: float, beta: float, seed: i
         order = "score DESC, is_fill ASC, CASE WHEN is_fill THEN NULL ELSE raw END DESC NULLS LAST, pos ASC, target_id ASC"
     else:
         order = "val DESC, target_id ASC"
+    val_e = val.replace("r.row_id", f"{prefix}mp2.row_id").replace("c.corpus_id", f"{prefix}mp2.target_id")
     body = f"""
-mr AS (SELECT t.row_id, t.text1, t.text2, a.embedding AS vec, {cos_sql('a.embedding', 'o.embedding')} AS lo
-       FROM v1_training t JOIN {a_dict} a ON a.text = t.{a_col} JOIN {o_dict} o ON o.text = t.{x_col}),
-mp AS (SELECT r.row_id, c.corpus_id AS target_id, c.text, r.lo, {cos_sql('r.vec', 'c.embedding')} AS raw0,
+{prefix}mr AS (SELECT t.row_id, t.text1, t.text2, a.embedding AS vec, {cos_sql('a.embedding', 'o.embedding')} AS lo
+       FROM {pairs} t JOIN {a_dict} a ON a.text = t.{a_col} JOIN {o_dict} o ON o.text = t.{x_col}),
+{prefix}mp AS (SELECT r.row_id, c.corpus_id AS target_id, c.text, r.lo, {cos_sql('r.vec', 'c.embedding')} AS raw0,
               r.{x_col} AS xt
-       FROM mr r CROSS JOIN {t_dict} c WHERE c.text <> r.{x_col}),
-mp2 AS (SELECT mp.*, {clamp_sql('raw0')} AS score FROM mp),
-me0 AS (SELECT mp2.row_id, mp2.target_id, mp2.text, mp2.raw0 AS raw, mp2.score,
-               {val.replace('r.row_id', 'mp2.row_id').replace('c.corpus_id', 'mp2.target_id')} AS val
-        FROM mp2 WHERE {' AND '.join(conds)}),
-ml AS (SELECT r.row_id, COUNT(e.row_id) AS l FROM mr r LEFT JOIN me0 e ON e.row_id = r.row_id GROUP BY r.row_id),
-me AS (SELECT e.*, row_number() OVER (PARTITION BY row_id ORDER BY val DESC, target_id ASC) - 1 AS pos,
-              FALSE AS is_fill FROM me0 e),
-mneed AS (SELECT ml.row_id, {fill_n} AS f, r.{x_col} AS xt, r.vec FROM ml JOIN mr r ON r.row_id = ml.row_id
+       FROM {prefix}mr r CROSS JOIN {t_dict} c WHERE c.text <> r.{x_col}),
+{prefix}mp2 AS (SELECT {prefix}mp.*, {clamp_sql('raw0')} AS score FROM {prefix}mp),
+{prefix}me0 AS (SELECT {prefix}mp2.row_id, {prefix}mp2.target_id, {prefix}mp2.text, {prefix}mp2.raw0 AS raw, {prefix}mp2.score,
+               {val_e} AS val
+        FROM {prefix}mp2 WHERE {' AND '.join(conds)}),
+{prefix}ml AS (SELECT r.row_id, COUNT(e.row_id) AS l FROM {prefix}mr r LEFT JOIN {prefix}me0 e ON e.row_id = r.row_id GROUP BY r.row_id),
+{prefix}me AS (SELECT e.*, row_number() OVER (PARTITION BY row_id ORDER BY val DESC, target_id ASC) - 1 AS pos,
+              FALSE AS is_fill FROM {prefix}me0 e),
+{prefix}mneed AS (SELECT {prefix}ml.row_id, {fill_n} AS f, r.{x_col} AS xt, r.vec FROM {prefix}ml JOIN {prefix}mr r ON r.row_id = {prefix}ml.row_id
           WHERE {('TRUE' if filled else 'FALSE')} AND {fill_cond}),
-mslot AS (SELECT row_id, xt, vec, unnest(range(1, f + 1)) AS slot FROM mneed),
-mtry AS (SELECT row_id, xt, vec, slot, unnest(range(0, {attempts})) AS attempt FROM mslot),
-mtry2 AS (SELECT *, CAST(floor({u_pos} * (SELECT CAST(max(corpus_id) + 1 AS DOUBLE) FROM {t_dict})) AS BIGINT) AS target_id
-          FROM mtry),
-mok AS (SELECT m.row_id, m.slot, m.attempt, m.vec, c.corpus_id AS target_id, c.text, c.embedding
-        FROM mtry2 m JOIN {t_dict} c ON c.corpus_id = m.target_id WHERE c.text <> m.xt),
-mdraw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, slot ORDER BY attempt) AS rn FROM mok) WHERE rn = 1),
-mfill AS (SELECT d.row_id, d.target_id, d.text, {cos_sql('d.vec', 'd.embedding')} AS raw, d.slot AS pos, TRUE AS is_fill, d.slot
-          FROM mdraw d),
-mfill2 AS (SELECT row_id, target_id, text, raw, {clamp_sql('raw')} AS score,
+{prefix}mslot AS (SELECT row_id, xt, vec, unnest(range(1, f + 1)) AS slot FROM {prefix}mneed),
+{prefix}mtry AS (SELECT row_id, xt, vec, slot, unnest(range(0, {attempts})) AS attempt FROM {prefix}mslot),
+{prefix}mtry2 AS (SELECT *, CAST(floor({u_pos} * (SELECT CAST(max(corpus_id) + 1 AS DOUBLE) FROM {t_dict})) AS BIGINT) AS target_id
+          FROM {prefix}mtry),
+{prefix}mok AS (SELECT m.row_id, m.slot, m.attempt, m.vec, c.corpus_id AS target_id, c.text, c.embedding
+        FROM {prefix}mtry2 m JOIN {t_dict} c ON c.corpus_id = m.target_id WHERE c.text <> m.xt),
+{prefix}mdraw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, slot ORDER BY attempt) AS rn FROM {prefix}mok) WHERE rn = 1),
+{prefix}mfill AS (SELECT d.row_id, d.target_id, d.text, {cos_sql('d.vec', 'd.embedding')} AS raw, d.slot AS pos, TRUE AS is_fill, d.slot
+          FROM {prefix}mdraw d),
+{prefix}mfill2 AS (SELECT row_id, target_id, text, raw, {clamp_sql('raw')} AS score,
                   {('ln(' + u_key.replace('d.row_id', 'row_id').replace('d.slot', 'slot') + ') / ' + clamp_sql('raw')) if weighted else 'NULL::DOUBLE'} AS val,
-                  pos, is_fill FROM mfill),
-mall AS (SELECT row_id, target_id, text, raw, score, val, pos, is_fill FROM me
-         UNION ALL SELECT row_id, target_id, text, raw, score, val, pos, is_fill FROM mfill2),
-mpick AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {order}) AS slot FROM mall)
-SELECT row_id, CAST(slot AS INTEGER) AS slot, target_id, text, round(score, 6) AS score, round(raw, 6) AS raw, is_fill
-FROM mpick WHERE slot <= {n}"""
-    return with_v1(body)
+                  pos, is_fill FROM {prefix}mfill),
+{prefix}mall AS (SELECT row_id, target_id, text, raw, score, val, pos, is_fill FROM {prefix}me
+         UNION ALL SELECT row_id, target_id, text, raw, score, val, pos, is_fill FROM {prefix}mfill2),
+{prefix}mpick AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {order}) AS slot FROM {prefix}mall),
+{prefix}mres AS (SELECT row_id, CAST(slot AS INTEGER) AS slot, target_id, text, score, raw, is_fill
+         FROM {prefix}mpick WHERE slot <= {n})"""
+    return body
+
+
+def mining_sql(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
+               epoch: int, attempts: int = 8, fill: str = "faithful") -> str:
+    ctes = mining_ctes(anchor, method, n, pt, beta, seed, epoch, attempts, fill)
+    return with_v1(ctes + """
+SELECT row_id, slot, target_id, text, round(score, 6) AS score, round(raw, 6) AS raw, is_fill FROM mres""")

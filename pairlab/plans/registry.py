@@ -21,6 +21,9 @@ from ..operators.similarity import (first_position, first_row_cosine, pair_cosin
                                     top_k_join, vector_lookup)
 from ..sources.fixtures import vector_fixture
 from . import oracle_sql as osql
+from ..functions import hashrand as hr
+from ..operators.instances import assign_batches, build_instances
+from .epoch import compare_samplers, prepare_epoch, testing_pairs
 from .evaluate import evaluate, search_test_set
 
 R6 = 6
@@ -260,6 +263,129 @@ e4 AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY attempt) AS rn
 SELECT row_id, target_id, text FROM e4 WHERE rn = 1""")
 
 
+# ------------------------------------------------------------------ instances
+INST = dict(pt=0.5, beta=0.9, seed=7, epoch=1, nq=10, nc=3, batch=32)
+
+
+def _inst_out(df):
+    return df.select("instance_id", "row_id", F.size("texts").alias("n_texts"),
+                     F.array_join("texts", "|").alias("texts"), "label")
+
+
+def _build(kind, method, **kw):
+    def run(spark, sf):
+        fx = vector_fixture(spark, sf)
+        r = build_instances(kind, fx.training if kind != "validation" else fx.validation,
+                            fx.queries, fx.candidates, method=method,
+                            num_hard_negative_queries=INST["nq"], num_hard_negative_candidates=INST["nc"],
+                            positive_threshold=INST["pt"], beta=INST["beta"], seed=INST["seed"],
+                            epoch=INST["epoch"], **kw)
+        return _inst_out(r.instances)
+    return run
+
+
+def q_w5_batches(spark, sf):
+    fx = vector_fixture(spark, sf)
+    inst = build_instances("validation", fx.validation, fx.queries, fx.candidates).instances
+    b = assign_batches(inst, INST["batch"], INST["seed"], INST["epoch"])
+    return b.select("instance_id", "batch_id", "pos")
+
+
+def q_e1_prepare_epoch(spark, sf):
+    fx = vector_fixture(spark, sf)
+    cfg = EpochConfig.for_epoch(INST["epoch"], seed=INST["seed"])
+    d = prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates, cfg)
+    return d.instances.select("instance_id", "batch_id", "pos", F.size("texts").alias("n_texts"),
+                              F.array_join("texts", "|").alias("texts"), "label")
+
+
+def q_e4_compare_samplers(spark, sf):
+    fx = vector_fixture(spark, sf)
+    r = compare_samplers(testing_pairs(fx.testing), fx.queries, fx.candidates,
+                         positive_threshold=MINE["pt"], beta=MINE["beta"], num_negatives=MINE["n"],
+                         seed=MINE["seed"], epoch=MINE["epoch"])
+    return r.select("method", "anchor", "row_id", "slot", "text", _r("score").alias("score"), "is_fill")
+
+
+def _inst_sql(kind: str) -> str:
+    pt, beta, seed, ep = INST["pt"], INST["beta"], INST["seed"], INST["epoch"]
+    out = """SELECT instance_id, row_id, len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label
+             FROM inst"""
+    if kind == "validation":
+        return osql.with_v1("inst AS (SELECT row_id AS instance_id, row_id, [text1, text2] AS texts, label "
+                            "FROM v1_validation)\n" + out)
+    if kind == "bidirectional":
+        ctes = (osql.mining_ctes("candidate", mn.MULTI, INST["nq"], pt, beta, seed, ep, prefix="hq_") + "," +
+                osql.mining_ctes("query", mn.MULTI, INST["nc"], pt, beta, seed, ep, prefix="hc_"))
+        return osql.with_v1(ctes + f""",
+hqa AS (SELECT row_id, list(text ORDER BY slot) AS hq FROM hq_mres GROUP BY row_id),
+hca AS (SELECT row_id, list(text ORDER BY slot) AS hc FROM hc_mres GROUP BY row_id),
+inst AS (SELECT t.row_id AS instance_id, t.row_id,
+                list_concat([t.text1], COALESCE(hqa.hq, []::VARCHAR[]), [t.text2], COALESCE(hca.hc, []::VARCHAR[])) AS texts,
+                t.label
+         FROM v1_training t LEFT JOIN hqa ON hqa.row_id = t.row_id LEFT JOIN hca ON hca.row_id = t.row_id
+         WHERE len(COALESCE(hqa.hq, []::VARCHAR[])) = {INST["nq"]} AND len(COALESCE(hca.hc, []::VARCHAR[])) = {INST["nc"]})
+""" + out)
+    if kind == "one_way":
+        ctes = osql.mining_ctes("query", mn.MULTI_EFN, INST["nc"], pt, beta, seed, ep, prefix="hc_")
+        return osql.with_v1(ctes + f""",
+hca AS (SELECT row_id, list(text ORDER BY slot) AS hc FROM hc_mres GROUP BY row_id),
+inst AS (SELECT t.row_id AS instance_id, t.row_id,
+                list_concat([t.text1, t.text2], COALESCE(hca.hc, []::VARCHAR[])) AS texts, t.label
+         FROM v1_training t LEFT JOIN hca ON hca.row_id = t.row_id
+         WHERE len(COALESCE(hca.hc, []::VARCHAR[])) = {INST["nc"]})
+""" + out)
+    ctes = osql.mining_ctes("query", mn.TOPK, 1, pt, beta, seed, ep, prefix="h1_")
+    neg = "ng AS (SELECT row_id, text AS neg FROM h1_mres WHERE slot = 1)"
+    if kind == "triplet":
+        return osql.with_v1(ctes + ",\n" + neg + """,
+inst AS (SELECT t.row_id AS instance_id, t.row_id, [t.text1, t.text2, ng.neg] AS texts, t.label
+         FROM v1_training t JOIN ng ON ng.row_id = t.row_id)
+""" + out)
+    return osql.with_v1(ctes + ",\n" + neg + """,
+inst AS (SELECT t.row_id * 2 AS instance_id, t.row_id, [t.text1, t.text2] AS texts, t.label
+         FROM v1_training t JOIN ng ON ng.row_id = t.row_id
+         UNION ALL
+         SELECT t.row_id * 2 + 1, t.row_id, [t.text1, ng.neg], 0.0::DOUBLE
+         FROM v1_training t JOIN ng ON ng.row_id = t.row_id)
+""" + out)
+
+
+def _batch_sql(inst_select: str, id_col: str = "instance_id") -> str:
+    key = hr.chain_sql(INST["seed"], INST["epoch"], hr.STREAM_BATCH, id_col)
+    return f"""bk AS (SELECT *, {key} AS _bk FROM ({inst_select})),
+bi AS (SELECT *, row_number() OVER (ORDER BY _bk, {id_col}) - 1 AS _idx FROM bk)"""
+
+
+def _w5_sql() -> str:
+    return osql.with_v1(_batch_sql("SELECT row_id AS instance_id FROM v1_validation") + f"""
+SELECT instance_id, CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_idx % {INST["batch"]} AS INTEGER) AS pos
+FROM bi""")
+
+
+def _e1_sql() -> str:
+    src = _inst_sql("bidirectional")
+    head, tail = src.rsplit("SELECT instance_id, row_id, len(texts)", 1)
+    return head.rstrip() + ",\n" + _batch_sql("SELECT * FROM inst") + f"""
+SELECT instance_id, CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_idx % {INST["batch"]} AS INTEGER) AS pos,
+       len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label FROM bi"""
+
+
+def _e4_sql() -> str:
+    parts, sels = [], []
+    i = 0
+    for method in mn.METHODS:
+        for anchor in ("query", "candidate"):
+            pre = f"c{i}_"
+            parts.append(osql.mining_ctes(anchor, method, MINE["n"], MINE["pt"], MINE["beta"], MINE["seed"],
+                                          MINE["epoch"], prefix=pre, pairs="tp"))
+            sels.append(f"SELECT '{method}' AS method, '{anchor}' AS anchor, row_id, slot, text, "
+                        f"round(score, 6) AS score, is_fill FROM {pre}mres")
+            i += 1
+    tp = "tp AS (SELECT query_id AS row_id, query AS text1, labels[1] AS text2, 1.0::DOUBLE AS label FROM v1_testing)"
+    return osql.with_v1(tp + "," + ",".join(parts) + "\n" + "\nUNION ALL\n".join(sels))
+
+
 # ------------------------------------------------------------------ tables
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
@@ -285,6 +411,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a11_correlation": q_a11_correlation,
         "e3_evaluate": q_e3_evaluate,
         "m8_easy_negative": q_m8_easy_negative,
+        "i1_bidirectional": _build("bidirectional", mn.MULTI),
+        "i2_one_way": _build("one_way", mn.MULTI_EFN),
+        "i3_contrastive": _build("contrastive", mn.TOPK),
+        "i4_sentence_pairs": _build("sentence", mn.TOPK),
+        "i5_triplet": _build("triplet", mn.TOPK),
+        "i6_validation": _build("validation", mn.TOPK),
+        "w5_batches": q_w5_batches,
+        "e1_prepare_epoch": q_e1_prepare_epoch,
+        "e4_compare_samplers": q_e4_compare_samplers,
     }
     for name, (anchor, method, kw) in MINING.items():
         q[name] = _mine(anchor, method, **kw)[0]
@@ -349,6 +484,15 @@ def oracle_sql() -> dict[str, str]:
                    round(p.precision, 6) AS precision, round(p.recall, 6) AS recall, round(p.f1, 6) AS f1,
                    p.tp, p.n_pred, p.n_gold FROM nd, v1_prf2 p"""),
         "m8_easy_negative": sql_m8_easy_negative(),
+        "i1_bidirectional": _inst_sql("bidirectional"),
+        "i2_one_way": _inst_sql("one_way"),
+        "i3_contrastive": _inst_sql("contrastive"),
+        "i4_sentence_pairs": _inst_sql("contrastive"),
+        "i5_triplet": _inst_sql("triplet"),
+        "i6_validation": _inst_sql("validation"),
+        "w5_batches": _w5_sql(),
+        "e1_prepare_epoch": _e1_sql(),
+        "e4_compare_samplers": _e4_sql(),
     }
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""
