@@ -25,9 +25,17 @@ def norm(a: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """Unit-norm vector; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """Unit-norm vector; a zero vector stays zero.
+
+    The squared norm is the accumulator of one ``aggregate`` and the finish
+    lambda divides by it, so the norm is computed once per row (a norm
+    referenced inside ``transform`` would be re-evaluated per element)."""
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x,
+                       lambda acc: F.when(acc > 0, F.transform(a, _divide_by(F.sqrt(acc)))).otherwise(a))
+
+
+def _divide_by(n: Column):
+    return lambda x: x / n
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values of the schedule.
 BETA_START = 0.5
@@ -54,15 +53,23 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
     lad = F.array(*[F.lit(float(b)) for b in ladder])
     base = scored.select(F.col(sim).cast("double").alias("s"), F.col(label).cast("double").alias("y")) \
                  .filter(F.col("s").isNotNull() & ~F.isnan("s"))
-    # bucket = index of the last ladder value <= s (-1: below the first)
-    bucket = F.size(F.filter(lad, lambda b: b <= F.col("s"))) - 1
+    # bucket = index of the last ladder value <= s (-1: below the first). The
+    # arithmetic guess is off by at most one step from the accumulated ladder;
+    # two exact comparisons against the ladder literals correct it.
+    top = len(ladder) - 1
+    g = F.least(F.greatest(F.floor((F.col("s") - F.lit(start)) / F.lit(step)), F.lit(-1)), F.lit(top))
+    g = g.cast("int")
+    at = lambda j: F.try_element_at(lad, (j + 1).cast("int"))  # noqa: E731  (0-based ladder index)
+    g = F.when((g < top) & (at(g + 1) <= F.col("s")), g + 1).otherwise(g)
+    g = F.when((g >= 0) & (at(F.greatest(g, F.lit(0))) > F.col("s")), g - 1).otherwise(g)
+    bucket = g
     counts = base.groupBy(bucket.alias("i")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum(F.when(F.col("y") == 1.0, 1).otherwise(0)).alias("pos"))
-    grid = [(ai, a, i, float(b)) for ai, a in enumerate(alphas) for i, b in enumerate(ladder)]
-    grid += [(ai, a, -1, None) for ai, a in enumerate(alphas)]
-    steps = spark.createDataFrame(grid, T.StructType([
-        T.StructField("ai", T.IntegerType(), False), T.StructField("alpha", T.DoubleType(), False),
-        T.StructField("i", T.IntegerType(), False), T.StructField("b", T.DoubleType(), True)]))
+    # the (alpha, step) grid is generated JVM-side: range over steps x posexplode(alphas)
+    steps = spark.range(-1, len(ladder)).select(
+        F.col("id").cast("int").alias("i"),
+        F.when(F.col("id") >= 0, F.element_at(lad, (F.col("id") + 1).cast("int"))).alias("b"),
+        F.posexplode(F.array(*[F.lit(a) for a in alphas])).alias("ai", "alpha"))
     # kept_i = rows with bucket >= i: suffix sums over the <= len(ladder) steps
     w = Window.partitionBy("ai").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     scan = (steps.join(counts, "i", "left")
@@ -85,7 +92,7 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
     posv = F.when(F.col("hit").isNotNull(), F.col("hit.positives")).otherwise(F.lit(0).cast("long"))
     return res.select("ai", "alpha", beta.alias("beta"), kept.alias("kept"), posv.alias("positives"),
                       F.try_divide(posv.cast("double"), kept.cast("double")).alias("precision"),
-                      F.col("hit").isNotNull().alias("reached")).orderBy("ai").drop("ai")
+                      F.col("hit").isNotNull().alias("reached")).drop("ai")
 
 
 @dataclass(frozen=True)

@@ -14,11 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
-from .mining import MULTI_EFN, TOPK, easy_negatives, mine_negatives, negatives_as_arrays
+from ..session import materialize
+from .mining import (MULTI_EFN, TOPK, easy_negatives, materialize_dictionary, mine_negatives,
+                     negatives_as_arrays)
 from .ordering import with_global_index
 
 KINDS = ("bidirectional", "one_way", "contrastive", "sentence", "triplet", "validation")
-EMPTY = F.array().cast("array<string>")
+
+
+def _empty():
+    return F.array().cast("array<string>")
 
 
 @dataclass
@@ -50,6 +55,10 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     lab = F.col("label").cast("double").alias("label")
+    if kind != "validation":
+        pairs = materialize(pairs)
+        query_vectors = materialize_dictionary(query_vectors)
+        candidate_vectors = materialize_dictionary(candidate_vectors)
     common = dict(positive_threshold=positive_threshold, beta=beta, seed=seed, epoch=epoch, **kernel_opts)
 
     if kind == "validation":                                           # I6
@@ -66,8 +75,8 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         ca = negatives_as_arrays(hc.negatives).withColumnRenamed("negatives", "hc")
         inst = (pairs.join(qa, "row_id", "left").join(ca, "row_id", "left")
                 .select(F.col("row_id").alias("instance_id"), "row_id",
-                        F.concat(F.array("text1"), F.coalesce("hq", EMPTY), F.array("text2"),
-                                 F.coalesce("hc", EMPTY)).alias("texts"), lab))
+                        F.concat(F.array("text1"), F.coalesce("hq", _empty()), F.array("text2"),
+                                 F.coalesce("hc", _empty())).alias("texts"), lab))
         return _apply_short(inst, hq.short.unionByName(hc.short), on_short)
 
     if kind == "one_way":                                              # I2
@@ -81,7 +90,7 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         ca = negatives_as_arrays(hc.negatives).withColumnRenamed("negatives", "hc")
         inst = pairs.join(ca, "row_id", "left").select(
             F.col("row_id").alias("instance_id"), "row_id",
-            F.concat(F.array("text1", "text2"), F.coalesce("hc", EMPTY)).alias("texts"), lab)
+            F.concat(F.array("text1", "text2"), F.coalesce("hc", _empty())).alias("texts"), lab)
         return _apply_short(inst, hc.short, on_short)
 
     # One negative candidate per row (hard: topK n=1, or easy: uniform)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
 from ..functions.vectors import clamp, cosine
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .blocks import KernelSpec, similarity_kernel, target_stats
 from .similarity import vector_lookup
 
@@ -72,6 +72,14 @@ class MiningResult:
     short: DataFrame       # row_id, reason, n_found
 
 
+def materialize_dictionary(d: DataFrame) -> DataFrame:
+    """A dictionary is read many times (stats, packing, lookups, fills): cut
+    its lineage once."""
+    if getattr(d, "_pairlab_materialized", False):
+        return d
+    return materialize(d.select("corpus_id", "text", "embedding"))
+
+
 def _sides(anchor: str, query_vectors: DataFrame, candidate_vectors: DataFrame):
     if anchor == "query":
         return "text1", "text2", query_vectors, candidate_vectors
@@ -88,7 +96,6 @@ def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int
     Returns ``row_id, slot, target_id, text``. Each slot tries ``attempts``
     hashed positions per round and keeps the first accepted one: rejection
     sampling, so the draw is exactly uniform over the pool."""
-    spark = rows.sparkSession
     tt = targets.select(F.col("corpus_id").alias("target_id"), F.col("text").alias("t_text"))
     pending = rows.select("row_id", "xt", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
     done = None
@@ -98,19 +105,18 @@ def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int
         u = hr.uniform_col(F.lit(seed), F.lit(epoch), F.lit(stream), F.col("row_id"),
                            F.col("slot"), F.col("attempt"))
         tries = tries.withColumn("target_id", F.floor(u * F.lit(float(id_range))).cast("long"))
-        ok = (tries.join(tt, "target_id")
-              .filter(F.col("xt").isNull() | (F.col("t_text") != F.col("xt"))))
-        got = ok.groupBy("row_id", "slot").agg(
-            F.min_by(F.struct("target_id", "t_text"), F.col("attempt")).alias("d")) \
-            .select("row_id", "slot", F.col("d.target_id").alias("target_id"),
-                    F.col("d.t_text").alias("text"))
-        ensure_checkpoint_dir(spark)
-        got = got.checkpoint(eager=True)
+        hit = tries.join(tt, "target_id", "left")
+        accepted = hit.t_text.isNotNull() & (hit.xt.isNull() | (hit.t_text != hit.xt))
+        # per slot: the first accepted attempt, or NULL when every attempt was rejected
+        slots = hit.groupBy("row_id", "xt", "slot").agg(F.min(F.when(
+            accepted, F.struct("attempt", "target_id", "t_text"))).alias("d"))
+        slots = materialize(slots)
+        got = slots.filter(F.col("d").isNotNull()).select(
+            "row_id", "slot", F.col("d.target_id").alias("target_id"), F.col("d.t_text").alias("text"))
         done = got if done is None else done.unionByName(got)
-        pending = pending.join(got.select("row_id", "slot"), ["row_id", "slot"], "left_anti")
+        pending = slots.filter(F.col("d").isNull()).select("row_id", "xt", "slot")
         if pending.isEmpty():
             return done
-        pending = pending.checkpoint(eager=True)
     raise RuntimeError("fill draws did not resolve; is the pool empty?")
 
 
@@ -121,6 +127,8 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
     """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``)."""
     if fill not in ("faithful", "exact"):
         raise ValueError("fill must be 'faithful' or 'exact'")
+    query_vectors = materialize_dictionary(query_vectors)
+    candidate_vectors = materialize_dictionary(candidate_vectors)
     a_col, x_col, a_vecs, targets = _sides(anchor, query_vectors, candidate_vectors)
     n = int(num_negatives)
     code = hr.ANCHOR_CODE[anchor]
@@ -134,6 +142,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         o_lk = vector_lookup(other).select(F.col("text").alias(x_col), F.col("embedding").alias("_ov"))
         rows = rows.join(o_lk, x_col, "left").withColumn("lo", cosine(F.col("vec"), F.col("_ov"))) \
                    .drop("_ov")
+    rows = materialize(rows)
     missing = rows.filter(F.col("vec").isNull()).select(
         "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
     rows = rows.filter(F.col("vec").isNotNull())
@@ -160,8 +169,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         res = res.withColumn("f", F.when(extra > 0, extra).otherwise(F.lit(0)).cast("int"))
     else:
         res = res.withColumn("f", F.lit(0))
-    ensure_checkpoint_dir(res.sparkSession)
-    res = res.checkpoint(eager=True)
+    res = materialize(res)
 
     def entries(df):
         e = df.select("row_id", F.posexplode(F.arrays_zip("ids", "texts", "raw", "val")).alias("pos", "e"))

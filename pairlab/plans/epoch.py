@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators.calibrate import EpochConfig, tune_beta
 from ..operators.instances import assign_batches, build_instances
-from ..operators.mining import METHODS, mine_negatives
+from ..operators.mining import METHODS, materialize_dictionary, mine_negatives
+from ..session import materialize
 from ..operators.similarity import first_row_cosine, pair_cosine
 
 
@@ -34,6 +35,9 @@ class EpochData:
 def prepare_epoch(training: DataFrame, validation: DataFrame, query_vectors: DataFrame,
                   candidate_vectors: DataFrame, cfg: EpochConfig, *, compat_first_row: bool = False,
                   on_short: str = "drop", output_path: str | None = None, **kernel_opts) -> EpochData:
+    query_vectors = materialize_dictionary(query_vectors)
+    candidate_vectors = materialize_dictionary(candidate_vectors)
+    training = materialize(training)
     if compat_first_row:
         scored = first_row_cosine(validation, query_vectors, candidate_vectors)
     else:
@@ -67,6 +71,9 @@ def compare_samplers(pairs: DataFrame, query_vectors: DataFrame, candidate_vecto
                      seed: int = 0, epoch: int = 0, **kernel_opts) -> DataFrame:
     """Every method x both anchors over all rows of ``pairs``.
     Returns ``method, anchor, row_id, slot, text, score, is_fill``."""
+    query_vectors = materialize_dictionary(query_vectors)
+    candidate_vectors = materialize_dictionary(candidate_vectors)
+    pairs = materialize(pairs)
     out = None
     for method in METHODS:
         for anchor in ("query", "candidate"):

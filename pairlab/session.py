@@ -13,11 +13,14 @@ ARROW_MAX_BYTES = str(64 * 1024 * 1024)
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
-                  app: str = "pairlab") -> SparkSession:
+                  app: str = "pairlab", extra_conf: dict | None = None) -> SparkSession:
     """A local[cores] session configured the way the engine expects."""
     parts = shuffle_partitions or cores
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.default.parallelism", str(parts))
@@ -56,3 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the checkpoint folder once (reliable
+    checkpoint, survives executor loss) and return the re-read frame.
+    Idempotent: a frame this function returned is passed through."""
+    if getattr(df, "_pairlab_materialized", False):
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    out._pairlab_materialized = True
+    return out

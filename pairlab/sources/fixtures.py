@@ -37,13 +37,23 @@ class VectorFixture:
     n_candidates: int
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small Parquet file is one partition; hash-spread it over the default
+    parallelism so per-row vector work runs on every core. Large inputs
+    already have enough partitions and are left alone."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parts:
+        return df.repartition(parts, key)
+    return df
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vector_fixture(spark: SparkSession, sf_dir: str) -> VectorFixture:
-    emb = _table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    emb = spread(_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
     n_rows = emb.count()
     m = n_rows // GROUP
 
