@@ -23,6 +23,8 @@ from ..sources.fixtures import vector_fixture
 from . import oracle_sql as osql
 from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
+from ..operators.losses import (bidirectional_loss, contrastive_loss, cosine_mse_loss, in_batch_row_losses,
+                                one_way_loss, triplet_loss)
 from .epoch import compare_samplers, prepare_epoch, testing_pairs
 from .evaluate import evaluate, search_test_set
 
@@ -386,6 +388,128 @@ def _e4_sql() -> str:
     return osql.with_v1(tp + "," + ",".join(parts) + "\n" + "\nUNION ALL\n".join(sels))
 
 
+# ------------------------------------------------------------------ losses
+LOSS = dict(scale=20.0, contrastive_margin=0.5, triplet_margin=5.0)
+
+
+def _epoch_batches(spark, sf):
+    fx = vector_fixture(spark, sf)
+    cfg = EpochConfig.for_epoch(INST["epoch"], seed=INST["seed"])
+    d = prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates, cfg)
+    return fx, d.instances
+
+
+def q_a6_bidirectional_loss(spark, sf):
+    fx, b = _epoch_batches(spark, sf)
+    r = in_batch_row_losses(b, fx.queries, fx.candidates, INST["nq"], LOSS["scale"])
+    return r.select("batch_id", "pos", _r("forward").alias("forward"), _r("backward").alias("backward"))
+
+
+def q_a6_batch_loss(spark, sf):
+    fx, b = _epoch_batches(spark, sf)
+    r = bidirectional_loss(b, fx.queries, fx.candidates, INST["nq"], LOSS["scale"])
+    return r.select("batch_id", "n", _r("loss").alias("loss"))
+
+
+def q_a7_one_way_loss(spark, sf):
+    fx, b = _epoch_batches(spark, sf)
+    nq = INST["nq"]
+    one = b.select("batch_id", "pos", F.concat(F.slice("texts", 1, 1),
+                                               F.slice("texts", nq + 2, INST["nc"] + 1)).alias("texts"))
+    r = one_way_loss(one, fx.queries, fx.candidates, LOSS["scale"])
+    return r.select("batch_id", "n", _r("loss").alias("loss"))
+
+
+def _pair_loss(kind, fn, *args):
+    def run(spark, sf):
+        fx = vector_fixture(spark, sf)
+        inst = build_instances(kind, fx.training, fx.queries, fx.candidates, method=mn.TOPK,
+                               positive_threshold=INST["pt"], beta=INST["beta"], seed=INST["seed"],
+                               epoch=INST["epoch"]).instances
+        return fn(inst, fx.queries, fx.candidates, *args).select("n", _r("loss").alias("loss"))
+    return run
+
+
+def _loss_sql_base() -> tuple[str, str]:
+    """(CTEs up to batched rows ``bt(batch_id, pos, texts)``, nothing)."""
+    src = _e1_sql()
+    head = src.rsplit("SELECT instance_id, CAST(_idx //", 1)[0]
+    return head.rstrip() + f""",
+bt AS (SELECT CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_idx % {INST["batch"]} AS INTEGER) AS pos,
+              texts FROM bi)""", ""
+
+
+def _inbatch_sql(texts_expr: str, nq: int) -> str:
+    base, _ = _loss_sql_base()
+    sc = float(LOSS["scale"])
+    return base + f""",
+bt2 AS (SELECT batch_id, pos, {texts_expr} AS texts FROM bt),
+ex0 AS (SELECT batch_id, pos, texts, unnest(generate_series(1, len(texts))) AS i FROM bt2),
+ex AS (SELECT batch_id, pos, texts[i] AS text, i - 1 AS idx FROM ex0),
+exs AS (SELECT batch_id, pos, text, CASE WHEN idx <= {nq} THEN 0 ELSE 1 END AS side,
+               CASE WHEN idx <= {nq} THEN idx ELSE idx - {nq} - 1 END AS blk FROM ex),
+ev AS (SELECT e.*, COALESCE(q.embedding, c.embedding) AS vec FROM exs e
+       LEFT JOIN v1_query q ON e.side = 0 AND q.text = e.text
+       LEFT JOIN v1_cand c ON e.side = 1 AND c.text = e.text),
+anc AS (SELECT * FROM ev WHERE side = 0),
+cnd AS (SELECT * FROM ev WHERE side = 1),
+fs AS (SELECT a.batch_id, a.pos, c.blk AS cblk, c.pos AS cpos,
+              {sc!r}::DOUBLE * {osql.cos_sql('a.vec', 'c.vec')} AS s
+       FROM anc a JOIN cnd c ON a.batch_id = c.batch_id WHERE a.blk = 0),
+fm AS (SELECT batch_id, pos, max(s) AS m FROM fs GROUP BY batch_id, pos),
+fl AS (SELECT fs.batch_id, fs.pos, fm.m + ln(sum(exp(fs.s - fm.m))) AS lse,
+              max(CASE WHEN fs.cblk = 0 AND fs.cpos = fs.pos THEN fs.s END) AS d
+       FROM fs JOIN fm ON fm.batch_id = fs.batch_id AND fm.pos = fs.pos GROUP BY fs.batch_id, fs.pos, fm.m),
+bs AS (SELECT c.batch_id, c.pos, a.blk AS ablk, a.pos AS apos,
+              {sc!r}::DOUBLE * {osql.cos_sql('a.vec', 'c.vec')} AS s
+       FROM anc a JOIN cnd c ON a.batch_id = c.batch_id WHERE c.blk = 0),
+bm AS (SELECT batch_id, pos, max(s) AS m FROM bs GROUP BY batch_id, pos),
+bl AS (SELECT bs.batch_id, bs.pos, bm.m + ln(sum(exp(bs.s - bm.m))) AS lse,
+              max(CASE WHEN bs.ablk = 0 AND bs.apos = bs.pos THEN bs.s END) AS d
+       FROM bs JOIN bm ON bm.batch_id = bs.batch_id AND bm.pos = bs.pos GROUP BY bs.batch_id, bs.pos, bm.m),
+rl AS (SELECT fl.batch_id, fl.pos, fl.lse - fl.d AS forward, bl.lse - bl.d AS backward
+       FROM fl JOIN bl ON bl.batch_id = fl.batch_id AND bl.pos = fl.pos)"""
+
+
+def _a6_sql() -> str:
+    return _inbatch_sql("texts", INST["nq"]) + """
+SELECT batch_id, pos, round(forward, 6) AS forward, round(backward, 6) AS backward FROM rl"""
+
+
+def _a6_batch_sql() -> str:
+    return _inbatch_sql("texts", INST["nq"]) + """
+SELECT batch_id, COUNT(*) AS n, round((avg(forward) + avg(backward)) / 2.0, 6) AS loss FROM rl GROUP BY batch_id"""
+
+
+def _a7_sql() -> str:
+    nq, nc = INST["nq"], INST["nc"]
+    return _inbatch_sql(f"list_concat(texts[1:1], texts[{nq + 2}:{nq + 2 + nc}])", 0) + """
+SELECT batch_id, COUNT(*) AS n, round(avg(forward), 6) AS loss FROM rl GROUP BY batch_id"""
+
+
+def _pair_loss_sql(kind: str, loss: str) -> str:
+    src = _inst_sql(kind)
+    head = src.rsplit("SELECT instance_id, row_id, len(texts)", 1)[0]
+    cos = osql.cos_sql("q.embedding", "c.embedding")
+    if loss == "contrastive":
+        m = float(LOSS["contrastive_margin"])
+        row = (f"0.5 * (label * (1.0 - {cos}) * (1.0 - {cos}) + (1.0 - label) * "
+               f"pow(greatest(0.0, {m!r}::DOUBLE - (1.0 - {cos})), 2))")
+    elif loss == "mse":
+        row = f"({cos} - label) * ({cos} - label)"
+    else:
+        m = float(LOSS["triplet_margin"])
+        d1 = "sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+        d2 = "sqrt(list_sum(list_transform(list_zip(q.embedding, n.embedding), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+        return head.rstrip() + f"""
+SELECT COUNT(*) AS n, round(avg(greatest(0.0, {d1} - {d2} + {m!r}::DOUBLE)), 6) AS loss
+FROM inst i JOIN v1_query q ON q.text = i.texts[1] JOIN v1_cand c ON c.text = i.texts[2]
+JOIN v1_cand n ON n.text = i.texts[3]"""
+    return head.rstrip() + f"""
+SELECT COUNT(*) AS n, round(avg({row}), 6) AS loss
+FROM inst i JOIN v1_query q ON q.text = i.texts[1] JOIN v1_cand c ON c.text = i.texts[2]"""
+
+
 # ------------------------------------------------------------------ tables
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
@@ -420,6 +544,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "w5_batches": q_w5_batches,
         "e1_prepare_epoch": q_e1_prepare_epoch,
         "e4_compare_samplers": q_e4_compare_samplers,
+        "a6_bidirectional_loss": q_a6_bidirectional_loss,
+        "a6_batch_loss": q_a6_batch_loss,
+        "a7_one_way_loss": q_a7_one_way_loss,
+        "a8_contrastive_loss": _pair_loss("contrastive", contrastive_loss, LOSS["contrastive_margin"]),
+        "a9_cosine_mse_loss": _pair_loss("contrastive", cosine_mse_loss),
+        "a10_triplet_loss": _pair_loss("triplet", triplet_loss, LOSS["triplet_margin"]),
     }
     for name, (anchor, method, kw) in MINING.items():
         q[name] = _mine(anchor, method, **kw)[0]
@@ -493,6 +623,12 @@ def oracle_sql() -> dict[str, str]:
         "w5_batches": _w5_sql(),
         "e1_prepare_epoch": _e1_sql(),
         "e4_compare_samplers": _e4_sql(),
+        "a6_bidirectional_loss": _a6_sql(),
+        "a6_batch_loss": _a6_batch_sql(),
+        "a7_one_way_loss": _a7_sql(),
+        "a8_contrastive_loss": _pair_loss_sql("contrastive", "contrastive"),
+        "a9_cosine_mse_loss": _pair_loss_sql("contrastive", "mse"),
+        "a10_triplet_loss": _pair_loss_sql("triplet", "triplet"),
     }
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""
