@@ -19,7 +19,8 @@ from ..operators.calibrate import EpochConfig, tune_beta
 from ..operators.metrics import gold_rows, micro_prf, ndcg_per_query, prediction_rows, similarity_correlation
 from ..operators.similarity import (first_position, first_row_cosine, pair_cosine, similarity_edges,
                                     top_k_join, vector_lookup)
-from ..sources.fixtures import vector_fixture
+from ..operators.encode import TRI_A, TRI_B, TRI_C, encode_distinct, mean_pool, token_table, trigram_encoder
+from ..sources.fixtures import text_fixture, vector_fixture
 from . import oracle_sql as osql
 from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
@@ -510,6 +511,80 @@ SELECT COUNT(*) AS n, round(avg({row}), 6) AS loss
 FROM inst i JOIN v1_query q ON q.text = i.texts[1] JOIN v1_cand c ON c.text = i.texts[2]"""
 
 
+# ------------------------------------------------------------------ text path
+TEXT = dict(dim=256, token_dim=64, k=5)
+
+
+def _checksum(v):
+    return F.aggregate(F.transform(v, lambda x, i: x * (i + 1).cast("double")), F.lit(0.0),
+                       lambda acc, x: acc + x)
+
+
+def q_p1_text_encode(spark, sf):
+    tf = text_fixture(spark, sf)
+    e = encode_distinct(tf.queries, "text", trigram_encoder(TEXT["dim"]))
+    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"),
+                    _r(_checksum(F.col("embedding"))).alias("checksum"))
+
+
+def q_p1_text_topk(spark, sf):
+    tf = text_fixture(spark, sf)
+    enc = trigram_encoder(TEXT["dim"])
+    items = encode_distinct(tf.candidates, "text", enc)
+    docs = encode_distinct(tf.queries, "text", enc).select("doc_id", "embedding")
+    hits = top_k_join(docs, items, k=TEXT["k"], threshold=0.0, key="doc_id")
+    return hits.select("doc_id", "rank", F.col("corpus_id").alias("item_id"), _r("score").alias("score"))
+
+
+def q_p2_mean_pool(spark, sf):
+    tf = text_fixture(spark, sf)
+    tv = token_table(tf.queries, "text", trigram_encoder(TEXT["token_dim"]))
+    pooled = mean_pool(tf.queries, "doc_id", "text", tv)
+    return pooled.select("doc_id", "n_tokens", _r(_checksum(F.col("embedding"))).alias("checksum"))
+
+
+def _tri_sql(src: str, key: str, text: str, dim: int, name: str) -> str:
+    """CTEs ``{name}(key, idx, w)``: sparse unit trigram vectors of ``src``."""
+    return f"""
+{name}_cp AS (SELECT {key} AS k, list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS cp
+              FROM {src}),
+{name}_h AS (SELECT k, unnest(list_transform(range(1, len(cp) - 1),
+                 lambda i: cp[i] * {TRI_A} + cp[i + 1] * {TRI_B} + cp[i + 2] * {TRI_C})) AS h
+             FROM {name}_cp WHERE len(cp) >= 3),
+{name}_c AS (SELECT k, h % {dim} AS idx, SUM(1 - 2 * ((h // {dim}) % 2)) AS val FROM {name}_h GROUP BY k, idx),
+{name}_n AS (SELECT k, sqrt(SUM(CAST(val AS DOUBLE) * val)) AS n FROM {name}_c GROUP BY k),
+{name} AS (SELECT c.k AS {key}, c.idx, CAST(c.val AS DOUBLE) / n.n AS w FROM {name}_c c JOIN {name}_n n ON n.k = c.k
+           WHERE c.val <> 0)"""
+
+
+def _p1_encode_sql() -> str:
+    return "WITH " + _tri_sql("documents", "doc_id", "text", TEXT["dim"], "dv").lstrip() + """
+SELECT d.doc_id, CAST(COUNT(v.idx) AS BIGINT) AS nnz, round(COALESCE(SUM(v.w * (v.idx + 1)), 0.0), 6) AS checksum
+FROM documents d LEFT JOIN dv v ON v.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def _p1_topk_sql() -> str:
+    return ("WITH " + _tri_sql("documents", "doc_id", "text", TEXT["dim"], "dv").lstrip() + "," +
+            _tri_sql("benchmark", "item_id", "text", TEXT["dim"], "iv") + f""",
+dots AS (SELECT d.doc_id, i.item_id, SUM(d.w * i.w) AS score FROM dv d JOIN iv i ON i.idx = d.idx
+         GROUP BY d.doc_id, i.item_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM dots
+       WHERE score > 0.0)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM rk WHERE rank <= {TEXT["k"]}""")
+
+
+def _p2_sql() -> str:
+    return f"""WITH
+tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS token FROM documents),
+tc AS (SELECT doc_id, token, COUNT(*) AS cnt FROM tk GROUP BY doc_id, token),
+toks AS (SELECT DISTINCT token FROM tc),""" + _tri_sql("toks", "token", "token", TEXT["token_dim"], "tv") + """,
+tot AS (SELECT doc_id, SUM(cnt) AS n FROM tc GROUP BY doc_id),
+pooled AS (SELECT c.doc_id, v.idx, SUM(c.cnt * v.w) AS s FROM tc c JOIN tv v ON v.token = c.token GROUP BY c.doc_id, v.idx)
+SELECT d.doc_id, CAST(COALESCE(t.n, 0) AS BIGINT) AS n_tokens,
+       round(COALESCE((SELECT SUM(p.s / t.n * (p.idx + 1)) FROM pooled p WHERE p.doc_id = d.doc_id), 0.0), 6) AS checksum
+FROM documents d LEFT JOIN tot t ON t.doc_id = d.doc_id"""
+
+
 # ------------------------------------------------------------------ tables
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
@@ -550,6 +625,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a8_contrastive_loss": _pair_loss("contrastive", contrastive_loss, LOSS["contrastive_margin"]),
         "a9_cosine_mse_loss": _pair_loss("contrastive", cosine_mse_loss),
         "a10_triplet_loss": _pair_loss("triplet", triplet_loss, LOSS["triplet_margin"]),
+        "p1_text_encode": q_p1_text_encode,
+        "p1_text_topk": q_p1_text_topk,
+        "p2_mean_pool": q_p2_mean_pool,
     }
     for name, (anchor, method, kw) in MINING.items():
         q[name] = _mine(anchor, method, **kw)[0]
@@ -629,6 +707,9 @@ def oracle_sql() -> dict[str, str]:
         "a8_contrastive_loss": _pair_loss_sql("contrastive", "contrastive"),
         "a9_cosine_mse_loss": _pair_loss_sql("contrastive", "mse"),
         "a10_triplet_loss": _pair_loss_sql("triplet", "triplet"),
+        "p1_text_encode": _p1_encode_sql(),
+        "p1_text_topk": _p1_topk_sql(),
+        "p2_mean_pool": _p2_sql(),
     }
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""

@@ -139,3 +139,17 @@ v1_testing AS (SELECT corpus_id AS query_id, text AS query,
                                   CASE WHEN r IN (1, 2) THEN ['cand_' || CAST(c2 AS VARCHAR)] ELSE [] END,
                                   CASE WHEN vec_id % {OOV_MOD} = {OOV_REM} THEN ['{OOV_LABEL}'] ELSE [] END) AS labels
                FROM v1_query)"""
+
+
+@dataclass
+class TextFixture:
+    candidates: DataFrame   # corpus_id (item_id), text
+    queries: DataFrame      # doc_id, text
+
+
+def text_fixture(spark: SparkSession, sf_dir: str) -> TextFixture:
+    """V2: benchmark items as the candidate dictionary, whole documents as queries."""
+    items = spread(_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("corpus_id"), "text"), "corpus_id")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return TextFixture(items, docs)
