@@ -21,6 +21,7 @@ from ..operators.similarity import (first_position, first_row_cosine, pair_cosin
                                     top_k_join, vector_lookup)
 from ..operators.encode import TRI_A, TRI_B, TRI_C, encode_distinct, mean_pool, token_table, trigram_encoder
 from ..sources.fixtures import text_fixture, vector_fixture
+from ..streaming.search import quality_stream, rolling_quality, run_to_completion, search_stream, stream_root
 from . import oracle_sql as osql
 from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
@@ -585,6 +586,56 @@ SELECT d.doc_id, CAST(COALESCE(t.n, 0) AS BIGINT) AS n_tokens,
 FROM documents d LEFT JOIN tot t ON t.doc_id = d.doc_id"""
 
 
+# ------------------------------------------------------------------ streaming
+def _fresh_dir(spark, name):
+    import uuid
+    return stream_root(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_t1_stream_search(spark, sf):
+    tf = text_fixture(spark, sf)
+    enc = trigram_encoder(TEXT["dim"])
+    items = encode_distinct(tf.candidates, "text", enc)
+    root = _fresh_dir(spark, "t1")
+    msgs = (spark.read.parquet(f"{sf}/conversations.parquet").filter(F.col("role") == "user")
+            .select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"), "text"))
+    msgs.repartition(4, "msg_id").write.mode("overwrite").parquet(f"{root}/source")
+    q = search_stream(spark, f"{root}/source", "msg_id long, text string", items, f"{root}/sink",
+                      f"{root}/checkpoint", key="msg_id", k=TEXT["k"],
+                      encode=lambda b: encode_distinct(b, "text", enc))
+    run_to_completion(q)
+    hits = spark.read.parquet(f"{root}/sink")
+    return hits.select((F.col("msg_id") / 100000).cast("long").alias("conv_id"),
+                       (F.col("msg_id") % 100000).alias("turn"), "rank",
+                       F.col("corpus_id").alias("item_id"), _r("score").alias("score"))
+
+
+def q_t2_rolling_quality(spark, sf):
+    fx = vector_fixture(spark, sf)
+    root = _fresh_dir(spark, "t2")
+    src = fx.testing.join(vector_lookup(fx.queries).withColumnRenamed("text", "query"), "query") \
+                    .select("query_id", "labels", "embedding")
+    src.repartition(4, "query_id").write.mode("overwrite").parquet(f"{root}/source")
+    q = quality_stream(spark, f"{root}/source", "query_id long, labels array<string>, embedding array<double>",
+                       fx.candidates, f"{root}/sink", f"{root}/checkpoint", key="query_id", k=5)
+    run_to_completion(q)
+    r = rolling_quality(spark, f"{root}/sink")
+    return r.select("tp", "n_pred", "n_gold", _r("precision").alias("precision"),
+                    _r("recall").alias("recall"), _r("f1").alias("f1"))
+
+
+def _t1_sql() -> str:
+    return ("WITH msgs AS (SELECT conv_id * 100000 + turn AS msg_id, text FROM conversations WHERE role = 'user'),"
+            + _tri_sql("msgs", "msg_id", "text", TEXT["dim"], "dv") + "," +
+            _tri_sql("benchmark", "item_id", "text", TEXT["dim"], "iv") + f""",
+dots AS (SELECT d.msg_id, i.item_id, SUM(d.w * i.w) AS score FROM dv d JOIN iv i ON i.idx = d.idx
+         GROUP BY d.msg_id, i.item_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY score DESC, item_id) AS rank FROM dots
+       WHERE score > 0.0)
+SELECT CAST(msg_id // 100000 AS BIGINT) AS conv_id, CAST(msg_id % 100000 AS BIGINT) AS turn,
+       CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM rk WHERE rank <= {TEXT["k"]}""")
+
+
 # ------------------------------------------------------------------ tables
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
@@ -628,6 +679,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_text_encode": q_p1_text_encode,
         "p1_text_topk": q_p1_text_topk,
         "p2_mean_pool": q_p2_mean_pool,
+        "t1_stream_search": q_t1_stream_search,
+        "t2_rolling_quality": q_t2_rolling_quality,
     }
     for name, (anchor, method, kw) in MINING.items():
         q[name] = _mine(anchor, method, **kw)[0]
@@ -710,7 +763,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_text_encode": _p1_encode_sql(),
         "p1_text_topk": _p1_topk_sql(),
         "p2_mean_pool": _p2_sql(),
+        "t1_stream_search": _t1_sql(),
     }
+    s["t2_rolling_quality"] = s["a3_micro_prf"]
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""
     tb_out = """SELECT round(alpha, 6) AS alpha, beta, kept, positives, round(precision, 6) AS precision, reached
