@@ -86,7 +86,7 @@ def mean_pool(docs: DataFrame, key: str, text_col: str, token_vectors: DataFrame
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (docs.select(key).join(pooled, key, "left")
             .select(key, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
-                    F.coalesce(vector_to_array("m"), zeros).alias("embedding")))
+                    F.when(F.col("m").isNotNull(), vector_to_array("m")).otherwise(zeros).alias("embedding")))
 
 
 def token_table(docs: DataFrame, text_col: str, encoder=None) -> DataFrame:
