@@ -51,7 +51,8 @@ CLAMP_LO, CLAMP_HI = 0.001, 1.0
 TARGET_BLOCK_SCHEMA = ("cb long, n int, ids binary, th binary, hh binary, "
                        "texts array<string>, vecs binary")
 LEFT_BLOCK_SCHEMA = ("lb long, n int, keys binary, vecs binary, xh binary, xv binary, "
-                     "xt array<string>, lo binary, rh binary")
+                     "xt array<string>, lo binary, rh binary, xs_off binary, xs_h binary, "
+                     "xs_t array<string>")
 TOP_SCHEMA = ("key long, n_eligible long, n_pool long, ids array<long>, "
               "texts array<string>, raw array<double>, val array<double>")
 EDGE_SCHEMA = "key long, target_id long, text string, raw double"
@@ -121,11 +122,19 @@ def _pack_left_fn(dim: int, block: int):
                 lo = part["lo"].astype("float64").fillna(-np.inf).to_numpy(np.float64)
                 rh = part["rh"].to_numpy(np.int64)
                 xt = [t if isinstance(t, str) else None for t in part["xt"].tolist()]
+                # extra excluded texts per row (J10), flattened with offsets
+                sets = [list(x) if x is not None else [] for x in part["xs"].tolist()]
+                off = np.zeros(n + 1, dtype=np.int64)
+                off[1:] = np.cumsum([len(x) for x in sets])
+                xs_t = [t for x in sets for t in x]
+                xs_h = np.asarray([h for x in part["xsh"].tolist() if x is not None for h in x],
+                                  dtype=np.int64)
                 yield pd.DataFrame({
                     "lb": [base + counter], "n": [n], "keys": [keys.tobytes()],
                     "vecs": [mat.tobytes()], "xh": [xh.tobytes()],
                     "xv": [xv.astype(np.uint8).tobytes()], "xt": [xt],
-                    "lo": [lo.tobytes()], "rh": [rh.tobytes()]})
+                    "lo": [lo.tobytes()], "rh": [rh.tobytes()], "xs_off": [off.tobytes()],
+                    "xs_h": [xs_h.tobytes()], "xs_t": [xs_t]})
                 counter += 1
     return pack
 
@@ -197,6 +206,16 @@ def _score_block(row, spec: KernelSpec, dim: int):
             xt, texts = row["xt"], row["texts"]
             same = np.fromiter((xt[a] == texts[b] for a, b in zip(rr, cc)), dtype=bool, count=len(rr))
             pool[rr[same], cc[same]] = False
+    off = np.frombuffer(row["xs_off"], dtype=np.int64)
+    if off[-1] > 0:
+        th = np.frombuffer(row["th"], dtype=np.int64)
+        xs_h = np.frombuffer(row["xs_h"], dtype=np.int64)
+        xs_t, texts = row["xs_t"], row["texts"]
+        owner = np.repeat(np.arange(nl), np.diff(off))
+        for r, h, t in zip(owner, xs_h, xs_t):
+            for c in np.flatnonzero(th == h):
+                if texts[c] == t:
+                    pool[r, c] = False
     C = np.clip(S, CLAMP_LO, CLAMP_HI) if spec.clamp else S
     elig = pool.copy()
     if spec.above is not None:
@@ -317,7 +336,8 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
                       min_partitions: int | None = None,
                       stats: TargetStats | None = None) -> DataFrame:
     """Run the kernel. ``left`` has ``key long, vec array<double>`` and optional
-    ``xh long`` (excluded text hash), ``xt string`` (excluded text), ``lo double``
+    ``xh long`` (excluded text hash), ``xt string`` (excluded text), ``xs
+    array<string>`` (further excluded texts, J10), ``lo double``
     and ``rh long`` (row hash for random keys). ``targets`` has
     ``corpus_id long, text string, embedding array<double>``.
 
@@ -335,7 +355,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
         (F.col("xt") if "xt" in cols else F.lit(None)).cast("string").alias("xt"),
         (F.col("lo") if "lo" in cols else F.lit(None)).cast("double").alias("lo"),
         F.coalesce(F.col("rh").cast("long"), F.lit(0).cast("long")).alias("rh")
-        if "rh" in cols else F.lit(0).cast("long").alias("rh"))
+        if "rh" in cols else F.lit(0).cast("long").alias("rh"),
+        (F.col("xs") if "xs" in cols else F.lit(None)).cast("array<string>").alias("xs"),
+        (F.transform("xs", lambda t: F.xxhash64(t)) if "xs" in cols else F.lit(None))
+        .cast("array<long>").alias("xsh"))
     if stats.count == 0:
         if spec.mode == "edges":
             return spark.createDataFrame([], EDGE_SCHEMA)

@@ -97,24 +97,28 @@ def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int
     hashed positions per round and keeps the first accepted one: rejection
     sampling, so the draw is exactly uniform over the pool."""
     tt = targets.select(F.col("corpus_id").alias("target_id"), F.col("text").alias("t_text"))
-    pending = rows.select("row_id", "xt", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
+    if "xs" not in rows.columns:
+        rows = rows.withColumn("xs", F.lit(None).cast("array<string>"))
+    pending = rows.select("row_id", "xt", "xs", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
     done = None
     for rnd in range(max_rounds):
-        tries = pending.select("row_id", "xt", "slot", F.explode(F.sequence(
+        tries = pending.select("row_id", "xt", "xs", "slot", F.explode(F.sequence(
             F.lit(rnd * attempts), F.lit(rnd * attempts + attempts - 1))).alias("attempt"))
         u = hr.uniform_col(F.lit(seed), F.lit(epoch), F.lit(stream), F.col("row_id"),
                            F.col("slot"), F.col("attempt"))
         tries = tries.withColumn("target_id", F.floor(u * F.lit(float(id_range))).cast("long"))
         hit = tries.join(tt, "target_id", "left")
-        accepted = hit.t_text.isNotNull() & (hit.xt.isNull() | (hit.t_text != hit.xt))
+        accepted = hit.t_text.isNotNull() & (hit.xt.isNull() | (hit.t_text != hit.xt)) & \
+            ~F.coalesce(F.array_contains(hit.xs, hit.t_text), F.lit(False))
         # per slot: the first accepted attempt, or NULL when every attempt was rejected
-        slots = hit.groupBy("row_id", "xt", "slot").agg(F.min(F.when(
-            accepted, F.struct("attempt", "target_id", "t_text"))).alias("d"))
+        slots = hit.groupBy("row_id", "slot").agg(
+            F.first("xt").alias("xt"), F.first("xs").alias("xs"),
+            F.min(F.when(accepted, F.struct("attempt", "target_id", "t_text"))).alias("d"))
         slots = materialize(slots)
         got = slots.filter(F.col("d").isNotNull()).select(
             "row_id", "slot", F.col("d.target_id").alias("target_id"), F.col("d.t_text").alias("text"))
         done = got if done is None else done.unionByName(got)
-        pending = slots.filter(F.col("d").isNull()).select("row_id", "xt", "slot")
+        pending = slots.filter(F.col("d").isNull()).select("row_id", "xt", "xs", "slot")
         if pending.isEmpty():
             return done
     raise RuntimeError("fill draws did not resolve; is the pool empty?")
@@ -123,8 +127,13 @@ def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int
 def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
                    anchor: str = "query", method: str = TOPK, positive_threshold: float = 0.5,
                    beta: float = 1.0, num_negatives: int = 1, seed: int = 0, epoch: int = 0,
-                   fill: str = "faithful", fill_attempts: int = 8, **kernel_opts) -> MiningResult:
-    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``)."""
+                   fill: str = "faithful", fill_attempts: int = 8,
+                   known_positives: DataFrame | None = None, **kernel_opts) -> MiningResult:
+    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``).
+
+    J10 (option, off by default): ``known_positives`` (``text1, text2``, e.g.
+    all gold pairs) removes from the pool, besides the row's own text, every
+    target known to be positive for the row's anchor text."""
     if fill not in ("faithful", "exact"):
         raise ValueError("fill must be 'faithful' or 'exact'")
     query_vectors = materialize_dictionary(query_vectors)
@@ -142,6 +151,10 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         o_lk = vector_lookup(other).select(F.col("text").alias(x_col), F.col("embedding").alias("_ov"))
         rows = rows.join(o_lk, x_col, "left").withColumn("lo", cosine(F.col("vec"), F.col("_ov"))) \
                    .drop("_ov")
+    if known_positives is not None:
+        kp = known_positives.select("text1", "text2").distinct()
+        excl = kp.groupBy(a_col).agg(F.collect_set(x_col).alias("xs"))
+        rows = rows.join(excl, a_col, "left")
     rows = materialize(rows)
     missing = rows.filter(F.col("vec").isNull()).select(
         "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
@@ -160,6 +173,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         F.col("row_id").alias("key"), "vec", F.xxhash64(x_col).alias("xh"),
         F.col(x_col).alias("xt"),
         (F.col("lo") if method in ABOVE_TRUE else F.lit(None).cast("double")).alias("lo"),
+        (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
         hr.chain_col(F.lit(seed), F.lit(epoch), F.lit(code + hr.STREAM_PICK), F.col("row_id")).alias("rh"))
     res = similarity_kernel(left, targets, spec, stats=t_stats, **kernel_opts)
     res = res.select(F.col("key").alias("row_id"), "n_eligible", "n_pool", "ids", "texts", "raw", "val")
@@ -187,8 +201,9 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
 
     negatives = direct
     if method in FILLED:
-        need = fill_rows.join(rows.select("row_id", F.col(x_col).alias("xt")), "row_id") \
-                        .select("row_id", "xt", "f")
+        xs = F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")
+        need = fill_rows.join(rows.select("row_id", F.col(x_col).alias("xt"), xs.alias("xs")), "row_id") \
+                        .select("row_id", "xt", "xs", "f")
         draws = draw_from_pool(need, targets, t_stats.max_id + 1, seed, epoch,
                                code + hr.STREAM_FILL, fill_attempts)
         tv = targets.select(F.col("corpus_id").alias("target_id"), F.col("embedding").alias("_tv"))

@@ -120,7 +120,7 @@ tb_res AS (SELECT al.ai, al.alpha,
 # ------------------------------------------------------------------ mining
 def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
                 epoch: int, attempts: int = 8, fill: str = "faithful", prefix: str = "",
-                pairs: str = "v1_training") -> str:
+                pairs: str = "v1_training", known: str | None = None) -> str:
     """CTEs ending in ``{prefix}mres(row_id, slot, target_id, text, score, raw, is_fill)``."""
     from ..operators import mining as mn
     if anchor == "query":
@@ -155,13 +155,18 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
         order = "score DESC, is_fill ASC, CASE WHEN is_fill THEN NULL ELSE raw END DESC NULLS LAST, pos ASC, target_id ASC"
     else:
         order = "val DESC, target_id ASC"
+    if known:
+        kp_mp = f" AND c.text NOT IN (SELECT k.{x_col} FROM {known} k WHERE k.{a_col} = r.{a_col})"
+        kp_ok = f" AND c.text NOT IN (SELECT k.{x_col} FROM {known} k WHERE k.{a_col} = m.at)"
+    else:
+        kp_mp = kp_ok = ""
     val_e = val.replace("r.row_id", f"{prefix}mp2.row_id").replace("c.corpus_id", f"{prefix}mp2.target_id")
     body = f"""
 {prefix}mr AS (SELECT t.row_id, t.text1, t.text2, a.embedding AS vec, {cos_sql('a.embedding', 'o.embedding')} AS lo
        FROM {pairs} t JOIN {a_dict} a ON a.text = t.{a_col} JOIN {o_dict} o ON o.text = t.{x_col}),
 {prefix}mp AS (SELECT r.row_id, c.corpus_id AS target_id, c.text, r.lo, {cos_sql('r.vec', 'c.embedding')} AS raw0,
               r.{x_col} AS xt
-       FROM {prefix}mr r CROSS JOIN {t_dict} c WHERE c.text <> r.{x_col}),
+       FROM {prefix}mr r CROSS JOIN {t_dict} c WHERE c.text <> r.{x_col}{kp_mp}),
 {prefix}mp2 AS (SELECT {prefix}mp.*, {clamp_sql('raw0')} AS score FROM {prefix}mp),
 {prefix}me0 AS (SELECT {prefix}mp2.row_id, {prefix}mp2.target_id, {prefix}mp2.text, {prefix}mp2.raw0 AS raw, {prefix}mp2.score,
                {val_e} AS val
@@ -172,11 +177,12 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
 {prefix}mneed AS (SELECT {prefix}ml.row_id, {fill_n} AS f, r.{x_col} AS xt, r.vec FROM {prefix}ml JOIN {prefix}mr r ON r.row_id = {prefix}ml.row_id
           WHERE {('TRUE' if filled else 'FALSE')} AND {fill_cond}),
 {prefix}mslot AS (SELECT row_id, xt, vec, unnest(range(1, f + 1)) AS slot FROM {prefix}mneed),
-{prefix}mtry AS (SELECT row_id, xt, vec, slot, unnest(range(0, {attempts})) AS attempt FROM {prefix}mslot),
+{prefix}mtry AS (SELECT s.row_id, s.xt, s.vec, s.slot, unnest(range(0, {attempts})) AS attempt, r.{a_col} AS at
+          FROM {prefix}mslot s JOIN {prefix}mr r ON r.row_id = s.row_id),
 {prefix}mtry2 AS (SELECT *, CAST(floor({u_pos} * (SELECT CAST(max(corpus_id) + 1 AS DOUBLE) FROM {t_dict})) AS BIGINT) AS target_id
           FROM {prefix}mtry),
 {prefix}mok AS (SELECT m.row_id, m.slot, m.attempt, m.vec, c.corpus_id AS target_id, c.text, c.embedding
-        FROM {prefix}mtry2 m JOIN {t_dict} c ON c.corpus_id = m.target_id WHERE c.text <> m.xt),
+        FROM {prefix}mtry2 m JOIN {t_dict} c ON c.corpus_id = m.target_id WHERE c.text <> m.xt{kp_ok}),
 {prefix}mdraw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, slot ORDER BY attempt) AS rn FROM {prefix}mok) WHERE rn = 1),
 {prefix}mfill AS (SELECT d.row_id, d.target_id, d.text, {cos_sql('d.vec', 'd.embedding')} AS raw, d.slot AS pos, TRUE AS is_fill, d.slot
           FROM {prefix}mdraw d),

@@ -586,6 +586,29 @@ SELECT d.doc_id, CAST(COALESCE(t.n, 0) AS BIGINT) AS n_tokens,
 FROM documents d LEFT JOIN tot t ON t.doc_id = d.doc_id"""
 
 
+# ------------------------------------------------------------------ J10
+def _known(anchor, method):
+    def run(spark, sf):
+        fx = vector_fixture(spark, sf)
+        pairs = testing_pairs(fx.testing)
+        known = fx.testing.select(F.col("query").alias("text1"), F.explode("labels").alias("text2"))
+        r = mn.mine_negatives(pairs, fx.queries, fx.candidates, anchor=anchor, method=method,
+                              positive_threshold=MINE["pt"], beta=MINE["beta"], num_negatives=MINE["n"],
+                              seed=MINE["seed"], epoch=MINE["epoch"], known_positives=known)
+        return r.negatives.select("row_id", "slot", "target_id", "text", _r("score").alias("score"),
+                                  _r("raw").alias("raw"), "is_fill")
+    return run
+
+
+def _known_sql(anchor, method) -> str:
+    tp = "tp AS (SELECT query_id AS row_id, query AS text1, labels[1] AS text2, 1.0::DOUBLE AS label FROM v1_testing)"
+    kn = "kn AS (SELECT DISTINCT query AS text1, unnest(labels) AS text2 FROM v1_testing)"
+    ctes = osql.mining_ctes(anchor, method, MINE["n"], MINE["pt"], MINE["beta"], MINE["seed"], MINE["epoch"],
+                            pairs="tp", known="kn")
+    return osql.with_v1(tp + ",\n" + kn + "," + ctes + """
+SELECT row_id, slot, target_id, text, round(score, 6) AS score, round(raw, 6) AS raw, is_fill FROM mres""")
+
+
 # ------------------------------------------------------------------ streaming
 def _fresh_dir(spark, name):
     import uuid
@@ -680,6 +703,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_text_topk": q_p1_text_topk,
         "p2_mean_pool": q_p2_mean_pool,
         "t1_stream_search": q_t1_stream_search,
+        "j10_known_positive_topk_query": _known("query", mn.TOPK),
+        "j10_known_positive_efn_candidate": _known("candidate", mn.TOPK_EFN),
         "t2_rolling_quality": q_t2_rolling_quality,
     }
     for name, (anchor, method, kw) in MINING.items():
@@ -764,6 +789,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_text_topk": _p1_topk_sql(),
         "p2_mean_pool": _p2_sql(),
         "t1_stream_search": _t1_sql(),
+        "j10_known_positive_topk_query": _known_sql("query", mn.TOPK),
+        "j10_known_positive_efn_candidate": _known_sql("candidate", mn.TOPK_EFN),
     }
     s["t2_rolling_quality"] = s["a3_micro_prf"]
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
