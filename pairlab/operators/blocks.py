@@ -12,9 +12,13 @@ Layout
   packed target matrix is below ``broadcast_limit`` the target blocks are
   broadcast: the left side never moves and a left block meets all target
   blocks inside one task, so the per-row result is final there. Above the
-  limit both sides are shuffled on the block id, every (left block, target
-  block) task emits a partial top-n, and a window (planned as a partial +
-  final ``WindowGroupLimit``) merges partials per row.
+  limit the pairs are laid on a G x H grid: left blocks go to one of G
+  groups and are copied to H target groups, target blocks go to one of H
+  groups and are copied to G left groups, and the equi-join on (left group,
+  target group) yields G*H bounded tasks. G and H minimise the copied
+  volume N*H + M*G. With H = 1 the per-row result is again final in-task;
+  otherwise each task emits a partial top-n and a window (planned as a
+  partial + final ``WindowGroupLimit``) merges the partials per row.
 * Inside a task the scores of a block pair are one float64 matrix product of
   unit vectors; only the selected entries (top-n by a key, or edges above a
   threshold) leave the task. The full N x M score set is never materialised
@@ -334,7 +338,8 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
                       target_block: int = DEFAULT_TARGET_BLOCK,
                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
                       min_partitions: int | None = None,
-                      stats: TargetStats | None = None) -> DataFrame:
+                      stats: TargetStats | None = None,
+                      grid_tasks: int | None = None) -> DataFrame:
     """Run the kernel. ``left`` has ``key long, vec array<double>`` and optional
     ``xh long`` (excluded text hash), ``xt string`` (excluded text), ``xs
     array<string>`` (further excluded texts, J10), ``lo double``
@@ -376,21 +381,55 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     tblocks = pack_targets(targets, dim, target_block).select(
         "cb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"))
     lblocks = lf.mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
-    if n_blocks == 1:
-        lblocks = lblocks.withColumn("cb", F.lit(0).cast("long"))
-    else:
-        lblocks = lblocks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                F.lit(n_blocks - 1).cast("long"))))
+    if stats.packed_bytes() <= broadcast_limit:
+        if n_blocks == 1:
+            lblocks = lblocks.withColumn("cb", F.lit(0).cast("long"))
+        else:
+            lblocks = lblocks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                    F.lit(n_blocks - 1).cast("long"))))
     local = stats.packed_bytes() <= broadcast_limit
-    paired = lblocks.join(F.broadcast(tblocks) if local else tblocks, "cb")
+    if local:
+        paired = lblocks.join(F.broadcast(tblocks), "cb")
+        final = True
+    else:
+        paired, final = _grid_pairs(lf, lblocks, tblocks, stats, left_block, target_block, grid_tasks)
     if spec.mode == "edges":
         return paired.mapInPandas(_kernel_fn(spec, dim, True), EDGE_SCHEMA)
-    out = paired.mapInPandas(_kernel_fn(spec, dim, local), TOP_SCHEMA)
-    if local:
+    out = paired.mapInPandas(_kernel_fn(spec, dim, final), TOP_SCHEMA)
+    if final:
         return out
     return merge_partials(out, spec.n)
 
 
+def grid_shape(n_left: int, n_targets: int, left_block: int, target_block: int,
+               tasks: int) -> tuple[int, int]:
+    """(G, H) for the shuffle path: G left groups x H target groups, G*H ~ tasks.
+
+    The left side is copied H times and the targets G times; with N left
+    rows and M targets the copied volume N*H + M*G is smallest at
+    H = sqrt(tasks * M / N)."""
+    lb = max(1, -(-n_left // left_block))
+    tb = max(1, -(-n_targets // target_block))
+    h = int(round(math.sqrt(tasks * max(n_targets, 1) / max(n_left, 1))))
+    h = max(1, min(h, tb, tasks))
+    g = max(1, min(-(-tasks // h), lb))
+    return g, h
+
+
+def _grid_pairs(lf, lblocks, tblocks, stats, left_block, target_block, grid_tasks):
+    spark = lf.sparkSession
+    tasks = grid_tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
+    n_left = lf.count()
+    g, h = grid_shape(n_left, stats.count, left_block, target_block, tasks)
+    lg = lblocks.withColumn("lg", F.pmod(F.xxhash64("lb"), F.lit(g))) \
+                .withColumn("tg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h - 1).cast("long"))))
+    tg = tblocks.withColumn("tg", F.pmod(F.col("cb"), F.lit(h))) \
+                .withColumn("lg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))))
+    # one target group per left block when h == 1: per-row results are final in-task
+    return lg.drop("cb").join(tg, ["lg", "tg"]), h == 1
+
+
 def merge_partials(parts: DataFrame, n: int) -> DataFrame:
     """Combine per-target-block partial results of the same left row."""
     counts = parts.groupBy("key").agg(F.sum("n_eligible").alias("n_eligible"),

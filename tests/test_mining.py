@@ -35,6 +35,7 @@ def test_kernel_paths_and_blocks_agree_with_numpy(fx, np_data):
         order = sorted(range(S.shape[1]), key=lambda j: (-S[i, j], j))[:5]
         expect[int(qs.corpus_id[i])] = [int(cand.corpus_id[j]) for j in order if S[i, j] > 0]
     for opts in [dict(), dict(broadcast_limit=0, target_block=16, left_block=37),
+                 dict(broadcast_limit=0, target_block=16, left_block=37, grid_tasks=64),
                  dict(target_block=7, left_block=5)]:
         res = similarity_kernel(left, fx.candidates, KernelSpec(mode="rank", n=5, above=0.0), **opts)
         got = {r.key: list(r.ids) for r in res.collect()}
@@ -96,3 +97,11 @@ def test_weighted_inclusion_rate_tracks_weight(spark):
 def test_unknown_anchor_raises(fx):
     with pytest.raises(ValueError):
         mn.mine_negatives(fx.training, fx.queries, fx.candidates, anchor="both")
+
+
+def test_grid_shape_balances_copies():
+    from pairlab.operators.blocks import grid_shape
+    g, h = grid_shape(10**9, 10**6, 1024, 2048, 10000)
+    assert (g, h) == (3334, 3)
+    assert grid_shape(400, 100, 37, 16, 8) == (8, 1)
+    assert grid_shape(10, 10**6, 1024, 2048, 64) == (1, 64)
