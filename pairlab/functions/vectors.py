@@ -7,6 +7,8 @@ The all-pairs work goes through the block kernel in ``operators.blocks``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,33 @@ def weighted_sum(terms) -> Column:
 
 def _add_scaled(w: Column):
     return lambda s, z: s + w * z
+
+
+def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.full(len(a), np.nan)
+    ok = np.fromiter(((x is not None and y is not None and len(x) > 0 and len(x) == len(y))
+                      for x, y in zip(a, b)), dtype=bool, count=len(a))
+    if ok.any():
+        A = np.vstack(a[ok].to_numpy()).astype(np.float64)
+        B = np.vstack(b[ok].to_numpy()).astype(np.float64)
+        na = np.sqrt((A * A).sum(axis=1))
+        nb = np.sqrt((B * B).sum(axis=1))
+        dot = (A * B).sum(axis=1)
+        den = na * nb
+        out[ok] = np.where(den > 0, dot / np.where(den > 0, den, 1.0), 0.0)
+    res = pd.Series(out)
+    res[~ok] = None
+    return res
+
+
+def cosine_rows(a: Column, b: Column) -> Column:
+    """C1 for many aligned pairs: an Arrow-batched pandas UDF (numpy row-wise
+    dot) -- far cheaper per row than interpreted higher-order functions.
+    NULL when a vector is missing, 0.0 when a norm is zero."""
+    global _COS_UDF
+    if _COS_UDF is None:
+        _COS_UDF = F.pandas_udf(_cosine_batch, "double")
+    return _COS_UDF(a, b)
+
+
+_COS_UDF = None

@@ -339,7 +339,8 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
                       min_partitions: int | None = None,
                       stats: TargetStats | None = None,
-                      grid_tasks: int | None = None) -> DataFrame:
+                      grid_tasks: int | None = None,
+                      left_spread: bool = False) -> DataFrame:
     """Run the kernel. ``left`` has ``key long, vec array<double>`` and optional
     ``xh long`` (excluded text hash), ``xt string`` (excluded text), ``xs
     array<string>`` (further excluded texts, J10), ``lo double``
@@ -347,7 +348,9 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     ``corpus_id long, text string, embedding array<double>``.
 
     Returns TOP_SCHEMA rows (one per left row) or, for ``mode='edges'``,
-    EDGE_SCHEMA rows (one per eligible pair)."""
+    EDGE_SCHEMA rows (one per eligible pair). ``left_spread=True`` tells the
+    kernel that ``left`` already has enough evenly filled partitions (e.g. a
+    materialized frame), which skips the balancing shuffle."""
     spark = left.sparkSession
     stats = stats or target_stats(targets)
     cols = set(left.columns)
@@ -374,8 +377,13 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
                          F.array().cast("array<double>").alias("raw"),
                          F.array().cast("array<double>").alias("val"))
     dim = stats.dim
-    parts = min_partitions or spark.sparkContext.defaultParallelism
-    if lf.rdd.getNumPartitions() < parts:
+    # Spread the anchors evenly before the compute-heavy kernel. An explicit
+    # partition count is kept by AQE (a small upstream shuffle would otherwise
+    # be coalesced into one task); at scale this is one shuffle of the left
+    # side, small next to the N x M product it balances.
+    parts = min_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  spark.sparkContext.defaultParallelism)
+    if not left_spread:
         lf = lf.repartition(parts, "key")
     n_blocks = stats.max_id // target_block + 1
     tblocks = pack_targets(targets, dim, target_block).select(

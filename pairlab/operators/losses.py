@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine_rows
 from .similarity import vector_lookup
 
 ROW_LOSS_SCHEMA = "batch_id long, pos int, forward double, backward double"
@@ -118,7 +118,7 @@ def contrastive_loss(pairs_inst: DataFrame, query_vectors: DataFrame, candidate_
                      margin: float) -> DataFrame:
     """Mean of 0.5 * (y d^2 + (1-y) max(0, margin - d)^2), d = 1 - cos."""
     v = _pair_vectors(pairs_inst, query_vectors, candidate_vectors, 2)
-    d = F.lit(1.0) - cosine(F.col("v0"), F.col("v1"))
+    d = F.lit(1.0) - cosine_rows(F.col("v0"), F.col("v1"))
     y = F.col("label").cast("double")
     row = F.lit(0.5) * (y * d * d + (F.lit(1.0) - y) * F.pow(F.greatest(F.lit(0.0), F.lit(float(margin)) - d), 2))
     return v.agg(F.count(F.lit(1)).alias("n"), F.avg(row).alias("loss"))
@@ -127,7 +127,7 @@ def contrastive_loss(pairs_inst: DataFrame, query_vectors: DataFrame, candidate_
 def cosine_mse_loss(pairs_inst: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame:
     """Mean of (cos - label)^2."""
     v = _pair_vectors(pairs_inst, query_vectors, candidate_vectors, 2)
-    err = cosine(F.col("v0"), F.col("v1")) - F.col("label").cast("double")
+    err = cosine_rows(F.col("v0"), F.col("v1")) - F.col("label").cast("double")
     return v.agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("loss"))
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
-from ..functions.vectors import clamp, cosine
+from ..functions.vectors import clamp, cosine_rows
 from ..session import materialize
 from .blocks import KernelSpec, similarity_kernel, target_stats
 from .similarity import vector_lookup
@@ -149,7 +149,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
     if method in ABOVE_TRUE:
         other = query_vectors if x_col == "text1" else candidate_vectors
         o_lk = vector_lookup(other).select(F.col("text").alias(x_col), F.col("embedding").alias("_ov"))
-        rows = rows.join(o_lk, x_col, "left").withColumn("lo", cosine(F.col("vec"), F.col("_ov"))) \
+        rows = rows.join(o_lk, x_col, "left").withColumn("lo", cosine_rows(F.col("vec"), F.col("_ov"))) \
                    .drop("_ov")
     if known_positives is not None:
         kp = known_positives.select("text1", "text2").distinct()
@@ -175,7 +175,10 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         (F.col("lo") if method in ABOVE_TRUE else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
         hr.chain_col(F.lit(seed), F.lit(epoch), F.lit(code + hr.STREAM_PICK), F.col("row_id")).alias("rh"))
-    res = similarity_kernel(left, targets, spec, stats=t_stats, **kernel_opts)
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = rows.rdd.getNumPartitions() >= parts      # cheap: ``rows`` is materialized
+    res = similarity_kernel(left, targets, spec, stats=t_stats, left_spread=spread, **kernel_opts)
     res = res.select(F.col("key").alias("row_id"), "n_eligible", "n_pool", "ids", "texts", "raw", "val")
 
     if method in FILLED:
@@ -208,7 +211,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
                                code + hr.STREAM_FILL, fill_attempts)
         tv = targets.select(F.col("corpus_id").alias("target_id"), F.col("embedding").alias("_tv"))
         scored = (draws.join(tv, "target_id").join(rows.select("row_id", "vec"), "row_id")
-                  .withColumn("raw", cosine(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
+                  .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
         if mode == "weighted":
             u = hr.uniform_col(F.lit(seed), F.lit(epoch), F.lit(code + hr.STREAM_FILL_KEY),
                                F.col("row_id"), F.col("slot"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine_rows
 from .blocks import KernelSpec, similarity_kernel
 
 
@@ -68,7 +68,7 @@ def pair_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: DataFr
     lv = left_vectors.select(F.col("text").alias(left_text), F.col("embedding").alias("_lv"))
     rv = right_vectors.select(F.col("text").alias(right_text), F.col("embedding").alias("_rv"))
     return (pairs.join(lv, left_text, "left").join(rv, right_text, "left")
-            .withColumn(out, cosine(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv"))
+            .withColumn(out, cosine_rows(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv"))
 
 
 def first_row_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: DataFrame,
@@ -86,7 +86,7 @@ def first_row_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: D
     rv = right_vectors.select(F.col("text").alias(right_text), F.col("embedding").alias("_rv"))
     return (pairs.withColumn("_one", F.lit(1)).join(F.broadcast(anchor), "_one", "left")
             .join(rv, right_text, "left")
-            .withColumn(out, cosine(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv", "_one"))
+            .withColumn(out, cosine_rows(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv", "_one"))
 
 
 def round_score(c: Column | str, digits: int = 6) -> Column:
