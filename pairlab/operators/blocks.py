@@ -334,8 +334,8 @@ def pack_targets(targets: DataFrame, dim: int, block: int) -> DataFrame:
 
 
 def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
-                      left_block: int = DEFAULT_LEFT_BLOCK,
-                      target_block: int = DEFAULT_TARGET_BLOCK,
+                      left_block: int | None = None,
+                      target_block: int | None = None,
                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
                       min_partitions: int | None = None,
                       stats: TargetStats | None = None,
@@ -377,6 +377,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
                          F.array().cast("array<double>").alias("raw"),
                          F.array().cast("array<double>").alias("val"))
     dim = stats.dim
+    _bound_arrow_batches(spark)
+    # block rows shrink with the dimension so a packed block stays ~8-16 MB
+    left_block = left_block or max(64, min(DEFAULT_LEFT_BLOCK, (8 << 20) // (8 * max(dim, 1))))
+    target_block = target_block or max(128, min(DEFAULT_TARGET_BLOCK, (16 << 20) // (8 * max(dim, 1))))
     # Spread the anchors evenly before the compute-heavy kernel. An explicit
     # partition count is kept by AQE (a small upstream shuffle would otherwise
     # be coalesced into one task); at scale this is one shuffle of the left
@@ -438,6 +442,33 @@ def _grid_pairs(lf, lblocks, tblocks, stats, left_block, target_block, grid_task
     return lg.drop("cb").join(tg, ["lg", "tg"]), h == 1
 
 
+ARROW_BATCH_BYTES = 64 * 1024 * 1024
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def _bytes(value) -> int | None:
+    """Parse a Spark byte-size setting ("67108864b", "64m", "1g", "1024")."""
+    if value is None:
+        return None
+    v = str(value).strip().lower()
+    num = v.rstrip("kmgb")
+    unit = v[len(num):] or "b"
+    try:
+        return int(float(num) * _UNITS[unit])
+    except (ValueError, KeyError):
+        return None
+
+
+def _bound_arrow_batches(spark) -> None:
+    """Joined kernel rows carry two packed blocks (~1 MB each); a session that
+    leaves Arrow batches unbounded in bytes could build multi-GB batches.
+    Bound them where the session has not chosen a bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    cur = _bytes(spark.conf.get(key, None))
+    if cur is None or cur > 4 * ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def merge_partials(parts: DataFrame, n: int) -> DataFrame:
     """Combine per-target-block partial results of the same left row."""
     counts = parts.groupBy("key").agg(F.sum("n_eligible").alias("n_eligible"),
