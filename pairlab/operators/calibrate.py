@@ -15,6 +15,7 @@ data-sized work is one partial aggregation.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,8 @@ BETA_STEP = 0.015
 ALPHA_BASE = 0.8
 ALPHA_STEP = 0.015
 LADDER_CEILING = 1.0 + 1e-9      # cosines cannot exceed this by rounding
+EVAL_FRACTION = 0.25
+WARMUP_FRACTION = 0.1
 
 
 def beta_ladder(start: float = BETA_START, step: float = BETA_STEP,
@@ -123,3 +126,10 @@ class EpochConfig:
     @classmethod
     def for_epoch(cls, epoch: int, **kw) -> "EpochConfig":
         return cls(epoch=epoch, **kw)
+
+    @staticmethod
+    def batch_plan(n_batches: int) -> dict:
+        """Trainer metadata -- evaluate every ceil(25 %) of the batches,
+        warm up over ceil(10 %) of them."""
+        return {"evaluation_steps": math.ceil(n_batches * EVAL_FRACTION),
+                "warmup_steps": math.ceil(n_batches * WARMUP_FRACTION)}

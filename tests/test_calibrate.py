@@ -38,3 +38,7 @@ def test_epoch_schedule():
     assert EpochConfig.for_epoch(0).positive_threshold == 0.0
     assert EpochConfig.for_epoch(3).positive_threshold == 0.5
     assert EpochConfig.for_epoch(0).effective_beta(0.86) == 1.0
+
+
+def test_batch_plan():
+    assert EpochConfig.batch_plan(13) == {"evaluation_steps": 4, "warmup_steps": 2}
