@@ -73,6 +73,44 @@ def pair_unit_col(row_hash: Column, target_id: Column) -> Column:
     return unit_col(mix_col(row_hash.bitwiseXOR(mix_col(_pmod_col(target_id)))))
 
 
+# ----------------------------------------------------------------- Spark SQL text
+# Same arithmetic as the Column form, built as one expression string so that a
+# hash costs one ``F.expr`` call instead of dozens of Column round trips.
+def _sp_arg(x) -> str:
+    if isinstance(x, bool):
+        raise TypeError("hash keys are integers or column names")
+    if isinstance(x, int):
+        return f"{int(x)}L"
+    return f"`{x}`"
+
+
+def _sp_pmod(x: str) -> str:
+    return f"pmod(CAST({x} AS BIGINT), {P}L)"
+
+
+def _sp_mix(x: str) -> str:
+    for k, a in ROUNDS:
+        x = f"((({x}) ^ {k}L) * {a}L + 1L) % {P}L"
+    return x
+
+
+def chain_expr_sql(*xs) -> str:
+    h = _sp_mix(_sp_pmod(_sp_arg(xs[0])))
+    for x in xs[1:]:
+        h = _sp_mix(f"({h}) ^ {_sp_pmod(_sp_arg(x))}")
+    return h
+
+
+def chain_expr(*xs) -> Column:
+    """Hash of a key tuple; keys are int literals or column names."""
+    return F.expr(chain_expr_sql(*xs))
+
+
+def uniform_expr(*xs) -> Column:
+    """u in (0, 1) of a key tuple; keys are int literals or column names."""
+    return F.expr(f"((CAST({chain_expr_sql(*xs)} AS DOUBLE) + 0.5D) / {float(P)!r}D)")
+
+
 # ----------------------------------------------------------------- numpy
 def mix_np(x: np.ndarray) -> np.ndarray:
     for k, a in ROUNDS:

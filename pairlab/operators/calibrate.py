@@ -53,7 +53,8 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
     spark = scored.sparkSession
     alphas = [float(alpha)] if isinstance(alpha, (int, float)) else [float(a) for a in alpha]
     ladder = beta_ladder(start, step)
-    lad = F.array(*[F.lit(float(b)) for b in ladder])
+    # literal arrays as one SQL expression (one call; repr() round-trips doubles exactly)
+    lad = F.expr("array(" + ", ".join(f"{float(b)!r}D" for b in ladder) + ")")
     base = scored.select(F.col(sim).cast("double").alias("s"), F.col(label).cast("double").alias("y")) \
                  .filter(F.col("s").isNotNull() & ~F.isnan("s"))
     # bucket = index of the last ladder value <= s (-1: below the first). The
@@ -72,7 +73,7 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
     steps = spark.range(-1, len(ladder)).select(
         F.col("id").cast("int").alias("i"),
         F.when(F.col("id") >= 0, F.element_at(lad, (F.col("id") + 1).cast("int"))).alias("b"),
-        F.posexplode(F.array(*[F.lit(a) for a in alphas])).alias("ai", "alpha"))
+        F.posexplode(F.expr("array(" + ", ".join(f"{a!r}D" for a in alphas) + ")")).alias("ai", "alpha"))
     # kept_i = rows with bucket >= i: suffix sums over the <= len(ladder) steps
     w = Window.partitionBy("ai").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     scan = (steps.join(counts, "i", "left")

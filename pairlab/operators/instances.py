@@ -126,8 +126,7 @@ def assign_batches(instances: DataFrame, batch_size: int = 32, seed: int = 0, ep
 
     The order is global but computed without a single-partition window:
     range partitioning on (hash, id) plus per-partition offsets."""
-    keyed = instances.withColumn("_bk", hr.chain_col(F.lit(seed), F.lit(epoch),
-                                                     F.lit(hr.STREAM_BATCH), F.col(id_col)))
+    keyed = instances.withColumn("_bk", hr.chain_expr(seed, epoch, hr.STREAM_BATCH, id_col))
     idx = with_global_index(keyed, ["_bk", id_col], out="_idx")
     b = F.lit(int(batch_size)).cast("long")
     return idx.withColumn("batch_id", F.floor(F.col("_idx") / b).cast("long")) \

@@ -104,8 +104,7 @@ def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int
     for rnd in range(max_rounds):
         tries = pending.select("row_id", "xt", "xs", "slot", F.explode(F.sequence(
             F.lit(rnd * attempts), F.lit(rnd * attempts + attempts - 1))).alias("attempt"))
-        u = hr.uniform_col(F.lit(seed), F.lit(epoch), F.lit(stream), F.col("row_id"),
-                           F.col("slot"), F.col("attempt"))
+        u = hr.uniform_expr(seed, epoch, stream, "row_id", "slot", "attempt")
         tries = tries.withColumn("target_id", F.floor(u * F.lit(float(id_range))).cast("long"))
         hit = tries.join(tt, "target_id", "left")
         accepted = hit.t_text.isNotNull() & (hit.xt.isNull() | (hit.t_text != hit.xt)) & \
@@ -174,7 +173,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         F.col(x_col).alias("xt"),
         (F.col("lo") if method in ABOVE_TRUE else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
-        hr.chain_col(F.lit(seed), F.lit(epoch), F.lit(code + hr.STREAM_PICK), F.col("row_id")).alias("rh"))
+        hr.chain_expr(seed, epoch, code + hr.STREAM_PICK, "row_id").alias("rh"))
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     spread = rows.rdd.getNumPartitions() >= parts      # cheap: ``rows`` is materialized
@@ -213,8 +212,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         scored = (draws.join(tv, "target_id").join(rows.select("row_id", "vec"), "row_id")
                   .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
         if mode == "weighted":
-            u = hr.uniform_col(F.lit(seed), F.lit(epoch), F.lit(code + hr.STREAM_FILL_KEY),
-                               F.col("row_id"), F.col("slot"))
+            u = hr.uniform_expr(seed, epoch, code + hr.STREAM_FILL_KEY, "row_id", "slot")
             fval = F.log(u) / clamp(F.col("raw"))
         else:
             fval = F.lit(None).cast("double")

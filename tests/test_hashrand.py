@@ -28,3 +28,15 @@ def test_uniformity():
     hist = np.histogram(u, bins=50)[0]
     chi2 = ((hist - 4000) ** 2 / 4000).sum()
     assert chi2 < 100   # 49 dof
+
+
+def test_sql_expression_form_matches(spark):
+    n = 2000
+    df = (spark.range(0, n).withColumn("slot", F.col("id") % 7)
+          .withColumn("a", hr.chain_col(F.lit(3), F.lit(1), F.col("id"), F.col("slot")))
+          .withColumn("b", hr.chain_expr(3, 1, "id", "slot"))
+          .withColumn("ua", hr.uniform_col(F.lit(3), F.col("id")))
+          .withColumn("ub", hr.uniform_expr(3, "id")))
+    pdf = df.toPandas()
+    assert (pdf.a == pdf.b).all() and (pdf.ua == pdf.ub).all()
+    assert (pdf.b.values == hr.chain_np(3, 1, np.arange(n), np.arange(n) % 7)).all()
