@@ -21,7 +21,8 @@ from ..operators.similarity import (first_position, first_row_cosine, pair_cosin
                                     top_k_join, vector_lookup)
 from ..operators.encode import TRI_A, TRI_B, TRI_C, encode_distinct, mean_pool, token_table, trigram_encoder
 from ..sources.fixtures import text_fixture, vector_fixture
-from ..streaming.search import quality_stream, rolling_quality, run_to_completion, search_stream, stream_root
+from ..streaming.search import (quality_stream, rolling_quality, run_to_completion, search_stream, stream_root,
+                                windowed_quality, windowed_quality_stream)
 from . import oracle_sql as osql
 from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
@@ -647,6 +648,46 @@ def q_t2_rolling_quality(spark, sf):
                     _r("recall").alias("recall"), _r("f1").alias("f1"))
 
 
+def q_t2_windowed_quality(spark, sf):
+    fx = vector_fixture(spark, sf)
+    root = _fresh_dir(spark, "t2w")
+    ev = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("query_id"),
+                                                           F.col("ts").cast("timestamp").alias("ts"))
+    src = (fx.testing.join(vector_lookup(fx.queries).withColumnRenamed("text", "query"), "query")
+           .join(ev, "query_id").select("query_id", "labels", "embedding", "ts"))
+    src.repartition(4, "query_id").write.mode("overwrite").parquet(f"{root}/source")
+    q = quality_stream(spark, f"{root}/source",
+                       "query_id long, labels array<string>, embedding array<double>, ts timestamp",
+                       fx.candidates, f"{root}/counts", f"{root}/checkpoint1", key="query_id", k=5, ts_col="ts")
+    run_to_completion(q)
+    q2 = windowed_quality_stream(spark, f"{root}/counts",
+                                 "query_id long, tp long, n_pred long, n_gold long, ts timestamp",
+                                 f"{root}/windows", f"{root}/checkpoint2", window="1 day", watermark="2 days")
+    run_to_completion(q2)
+    w = windowed_quality(spark, f"{root}/windows")
+    return w.select(F.unix_timestamp("window_start").alias("window_start"), "tp", "n_pred", "n_gold",
+                    _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1"))
+
+
+def _t2w_sql() -> str:
+    return osql.with_v1(osql.topk_hits_cte().lstrip() + """,
+pred AS (SELECT DISTINCT query_id, text FROM v1_hits),
+gold AS (SELECT DISTINCT query_id, unnest(labels) AS text FROM v1_testing),
+j AS (SELECT COALESCE(p.query_id, g.query_id) AS query_id,
+             CASE WHEN p.text IS NOT NULL AND g.text IS NOT NULL THEN 1 ELSE 0 END AS tp,
+             CASE WHEN p.text IS NOT NULL THEN 1 ELSE 0 END AS np, CASE WHEN g.text IS NOT NULL THEN 1 ELSE 0 END AS ng
+      FROM pred p FULL OUTER JOIN gold g ON p.query_id = g.query_id AND p.text = g.text),
+pq AS (SELECT query_id, SUM(tp) AS tp, SUM(np) AS n_pred, SUM(ng) AS n_gold FROM j GROUP BY query_id),
+tq AS (SELECT pq.*, e.ts FROM pq JOIN v1_testing t ON t.query_id = pq.query_id JOIN events e ON e.event_id = pq.query_id),
+w AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, CAST(SUM(tp) AS BIGINT) AS tp,
+             CAST(SUM(n_pred) AS BIGINT) AS n_pred, CAST(SUM(n_gold) AS BIGINT) AS n_gold FROM tq GROUP BY 1)
+SELECT window_start, tp, n_pred, n_gold, round(CAST(tp AS DOUBLE) / NULLIF(n_pred, 0), 6) AS precision,
+       round(CAST(tp AS DOUBLE) / NULLIF(n_gold, 0), 6) AS recall,
+       round(2.0 * (CAST(tp AS DOUBLE) / NULLIF(n_pred, 0)) * (CAST(tp AS DOUBLE) / NULLIF(n_gold, 0))
+             / NULLIF(CAST(tp AS DOUBLE) / NULLIF(n_pred, 0) + CAST(tp AS DOUBLE) / NULLIF(n_gold, 0), 0), 6) AS f1
+FROM w""")
+
+
 def _t1_sql() -> str:
     return ("WITH msgs AS (SELECT conv_id * 100000 + turn AS msg_id, text FROM conversations WHERE role = 'user'),"
             + _tri_sql("msgs", "msg_id", "text", TEXT["dim"], "dv") + "," +
@@ -706,6 +747,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "j10_known_positive_topk_query": _known("query", mn.TOPK),
         "j10_known_positive_efn_candidate": _known("candidate", mn.TOPK_EFN),
         "t2_rolling_quality": q_t2_rolling_quality,
+        "t2_windowed_quality": q_t2_windowed_quality,
     }
     for name, (anchor, method, kw) in MINING.items():
         q[name] = _mine(anchor, method, **kw)[0]
@@ -793,6 +835,7 @@ def oracle_sql() -> dict[str, str]:
         "j10_known_positive_efn_candidate": _known_sql("candidate", mn.TOPK_EFN),
     }
     s["t2_rolling_quality"] = s["a3_micro_prf"]
+    s["t2_windowed_quality"] = _t2w_sql()
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""
     tb_out = """SELECT round(alpha, 6) AS alpha, beta, kept, positives, round(precision, 6) AS precision, reached

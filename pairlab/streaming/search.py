@@ -90,6 +90,42 @@ def rolling_quality(spark: SparkSession, sink_dir: str, window: str | None = Non
         "f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def windowed_quality_stream(spark: SparkSession, counts_dir: str, counts_schema, sink_dir: str,
+                            checkpoint_dir: str, *, window: str = "1 day", watermark: str = "1 day",
+                            ts_col: str = "ts", max_files_per_trigger: int = 1):
+    """T2, event-time form: a second stream reads the per-query count files
+    and sums them per tumbling ``window`` of event time with a watermark
+    (late rows beyond it are dropped and window state is released). Update
+    mode: each micro-batch writes the windows it changed to its own folder;
+    ``windowed_quality`` keeps each window's latest value."""
+    src = (spark.readStream.schema(counts_schema).option("maxFilesPerTrigger", max_files_per_trigger)
+           .parquet(counts_dir))
+    agg = (src.withWatermark(ts_col, watermark)
+           .groupBy(F.window(ts_col, window).alias("w"))
+           .agg(F.sum("tp").cast("long").alias("tp"), F.sum("n_pred").cast("long").alias("n_pred"),
+                F.sum("n_gold").cast("long").alias("n_gold")))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "tp", "n_pred", "n_gold", F.lit(int(batch_id)).alias("batch"))
+         .write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={int(batch_id)}")))
+
+    return (agg.writeStream.outputMode("update").foreachBatch(per_batch)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+
+
+def windowed_quality(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Latest value of every window plus its micro P/R/F1."""
+    rows = spark.read.parquet(sink_dir)
+    last = rows.groupBy("window_start", "window_end").agg(
+        F.max_by(F.struct("tp", "n_pred", "n_gold"), F.col("batch")).alias("v"))
+    out = last.select("window_start", "window_end", "v.tp", "v.n_pred", "v.n_gold")
+    prec = F.try_divide(F.col("tp").cast("double"), F.col("n_pred").cast("double"))
+    rec = F.try_divide(F.col("tp").cast("double"), F.col("n_gold").cast("double"))
+    return out.withColumn("precision", prec).withColumn("recall", rec).withColumn(
+        "f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def run_to_completion(query, timeout_s: int = 600) -> None:
     """Wait for an available-now stream; raise its error if it failed."""
     query.awaitTermination(timeout_s)
