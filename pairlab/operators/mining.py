@@ -72,6 +72,14 @@ class MiningResult:
     short: DataFrame       # row_id, reason, n_found
 
 
+def fill_draws(n_eligible, n: int, fill: str = "faithful"):
+    """number of random fills for a row with ``n_eligible`` entries:
+    faithful max(0, n + 1 - L) (draws while the list has <= n entries),
+    exact max(0, n - L)."""
+    extra = (F.lit(n + 1) if fill == "faithful" else F.lit(n)) - n_eligible
+    return F.when(extra > 0, extra).otherwise(F.lit(0)).cast("int")
+
+
 def materialize_dictionary(d: DataFrame) -> DataFrame:
     """A dictionary is read many times (stats, packing, lookups, fills): cut
     its lineage once."""
@@ -181,8 +189,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
     res = res.select(F.col("key").alias("row_id"), "n_eligible", "n_pool", "ids", "texts", "raw", "val")
 
     if method in FILLED:
-        extra = (F.lit(n + 1) if fill == "faithful" else F.lit(n)) - F.col("n_eligible")
-        res = res.withColumn("f", F.when(extra > 0, extra).otherwise(F.lit(0)).cast("int"))
+        res = res.withColumn("f", fill_draws(F.col("n_eligible"), n, fill))
     else:
         res = res.withColumn("f", F.lit(0))
     res = materialize(res)

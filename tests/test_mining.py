@@ -105,3 +105,12 @@ def test_grid_shape_balances_copies():
     assert (g, h) == (3334, 3)
     assert grid_shape(400, 100, 37, 16, 8) == (8, 1)
     assert grid_shape(10, 10**6, 1024, 2048, 64) == (1, 64)
+
+
+def test_fill_counts_golden(spark):
+    # FIXTURES F1, n = 3: L = 0 -> 4 draws, L = 2 -> 2, L = 3 -> 1, L = 4 -> 0
+    df = spark.createDataFrame([(0,), (2,), (3,), (4,)], "L long")
+    got = [r[0] for r in df.select(mn.fill_draws(F.col("L"), 3)).collect()]
+    assert got == [4, 2, 1, 0]
+    exact = [r[0] for r in df.select(mn.fill_draws(F.col("L"), 3, "exact")).collect()]
+    assert exact == [3, 1, 0, 0]
