@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
 from ..session import materialize
 from .mining import (MULTI_EFN, TOPK, easy_negatives, materialize_dictionary, mine_negatives,
                      negatives_as_arrays)
-from .ordering import with_global_index
 
 KINDS = ("bidirectional", "one_way", "contrastive", "sentence", "triplet", "validation")
 
@@ -120,14 +119,27 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
 
 
 def assign_batches(instances: DataFrame, batch_size: int = 32, seed: int = 0, epoch: int = 0,
-                   id_col: str = "instance_id") -> DataFrame:
+                   id_col: str = "instance_id", buckets: int | None = None) -> DataFrame:
     """Shuffle by a keyed hash and cut consecutive groups of ``batch_size``
     (the last batch may be short). Adds ``batch_id long, pos int``.
 
-    The order is global but computed without a single-partition window:
-    range partitioning on (hash, id) plus per-partition offsets."""
-    keyed = instances.withColumn("_bk", hr.chain_expr(seed, epoch, hr.STREAM_BATCH, id_col))
-    idx = with_global_index(keyed, ["_bk", id_col], out="_idx")
+    The order (hash, id) is global but never sorted in one task: the hash is
+    uniform on [0, P), so ``floor(hash * B / P)`` splits it into B ordered,
+    evenly filled buckets without sampling. Rows are numbered inside their
+    bucket by a window, and per-bucket counts (B rows) give the offsets."""
+    spark = instances.sparkSession
+    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                        spark.sparkContext.defaultParallelism)
+    keyed = (instances.withColumn("_bk", hr.chain_expr(seed, epoch, hr.STREAM_BATCH, id_col))
+             .withColumn("_b", F.floor(F.col("_bk") * F.lit(float(nb)) / F.lit(float(hr.P))).cast("int")))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy("_bk", id_col)) - 1
+    numbered = keyed.withColumn("_local", local)
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select("_b", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    idx = F.col("_off") + F.col("_local")
     b = F.lit(int(batch_size)).cast("long")
-    return idx.withColumn("batch_id", F.floor(F.col("_idx") / b).cast("long")) \
-              .withColumn("pos", (F.col("_idx") % b).cast("int")).drop("_bk", "_idx")
+    return (numbered.join(F.broadcast(offsets), "_b")
+            .withColumn("batch_id", F.floor(idx / b).cast("long"))
+            .withColumn("pos", (idx % b).cast("int"))
+            .drop("_bk", "_b", "_local", "_off"))
