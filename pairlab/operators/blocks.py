@@ -394,11 +394,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
         "cb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"))
     lblocks = lf.mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
     if stats.packed_bytes() <= broadcast_limit:
-        if n_blocks == 1:
-            lblocks = lblocks.withColumn("cb", F.lit(0).cast("long"))
-        else:
-            lblocks = lblocks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                    F.lit(n_blocks - 1).cast("long"))))
+        # always a generated block id: a literal id would be constant-folded and
+        # turn the equi-join into a nested-loop (cross) join
+        lblocks = lblocks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                F.lit(n_blocks - 1).cast("long"))))
     local = stats.packed_bytes() <= broadcast_limit
     if local:
         paired = lblocks.join(F.broadcast(tblocks), "cb")

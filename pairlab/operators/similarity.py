@@ -76,17 +76,15 @@ def first_row_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: D
                      right_text: str = "text2", out: str = "score") -> DataFrame:
     """J5 (compat): cos(text1 of the first row, text2 of every row).
 
-    The first row is found with a ``min`` aggregate; its single vector joins
-    every row as a one-row broadcast on a constant key."""
-    first_id = pairs.agg(F.min(order_col).alias("_first"))
-    anchor = (pairs.join(first_id, F.col(order_col) == F.col("_first"))
-              .select(F.col(left_text).alias("_ft")))
-    lv = left_vectors.select(F.col("text").alias("_ft"), F.col("embedding").alias("_lv"))
-    anchor = anchor.join(lv, "_ft").select(F.lit(1).alias("_one"), "_lv")
+    The first row's vector is a scalar subquery (one value, computed once and
+    shipped with the plan), so no row is joined to a constant key."""
+    first_id = pairs.agg(F.min(order_col)).scalar()
+    lv = left_vectors.select(F.col("text").alias(left_text), F.col("embedding").alias("_lv"))
+    first_vec = (pairs.filter(F.col(order_col) == first_id).select(left_text)
+                 .join(lv, left_text).select("_lv").scalar())
     rv = right_vectors.select(F.col("text").alias(right_text), F.col("embedding").alias("_rv"))
-    return (pairs.withColumn("_one", F.lit(1)).join(F.broadcast(anchor), "_one", "left")
-            .join(rv, right_text, "left")
-            .withColumn(out, cosine_rows(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv", "_one"))
+    return (pairs.join(rv, right_text, "left")
+            .withColumn(out, cosine_rows(first_vec, F.col("_rv"))).drop("_rv"))
 
 
 def round_score(c: Column | str, digits: int = 6) -> Column:

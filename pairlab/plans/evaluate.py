@@ -36,11 +36,11 @@ def evaluate(testing: DataFrame, query_vectors: DataFrame, candidates: DataFrame
     """One row: ndcg, ndcg_x100 (as logged), precision, recall, f1, counts."""
     if hits is None:
         hits = search_test_set(testing, query_vectors, candidates, k, threshold, **kernel_opts)
-    nd = ndcg_at_k(hits, testing, candidates, n_candidates, k).withColumn("_k", F.lit(1))
-    prf = micro_prf(prediction_rows(hits), gold_rows(testing)).withColumn("_k", F.lit(1))
-    return nd.join(prf, "_k").select(
-        "ndcg", percent4(F.col("ndcg")).alias("ndcg_x100"), "precision", "recall", "f1",
-        "tp", "n_pred", "n_gold")
+    nd = ndcg_at_k(hits, testing, candidates, n_candidates, k)
+    prf = micro_prf(prediction_rows(hits), gold_rows(testing))
+    p = prf.select(F.struct(*prf.columns)).scalar()      # one-row result as a scalar subquery
+    return nd.select("ndcg", percent4(F.col("ndcg")).alias("ndcg_x100"),
+                     *[p[c].alias(c) for c in ("precision", "recall", "f1", "tp", "n_pred", "n_gold")])
 
 
 def append_results(results: DataFrame, path: str, run_id: str, model: str, epoch: int) -> None:

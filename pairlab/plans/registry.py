@@ -72,9 +72,9 @@ def q_s5_testing(spark, sf):
 
 def q_s8_corpus_size(spark, sf):
     fx = vector_fixture(spark, sf)
-    c = fx.candidates.agg(F.count(F.lit(1)).alias("n_candidates")).withColumn("_k", F.lit(1))
-    q = fx.queries.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("_k", F.lit(1))
-    return c.join(q, "_k").drop("_k")
+    n_q = fx.queries.agg(F.count(F.lit(1))).scalar()
+    return fx.candidates.agg(F.count(F.lit(1)).alias("n_candidates")).select(
+        "n_candidates", n_q.alias("n_queries"))
 
 
 def q_p12_first_position(spark, sf):
