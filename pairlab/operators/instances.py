@@ -70,9 +70,14 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
                             num_negatives=num_hard_negative_queries, **common)
         hc = mine_negatives(pairs, query_vectors, candidate_vectors, anchor="query", method=method,
                             num_negatives=num_hard_negative_candidates, **common)
-        qa = negatives_as_arrays(hq.negatives).withColumnRenamed("negatives", "hq")
-        ca = negatives_as_arrays(hc.negatives).withColumnRenamed("negatives", "hc")
-        inst = (pairs.join(qa, "row_id", "left").join(ca, "row_id", "left")
+        # both directions gathered by one groupBy (side 0 = hard queries, 1 = hard candidates)
+        both = (hq.negatives.select("row_id", F.lit(0).alias("side"), "slot", "text")
+                .unionByName(hc.negatives.select("row_id", F.lit(1).alias("side"), "slot", "text")))
+        arr = both.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("side", "slot", "text"))).alias("_n"))
+        arr = arr.select("row_id",
+                         F.transform(F.filter("_n", lambda e: e["side"] == 0), lambda e: e["text"]).alias("hq"),
+                         F.transform(F.filter("_n", lambda e: e["side"] == 1), lambda e: e["text"]).alias("hc"))
+        inst = (pairs.join(arr, "row_id", "left")
                 .select(F.col("row_id").alias("instance_id"), "row_id",
                         F.concat(F.array("text1"), F.coalesce("hq", _empty()), F.array("text2"),
                                  F.coalesce("hc", _empty())).alias("texts"), lab))

@@ -243,13 +243,15 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
                      .select("row_id", "slot", "target_id", "text", "score", "raw", "is_fill")
         negatives = negatives.unionByName(picked)
 
-    counts = negatives.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_found"))
-    few = (res.select("row_id").join(counts, "row_id", "left")
-           .select("row_id", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
-           .filter(F.col("n_found") < n)
-           .join(empty_pool.select("row_id"), "row_id", "left_anti")
-           .select("row_id", F.lit("too_few").alias("reason"), "n_found"))
-    short = missing.unionByName(empty_pool).unionByName(few)
+    # rows that come back short, read off the kernel counts (no recount of
+    # the negatives): unfilled methods return min(L, n) entries; filled ones
+    # always reach n unless the pool is empty
+    if method in FILLED:
+        short = missing.unionByName(empty_pool)
+    else:
+        few = res.filter(F.col("n_eligible") < n).select(
+            "row_id", F.lit("too_few").alias("reason"), F.col("n_eligible").alias("n_found"))
+        short = missing.unionByName(few)
     return MiningResult(negatives.select(*NEG_SCHEMA_COLS), short)
 
 
