@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import gold_rows, prediction_rows
 from ..operators.similarity import top_k_join
-from ..session import ensure_checkpoint_dir
+from ..operators.blocks import target_stats
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def stream_root(spark: SparkSession, name: str) -> str:
@@ -38,12 +39,14 @@ def search_stream(spark: SparkSession, source_dir: str, schema, candidates: Data
 
     ``encode(df) -> df`` adds an ``embedding`` column to a micro-batch (e.g.
     ``encode_distinct``); when None the source already carries one."""
-    cands = candidates
+    # the dictionary is static: write it once and size it once for every micro-batch
+    cands = materialize(candidates.select("corpus_id", "text", "embedding"))
+    stats = target_stats(cands)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         q = encode(batch) if encode else batch
         hits = top_k_join(q.select(key, "embedding"), cands, k=k, threshold=threshold, key=key,
-                          **kernel_opts)
+                          stats=stats, **kernel_opts)
         (hits.withColumn("batch", F.lit(int(batch_id)))
          .write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={int(batch_id)}")))
 
@@ -57,8 +60,11 @@ def quality_stream(spark: SparkSession, source_dir: str, schema, candidates: Dat
                    sink_dir: str, checkpoint_dir: str, *, key: str = "query_id", k: int = 5,
                    ts_col: str | None = None, max_files_per_trigger: int = 1, **kernel_opts):
     """Per-query counts of each micro-batch, appended idempotently."""
+    cands = materialize(candidates.select("corpus_id", "text", "embedding"))
+    stats = target_stats(cands)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = top_k_join(batch.select(key, "embedding"), candidates, k=k, key=key, **kernel_opts)
+        hits = top_k_join(batch.select(key, "embedding"), cands, k=k, key=key, stats=stats, **kernel_opts)
         p = prediction_rows(hits, key).withColumn("_p", F.lit(1))
         g = gold_rows(batch, key).withColumn("_g", F.lit(1))
         j = p.join(g, [key, "text"], "full_outer")
