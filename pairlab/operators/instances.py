@@ -8,6 +8,7 @@ Rows whose mining came back short are handled by ``on_short``:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -66,10 +67,13 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         return InstanceResult(inst, pairs.select("row_id", F.lit("").alias("reason")).limit(0))
 
     if kind == "bidirectional":                                        # I1
-        hq = mine_negatives(pairs, query_vectors, candidate_vectors, anchor="candidate", method=method,
-                            num_negatives=num_hard_negative_queries, **common)
-        hc = mine_negatives(pairs, query_vectors, candidate_vectors, anchor="query", method=method,
-                            num_negatives=num_hard_negative_candidates, **common)
+        # the two directions are independent jobs: run them side by side
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            fq = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="candidate",
+                             method=method, num_negatives=num_hard_negative_queries, **common)
+            fc = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="query",
+                             method=method, num_negatives=num_hard_negative_candidates, **common)
+            hq, hc = fq.result(), fc.result()
         # both directions gathered by one groupBy (side 0 = hard queries, 1 = hard candidates)
         both = (hq.negatives.select("row_id", F.lit(0).alias("side"), "slot", "text")
                 .unionByName(hc.negatives.select("row_id", F.lit(1).alias("side"), "slot", "text")))

@@ -9,6 +9,7 @@ The only value that travels to the driver is the tuned beta (one row).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,9 @@ from ..session import materialize
 from ..operators.similarity import first_row_cosine, pair_cosine
 
 
+DRIVER_THREADS = 4
+
+
 @dataclass
 class EpochData:
     config: EpochConfig
@@ -74,15 +78,23 @@ def compare_samplers(pairs: DataFrame, query_vectors: DataFrame, candidate_vecto
     query_vectors = materialize_dictionary(query_vectors)
     candidate_vectors = materialize_dictionary(candidate_vectors)
     pairs = materialize(pairs)
-    out = None
-    for method in METHODS:
-        for anchor in ("query", "candidate"):
-            r = mine_negatives(pairs, query_vectors, candidate_vectors, anchor=anchor, method=method,
-                               positive_threshold=positive_threshold, beta=beta,
-                               num_negatives=num_negatives, seed=seed, epoch=epoch, **kernel_opts)
-            d = r.negatives.select(F.lit(method).alias("method"), F.lit(anchor).alias("anchor"),
-                                   "row_id", "slot", "text", "score", "is_fill")
-            out = d if out is None else out.unionByName(d)
+    combos = [(m, a) for m in METHODS for a in ("query", "candidate")]
+
+    def run(combo):
+        method, anchor = combo
+        r = mine_negatives(pairs, query_vectors, candidate_vectors, anchor=anchor, method=method,
+                           positive_threshold=positive_threshold, beta=beta,
+                           num_negatives=num_negatives, seed=seed, epoch=epoch, **kernel_opts)
+        return r.negatives.select(F.lit(method).alias("method"), F.lit(anchor).alias("anchor"),
+                                  "row_id", "slot", "text", "score", "is_fill")
+
+    # independent jobs: submit them from a few driver threads so their small
+    # stages overlap (Spark schedules concurrent jobs of one session)
+    with ThreadPoolExecutor(max_workers=DRIVER_THREADS) as pool:
+        parts = list(pool.map(run, combos))
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
     return out
 
 
