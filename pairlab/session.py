@@ -40,12 +40,40 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pairlab`` importable in the Python workers (like ``--py-files``):
+    zip the package once per application and ``addPyFile`` it. Pandas UDFs
+    and ``mapInPandas`` functions are pickled by reference to this package."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import pairlab
+    root = os.path.dirname(os.path.abspath(pairlab.__file__))
+    fd, path = tempfile.mkstemp(prefix="pairlab-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
     is. Only when it is unset (local tests) a fresh scratch folder is made.
     """
+    ship_package(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
