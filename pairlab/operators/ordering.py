@@ -1,4 +1,4 @@
-"""Distributed global ordering helpers (W5 batching, A11 mid-ranks).
+"""Distributed global ordering helpers (reader positions, A11 mid-ranks).
 
 A global ``row_number()`` without a partition key runs in one task; here the
 rows are range-partitioned on a unique sort key, each partition numbers its
@@ -14,7 +14,6 @@ of recomputing a different split.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,5 +88,3 @@ def exclusive_prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str
     return (numbered.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_cum")).drop("_pid", "_cum", "_off"))
 
-
-__all__ = ["with_global_index", "exclusive_prefix_sum", "pd"]
