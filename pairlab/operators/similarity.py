@@ -33,6 +33,10 @@ def top_k_join(queries: DataFrame, candidates: DataFrame, k: int = 5,
     ``queries``: ``<key>, embedding``; ``candidates``: ``corpus_id, text,
     embedding``. Returns ``<key>, rank, corpus_id, text[, score]``."""
     left = queries.select(F.col(key).alias("key"), F.col("embedding").alias("vec"))
+    if "left_spread" not in kernel_opts and getattr(queries, "_pairlab_materialized", False):
+        spark = queries.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        kernel_opts["left_spread"] = queries.rdd.getNumPartitions() >= parts   # cheap: materialized
     res = similarity_kernel(left, candidates, KernelSpec(mode="rank", n=k, above=threshold),
                             **kernel_opts)
     hits = res.select(F.col("key").alias(key),
