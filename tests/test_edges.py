@@ -81,3 +81,14 @@ def test_score_above_one_by_rounding_is_clamped(spark):
     r = mn.mine_negatives(pairs, qs, cands, anchor="query", method=mn.TOPK, positive_threshold=0.5,
                           num_negatives=1).negatives.collect()
     assert r[0].text == "same" and r[0].score <= 1.0
+
+
+def test_hit_projection_with_and_without_scores(spark):
+    from pairlab.operators.similarity import nest_hits
+    cands = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.6, 0.8]), (2, "c", [0.0, 1.0])], DICT)
+    q = spark.createDataFrame([(5, [1.0, 0.1])], "query_id long, embedding array<double>")
+    plain = top_k_join(q, cands, k=2, return_scores=False)
+    assert plain.columns == ["query_id", "rank", "corpus_id", "text"]
+    nested = nest_hits(top_k_join(q, cands, k=2)).collect()[0]
+    assert [h.text for h in nested.hits] == ["a", "b"]
+    assert nested.hits[0].score > nested.hits[1].score > 0
