@@ -20,15 +20,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 _SHIFT = 20
 _NEVER = np.int64(1 << 60)
 #: Distinct words whose pieces a worker keeps, and bytes of text it handles at a time.
-CACHE_WORDS = 200_000
-CHUNK_CHARS = 2_000_000
+CACHE_WORDS = 60_000
+CHUNK_BYTES = 500_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -148,18 +150,6 @@ class Codec:
         return b"".join([self.table.pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _table(spark: SparkSession, path: str | None):
     import public_tokenizers
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -170,13 +160,13 @@ def bpe_encode(spark: SparkSession, text: Column, path: str | None = None) -> Co
     """Ids of a text as array<int>; ``path``: a byte-level BPE vocabulary in the tokenizers format."""
     table = _table(spark, path)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(table.value)
         for texts in batches:
             out = [np.fromstring(",".join([p[0] for p in own]), np.int32, sep=",") if own else np.zeros(0, np.int32)
-                   for part in _chunks(texts.tolist()) for own in codec.pieces(part)]
-            yield pd.Series(out, index=texts.index)
+                   for a, b in slices(texts, CHUNK_BYTES) for own in codec.pieces(texts.slice(a, b - a).to_pylist())]
+            yield pa.array(out, pa.list_(pa.int32()))
     return encode(F.coalesce(text, F.lit("")))
 
 
@@ -184,11 +174,11 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str | None = None) -> Col
     """Text of array<int> ids, special tokens included; null ids give the empty text."""
     table = _table(spark, path)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(table.value)
         for rows in batches:
-            yield pd.Series([codec.decode([] if r is None else r) for r in rows], index=rows.index)
+            yield pa.array([codec.decode(r.as_py() or []) for r in rows], pa.string())
     return decode(ids)
 
 
@@ -197,15 +187,17 @@ def bpe_digest(spark: SparkSession, text: Column, path: str | None = None) -> Co
     table = _table(spark, path)
     sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(table.value)
         for texts in batches:
-            rows = []
-            for part in _chunks(texts.tolist()):
-                for own in codec.pieces(part):
-                    read = b"".join([p[2] for p in own]).decode("utf-8", "replace")
-                    rows.append((sum([p[1] for p in own]), sha(",".join([p[0] for p in own]).encode()),
-                                 sha(read.encode())))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            n, ids, decoded = [], [], []
+            for a, b in slices(texts, CHUNK_BYTES):
+                for own in codec.pieces(texts.slice(a, b - a).to_pylist()):
+                    n.append(sum([p[1] for p in own]))
+                    ids.append(sha(",".join([p[0] for p in own]).encode()))
+                    decoded.append(sha(b"".join([p[2] for p in own]).decode("utf-8", "replace").encode()))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()),
+                                              pa.array(decoded, pa.string())],
+                                             ["n_tokens", "ids_sha256", "decoded_sha256"])
     return digest(F.coalesce(text, F.lit("")))

@@ -16,14 +16,15 @@ Results for odd input:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_TRAIN_ROWS = 20_000
 #: Score from which a document is predicted to be of quality 1.
@@ -129,10 +130,11 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: f
 
 
 def statistics_column(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def stats(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(document_statistics(texts.tolist())), index=texts.index)
-    return stats(text)
+    @F.arrow_udf("array<double>")
+    def stats(texts: pa.Array) -> pa.Array:
+        return pa.array([row for a, b in slices(texts) for row in
+                         document_statistics(texts.slice(a, b - a).to_pylist())], pa.list_(pa.float64()))
+    return stats(F.coalesce(text, F.lit("")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS,
@@ -152,10 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 def quality_score(text: Column, model: FlatTrees) -> Column:
     """Probability that the text is of quality 1; no shuffle, one pass."""
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = [model.score(document_statistics(texts.iloc[i:i + 512].tolist()))
-                   for i in range(0, len(texts), 512)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0), index=texts.index)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [model.score(document_statistics(texts.slice(a, b - a).to_pylist())) for a, b in slices(texts)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
     return score(F.coalesce(text, F.lit("")))
