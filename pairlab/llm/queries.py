@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, url_digests
+from . import bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, url_digests
 from .common import table
 
 # Fixed values of the contracts.
@@ -62,8 +62,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("d", bpe_rounds.bpe_digest(spark, F.col("text"))).select("doc_id", "d.*")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_trigrams.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op6_quality, op7_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op6_quality, op7_url_filter, op9_bpe, op10_secrets)}
 
 
 _OP2_SQL = r"""
@@ -140,6 +144,35 @@ FROM ruled
 """
 
 
+def _op10_sql() -> str:
+    """Pieces between matches give the positions, kind by kind, as in the query; case is spelt out."""
+    words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in
+                     ("password", "passwd", "secret", "token", "api_?key"))
+    parts = []
+    for rank, rule in enumerate(secret_trigrams.RULES):
+        pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", words).replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i,
+    list_sum(list_transform(gaps[:i], lambda g: length(g))) +
+      coalesce(list_sum(list_transform(hits[:i - 1], lambda h: length(h))), 0) AS start, length(hits[i]) AS size
+  FROM (SELECT doc_id, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i
+    FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps,
+                 regexp_extract_all(text, '{pattern}') AS hits,
+                 regexp_extract_all(text, '{pattern}', {rule.group}) AS vals FROM given))
+  WHERE length(vals[i]) >= {rule.least}""")
+    return f"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS span FROM found),
+lists AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+  count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
+  string_agg(span, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM given LEFT JOIN lists USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL, "op10_secrets": _op10_sql()}
