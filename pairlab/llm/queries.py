@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, url_digests
+from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, url_digests
 from .common import table
 
 # Fixed values of the contracts.
@@ -42,6 +42,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("s.items", ","), 256).alias("items_sha256"), (F.col("s.n_hit") > 0).alias("contaminated"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_forest.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -67,7 +72,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op6_quality, op7_url_filter, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op6_quality, op7_url_filter, op9_bpe, op10_secrets)}
 
 
 _OP2_SQL = r"""
