@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, url_digests
+from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, signature_join, url_digests
 from .common import table
 
 # Fixed values of the contracts.
@@ -62,6 +62,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("v", url_digests.url_verdict(F.col("url"), index)).select("page_id", "v.*")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.withColumn("d", bpe_rounds.bpe_digest(spark, F.col("text"))).select("doc_id", "d.*")
@@ -72,7 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op6_quality, op7_url_filter, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op6_quality, op7_url_filter, op8_ngram_join, op9_bpe, op10_secrets)}
 
 
 _OP2_SQL = r"""
@@ -149,6 +153,26 @@ FROM ruled
 """
 
 
+_OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s
+  WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * k >= 90 * (s.n + t.n - k)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON r = a)
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM words LEFT JOIN sizes ON words.doc_id = sizes.doc_id
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = words.doc_id
+"""
+
+
 def _op10_sql() -> str:
     """Pieces between matches give the positions, kind by kind, as in the query; case is spelt out."""
     words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in
@@ -180,4 +204,5 @@ FROM given LEFT JOIN lists USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL, "op10_secrets": _op10_sql()}
+    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL, "op8_ngram_join": _OP8_SQL,
+            "op10_secrets": _op10_sql()}
