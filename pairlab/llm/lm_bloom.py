@@ -24,6 +24,7 @@ read; an empty table stays empty; a text of any length is scored whole.
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,10 +43,10 @@ PRIOR = 500.0            # weight of the word's own probability against its hist
 BITS, PROBES = 10, 6     # filter bits for each (key, level), and probes for each lookup
 SEGMENT_BYTES = 160 << 20
 HEAD_WORDS = 2_000_000
-BLOCK_BYTES = 24 << 20   # training text for each block of the filter
+PART_BYTES = 24 << 20    # training text for each task that builds blocks; it builds about four
 
 _END = np.uint64(0x5851F42D4C957F2E)  # key of the end of a text; keys of words are even, those of pairs odd
-_ONE = np.uint64(1)
+_ONE, _HALF = np.uint64(1), np.uint64(32)
 _BLOCKS = ("block int, n_words long, n_tokens long, histogram array<long>, words binary, counts binary, "
            "n_bits long, bits binary")
 
@@ -93,7 +94,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[pa
             tokens, pairs, _ = token_keys(batch.column(0).slice(a, b - a))
             held.append(np.unique(np.concatenate([tokens, pairs]), return_counts=True))
             size += len(held[-1][0])
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield from emit(held)
                 held, size = [], 0
     if held:
@@ -101,13 +102,17 @@ def _count_keys(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[pa
 
 
 def _block_of(keys: np.ndarray, n_blocks: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(n_blocks)).astype(np.int32)
+    """By the leading bits, so that sorted keys go through the blocks one after the other."""
+    return (((keys >> _HALF) * np.uint64(n_blocks)) >> _HALF).astype(np.int32)
 
 
-def _bit_places(keys: np.ndarray, levels: np.ndarray, n_bits: np.ndarray | int, k: int) -> np.ndarray:
-    one = chain(keys, levels.astype(np.uint64))
-    two = mix(one + np.uint64(0x632BE59BD9B4E019)) | _ONE
-    return (one + two * np.uint64(k)) % np.asarray(n_bits, np.uint64)
+def _two_hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    one = chain(keys, np.uint64(level))
+    return one, mix(one + np.uint64(0x632BE59BD9B4E019)) | _ONE
+
+
+def _bit_place(one: np.ndarray, two: np.ndarray, n_bits: np.ndarray | np.uint64, k: int) -> np.ndarray:
+    return (((one + two * np.uint64(k)) >> _HALF) * n_bits) >> _HALF
 
 
 def _build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +130,9 @@ def _build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         n_bits = int(max(64, BITS * levels.sum()) + 63) // 64 * 64
         bits = np.zeros(n_bits, bool)
         for j in range(1, int(levels.max()) + 1):
-            own = keys[levels >= j]
+            one, two = _two_hashes(keys[levels >= j], j)
             for k in range(PROBES):
-                bits[_bit_places(own, np.full(len(own), j), n_bits, k)] = True
+                bits[_bit_place(one, two, np.uint64(n_bits), k)] = True
         word = (keys & _ONE) == 0
         tall = np.array([(counts[word] >= 2 ** j).sum() for j in range(40)])
         yield pa.RecordBatch.from_pylist([{
@@ -153,14 +158,15 @@ class Segment:
         block = _block_of(keys, n_blocks) - self.first
         at = np.flatnonzero((block >= 0) & (block < len(self.n_bits)))
         out = np.zeros(len(keys), np.uint8)
-        level = 1
+        key, n_bits, start, level = keys[at], self.n_bits[block[at]], self.start[block[at]], 1
         while len(at):
+            one, two = _two_hashes(key, level)
+            held = np.arange(len(at))
             for k in range(PROBES):
-                place = _bit_places(keys[at], np.full(len(at), level), self.n_bits[block[at]], k)
-                byte = self.data[self.start[block[at]] + (place >> np.uint64(3)).astype(np.int64)]
-                at = at[(byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(at):
-                    break
+                place = _bit_place(one[held], two[held], n_bits[held], k)
+                byte = self.data[start[held] + (place >> np.uint64(3)).astype(np.int64)]
+                held = held[(byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at, key, n_bits, start = at[held], key[held], n_bits[held], start[held]
             out[at] = level
             level += 1
         return out
@@ -174,7 +180,7 @@ class Model:
     segments: list          # broadcasts of Segment
     head_from: int          # words counted so often are in the head
     head: object            # broadcast of (sorted word keys, exact counts)
-    blocks: DataFrame
+    blocks: DataFrame | None
     prior: float = PRIOR
 
     @property
@@ -183,14 +189,15 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_BYTES,
-          head_words: int = HEAD_WORDS, block_bytes: int = BLOCK_BYTES, prior: float = PRIOR) -> Model:
+          head_words: int = HEAD_WORDS, part_bytes: int = PART_BYTES, prior: float = PRIOR) -> Model:
     """Count all texts of ``docs`` and build the filter."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n_blocks = max(8, math.ceil(size / block_bytes))
+    n_parts = max(8, math.ceil(size / part_bytes))
+    n_blocks = 4 * n_parts
     counted = texts.mapInArrow(lambda it: _count_keys(it, n_blocks), "block int, key long, n long")
-    blocks = written(counted.repartition(n_blocks, "block").mapInArrow(_build_blocks, _BLOCKS))
+    blocks = written(counted.repartition(n_parts, "block").mapInArrow(_build_blocks, _BLOCKS))
     total = blocks.agg(F.sum("n_words").alias("v"), F.sum("n_tokens").alias("n")).first()
     taller = blocks.select(F.posexplode("histogram").alias("j", "c")).groupBy("j").agg(F.sum("c").alias("c"))
     taller = {r["j"]: r["c"] for r in taller.collect()}
@@ -256,31 +263,37 @@ def _text_scores(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, ends:
     return np.add.reduceat(np.log10(p), first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-_BASE_PART = "n_tokens long, n_head long, head double, rest array<struct<key: long, n: long>>"
+_PART = "n_tokens long, n_head long, head double, rest array<struct<key: long, n: long>>, score double"
 
 
-def _base_part(model: Model):
-    """For each text: its tokens, and the exact base score with every word outside the head as an unknown one;
-    ``rest`` lists those words where words exist outside the head."""
-    head, low, share = model.head, model.head_from, model.n_tokens + model.n_words + 1
+def _scorer(model: Model, segment: Segment | None):
+    """For each text: n_tokens; n_head and head, the exact base score with every word outside the head taken as
+    an unknown one; rest, those words where words exist outside the head; score (nan without a segment)."""
+    keys, counts = model.head.value
+    low, share, scale, n_blocks = model.head_from, model.n_tokens + model.n_words + 1, model.scale, model.n_blocks
+    look = _levels(segment, n_blocks)
+    ends = look(np.array([_END]))[0]
 
-    def of(tokens: np.ndarray, first: np.ndarray) -> list[tuple]:
-        keys, counts = head.value
+    def score(texts: pa.Array) -> list[pa.Array]:
+        tokens, pairs, first = token_keys(texts)
         distinct, place = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
         known = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
-        c = np.where(known, counts[at], 0) if len(keys) else np.zeros(len(distinct), np.int64)
-        logs = np.log10((c + 1) / share)[place]
-        known = known[place]
-        out = []
-        for a, b in zip(first[:-1], first[1:]):
-            rest = []
-            if low > 1 and not known[a:b].all():
-                key, n = np.unique(tokens[a:b][~known[a:b]], return_counts=True)
-                rest = [{"key": int(k), "n": int(x)} for k, x in zip(key.view(np.int64), n)]
-            out.append((int(b - a), int(known[a:b].sum()), float(logs[a:b].sum()), rest))
-        return out
-    return of
+        count = np.where(known, counts[at], 0) if len(keys) else np.zeros(len(distinct), np.int64)
+        logs, known, starts = np.log10((count + 1) / share)[place], known[place], first[:-1]
+        other = np.flatnonzero(~known) if low > 1 else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))[other]
+        rest, n = np.unique(owner * len(distinct) + place[other], return_counts=True)
+        rest_keys = distinct[rest % len(distinct)].view(np.int64) if len(rest) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(rest, np.arange(len(texts) + 1) * len(distinct))
+        total = np.full(len(texts), np.nan) if segment is None and scale[0] else _text_scores(
+            segment.levels(distinct, n_blocks)[place] if segment else np.zeros(len(tokens), np.uint8),
+            look(pairs), first, ends, scale)
+        items = pa.StructArray.from_arrays([pa.array(rest_keys), pa.array(n.astype(np.int64))], ["key", "n"])
+        return [pa.array(np.diff(first)), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                pa.array(np.add.reduceat(logs, starts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items),
+                pa.array(total)]
+    return score
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,25 +301,16 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str
     require(docs, id_col, text)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    scale, n_blocks, segments, base_of = model.scale, model.n_blocks, model.segments, _base_part(model)
-    single = len(segments) <= 1
+    sent = dataclasses.replace(model, blocks=None)  # what the workers get
+    single = len(model.segments) <= 1
 
-    @F.arrow_udf(_BASE_PART + ", score double")
+    @F.arrow_udf(_PART)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        look = _levels(segments[0].value if single and segments else None, n_blocks)
-        ends = look(np.array([_END]))[0]
+        of = _scorer(sent, sent.segments[0].value if single and sent.segments else None)
         for texts in batches:
-            parts, totals = [], []
-            for a, b in slices(texts):
-                tokens, pairs, first = token_keys(texts.slice(a, b - a))
-                totals.append(_text_scores(look(tokens), look(pairs), first, ends, scale) if single
-                              else np.full(b - a, np.nan))
-                parts += base_of(tokens, first)
-            n, head_n, head, rest = zip(*parts) if parts else ((), (), (), ())
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(head_n, pa.int64()), pa.array(head, pa.float64()),
-                 pa.array(rest, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))),
-                 pa.array(np.concatenate(totals or [[]]), pa.float64())], ["n_tokens", "n_head", "head", "rest", "score"])
+            parts = [of(texts.slice(a, b - a)) for a, b in slices(texts)]
+            columns = [pa.concat_arrays(c) for c in zip(*parts)]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "n_head", "head", "rest", "score"])
 
     scored = rows.select("id", "mark", score("text").alias("s")).select("id", "mark", "s.*")
     if model.head_from > 1 or not single:

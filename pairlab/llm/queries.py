@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, lm_bloom, quality_gbt, secret_trigrams, signature_join, url_digests
+from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, line_dedup, lm_bloom, quality_gbt, secret_trigrams, signature_join, url_digests
 from .common import table
 
 # Fixed values of the contracts.
@@ -47,6 +47,13 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(rows, F.col("vec_id") % 20 == 0)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    left = line_dedup.dedup_lines(docs)
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                       F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -76,7 +83,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op6_quality, op7_url_filter, op8_ngram_join, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op5_line_dedup, op6_quality, op7_url_filter, op8_ngram_join, op9_bpe, op10_secrets)}
 
 
 _OP2_SQL = r"""
