@@ -150,6 +150,10 @@ class Codec:
         return b"".join([self.table.pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _numbers(joined: str) -> np.ndarray:
+    return np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32)
+
+
 def _table(spark: SparkSession, path: str | None):
     import public_tokenizers
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -164,7 +168,7 @@ def bpe_encode(spark: SparkSession, text: Column, path: str | None = None) -> Co
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(table.value)
         for texts in batches:
-            out = [np.fromstring(",".join([p[0] for p in own]), np.int32, sep=",") if own else np.zeros(0, np.int32)
+            out = [_numbers(",".join([p[0] for p in own]))
                    for a, b in slices(texts, CHUNK_BYTES) for own in codec.pieces(texts.slice(a, b - a).to_pylist())]
             yield pa.array(out, pa.list_(pa.int32()))
     return encode(F.coalesce(text, F.lit("")))
@@ -182,22 +186,26 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str | None = None) -> Col
     return decode(ids)
 
 
-def bpe_digest(spark: SparkSession, text: Column, path: str | None = None) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass, without moving the ids."""
+def bpe_digest(spark: SparkSession, text: Column, path: str | None = None, with_ids: bool = False) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass. ``with_ids`` adds the
+    ids themselves; without it they do not leave the worker."""
     table = _table(spark, path)
     sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(table.value)
         for texts in batches:
-            n, ids, decoded = [], [], []
+            n, shas, decoded, ids = [], [], [], []
             for a, b in slices(texts, CHUNK_BYTES):
                 for own in codec.pieces(texts.slice(a, b - a).to_pylist()):
                     n.append(sum([p[1] for p in own]))
-                    ids.append(sha(",".join([p[0] for p in own]).encode()))
+                    joined = ",".join([p[0] for p in own])
+                    shas.append(sha(joined.encode()))
                     decoded.append(sha(b"".join([p[2] for p in own]).decode("utf-8", "replace").encode()))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                                              pa.array(decoded, pa.string())],
-                                             ["n_tokens", "ids_sha256", "decoded_sha256"])
-    return digest(F.coalesce(text, F.lit("")))
+                    ids.append(_numbers(joined) if with_ids else None)
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string()),
+                 pa.array(ids, pa.list_(pa.int32()))], ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    out = digest(F.coalesce(text, F.lit("")))
+    return out if with_ids else out.dropFields("ids")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, written
+from .common import fresh, require, written
 from .components import connected_components
 from .tokens import chain, mix, slices, words_of
 
@@ -87,15 +87,20 @@ def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list[np.n
 
 
 def _describe(size: int):
-    """Rows (0, id, key, n) of documents and (1, shingle, documents, null) of shingles frequent in a slice."""
+    """Rows (0, id, key, n, mark) of documents and (1, shingle, documents) of shingles frequent in a slice."""
+    names = ["kind", "a", "b", "c", "d"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for ids, sets in _sets_of(batch, size):
-                yield _batch(["kind", "a", "b", "c"], [0] * len(ids), ids, [set_key(s) for s in sets],
-                             [len(s) for s in sets])
+                marks = batch.column(2).slice(at, len(ids)).to_pylist()
+                at += len(ids)
+                yield _batch(names, [0] * len(ids), ids, [set_key(s) for s in sets], [len(s) for s in sets], marks)
                 items, n = np.unique(np.concatenate(sets), return_counts=True)
                 items, n = items[n >= HOT_LEAST], n[n >= HOT_LEAST]
-                yield _batch(["kind", "a", "b", "c"], [1] * len(items), items.view(np.int64), n, [None] * len(items))
+                none = [None] * len(items)
+                yield _batch(names, [1] * len(items), items.view(np.int64), n, none, none)
     return run
 
 
@@ -340,25 +345,51 @@ def _shrinks(heads: DataFrame, large: DataFrame) -> bool:
     return 2 * heads.count() <= large.count()
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE,
-                       percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of ``documents``: its id, n_shingles, and component_id, the smallest id reachable
-    by links between documents whose sets have a Jaccard similarity of ``percent`` / 100 or more."""
+def _components(documents: DataFrame, id_col: str, text: str, size: int, percent: int, block_bytes: int) -> DataFrame:
+    """id, mark (hash of the text), n, component for each row of ``documents``."""
     require(documents, id_col, text)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    told = written(docs.mapInArrow(_describe(size), "kind long, a long, b long, c long"))
-    rows = told.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), F.col("c").alias("n"))
+    told = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        _describe(size), "kind long, a long, b long, c long, d long")
+    told = written(told)
+    rows = told.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), F.col("c").alias("n"),
+                                          F.col("d").alias("mark"))
     groups = written(_candidate_groups(docs, told.filter("kind = 1"), size, percent))
-    nodes = rows.filter("key <> 0").groupBy(F.col("key").alias("node")).agg(F.min("id").alias("id"))
-    nodes = written(nodes.join(groups, "node"))
-    sets = _group_sets(docs, nodes.filter("id is not null"), size)
+    classes = written(rows.filter("key <> 0").groupBy("key").agg(F.min("id").alias("id")))
+    nodes = written(classes.select(F.col("key").alias("node"), "id").join(groups, "node").filter("id is not null"))
+    sets = _group_sets(docs, nodes, size)
     sets = written(sets.dropDuplicates(["key"]).join(
         nodes.select(F.col("node").alias("key"), F.col("label").alias("grp")), "key"))
     labels = connected_components(_links(sets, percent, block_bytes)).withColumnRenamed("node", "key")
-    classes = rows.filter("key <> 0").groupBy("key").agg(F.min("id").alias("id"))
     classes = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = classes.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = classes.join(least, "label").select("key", "component_id")
+    least = classes.groupBy("label").agg(F.min("id").alias("component"))
+    named = classes.join(least, "label").select("key", "component")
     return rows.join(named, "key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        "id", "mark", "n", F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                       percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of ``documents``: its id, n_shingles, and component_id, the smallest id reachable
+    by links between documents whose sets have a Jaccard similarity of ``percent`` / 100 or more."""
+    return _components(documents, id_col, text, size, percent, block_bytes).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE,
+             percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents`` without those linked to one with a smaller id: one row of each component
+    stays. Rows given twice (same id and text) stay once; rows without an id all stay."""
+    rows = written(_components(documents, id_col, text, size, percent, block_bytes))
+    by_id, by_mark = fresh(documents, "by_id", "by_mark")
+
+    def among(some: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = written(keys.select(F.col("id").alias(by_id), F.col("mark").alias(by_mark)).distinct())
+        keys = F.broadcast(keys) if keys.count() <= SENT_KEYS // 4 else keys
+        here = (some[id_col].cast("long") == keys[by_id]) & (F.xxhash64(some[text]) == keys[by_mark])
+        return some.join(keys, here, how)
+    kept = among(documents, rows.filter("id <> component"), "left_anti")
+    twice = rows.filter("id is not null").groupBy("id", "mark").count().filter("count > 1")
+    if twice.isEmpty():
+        return kept
+    return among(kept, twice, "left_anti").unionByName(among(kept, twice, "left_semi").dropDuplicates([id_col, text]))
