@@ -2,10 +2,13 @@
 
 A document is the set of its distinct word shingles, kept as 64-bit keys; documents with one set are one node.
 
-1. Candidates. Under any fixed order of shingles two sets with Jaccard of ``percent`` / 100 or more share one of
-   their first n - ceil(n * percent / 100) + 1 shingles. The order used puts shingles that many documents hold
-   last. Nodes sharing such a prefix shingle are connected through the smallest of them (never pair by pair),
-   and components of that graph are the groups in which links are sought: every link lies inside a group.
+1. Candidates. Two linked sets of at most m shingles differ in at most k = (100 - p) * 2m / (100 + p) of them
+   (p: ``percent``), so of k + 1 + e parts into which a hash deals all shingles, e + 1 at least are the same in
+   both. A node has a mark for each part that is not empty (for all, if more than e are empty, which is rare), so
+   linked nodes have a common mark. m is the limit of the node's size class (and also of the next class where
+   it may be linked with a larger set). Nodes with a common mark are connected through the smallest of them,
+   never pair by pair, and components of that graph are the groups in which links are sought: every link lies
+   inside a group.
 2. Signature trees. The sets of a group are leaves of a tree whose nodes hold OR- and AND-combined token bitmaps
    and size ranges. A dual traversal goes down from pairs of nodes and prunes those whose sizes differ too
    much, whose greatest possible overlap is too small, or all of whose members are in one class already.
@@ -39,8 +42,7 @@ from .components import connected_components
 from .tokens import chain, mix, slices, words_of
 
 SHINGLE, PERCENT = 3, 90
-HOT_ROWS = 262_144        # frequent shingles known to all workers (4 MB); they only set the order of shingles
-HOT_LEAST = 4             # documents of one slice of texts that make a shingle a candidate for that list
+CLASS_RATIO = 1.5         # sizes in one class
 SENT_KEYS = 2_000_000     # candidate nodes whose keys are broadcast (32 MB); beyond, texts are joined instead
 BLOCK_BYTES = 8 << 20     # shingle keys handled by one task at a time
 _FAN, _BITS = 16, 1024
@@ -87,45 +89,49 @@ def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list[np.n
 
 
 def _describe(size: int):
-    """Rows (0, id, key, n, mark) of documents and (1, shingle, documents) of shingles frequent in a slice."""
-    names = ["kind", "a", "b", "c", "d"]
-
+    """Rows (id, mark, key, n) of documents with columns id, text, mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, sets in _sets_of(batch, size):
                 marks = batch.column(2).slice(at, len(ids)).to_pylist()
                 at += len(ids)
-                yield _batch(names, [0] * len(ids), ids, [set_key(s) for s in sets], [len(s) for s in sets], marks)
-                items, n = np.unique(np.concatenate(sets), return_counts=True)
-                items, n = items[n >= HOT_LEAST], n[n >= HOT_LEAST]
-                none = [None] * len(items)
-                yield _batch(names, [1] * len(items), items.view(np.int64), n, none, none)
+                yield _batch(["id", "mark", "key", "n"], ids, marks, [set_key(s) for s in sets], [len(s) for s in sets])
     return run
 
 
-def prefix(items: np.ndarray, percent: int, hot: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The shingles of which a linked set must share one: the first by (frequency, key)."""
-    n = len(items)
-    least = n + (-percent * n // 100) + 1
-    at = np.searchsorted(hot, items)
-    known = hot[np.minimum(at, len(hot) - 1)] == items if len(hot) else np.zeros(n, bool)
-    rare = items[~known][:least]
-    if len(rare) == least:
-        return rare
-    own, count = items[known], often[at[known]]
-    return np.concatenate([rare, own[np.lexsort((own, count))][:least - len(rare)]])
-
-
-def _prefixes(size: int, percent: int, hot):
+def part_marks(items: np.ndarray, percent: int) -> np.ndarray:
+    """Marks of a set's parts, one of which two linked sets share at least."""
+    n, low, out = len(items), 1, []
+    while (high := max(low + 1, math.ceil(low * CLASS_RATIO))) <= n:  # sizes of a class: low to high - 1
+        low = high
+    classes = [high]
+    if 100 * n >= percent * high:  # may be linked with a set of the next class
+        classes.append(max(high + 1, math.ceil(high * CLASS_RATIO)))
+    mixed = mix(items)
+    for limit in classes:
+        differ = (100 - percent) * 2 * (limit - 1) // (100 + percent)
+        spare = 1 + differ // 16 if differ else 0
+        parts = differ + 1 + spare
+        part = (items >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed[order], out=sums[1:])
+        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        name = chain(np.full(parts, limit, np.uint64), np.arange(parts, dtype=np.uint64))
+        marks, held = chain(name, sums[cuts[1:]] - sums[cuts[:-1]]), cuts[1:] > cuts[:-1]
+        out.append(marks[held] if (~held).sum() <= spare else marks)
+    return np.concatenate(out)
+
+
+def _marks(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, often = hot.value
         for batch in batches:
             for _, sets in _sets_of(batch, size):
                 own = {set_key(s): s for s in sets if len(s)}
-                parts = [prefix(s, percent, keys, often) for s in own.values()]
+                parts = [part_marks(s, percent) for s in own.values()]
                 if parts:
-                    yield _batch(["token", "key"], np.concatenate(parts).view(np.int64),
+                    yield _batch(["part", "key"], np.concatenate(parts).view(np.int64),
                                  np.repeat(np.fromiter(own, np.int64), [len(p) for p in parts]))
     return run
 
@@ -246,18 +252,12 @@ def _join_blocks(percent: int):
 
 
 # ---------------------------------------------------------------- the join
-def _candidate_groups(docs: DataFrame, frequent: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, label: groups of nodes that share prefix shingles."""
-    spark = docs.sparkSession
-    rows = (frequent.groupBy(F.col("a").alias("item")).agg(F.sum("b").alias("n"))
-            .orderBy(F.desc("n"), "item").limit(HOT_ROWS).collect())
-    keys = np.array([r["item"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], np.array([r["n"] for r in rows], np.int64)[order]))
-    own = written(docs.mapInArrow(_prefixes(size, percent, hot), "token long, key long"))
-    shared = own.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = shared.filter("least < most").select("token", "least")
-    edges = own.join(shared, "token").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, label: groups of nodes that share marks."""
+    own = written(docs.mapInArrow(_marks(size, percent), "part long, key long"))
+    shared = own.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    shared = shared.filter("least < most").select("part", "least")
+    edges = own.join(shared, "part").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     return connected_components(edges)
 
 
@@ -329,7 +329,7 @@ def _links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     # all pairs that remain have a member outside the group's largest class
     most = named.groupBy("grp", "label").count().groupBy("grp").agg(
         F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = named.join(most, "grp").filter("label <> main")
+    rest = written(named.join(most, "grp").filter("label <> main").drop("main"))
     chunks = rest.groupBy("grp").agg(F.ceil(F.sum(F.length("items")) / block_bytes).cast("int").alias("chunks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = named.join(chunks, "grp").select("grp", "block", every("chunks").alias("chunk"), "key", "label", "items")
@@ -349,12 +349,9 @@ def _components(documents: DataFrame, id_col: str, text: str, size: int, percent
     """id, mark (hash of the text), n, component for each row of ``documents``."""
     require(documents, id_col, text)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    told = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
-        _describe(size), "kind long, a long, b long, c long, d long")
-    told = written(told)
-    rows = told.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), F.col("c").alias("n"),
-                                          F.col("d").alias("mark"))
-    groups = written(_candidate_groups(docs, told.filter("kind = 1"), size, percent))
+    rows = written(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        _describe(size), "id long, mark long, key long, n long"))
+    groups = written(_candidate_groups(docs, size, percent))
     classes = written(rows.filter("key <> 0").groupBy("key").agg(F.min("id").alias("id")))
     nodes = written(classes.select(F.col("key").alias("node"), "id").join(groups, "node").filter("id is not null"))
     sets = _group_sets(docs, nodes, size)
