@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .tokens import slices
 
-_SHIFT = 20
+_SHIFT, _FILTER = 20, 22
 _NEVER = np.int64(1 << 60)
 #: Distinct words whose pieces a worker keeps, and bytes of text it handles at a time.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 150_000
 CHUNK_BYTES = 500_000
 
 
@@ -51,6 +51,22 @@ class MergeTable:
     special: dict[str, int]
     pattern: str
 
+    def __post_init__(self):
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.maybe = np.zeros(1 << _FILTER, bool)  # pairs whose bit is off need no binary search
+        self.maybe[self._bit(self.keys)] = True
+
+    @staticmethod
+    def _bit(keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _FILTER)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are pairs that merge, and their places in the table."""
+        at = np.flatnonzero(self.maybe[self._bit(keys)])
+        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        right = self.keys[place] == keys[at]
+        return at[right], place[right]
+
     @staticmethod
     def load(path: str, pattern: str) -> MergeTable:
         with open(path, encoding="utf-8") as f:
@@ -71,17 +87,17 @@ class MergeTable:
                           np.array([ids[b] for b in range(256)], np.int64), pieces, special, pattern)
 
 
-def merge_rounds(words: list[bytes], m: MergeTable) -> list[np.ndarray]:
+def merge_rounds(words: list[bytes], m: MergeTable) -> list[list[int]]:
     """The ids of each word."""
     sizes = np.array([len(w) for w in words], np.int64)
     symbols = m.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     owner = np.repeat(np.arange(len(words)), sizes)
     done_symbols, done_owner = [], []
     while len(symbols):
-        key = symbols[:-1] << _SHIFT | symbols[1:]
-        at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-        rank = np.where((m.keys[at] == key) & (owner[:-1] == owner[1:]), m.ranks[at], _NEVER)
-        rank = np.append(rank, _NEVER)
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        own, place = m.find(symbols[inner] << _SHIFT | symbols[inner + 1])
+        rank, merged = np.full(len(symbols), _NEVER), np.zeros(len(symbols), np.int64)
+        rank[inner[own]], merged[inner[own]] = m.ranks[place], m.merged[place]
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(starts, append=len(owner)))
         over = lowest == _NEVER
@@ -94,15 +110,15 @@ def merge_rounds(words: list[bytes], m: MergeTable) -> list[np.ndarray]:
         since = np.arange(len(hits)) - np.maximum.accumulate(np.where(run, np.arange(len(hits)), 0))
         hits = hits[since % 2 == 0]
         symbols = symbols.copy()
-        symbols[hits] = m.merged[at[hits]]
+        symbols[hits] = merged[hits]
         keep = ~over
         keep[hits + 1] = False
         symbols, owner = symbols[keep], owner[keep]
     if not done_owner:
-        return [np.zeros(0, np.int64) for _ in words]
+        return [[] for _ in words]
     symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
-    order = np.argsort(owner, kind="stable")
-    return np.split(symbols[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+    ids, ends = symbols[np.argsort(owner, kind="stable")].tolist(), np.cumsum(np.bincount(owner, minlength=len(words)))
+    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 class Codec:
@@ -133,7 +149,7 @@ class Codec:
         new = list({w for words in cut for w in words if w not in self.kept})
         plain = [w for w in new if w not in self.table.special]
         for word, ids in zip(plain, merge_rounds([w.encode() for w in plain], self.table), strict=True):
-            self._keep(word, ids.tolist())
+            self._keep(word, ids)
         for word in new:
             if word in self.table.special:
                 self._keep(word, [self.table.special[word]])
@@ -141,7 +157,8 @@ class Codec:
             yield [self.kept[w] for w in words]
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.kept[word] = (",".join(map(str, ids)), len(ids), b"".join([self.table.pieces[i] for i in ids]))
+        names, pieces = self.table.names, self.table.pieces
+        self.kept[word] = (",".join([names[i] for i in ids]), len(ids), b"".join([pieces[i] for i in ids]))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in next(self.pieces([text])) for i in ids.split(",")]
