@@ -3,13 +3,14 @@
 Every random choice in the engine (fill draws, weighted and uniform picks,
 batch order) is a pure function of (seed, keys), never ``rand()``. A retried
 task or an AQE re-plan therefore draws the same values, and the same function
-is written three times -- as a Spark Column, as numpy, and as SQL text -- so
-Spark jobs, in-task numpy kernels and a DuckDB oracle agree bit for bit.
-
-All arithmetic stays in signed 64-bit integers without overflow: values live
-in [0, P) with P = 2^31 - 1 and multipliers below 2^31, so every product is
-below 2^62. A round is ``x -> ((x xor k) * a + 1) mod P``; it uses its input
-once, so nested expressions grow linearly, not exponentially.
+is written three times -- as Spark SQL, as numpy, and as DuckDB SQL -- so
+Spark jobs, in-task numpy kernels and the oracle agree bit for bit.
+
+All arithmetic stays in signed 64-bit integers without overflow: a mixing
+round maps [0, 2^31) to [0, P), P = 2^31 - 1, by ``x -> ((x xor k) * a + 1)
+mod P``. A 64-bit key goes in as two words, and a hash is two independent
+chains (``wide``, 62 bits), so keys that agree modulo P stay apart and a
+draw reaches every position of a table of any size.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Modulus, then (xor key, multiplier) of each mixing round.
+# Modulus, word mask, chain starts, then (xor key, multiplier) of each mixing round.
 P = 2147483647
+MASK = 2147483647
+STARTS = (1013904223, 1376312589)
 ROUNDS = (
     (1540483477, 742938285),
     (668265263, 950706376),
@@ -33,59 +36,23 @@ STREAM_FILL = 2      # positions of random fill draws
 STREAM_FILL_KEY = 3  # pick keys of fill draws
 STREAM_EASY = 4      # easy (uniform, whole dictionary) negatives
 STREAM_BATCH = 5     # instance shuffle order
+STREAM_SHORT = 6     # negatives that replace missing hard ones
 ANCHOR_CODE = {"query": 100, "candidate": 200}
 
 
-# ----------------------------------------------------------------- Spark
-def _col(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x).cast("long")
-
-
-def _pmod_col(x) -> Column:
-    return F.pmod(_col(x).cast("long"), F.lit(P).cast("long"))
-
-
-def mix_col(x: Column) -> Column:
-    for k, a in ROUNDS:
-        x = (x.bitwiseXOR(F.lit(k).cast("long")) * F.lit(a).cast("long") + F.lit(1).cast("long")) % F.lit(P).cast("long")
-    return x
-
-
-def chain_col(*xs) -> Column:
-    """Hash of a key tuple, in [0, P)."""
-    h = mix_col(_pmod_col(xs[0]))
-    for x in xs[1:]:
-        h = mix_col(h.bitwiseXOR(_pmod_col(x)))
-    return h
-
-
-def unit_col(h: Column) -> Column:
-    """Map a hash in [0, P) to a double in (0, 1)."""
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(P))
-
-
-def uniform_col(*xs) -> Column:
-    return unit_col(chain_col(*xs))
-
-
-def pair_unit_col(row_hash: Column, target_id: Column) -> Column:
-    """u for (row, target): mix(row_hash xor mix(target_id))."""
-    return unit_col(mix_col(row_hash.bitwiseXOR(mix_col(_pmod_col(target_id)))))
-
-
-# ----------------------------------------------------------------- Spark SQL text
-# Same arithmetic as the Column form, built as one expression string so that a
-# hash costs one ``F.expr`` call instead of dozens of Column round trips.
-def _sp_arg(x) -> str:
-    if isinstance(x, bool):
+def _words(x: int) -> tuple[int, int]:
+    if isinstance(x, bool) or not isinstance(x, int):
         raise TypeError("hash keys are integers or column names")
-    if isinstance(x, int):
-        return f"{int(x)}L"
-    return f"`{x}`"
+    return x & MASK, (x >> 31) & MASK
 
 
-def _sp_pmod(x: str) -> str:
-    return f"pmod(CAST({x} AS BIGINT), {P}L)"
+# ----------------------------------------------------------------- Spark SQL text
+# One expression string per hash: one ``F.expr`` call instead of dozens of Column round trips.
+def _sp_words(x) -> tuple[str, str]:
+    if isinstance(x, str):
+        return f"(CAST(`{x}` AS BIGINT) & {MASK}L)", f"(shiftright(CAST(`{x}` AS BIGINT), 31) & {MASK}L)"
+    lo, hi = _words(x)
+    return f"{lo}L", f"{hi}L"
 
 
 def _sp_mix(x: str) -> str:
@@ -94,21 +61,29 @@ def _sp_mix(x: str) -> str:
     return x
 
 
-def chain_expr_sql(*xs) -> str:
-    h = _sp_mix(_sp_pmod(_sp_arg(xs[0])))
-    for x in xs[1:]:
-        h = _sp_mix(f"({h}) ^ {_sp_pmod(_sp_arg(x))}")
+def _sp_chain(start: int, xs) -> str:
+    h = f"{start}L"
+    for x in xs:
+        for word in _sp_words(x):
+            h = _sp_mix(f"({h}) ^ {word}")
     return h
 
 
-def chain_expr(*xs) -> Column:
-    """Hash of a key tuple; keys are int literals or column names."""
-    return F.expr(chain_expr_sql(*xs))
+def wide_expr(*xs) -> Column:
+    """62-bit hash of a key tuple; keys are int literals or column names."""
+    one, two = (_sp_chain(s, xs) for s in STARTS)
+    return F.expr(f"(({one}) * {MASK + 1}L + ({two}))")
+
+
+def unit(wide: Column) -> Column:
+    """A 62-bit hash as a double in (0, 1)."""
+    low = wide.bitwiseAND(F.lit(MASK).cast("long")).cast("double")
+    return (F.shiftright(wide, 31).cast("double") + (low + F.lit(0.5)) / F.lit(float(P))) / F.lit(float(P))
 
 
 def uniform_expr(*xs) -> Column:
     """u in (0, 1) of a key tuple; keys are int literals or column names."""
-    return F.expr(f"((CAST({chain_expr_sql(*xs)} AS DOUBLE) + 0.5D) / {float(P)!r}D)")
+    return unit(wide_expr(*xs))
 
 
 # ----------------------------------------------------------------- numpy
@@ -118,52 +93,66 @@ def mix_np(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pmod_np(x) -> np.ndarray:
-    return np.mod(np.asarray(x, dtype=np.int64), P)
-
-
-def chain_np(*xs) -> np.ndarray:
-    h = mix_np(pmod_np(xs[0]))
-    for x in xs[1:]:
-        h = mix_np(h ^ pmod_np(x))
-    return h
+def wide_np(*xs) -> np.ndarray:
+    out = []
+    for start in STARTS:
+        h = np.int64(start)
+        for x in xs:
+            x = np.asarray(x, dtype=np.int64)
+            h = mix_np(h ^ (x & MASK))
+            h = mix_np(h ^ ((x >> 31) & MASK))
+        out.append(h)
+    return out[0] * (MASK + 1) + out[1]
 
 
-def unit_np(h: np.ndarray) -> np.ndarray:
-    return (h.astype(np.float64) + 0.5) / float(P)
+def unit_np(wide: np.ndarray) -> np.ndarray:
+    return ((wide >> 31).astype(np.float64) + ((wide & MASK).astype(np.float64) + 0.5) / float(P)) / float(P)
 
 
 def pair_unit_np(row_hash: np.ndarray, target_hash: np.ndarray) -> np.ndarray:
-    """Broadcasting form: row_hash[:, None] against target_hash[None, :],
-    where target_hash = mix_np(pmod_np(target_id))."""
-    return unit_np(mix_np(row_hash[:, None] ^ target_hash[None, :]))
+    """u of (row, target) from their 62-bit hashes, broadcasting."""
+    one = mix_np((row_hash >> 31) ^ (target_hash >> 31))
+    two = mix_np((row_hash & MASK) ^ (target_hash & MASK))
+    return unit_np(one * (MASK + 1) + two)
 
 
-# ----------------------------------------------------------------- SQL text
-def mix_sql(x: str) -> str:
+# ----------------------------------------------------------------- DuckDB SQL text
+def _mix_sql(left: str, right: str) -> str:
+    x = f"xor({left}, {right})"
     for k, a in ROUNDS:
-        x = f"((xor(CAST({x} AS BIGINT), {k}::BIGINT) * {a}::BIGINT + 1) % {P})"
+        x = f"((xor({x}, {k}::BIGINT) * {a}::BIGINT + 1) % {P})"
     return x
 
 
-def _pmod_sql(x: str) -> str:
-    return f"(((CAST({x} AS BIGINT) % {P}) + {P}) % {P})"
+def _words_sql(x) -> tuple[str, str]:
+    if isinstance(x, str):
+        return f"(CAST({x} AS BIGINT) & {MASK}::BIGINT)", f"((CAST({x} AS BIGINT) >> 31) & {MASK}::BIGINT)"
+    lo, hi = _words(x)
+    return f"{lo}::BIGINT", f"{hi}::BIGINT"
 
 
-def chain_sql(*xs) -> str:
-    h = mix_sql(_pmod_sql(str(xs[0])))
-    for x in xs[1:]:
-        h = mix_sql(f"xor({h}, {_pmod_sql(str(x))})")
+def _chain_sql(start: int, xs) -> str:
+    h = f"{start}::BIGINT"
+    for x in xs:
+        for word in _words_sql(x):
+            h = _mix_sql(h, word)
     return h
 
 
-def unit_sql(h: str) -> str:
-    return f"((CAST({h} AS DOUBLE) + 0.5::DOUBLE) / {float(P)!r}::DOUBLE)"
+def wide_sql(*xs) -> str:
+    one, two = (_chain_sql(s, xs) for s in STARTS)
+    return f"({one} * {MASK + 1}::BIGINT + {two})"
+
+
+def unit_sql(one: str, two: str) -> str:
+    p = f"{float(P)!r}::DOUBLE"
+    return f"((CAST({one} AS DOUBLE) + (CAST({two} AS DOUBLE) + 0.5::DOUBLE) / {p}) / {p})"
 
 
 def uniform_sql(*xs) -> str:
-    return unit_sql(chain_sql(*xs))
+    return unit_sql(*(_chain_sql(s, xs) for s in STARTS))
 
 
-def pair_unit_sql(row_hash: str, target_id: str) -> str:
-    return unit_sql(mix_sql(f"xor({row_hash}, {mix_sql(_pmod_sql(target_id))})"))
+def pair_unit_sql(row_keys: tuple, target_id: str) -> str:
+    """u of (row, target): ``row_keys`` are the keys of the row's hash."""
+    return unit_sql(*(_mix_sql(_chain_sql(s, row_keys), _chain_sql(s, (target_id,))) for s in STARTS))

@@ -1,4 +1,4 @@
-"""Vector expressions on ``array<double>`` columns.
+"""Vector expressions on ``array<double>`` columns.
 
 These are JVM-side higher-order-function expressions, used where only a
 bounded number of pairs is scored (aligned pairs, fill draws, in-batch loss).
@@ -13,11 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_double_array(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("array<double>")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -51,11 +46,6 @@ def clamp(c: Column, lo: float = 0.001, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
 
 
-def scaled(c: Column, scale: float) -> Column:
-    """Scale a similarity."""
-    return c * F.lit(float(scale))
-
-
 def weighted_sum(terms) -> Column:
     """sum_i w_i * v_i over aligned vectors, summed left to right;
     ``terms`` = [(weight Column, vector Column), ...] with at least two terms."""

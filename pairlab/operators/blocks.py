@@ -2,23 +2,22 @@
 
 Layout
 ------
-* Targets (a dictionary: ``corpus_id, text, embedding``) are packed into
-  blocks of at most ``target_block`` rows: ``groupBy(cb).applyInPandas``,
-  ``cb = corpus_id div target_block``. Groups are bounded by construction.
-* The left side (one row per anchor) is packed per partition into blocks of
-  at most ``left_block`` rows with ``mapInPandas`` -- no shuffle.
-* Each left block is paired with every target block by an *equi-join on the
-  block id* after ``explode(sequence(0, C-1))``. If the exact byte size of the
-  packed target matrix is below ``broadcast_limit`` the target blocks are
-  broadcast: the left side never moves and a left block meets all target
-  blocks inside one task, so the per-row result is final there. Above the
-  limit the pairs are laid on a G x H grid: left blocks go to one of G
-  groups and are copied to H target groups, target blocks go to one of H
-  groups and are copied to G left groups, and the equi-join on (left group,
-  target group) yields G*H bounded tasks. G and H minimise the copied
-  volume N*H + M*G. With H = 1 the per-row result is again final in-task;
-  otherwise each task emits a partial top-n and a window (planned as a
-  partial + final ``WindowGroupLimit``) merges the partials per row.
+* Both sides are packed where they lie: each partition is put in order and
+  cut into blocks of at most ``target_block`` / ``left_block`` rows by
+  ``mapInPandas``, without a shuffle. A block's number is its partition and
+  its place there, a left row's internal number its block and place, so
+  ids may be negative, sparse or repeated on either side. (Ordering makes
+  the blocks the same if a task runs again.)
+* If the exact byte size of the packed targets is below ``broadcast_limit``
+  they are broadcast: a left block meets all target blocks in consecutive
+  rows of one task, and its result is final there. Above the limit the pairs
+  are laid on a G x H grid: left blocks go to one of G groups and are copied
+  to H target groups, target blocks go to one of H groups and are copied to G
+  left groups, and the equi-join on (left group, target group) yields G*H
+  bounded tasks. G and H minimise the copied volume N*H + M*G. Each task
+  emits a partial top-n, and these are always merged by the left row's
+  internal number (a window planned as a partial and a final
+  ``WindowGroupLimit``), whatever tasks AQE makes of the join.
 * Inside a task the scores of a block pair are one float64 matrix product of
   unit vectors; only the selected entries (top-n by a key, or edges above a
   threshold) leave the task. The full N x M score set is never materialised
@@ -29,7 +28,7 @@ Selection keys (larger wins, ties by target id ascending)
   weighted  ln(u)/w with w the clamped score: Efraimidis-Spirakis keys, the
             n largest are a weighted draw without replacement
   uniform   -u: a uniform draw without replacement
-u comes from ``hashrand``: mix(row_hash xor mix(target_id)).
+u comes from ``hashrand.pair_unit_np`` of the 62-bit hashes of row and target id.
 
 Eligibility per (row, target): not excluded (target text equals the row's
 excluded text), ``score > above`` (strict, search), ``clamped >= min_score``,
@@ -49,18 +48,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
+from ..session import materialize
 
 CLAMP_LO, CLAMP_HI = 0.001, 1.0
 
-TARGET_BLOCK_SCHEMA = ("cb long, n int, ids binary, th binary, hh binary, "
+TARGET_BLOCK_SCHEMA = ("tb long, n int, ids binary, th binary, hh binary, "
                        "texts array<string>, vecs binary")
 LEFT_BLOCK_SCHEMA = ("lb long, n int, keys binary, vecs binary, xh binary, xv binary, "
                      "xt array<string>, lo binary, rh binary, xs_off binary, xs_h binary, "
                      "xs_t array<string>")
-TOP_SCHEMA = ("key long, n_eligible long, n_pool long, ids array<long>, "
+TOP_SCHEMA = ("uid long, key long, n_eligible long, n_pool long, ids array<long>, "
               "texts array<string>, raw array<double>, val array<double>")
 EDGE_SCHEMA = "key long, target_id long, text string, raw double"
 
+MAX_LEFT_BLOCK = 2048   # a row's internal number is its block's number times this plus its place
 DEFAULT_LEFT_BLOCK = 1024
 DEFAULT_TARGET_BLOCK = 2048
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
@@ -95,26 +96,34 @@ def _stack(vectors, dim: int) -> np.ndarray:
     return mat
 
 
-def _pack_targets_fn(dim: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("corpus_id", kind="mergesort")
-        ids = pdf["corpus_id"].to_numpy(np.int64)
-        mat = _unit_rows(_stack(pdf["embedding"].tolist(), dim))
-        hh = hr.mix_np(hr.pmod_np(ids))
-        return pd.DataFrame({
-            "cb": [int(pdf["cb"].iloc[0])], "n": [len(ids)],
-            "ids": [ids.tobytes()], "th": [pdf["th"].to_numpy(np.int64).tobytes()],
-            "hh": [hh.astype(np.int64).tobytes()], "texts": [pdf["text"].tolist()],
-            "vecs": [mat.tobytes()]})
+def _block_numbers():
+    """Numbers of this task's blocks: the partition's number, then a count."""
+    from pyspark import TaskContext
+    ctx = TaskContext.get()
+    n = (ctx.partitionId() if ctx is not None else 0) << 30
+    while True:
+        yield n
+        n += 1
+
+
+def _pack_targets_fn(dim: int, block: int):
+    def pack(batches):
+        numbers = _block_numbers()
+        for pdf in batches:
+            for start in range(0, len(pdf), block):
+                part = pdf.iloc[start:start + block]
+                ids = part["corpus_id"].to_numpy(np.int64)
+                mat = _unit_rows(_stack(part["embedding"].tolist(), dim))
+                yield pd.DataFrame({
+                    "tb": [next(numbers)], "n": [len(ids)], "ids": [ids.tobytes()],
+                    "th": [part["th"].to_numpy(np.int64).tobytes()], "hh": [hr.wide_np(ids).tobytes()],
+                    "texts": [part["text"].tolist()], "vecs": [mat.tobytes()]})
     return pack
 
 
 def _pack_left_fn(dim: int, block: int):
     def pack(batches):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        base = (ctx.partitionId() if ctx is not None else 0) << 32
-        counter = 0
+        numbers = _block_numbers()
         for pdf in batches:
             for start in range(0, len(pdf), block):
                 part = pdf.iloc[start:start + block]
@@ -123,7 +132,7 @@ def _pack_left_fn(dim: int, block: int):
                 mat = _unit_rows(_stack(part["vec"].tolist(), dim))
                 xv = part["xv"].to_numpy(bool)
                 xh = part["xh"].to_numpy(np.int64)
-                lo = part["lo"].astype("float64").fillna(-np.inf).to_numpy(np.float64)
+                lo = part["lo"].astype("float64").fillna(np.inf).to_numpy(np.float64)
                 rh = part["rh"].to_numpy(np.int64)
                 xt = [t if isinstance(t, str) else None for t in part["xt"].tolist()]
                 # extra excluded texts per row (J10), flattened with offsets
@@ -134,12 +143,11 @@ def _pack_left_fn(dim: int, block: int):
                 xs_h = np.asarray([h for x in part["xsh"].tolist() if x is not None for h in x],
                                   dtype=np.int64)
                 yield pd.DataFrame({
-                    "lb": [base + counter], "n": [n], "keys": [keys.tobytes()],
+                    "lb": [next(numbers)], "n": [n], "keys": [keys.tobytes()],
                     "vecs": [mat.tobytes()], "xh": [xh.tobytes()],
                     "xv": [xv.astype(np.uint8).tobytes()], "xt": [xt],
                     "lo": [lo.tobytes()], "rh": [rh.tobytes()], "xs_off": [off.tobytes()],
                     "xs_h": [xs_h.tobytes()], "xs_t": [xs_t]})
-                counter += 1
     return pack
 
 
@@ -147,9 +155,10 @@ def _pack_left_fn(dim: int, block: int):
 class _RowState:
     """Running top-n entries of one left block."""
 
-    __slots__ = ("keys", "n_elig", "n_pool", "r", "ids", "txt", "raw", "val")
+    __slots__ = ("lb", "keys", "n_elig", "n_pool", "r", "ids", "txt", "raw", "val")
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, lb: int, keys: np.ndarray):
+        self.lb = lb
         self.keys = keys
         self.n_elig = np.zeros(len(keys), dtype=np.int64)
         self.n_pool = np.zeros(len(keys), dtype=np.int64)
@@ -180,7 +189,7 @@ class _RowState:
             txt_l.append(list(self.txt[a:b]))
             raw_l.append(self.raw[a:b])
             val_l.append(self.val[a:b])
-        return pd.DataFrame({"key": self.keys, "n_eligible": self.n_elig, "n_pool": self.n_pool,
+        return pd.DataFrame({"uid": self.lb * MAX_LEFT_BLOCK + np.arange(nl), "key": self.keys, "n_eligible": self.n_elig, "n_pool": self.n_pool,
                              "ids": ids_l, "texts": txt_l, "raw": raw_l, "val": val_l})
 
 
@@ -240,11 +249,11 @@ def _selection_values(row, spec: KernelSpec, C, S, elig):
     rh = np.frombuffer(row["rh"], dtype=np.int64)
     hh = np.frombuffer(row["hh"], dtype=np.int64)
     if elig.mean() > 0.25:
-        u = hr.pair_unit_np(rh, hh)
+        u = hr.pair_unit_np(rh[:, None], hh[None, :])
     else:
         u = np.full(elig.shape, 0.5)
         rr, cc = np.nonzero(elig)
-        u[rr, cc] = hr.unit_np(hr.mix_np(rh[rr] ^ hh[cc]))
+        u[rr, cc] = hr.pair_unit_np(rh[rr], hh[cc])
     if spec.mode == "weighted":
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.log(u) / C
@@ -253,12 +262,11 @@ def _selection_values(row, spec: KernelSpec, C, S, elig):
     raise ValueError(f"unknown kernel mode {spec.mode!r}")
 
 
-def _kernel_fn(spec: KernelSpec, dim: int, final: bool):
+def _kernel_fn(spec: KernelSpec, dim: int):
     n = spec.n
 
     def run(batches):
         current_lb, state = None, None
-        flushed = set()
 
         for pdf in batches:
             for row in pdf.to_dict("records"):
@@ -274,13 +282,9 @@ def _kernel_fn(spec: KernelSpec, dim: int, final: bool):
                     continue
                 if lb != current_lb:
                     if state is not None:
-                        if final:
-                            if current_lb in flushed:
-                                raise RuntimeError("left block seen twice in one task")
-                            flushed.add(current_lb)
                         yield state.frame()
                     current_lb = lb
-                    state = _RowState(np.frombuffer(row["keys"], dtype=np.int64).copy())
+                    state = _RowState(lb, np.frombuffer(row["keys"], dtype=np.int64).copy())
                 S, C, pool, elig, ids = _score_block(row, spec, dim)
                 state.n_pool += pool.sum(axis=1)
                 state.n_elig += elig.sum(axis=1)
@@ -307,7 +311,6 @@ def _kernel_fn(spec: KernelSpec, dim: int, final: bool):
 @dataclass(frozen=True)
 class TargetStats:
     count: int
-    max_id: int
     dim: int
     text_bytes: int
 
@@ -317,20 +320,20 @@ class TargetStats:
 
 
 def target_stats(targets: DataFrame) -> TargetStats:
-    row = targets.agg(F.count(F.lit(1)).alias("n"), F.max("corpus_id").alias("mx"),
-                      F.max(F.size("embedding")).alias("d"),
+    row = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
                       F.sum(F.octet_length("text")).alias("tb")).collect()[0]
-    return TargetStats(int(row["n"] or 0), int(row["mx"] if row["mx"] is not None else -1),
-                       int(row["d"] or 0), int(row["tb"] or 0))
+    return TargetStats(int(row["n"] or 0), int(row["d"] or 0), int(row["tb"] or 0))
 
 
-def pack_targets(targets: DataFrame, dim: int, block: int) -> DataFrame:
+def pack_targets(targets: DataFrame, dim: int, block: int, count: int) -> DataFrame:
+    """Blocks of at most ``block`` targets, packed where they lie. A small table lies in too many
+    partitions; they are put together (no shuffle) so that blocks are full."""
     t = targets.select(
         F.col("corpus_id").cast("long").alias("corpus_id"), "text",
-        F.col("embedding").cast("array<double>").alias("embedding"),
-        F.xxhash64("text").alias("th"),
-        F.floor(F.col("corpus_id") / F.lit(block)).cast("long").alias("cb"))
-    return t.groupBy("cb").applyInPandas(_pack_targets_fn(dim), TARGET_BLOCK_SCHEMA)
+        F.col("embedding").cast("array<double>").alias("embedding"), F.xxhash64("text").alias("th"))
+    if count <= block * 64:
+        t = t.coalesce(max(1, -(-count // block)))
+    return t.sortWithinPartitions("corpus_id", "text").mapInPandas(_pack_targets_fn(dim, block), TARGET_BLOCK_SCHEMA)
 
 
 def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
@@ -379,7 +382,7 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     dim = stats.dim
     _bound_arrow_batches(spark)
     # block rows shrink with the dimension so a packed block stays ~8-16 MB
-    left_block = left_block or max(64, min(DEFAULT_LEFT_BLOCK, (8 << 20) // (8 * max(dim, 1))))
+    left_block = min(MAX_LEFT_BLOCK, left_block) if left_block else max(64, min(DEFAULT_LEFT_BLOCK, (8 << 20) // (8 * max(dim, 1))))
     target_block = target_block or max(128, min(DEFAULT_TARGET_BLOCK, (16 << 20) // (8 * max(dim, 1))))
     # Spread the anchors evenly before the compute-heavy kernel. An explicit
     # partition count is kept by AQE (a small upstream shuffle would otherwise
@@ -388,28 +391,22 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     parts = min_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                                   spark.sparkContext.defaultParallelism)
     if not left_spread:
-        lf = lf.repartition(parts, "key")
-    n_blocks = stats.max_id // target_block + 1
-    tblocks = pack_targets(targets, dim, target_block).select(
-        "cb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"))
-    lblocks = lf.mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
-    if stats.packed_bytes() <= broadcast_limit:
-        # always a generated block id: a literal id would be constant-folded and
-        # turn the equi-join into a nested-loop (cross) join
-        lblocks = lblocks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                F.lit(n_blocks - 1).cast("long"))))
+        lf = lf.repartition(parts)
     local = stats.packed_bytes() <= broadcast_limit
+    if not local:
+        lf = materialize(lf)      # counted and packed: read once from the checkpoint folder
+    tblocks = pack_targets(targets, dim, target_block, stats.count).select(
+        "tb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"))
+    lblocks = lf.sortWithinPartitions("key").mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
     if local:
-        paired = lblocks.join(F.broadcast(tblocks), "cb")
-        final = True
+        paired = _grid_pairs(lblocks, tblocks, 1, 1, send=True)
     else:
-        paired, final = _grid_pairs(lf, lblocks, tblocks, stats, left_block, target_block, grid_tasks)
+        tasks = grid_tasks or parts
+        paired = _grid_pairs(lblocks, tblocks, *grid_shape(lf.count(), stats.count, left_block, target_block, tasks))
     if spec.mode == "edges":
-        return paired.mapInPandas(_kernel_fn(spec, dim, True), EDGE_SCHEMA)
-    out = paired.mapInPandas(_kernel_fn(spec, dim, final), TOP_SCHEMA)
-    if final:
-        return out
-    return merge_partials(out, spec.n)
+        return paired.mapInPandas(_kernel_fn(spec, dim), EDGE_SCHEMA)
+    out = paired.mapInPandas(_kernel_fn(spec, dim), TOP_SCHEMA)
+    return out.drop("uid") if local else merge_partials(out, spec.n)
 
 
 def grid_shape(n_left: int, n_targets: int, left_block: int, target_block: int,
@@ -427,18 +424,13 @@ def grid_shape(n_left: int, n_targets: int, left_block: int, target_block: int,
     return g, h
 
 
-def _grid_pairs(lf, lblocks, tblocks, stats, left_block, target_block, grid_tasks):
-    spark = lf.sparkSession
-    tasks = grid_tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism)
-    n_left = lf.count()
-    g, h = grid_shape(n_left, stats.count, left_block, target_block, tasks)
-    lg = lblocks.withColumn("lg", F.pmod(F.xxhash64("lb"), F.lit(g))) \
-                .withColumn("tg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(h - 1).cast("long"))))
-    tg = tblocks.withColumn("tg", F.pmod(F.col("cb"), F.lit(h))) \
-                .withColumn("lg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))))
-    # one target group per left block when h == 1: per-row results are final in-task
-    return lg.drop("cb").join(tg, ["lg", "tg"]), h == 1
+def _grid_pairs(lblocks: DataFrame, tblocks: DataFrame, g: int, h: int, send: bool = False) -> DataFrame:
+    """Every left block with every target block, by an equi-join on (left group, target group). The groups are
+    computed values: a literal would be folded and turn the join into a nested loop."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    lg = lblocks.withColumn("lg", F.pmod(F.xxhash64("lb"), F.lit(g).cast("long"))).withColumn("tg", every(h))
+    tg = tblocks.withColumn("tg", F.pmod(F.xxhash64("tb"), F.lit(h).cast("long"))).withColumn("lg", every(g))
+    return lg.join(F.broadcast(tg) if send else tg, ["lg", "tg"])
 
 
 ARROW_BATCH_BYTES = 64 * 1024 * 1024
@@ -469,17 +461,17 @@ def _bound_arrow_batches(spark) -> None:
 
 
 def merge_partials(parts: DataFrame, n: int) -> DataFrame:
-    """Combine per-target-block partial results of the same left row."""
-    counts = parts.groupBy("key").agg(F.sum("n_eligible").alias("n_eligible"),
+    """Combine partial results of the same left row (its internal number)."""
+    counts = parts.groupBy("uid").agg(F.first("key").alias("key"), F.sum("n_eligible").alias("n_eligible"),
                                       F.sum("n_pool").alias("n_pool"))
-    ent = parts.select("key", F.explode(F.arrays_zip("ids", "texts", "raw", "val")).alias("e")) \
-               .select("key", F.col("e.ids").alias("id"), F.col("e.texts").alias("text"),
+    ent = parts.select("uid", F.explode(F.arrays_zip("ids", "texts", "raw", "val")).alias("e")) \
+               .select("uid", F.col("e.ids").alias("id"), F.col("e.texts").alias("text"),
                        F.col("e.raw").alias("raw"), F.col("e.val").alias("val"))
-    w = Window.partitionBy("key").orderBy(F.desc("val"), F.asc("id"))
+    w = Window.partitionBy("uid").orderBy(F.desc("val"), F.asc("id"), F.asc("text"))
     top = ent.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n)
-    packed = top.groupBy("key").agg(F.array_sort(F.collect_list(
+    packed = top.groupBy("uid").agg(F.array_sort(F.collect_list(
         F.struct("rk", "id", "text", "raw", "val"))).alias("es"))
-    return counts.join(packed, "key", "left").select(
+    return counts.join(packed, "uid", "left").select(
         "key", "n_eligible", "n_pool",
         F.coalesce(F.transform("es", lambda e: e["id"]), F.array().cast("array<long>")).alias("ids"),
         F.coalesce(F.transform("es", lambda e: e["text"]), F.array().cast("array<string>")).alias("texts"),

@@ -1,10 +1,10 @@
-"""Distributed global ordering helpers (reader positions, A11 mid-ranks).
+"""Distributed global ordering helpers (reader positions, fill draws, A11 mid-ranks).
 
 A global ``row_number()`` without a partition key runs in one task; here the
-rows are range-partitioned on a unique sort key, each partition numbers its
-rows locally (``mapInPandas``, streaming), and per-partition counts -- one
-row per partition, so bounded by the partition count, not the data -- give
-the offsets, joined back by broadcast.
+rows are range-partitioned on a unique sort key, each row's partition and
+place there come from ``monotonically_increasing_id``, and per-partition
+counts -- one row per partition, so bounded by the partition count, not the
+data -- give the offsets, joined back by broadcast.
 
 The numbered frame is checkpointed into the session's checkpoint folder so
 that the partition assignment is frozen: a lost executor re-reads it instead
@@ -21,38 +21,21 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 
-def _local_index(batches):
-    from pyspark import TaskContext
-    ctx = TaskContext.get()
-    pid = ctx.partitionId() if ctx is not None else 0
-    seen = 0
-    for pdf in batches:
-        n = len(pdf)
-        pdf = pdf.copy()
-        pdf["_pid"] = np.int32(pid)
-        pdf["_local"] = np.arange(seen, seen + n, dtype=np.int64)
-        seen += n
-        yield pdf
-
-
 def with_global_index(df: DataFrame, order_cols: list[str], out: str = "idx",
-                      partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
-    """Add a 0-based global position by ``order_cols`` (which must be unique)."""
+                      partitions: int | None = None) -> DataFrame:
+    """Add a 0-based global position by ``order_cols`` (rows equal in them are numbered in any order)."""
     spark = df.sparkSession
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
-    schema = T.StructType(ordered.schema.fields + [
-        T.StructField("_pid", T.IntegerType(), False), T.StructField("_local", T.LongType(), False)])
-    numbered = ordered.mapInPandas(_local_index, schema)
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        numbered = numbered.checkpoint(eager=True)
+    ensure_checkpoint_dir(spark)
+    numbered = ordered.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    numbered = numbered.withColumn("_pid", F.shiftright("_mid", 33))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+            .withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off"))
 
 
 def exclusive_prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
