@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed values of the schedule.
 BETA_START = 0.5
 BETA_STEP = 0.015
@@ -49,10 +51,21 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
               start: float = BETA_START, step: float = BETA_STEP) -> DataFrame:
     """A5: one row ``alpha, beta, kept, positives, precision, reached`` per
     alpha (``alpha`` may be a float or a list of floats). The data is reduced
-    once; every alpha scans the same <= 40 bucket counts."""
-    spark = scored.sparkSession
+    once; every alpha scans the same bucket counts. The ladder goes past the
+    largest score (cosines need about 40 steps; scores above 1 more).
+
+    Rows without a score are left out; ``prepare_epoch`` refuses them."""
     alphas = [float(alpha)] if isinstance(alpha, (int, float)) else [float(a) for a in alpha]
-    ladder = beta_ladder(start, step)
+    counts, ladder = _ladder_counts(scored, sim, label, start, step, LADDER_CEILING)
+    top = counts.agg(F.max("most")).first()[0]
+    if top is not None and top > LADDER_CEILING:
+        counts, ladder = _ladder_counts(scored, sim, label, start, step, top)
+    return _scan_ladder(counts, ladder, alphas, start)
+
+
+def _ladder_counts(scored: DataFrame, sim: str, label: str, start: float, step: float, ceiling: float):
+    """(rows ``i, cnt, pos, most`` by the last ladder step a score survives, ladder up to ``ceiling``)."""
+    ladder = beta_ladder(start, step, ceiling)
     # literal arrays as one SQL expression (one call; repr() round-trips doubles exactly)
     lad = F.expr("array(" + ", ".join(f"{float(b)!r}D" for b in ladder) + ")")
     base = scored.select(F.col(sim).cast("double").alias("s"), F.col(label).cast("double").alias("y")) \
@@ -68,7 +81,14 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
     g = F.when((g >= 0) & (at(F.greatest(g, F.lit(0))) > F.col("s")), g - 1).otherwise(g)
     bucket = g
     counts = base.groupBy(bucket.alias("i")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum(F.when(F.col("y") == 1.0, 1).otherwise(0)).alias("pos"))
+        F.count(F.lit(1)).alias("cnt"), F.sum(F.when(F.col("y") == 1.0, 1).otherwise(0)).alias("pos"),
+        F.max("s").alias("most"))
+    return materialize(counts), ladder
+
+
+def _scan_ladder(counts: DataFrame, ladder: list[float], alphas: list[float], start: float) -> DataFrame:
+    spark = counts.sparkSession
+    lad = F.expr("array(" + ", ".join(f"{float(b)!r}D" for b in ladder) + ")")
     # the (alpha, step) grid is generated JVM-side: range over steps x posexplode(alphas)
     steps = spark.range(-1, len(ladder)).select(
         F.col("id").cast("int").alias("i"),
@@ -99,9 +119,20 @@ def tune_beta(scored: DataFrame, alpha, sim: str = "score", label: str = "label"
                       F.col("hit").isNotNull().alias("reached")).drop("ai")
 
 
+# Defaults of the five recipes: sampling method, hard queries, hard candidates.
+RECIPES = {
+    "bidirectional": ("multinomial", 10, 3),
+    "one_way": ("multinomial_with_E-FN", 0, 3),
+    "contrastive": ("topK", 0, 1),
+    "sentence": ("topK", 0, 1),
+    "triplet": ("topK", 0, 1),
+}
+BATCH_HARD, BATCH_EASY = 32, 64
+
+
 @dataclass(frozen=True)
 class EpochConfig:
-    """Per-epoch hyper-parameters of the bidirectional recipe."""
+    """Hyper-parameters of one epoch of a recipe (a key of ``RECIPES``)."""
     epoch: int = 0
     num_hard_negative_queries: int = 10
     num_hard_negative_candidates: int = 3
@@ -109,6 +140,8 @@ class EpochConfig:
     max_seq_length: int = 32
     sampling_method: str = "multinomial"
     seed: int = 0
+    recipe: str = "bidirectional"
+    use_hard_negative: bool = True
     extra: dict = field(default_factory=dict)
 
     @property
@@ -121,13 +154,25 @@ class EpochConfig:
         return 0.0 if self.epoch == 0 else 0.5
 
     def effective_beta(self, tuned: float) -> float:
-        """Epoch 0 mines with beta = 1 whatever was tuned (the log keeps the tuned value)."""
-        return 1.0 if self.epoch == 0 else tuned
+        """Epoch 0 mines with beta = 1 whatever was tuned (the log keeps the tuned value); so do easy negatives."""
+        return tuned if self.epoch > 0 and self.use_hard_negative else 1.0
 
     @classmethod
     def for_epoch(cls, epoch: int, **kw) -> "EpochConfig":
+        """The bidirectional recipe's defaults."""
         return cls(epoch=epoch, **kw)
 
+    @classmethod
+    def for_recipe(cls, recipe: str, epoch: int, use_hard_negative: bool = True, **kw) -> "EpochConfig":
+        """A recipe's defaults; without hard negatives the batch is 64 and the one-way recipe has none at all."""
+        method, queries, candidates = RECIPES[recipe]
+        if recipe == "one_way" and not use_hard_negative:
+            candidates = 0
+        defaults = dict(recipe=recipe, use_hard_negative=use_hard_negative, sampling_method=method,
+                        num_hard_negative_queries=queries, num_hard_negative_candidates=candidates,
+                        train_batch_size=BATCH_HARD if use_hard_negative else BATCH_EASY)
+        return cls(epoch=epoch, **(defaults | kw))
+
     @staticmethod
     def batch_plan(n_batches: int) -> dict:
         """Trainer metadata -- evaluate every ceil(25 %) of the batches,

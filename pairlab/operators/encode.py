@@ -9,7 +9,7 @@ once, then joined back, so repeated texts cost nothing extra.
 P2, mean pooling, averages token vectors over a document's tokens: tokens
 are counted per (document, token) first -- a partial aggregation that
 shrinks the data to the per-document vocabulary -- then joined to the
-token-vector table and averaged with ``Summarizer.mean`` weighted by the
+token-vector table (hot tokens by broadcast) and averaged with ``Summarizer.mean`` weighted by the
 counts (JVM side, bounded state per group). Tokens without a vector are
 dropped; a document with none gets the zero vector.
 
@@ -28,10 +28,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed values of the built-in encoder: trigram hash multipliers and default width.
 TRI_A, TRI_B, TRI_C = 1000003, 10007, 101
 DEFAULT_DIM = 256
 TOKEN_PATTERN = r"\s+"
+#: Documents of a token from which it counts as hot, and bytes of vectors of hot tokens that are broadcast.
+HOT_DOCS, HOT_BYTES = 10_000, 64 << 20
 
 
 def trigram_vector(text: str | None, dim: int = DEFAULT_DIM) -> np.ndarray:
@@ -80,7 +84,18 @@ def mean_pool(docs: DataFrame, key: str, text_col: str, token_vectors: DataFrame
     dim = int(dim_row["d"] or 0)
     tok = docs.select(key, F.explode(tokens(F.col(text_col), max_tokens)).alias("token"))
     counts = tok.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    known = counts.join(token_vectors.select("token", array_to_vector("embedding").alias("v")), "token")
+    vectors = token_vectors.select("token", array_to_vector("embedding").alias("v"))
+    # a token of very many documents is one hot join key: such tokens (at most rows / HOT_DOCS of them) are
+    # broadcast while their vectors fit, the others are joined by key
+    counts = materialize(counts)
+    hot = materialize(counts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= HOT_DOCS)
+                      .select("token"))
+    if 0 < hot.count() * dim * 8 <= HOT_BYTES:
+        of_hot = counts.join(F.broadcast(vectors.join(F.broadcast(hot), "token")), "token")
+        of_rest = counts.join(F.broadcast(hot), "token", "left_anti").join(vectors, "token")
+        known = of_hot.unionByName(of_rest)
+    else:
+        known = counts.join(vectors, "token")
     pooled = known.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("cnt")).alias("m"),
                                     F.sum("cnt").cast("long").alias("n_tokens"))
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -2,8 +2,10 @@
 
 An instance is ``instance_id, row_id, texts array<string>, label double``.
 Rows whose mining came back short are handled by ``on_short``:
-``drop`` (default; returned separately), ``keep`` (shorter arrays) or
-``error``.
+``drop`` (default; returned separately), ``keep`` (shorter arrays), ``fill``
+(I3-I5: a uniform negative in the place of the missing hard one) or
+``error``. In I3 and I4 the labelled pair itself stays in any case; only its
+missing negative is left out.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def _apply_short(inst: DataFrame, short: DataFrame, on_short: str) -> InstanceRe
             raise ValueError("some rows have fewer negatives than requested")
         return InstanceResult(inst, short)
     if on_short != "drop":
-        raise ValueError("on_short must be 'drop', 'keep' or 'error'")
+        raise ValueError("on_short must be 'drop', 'keep' or 'error' ('fill' too for one negative a row)")
     return InstanceResult(inst.join(short.select("row_id"), "row_id", "left_anti"), short)
 
 
@@ -49,7 +51,7 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
                     candidate_vectors: DataFrame, *, method: str = "multinomial",
                     num_hard_negative_queries: int = 10, num_hard_negative_candidates: int = 3,
                     positive_threshold: float = 0.5, beta: float = 1.0, seed: int = 0, epoch: int = 0,
-                    use_hard_negative: bool = True, on_short: str = "drop",
+                    use_hard_negative: bool = True, on_short: str = "drop", encoder=None,
                     **kernel_opts) -> InstanceResult:
     """I1-I6. ``pairs``: ``row_id, text1, text2, label``."""
     if kind not in KINDS:
@@ -59,7 +61,8 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         pairs = materialize(pairs)
         query_vectors = materialize_dictionary(query_vectors)
         candidate_vectors = materialize_dictionary(candidate_vectors)
-    common = dict(positive_threshold=positive_threshold, beta=beta, seed=seed, epoch=epoch, **kernel_opts)
+    common = dict(positive_threshold=positive_threshold, beta=beta, seed=seed, epoch=epoch, encoder=encoder,
+                  **kernel_opts)
 
     if kind == "validation":                                           # I6
         inst = pairs.select(F.col("row_id").alias("instance_id"), "row_id",
@@ -111,6 +114,12 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         neg = easy_negatives(pairs, candidate_vectors, seed=seed, epoch=epoch) \
             .select("row_id", F.col("text").alias("neg"))
         short = pairs.join(neg, "row_id", "left_anti").select("row_id", F.lit("empty_pool").alias("reason"))
+    if on_short == "fill":
+        lost = pairs.join(neg, "row_id", "left_anti")
+        spare = easy_negatives(lost, candidate_vectors, seed=seed, epoch=epoch, stream=hr.STREAM_SHORT)
+        neg = materialize(neg.unionByName(spare.select("row_id", F.col("text").alias("neg"))))
+        short = pairs.join(neg, "row_id", "left_anti").select("row_id", F.lit("empty_pool").alias("reason"))
+        on_short = "drop"      # what is left has no other candidate at all
     joined = pairs.join(neg, "row_id", "left")
     if kind == "triplet":                                              # I5
         inst = joined.select(F.col("row_id").alias("instance_id"), "row_id",
@@ -123,8 +132,8 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
     negs = joined.filter(F.col("neg").isNotNull()).select(
         (F.col("row_id") * 2 + 1).alias("instance_id"), "row_id",
         F.array("text1", "neg").alias("texts"), F.lit(0.0).alias("label"))
-    res_short = _apply_short(pos.unionByName(negs), short, on_short)
-    return res_short
+    res = _apply_short(negs, short, on_short)
+    return InstanceResult(pos.unionByName(res.instances), res.dropped)
 
 
 def assign_batches(instances: DataFrame, batch_size: int = 32, seed: int = 0, epoch: int = 0,
@@ -132,15 +141,15 @@ def assign_batches(instances: DataFrame, batch_size: int = 32, seed: int = 0, ep
     """Shuffle by a keyed hash and cut consecutive groups of ``batch_size``
     (the last batch may be short). Adds ``batch_id long, pos int``.
 
-    The order (hash, id) is global but never sorted in one task: the hash is
-    uniform on [0, P), so ``floor(hash * B / P)`` splits it into B ordered,
-    evenly filled buckets without sampling. Rows are numbered inside their
+    The order (hash, id) is global but never sorted in one task: the hash's
+    leading word is uniform on [0, P), so ``floor(word * B / P)`` splits it into
+    B ordered, evenly filled buckets without sampling. Rows are numbered inside their
     bucket by a window, and per-bucket counts (B rows) give the offsets."""
     spark = instances.sparkSession
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                         spark.sparkContext.defaultParallelism)
-    keyed = (instances.withColumn("_bk", hr.chain_expr(seed, epoch, hr.STREAM_BATCH, id_col))
-             .withColumn("_b", F.floor(F.col("_bk") * F.lit(float(nb)) / F.lit(float(hr.P))).cast("int")))
+    keyed = (instances.withColumn("_bk", hr.wide_expr(seed, epoch, hr.STREAM_BATCH, id_col))
+             .withColumn("_b", F.floor(F.shiftright("_bk", 31) * F.lit(float(nb)) / F.lit(float(hr.P))).cast("int")))
     local = F.row_number().over(Window.partitionBy("_b").orderBy("_bk", id_col)) - 1
     numbered = keyed.withColumn("_local", local)
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))

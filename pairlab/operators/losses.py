@@ -47,19 +47,29 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _batch_loss_fn(n_hard_queries: int, scale: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["pos"].max()) + 1
-        dim = len(pdf["vec"].iloc[0])
-        anchors = pdf[pdf["side"] == 0].sort_values(["blk", "pos"])
-        cands = pdf[pdf["side"] == 1].sort_values(["blk", "pos"])
+        # an instance with a text that has no vector, or with fewer texts than the others, is left out as a
+        # whole, so that the rest stays aligned; its row comes back with null losses
+        known = pdf["vec"].notna()
+        n = known.groupby(pdf["pos"]).agg(["size", "sum"])
+        whole = np.sort(n.index[(n["size"] == n["size"].max()) & (n["size"] == n["sum"])].to_numpy())
+        every = np.sort(n.index.to_numpy())
+        out = pd.DataFrame({"batch_id": np.full(len(every), int(pdf["batch_id"].iloc[0]), dtype=np.int64),
+                            "pos": every.astype(np.int32), "forward": np.nan, "backward": np.nan})
+        if not len(whole):
+            return out
+        part = pdf[pdf["pos"].isin(whole)]
+        b, dim = len(whole), len(part["vec"].iloc[0])
+        anchors = part[part["side"] == 0].sort_values(["blk", "pos"])
+        cands = part[part["side"] == 1].sort_values(["blk", "pos"])
         A = _unit(np.vstack(anchors["vec"].to_numpy()).reshape(-1, dim).astype(np.float64))
         C = _unit(np.vstack(cands["vec"].to_numpy()).reshape(-1, dim).astype(np.float64))
         S = scale * (A @ C.T)                       # ((Hq+1)B) x ((Hc+1)B)
         idx = np.arange(b)
         diag = S[idx, idx]
-        fwd = _lse(S[:b, :], axis=1) - diag         # true query i vs all candidates
-        bwd = _lse(S[:, :b], axis=0) - diag         # true candidate j vs all anchors
-        return pd.DataFrame({"batch_id": np.full(b, int(pdf["batch_id"].iloc[0]), dtype=np.int64),
-                             "pos": idx.astype(np.int32), "forward": fwd, "backward": bwd})
+        kept = out["pos"].isin(whole).to_numpy()
+        out.loc[kept, "forward"] = _lse(S[:b, :], axis=1) - diag    # true query i vs all candidates
+        out.loc[kept, "backward"] = _lse(S[:, :b], axis=0) - diag   # true candidate j vs all anchors
+        return out
     return fn
 
 
@@ -72,12 +82,12 @@ def _exploded_vectors(batched: DataFrame, query_vectors: DataFrame, candidate_ve
                    F.when(F.col("idx") <= hq, F.col("idx")).otherwise(F.col("idx") - hq - 1).alias("blk"))
     qv = vector_lookup(query_vectors).select("text", F.lit(0).alias("side"), F.col("embedding").alias("vec"))
     cv = vector_lookup(candidate_vectors).select("text", F.lit(1).alias("side"), F.col("embedding").alias("vec"))
-    return ex.join(qv.unionByName(cv), ["text", "side"])
+    return ex.join(qv.unionByName(cv), ["text", "side"], "left")
 
 
 def in_batch_row_losses(batched: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,
                         n_hard_queries: int, scale: float = 20.0) -> DataFrame:
-    """A6 per row: ``batch_id, pos, forward, backward``.
+    """A6 per row: ``batch_id, pos, forward, backward`` (null for an instance with a text without a vector).
 
     ``batched``: ``batch_id, pos, texts`` (W5 output over I1/I2 instances)."""
     vec = _exploded_vectors(batched, query_vectors, candidate_vectors, n_hard_queries)
@@ -90,7 +100,7 @@ def bidirectional_loss(batched: DataFrame, query_vectors: DataFrame, candidate_v
     """A6 per batch: ``batch_id, n, forward, backward, loss``."""
     rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, n_hard_queries, scale)
     return rows.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("forward").alias("forward"),
+        F.count("forward").alias("n"), F.avg("forward").alias("forward"),
         F.avg("backward").alias("backward")).withColumn(
         "loss", (F.col("forward") + F.col("backward")) / 2.0)
 
@@ -99,7 +109,7 @@ def one_way_loss(batched: DataFrame, query_vectors: DataFrame, candidate_vectors
                  scale: float = 20.0) -> DataFrame:
     """A7 per batch: ``batch_id, n, loss`` (forward half, no hard queries)."""
     rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, 0, scale)
-    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.avg("forward").alias("loss"))
+    return rows.groupBy("batch_id").agg(F.count("forward").alias("n"), F.avg("forward").alias("loss"))
 
 
 def _pair_vectors(inst: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,

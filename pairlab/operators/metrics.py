@@ -6,13 +6,15 @@ n_queries x n_candidates matrix is ever built.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import exclusive_prefix_sum
 from .similarity import first_position
+from ..session import materialize
+
+#: Distinct labels whose ranks are broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 100_000
 
 
 # -------------------------------------------------------------- set metrics
@@ -57,12 +59,17 @@ def ndcg_per_query(hits: DataFrame, testing: DataFrame, dictionary: DataFrame,
                    n_candidates: int, k: int = 5, key: str = "query_id") -> DataFrame:
     """A4: NDCG@k per query with averaged ties, as defined in SURVEY 2.12.
 
-    hits: ``key, rank, text, score``; testing: ``key, labels``; dictionary:
+    hits: ``key, rank, corpus_id, text, score``; testing: ``key, labels``; dictionary:
     ``corpus_id, text``. Every test query gets a row (no gold -> 0)."""
     firsts = first_position(dictionary).withColumnRenamed("corpus_id", "pos")
     # hits resolve to the first position of their text; a later hit overwrites
-    hp = (hits.join(firsts, "text")
-          .groupBy(key, "pos").agg(F.max_by("score", "rank").alias("score")))
+    if "corpus_id" in hits.columns:
+        # by id, and only for entries that repeat an earlier one's text: a hub entry is no join key
+        later = dictionary.join(firsts, "text").filter("corpus_id <> pos").select("corpus_id", "pos")
+        hp = hits.join(later, "corpus_id", "left").withColumn("pos", F.coalesce("pos", "corpus_id"))
+    else:
+        hp = hits.join(firsts, "text")
+    hp = hp.groupBy(key, "pos").agg(F.max_by("score", "rank").alias("score"))
     gold = gold_rows(testing, key).join(firsts, "text").select(key, "pos").distinct()  # J7
     hp = hp.join(gold.withColumn("rel", F.lit(1)), [key, "pos"], "left") \
            .withColumn("rel", F.coalesce("rel", F.lit(0)))
@@ -110,38 +117,27 @@ def similarity_correlation(scored: DataFrame, sim: str = "score", label: str = "
     counts (no single-partition sort)."""
     base = scored.select(F.col(sim).cast("double").alias("x"), F.col(label).cast("double").alias("y")) \
                  .filter(~F.isnan("x") & F.col("x").isNotNull() & F.col("y").isNotNull())
-    rx = _mid_ranks(base, "x")
-    ry = _mid_ranks(base, "y")
-    with_ranks = base.join(rx, "x").join(ry, "y")
-    return with_ranks.agg(F.corr("x", "y").alias("pearson"),
-                          F.corr("x_rank", "y_rank").alias("spearman"))
+    # equal pairs are counted first, so a label shared by half of all rows is one row per score
+    cells = materialize(base.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    ranked = cells.join(_mid_ranks(cells, "x"), "x")
+    ry = materialize(_mid_ranks(cells, "y"))
+    ranked = ranked.join(F.broadcast(ry) if ry.count() <= BROADCAST_LABELS else ry, "y")
+    return ranked.agg(_weighted_corr("x", "y").alias("pearson"),
+                      _weighted_corr("x_rank", "y_rank").alias("spearman"))
+
+
+def _weighted_corr(a: str, b: str) -> Column:
+    """Pearson correlation of ``a`` and ``b``, each row counted ``n`` times; null without variance."""
+    n, x, y = F.col("n"), F.col(a), F.col(b)
+    total, sx, sy = F.sum(n), F.sum(n * x), F.sum(n * y)
+    cov = F.sum(n * x * y) - sx * sy / total
+    vx, vy = F.sum(n * x * x) - sx * sx / total, F.sum(n * y * y) - sy * sy / total
+    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 
 def _mid_ranks(df: DataFrame, col: str) -> DataFrame:
     """distinct value -> mid-rank = (#smaller values) + (ties + 1) / 2, with a
     distributed prefix sum over the per-value counts."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    counts = df.groupBy(col).agg(F.sum("n").alias("_n"))
     below = exclusive_prefix_sum(counts, col, "_n", "_below")
     return below.select(col, (F.col("_below") + (F.col("_n") + 1.0) / 2.0).alias(f"{col}_rank"))
-
-
-def ndcg_reference_python(hits, gold, m, k=5):
-    """Plain-Python NDCG@k for one query (test helper, same definition).
-
-    hits: list of (position, score) with distinct positions; gold: set of positions."""
-    scores = [0.0] * m
-    for pos, s in hits:
-        scores[pos] = s
-    rel = [1 if i in gold else 0 for i in range(m)]
-    order = sorted(range(m), key=lambda i: -scores[i])
-    disc = [1 / math.log2(p + 1) if p <= k else 0.0 for p in range(1, m + 1)]
-    dcg, i = 0.0, 0
-    while i < m:
-        j = i
-        while j + 1 < m and scores[order[j + 1]] == scores[order[i]]:
-            j += 1
-        grp = order[i:j + 1]
-        dcg += sum(rel[g] for g in grp) / len(grp) * sum(disc[i:j + 1])
-        i = j + 1
-    ideal = sum(disc[:min(k, len(gold))])
-    return dcg / ideal if ideal > 0 else 0.0

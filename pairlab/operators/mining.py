@@ -27,12 +27,13 @@ first, as a stable sort over the appended list would.
 
 Execution: one block-kernel pass per direction yields, per row, L, the pool
 size and the best n eligible entries under the method's key -- the N x M
-scores are never shuffled, even at threshold 0. Fill draws are keyed hashes
-of (seed, epoch, stream, row, slot, attempt) mapped to positions of the
-dictionary and rejected while they hit the excluded text (an exact uniform
-draw from the pool); unresolved slots take further rounds. Only drawn pairs
-are scored, by an equi-join and a cosine expression. Re-ranking touches only
-rows that needed a fill.
+scores are never shuffled, even at threshold 0. For fills the targets are
+numbered in order of (text, id), so a text is one span of numbers; a draw is
+a keyed 62-bit hash of (seed, epoch, stream, row, slot) modulo the pool's
+size M - d, moved past the excluded spans it has reached: a uniform draw in
+one step, for any ids and any number of copies. Only drawn pairs are scored,
+by an equi-join and a cosine expression. Re-ranking touches only rows that
+needed a fill.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ from ..functions import hashrand as hr
 from ..functions.vectors import clamp, cosine_rows
 from ..session import materialize
 from .blocks import KernelSpec, similarity_kernel, target_stats
-from .similarity import vector_lookup
+from .ordering import with_global_index
+from .similarity import with_vectors
 
 # The method names of the reference.
 TOPK = "topK"
@@ -96,51 +98,43 @@ def _sides(anchor: str, query_vectors: DataFrame, candidate_vectors: DataFrame):
     raise ValueError(f"unknown anchor {anchor!r}: expected 'query' or 'candidate'")
 
 
-def draw_from_pool(rows: DataFrame, targets: DataFrame, id_range: int, seed: int, epoch: int,
-                   stream: int, attempts: int = 8, max_rounds: int = 64) -> DataFrame:
-    """Uniform draws with replacement from targets whose text != ``xt``.
-
-    ``rows``: ``row_id, xt, f`` (f = number of draws, > 0, pool non-empty).
-    Returns ``row_id, slot, target_id, text``. Each slot tries ``attempts``
-    hashed positions per round and keeps the first accepted one: rejection
-    sampling, so the draw is exactly uniform over the pool."""
-    tt = targets.select(F.col("corpus_id").alias("target_id"), F.col("text").alias("t_text"))
-    if "xs" not in rows.columns:
-        rows = rows.withColumn("xs", F.lit(None).cast("array<string>"))
-    pending = rows.select("row_id", "xt", "xs", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
-    done = None
-    for rnd in range(max_rounds):
-        tries = pending.select("row_id", "xt", "xs", "slot", F.explode(F.sequence(
-            F.lit(rnd * attempts), F.lit(rnd * attempts + attempts - 1))).alias("attempt"))
-        u = hr.uniform_expr(seed, epoch, stream, "row_id", "slot", "attempt")
-        tries = tries.withColumn("target_id", F.floor(u * F.lit(float(id_range))).cast("long"))
-        hit = tries.join(tt, "target_id", "left")
-        accepted = hit.t_text.isNotNull() & (hit.xt.isNull() | (hit.t_text != hit.xt)) & \
-            ~F.coalesce(F.array_contains(hit.xs, hit.t_text), F.lit(False))
-        # per slot: the first accepted attempt, or NULL when every attempt was rejected
-        slots = hit.groupBy("row_id", "slot").agg(
-            F.first("xt").alias("xt"), F.first("xs").alias("xs"),
-            F.min(F.when(accepted, F.struct("attempt", "target_id", "t_text"))).alias("d"))
-        slots = materialize(slots)
-        got = slots.filter(F.col("d").isNotNull()).select(
-            "row_id", "slot", F.col("d.target_id").alias("target_id"), F.col("d.t_text").alias("text"))
-        done = got if done is None else done.unionByName(got)
-        pending = slots.filter(F.col("d").isNull()).select("row_id", "xt", "xs", "slot")
-        if pending.isEmpty():
-            return done
-    raise RuntimeError("fill draws did not resolve; is the pool empty?")
+def numbered_targets(targets: DataFrame) -> DataFrame:
+    """``target_id, text, place``: dense numbers 0 .. M-1 in order of (text, id)."""
+    t = targets.select(F.col("corpus_id").alias("target_id"), "text")
+    return with_global_index(t, ["text", "target_id"], out="place")
+
+
+def draw_from_pool(rows: DataFrame, numbered: DataFrame, count: int, seed: int, epoch: int, stream: int) -> DataFrame:
+    """Uniform draws with replacement from the targets whose text is not excluded.
+
+    ``rows``: ``row_id, f`` (number of draws) and ``out array<string>``, the excluded texts. Rows with an
+    empty pool get none. Returns ``row_id, slot, target_id, text``."""
+    spans = numbered.groupBy("text").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    asked = rows.select("row_id", F.explode(F.array_distinct("out")).alias("text"))
+    held = asked.join(spans, "text").groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
+    none = F.array().cast("array<struct<start: bigint, n: bigint>>")
+    known = rows.select("row_id", "f").join(held, "row_id", "left").withColumn("spans", F.coalesce("spans", none))
+    left = F.lit(int(count)).cast("long") - F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    slots = known.withColumn("_left", left).filter("_left > 0 and f > 0").select(
+        "row_id", "spans", "_left", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
+    at = hr.wide_expr(seed, epoch, stream, "row_id", "slot") % F.col("_left")
+    place = F.aggregate("spans", at, lambda p, s: F.when(s["start"] <= p, p + s["n"]).otherwise(p))
+    return slots.select("row_id", "slot", place.alias("place")).join(numbered, "place") \
+                .select("row_id", "slot", "target_id", "text")
 
 
 def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
                    anchor: str = "query", method: str = TOPK, positive_threshold: float = 0.5,
                    beta: float = 1.0, num_negatives: int = 1, seed: int = 0, epoch: int = 0,
-                   fill: str = "faithful", fill_attempts: int = 8,
-                   known_positives: DataFrame | None = None, **kernel_opts) -> MiningResult:
+                   fill: str = "faithful",
+                   known_positives: DataFrame | None = None, encoder=None, **kernel_opts) -> MiningResult:
     """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``).
 
     J10 (option, off by default): ``known_positives`` (``text1, text2``, e.g.
     all gold pairs) removes from the pool, besides the row's own text, every
-    target known to be positive for the row's anchor text."""
+    target known to be positive for the row's anchor text. ``encoder`` (column -> array<double>) encodes
+    anchors that the dictionary lacks; without one their rows come back in ``short``."""
     if fill not in ("faithful", "exact"):
         raise ValueError("fill must be 'faithful' or 'exact'")
     query_vectors = materialize_dictionary(query_vectors)
@@ -151,21 +145,21 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
     t_stats = target_stats(targets)
 
     base = pairs.select("row_id", "text1", "text2")
-    a_lk = vector_lookup(a_vecs).select(F.col("text").alias(a_col), F.col("embedding").alias("vec"))
-    rows = base.join(a_lk, a_col, "left")
+    rows = with_vectors(base, a_col, a_vecs, "vec", encoder)
     if method in ABOVE_TRUE:
         other = query_vectors if x_col == "text1" else candidate_vectors
-        o_lk = vector_lookup(other).select(F.col("text").alias(x_col), F.col("embedding").alias("_ov"))
-        rows = rows.join(o_lk, x_col, "left").withColumn("lo", cosine_rows(F.col("vec"), F.col("_ov"))) \
-                   .drop("_ov")
+        rows = with_vectors(rows, x_col, other, "_ov", encoder)
+        rows = rows.withColumn("lo", cosine_rows(F.col("vec"), F.col("_ov"))).drop("_ov")
     if known_positives is not None:
         kp = known_positives.select("text1", "text2").distinct()
         excl = kp.groupBy(a_col).agg(F.collect_set(x_col).alias("xs"))
         rows = rows.join(excl, a_col, "left")
     rows = materialize(rows)
-    missing = rows.filter(F.col("vec").isNull()).select(
+    # no vector for the anchor or, where the bound is the true pair's score, for the true text
+    lost = F.col("lo").isNull() if method in ABOVE_TRUE else F.col("vec").isNull()
+    missing = rows.filter(lost).select(
         "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
-    rows = rows.filter(F.col("vec").isNotNull())
+    rows = rows.filter(~lost)
 
     if method in WEIGHTED:
         mode = "weighted"
@@ -181,7 +175,7 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         F.col(x_col).alias("xt"),
         (F.col("lo") if method in ABOVE_TRUE else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
-        hr.chain_expr(seed, epoch, code + hr.STREAM_PICK, "row_id").alias("rh"))
+        hr.wide_expr(seed, epoch, code + hr.STREAM_PICK, "row_id").alias("rh"))
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     spread = rows.rdd.getNumPartitions() >= parts      # cheap: ``rows`` is materialized
@@ -210,11 +204,11 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
 
     negatives = direct
     if method in FILLED:
-        xs = F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")
-        need = fill_rows.join(rows.select("row_id", F.col(x_col).alias("xt"), xs.alias("xs")), "row_id") \
-                        .select("row_id", "xt", "xs", "f")
-        draws = draw_from_pool(need, targets, t_stats.max_id + 1, seed, epoch,
-                               code + hr.STREAM_FILL, fill_attempts)
+        own = F.array(F.col(x_col))
+        out = F.concat(own, F.coalesce("xs", F.array().cast("array<string>"))) if known_positives is not None else own
+        need = fill_rows.join(rows.select("row_id", out.alias("out")), "row_id").select("row_id", "out", "f")
+        draws = materialize(draw_from_pool(need, numbered_targets(targets), t_stats.count, seed, epoch,
+                                           code + hr.STREAM_FILL))
         tv = targets.select(F.col("corpus_id").alias("target_id"), F.col("embedding").alias("_tv"))
         scored = (draws.join(tv, "target_id").join(rows.select("row_id", "vec"), "row_id")
                   .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
@@ -256,17 +250,12 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
 
 
 def easy_negatives(pairs: DataFrame, candidates: DataFrame, seed: int = 0, epoch: int = 0,
-                   attempts: int = 8) -> DataFrame:
-    """One uniform candidate per row from the whole dictionary,
-    different from the row's ``text2``. Returns ``row_id, target_id, text``."""
-    stats = target_stats(candidates)
-    dup = candidates.groupBy("text").agg(F.count(F.lit(1)).alias("_d"))
-    rows = (pairs.select("row_id", F.col("text2").alias("xt"))
-            .join(dup.withColumnRenamed("text", "xt"), "xt", "left")
-            .filter(F.coalesce("_d", F.lit(0)) < F.lit(stats.count))
-            .select("row_id", "xt", F.lit(1).alias("f")))
-    d = draw_from_pool(rows, candidates, stats.max_id + 1, seed, epoch, hr.STREAM_EASY, attempts)
-    return d.select("row_id", "target_id", "text")
+                   stream: int = hr.STREAM_EASY) -> DataFrame:
+    """One uniform candidate per row from the whole dictionary, different from the row's ``text2``.
+    Rows without another candidate get none. Returns ``row_id, target_id, text``."""
+    rows = pairs.select("row_id", F.array("text2").alias("out"), F.lit(1).alias("f"))
+    numbered = numbered_targets(candidates)
+    return draw_from_pool(rows, numbered, numbered.count(), seed, epoch, stream).select("row_id", "target_id", "text")
 
 
 def negatives_as_arrays(neg: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_rows
@@ -65,32 +65,37 @@ def similarity_edges(left: DataFrame, targets: DataFrame, min_score: float,
                                                        min_score=min_score), **kernel_opts)
 
 
+def with_vectors(df: DataFrame, text_col: str, dictionary: DataFrame, out: str, encoder=None) -> DataFrame:
+    """``df`` with the vector of ``text_col`` in column ``out``: the dictionary's first entry of that text or,
+    with an ``encoder`` (column -> array<double>), for any other text its encoding, each distinct text once.
+    Without an encoder an unknown text has a null vector. Rows are neither lost nor multiplied."""
+    known = vector_lookup(dictionary).select(F.col("text").alias(text_col), F.col("embedding").alias(out))
+    joined = df.join(known, text_col, "left")
+    if encoder is None:
+        return joined
+    texts = df.select(text_col).filter(F.col(text_col).isNotNull()).distinct()
+    new = texts.join(known.select(text_col), text_col, "left_anti")
+    new = new.select(text_col, encoder(F.col(text_col)).alias("_new"))
+    return joined.join(new, text_col, "left").withColumn(out, F.coalesce(out, "_new")).drop("_new")
+
+
 def pair_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: DataFrame,
                 left_text: str = "text1", right_text: str = "text2",
-                out: str = "score") -> DataFrame:
-    """Cosine of each aligned (text1, text2) pair via two equi-joins on text."""
-    lv = left_vectors.select(F.col("text").alias(left_text), F.col("embedding").alias("_lv"))
-    rv = right_vectors.select(F.col("text").alias(right_text), F.col("embedding").alias("_rv"))
-    return (pairs.join(lv, left_text, "left").join(rv, right_text, "left")
-            .withColumn(out, cosine_rows(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv"))
+                out: str = "score", encoder=None) -> DataFrame:
+    """Cosine of each aligned (text1, text2) pair, one row per pair; null where a text has no vector."""
+    v = with_vectors(pairs, left_text, left_vectors, "_lv", encoder)
+    v = with_vectors(v, right_text, right_vectors, "_rv", encoder)
+    return v.withColumn(out, cosine_rows(F.col("_lv"), F.col("_rv"))).drop("_lv", "_rv")
 
 
 def first_row_cosine(pairs: DataFrame, left_vectors: DataFrame, right_vectors: DataFrame,
                      order_col: str = "row_id", left_text: str = "text1",
-                     right_text: str = "text2", out: str = "score") -> DataFrame:
+                     right_text: str = "text2", out: str = "score", encoder=None) -> DataFrame:
     """J5 (compat): cos(text1 of the first row, text2 of every row).
 
     The first row's vector is a scalar subquery (one value, computed once and
     shipped with the plan), so no row is joined to a constant key."""
-    first_id = pairs.agg(F.min(order_col)).scalar()
-    lv = left_vectors.select(F.col("text").alias(left_text), F.col("embedding").alias("_lv"))
-    first_vec = (pairs.filter(F.col(order_col) == first_id).select(left_text)
-                 .join(lv, left_text).select("_lv").scalar())
-    rv = right_vectors.select(F.col("text").alias(right_text), F.col("embedding").alias("_rv"))
-    return (pairs.join(rv, right_text, "left")
-            .withColumn(out, cosine_rows(first_vec, F.col("_rv"))).drop("_rv"))
-
-
-def round_score(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)
+    first = pairs.agg(F.min_by(left_text, order_col).alias(left_text))
+    first_vec = with_vectors(first, left_text, left_vectors, "_lv", encoder).select("_lv").scalar()
+    v = with_vectors(pairs, right_text, right_vectors, "_rv", encoder)
+    return v.withColumn(out, cosine_rows(first_vec, F.col("_rv"))).drop("_rv")

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calibrate import EpochConfig, tune_beta
+from ..operators.encode import encode_distinct
 from ..operators.instances import assign_batches, build_instances
 from ..operators.mining import METHODS, materialize_dictionary, mine_negatives
-from ..session import materialize
 from ..operators.similarity import first_row_cosine, pair_cosine
+from ..session import materialize
+from ..sources.readers import read_dictionary, read_pairs
 
 
 DRIVER_THREADS = 4
@@ -38,24 +40,29 @@ class EpochData:
 
 def prepare_epoch(training: DataFrame, validation: DataFrame, query_vectors: DataFrame,
                   candidate_vectors: DataFrame, cfg: EpochConfig, *, compat_first_row: bool = False,
-                  on_short: str = "drop", output_path: str | None = None, **kernel_opts) -> EpochData:
+                  on_short: str = "drop", output_path: str | None = None, encoder=None, **kernel_opts) -> EpochData:
+    """E1 for any recipe. ``encoder`` (column -> array<double>) encodes texts that the dictionaries lack; without
+    one a validation pair with an unknown text is an error, and a training row with one is reported as short."""
     query_vectors = materialize_dictionary(query_vectors)
     candidate_vectors = materialize_dictionary(candidate_vectors)
     training = materialize(training)
-    if compat_first_row:
-        scored = first_row_cosine(validation, query_vectors, candidate_vectors)
-    else:
-        scored = pair_cosine(validation, query_vectors, candidate_vectors)
+    cosine = first_row_cosine if compat_first_row else pair_cosine
+    scored = materialize(cosine(validation, query_vectors, candidate_vectors, encoder=encoder))
+    lost = scored.filter(F.col("score").isNull()).count()
+    if lost:
+        raise ValueError(f"{lost} validation pairs have a text without a vector; pass an encoder")
     calib = tune_beta(scored, cfg.alpha)
     tuned = float(calib.select("beta").first()["beta"])
     beta = cfg.effective_beta(tuned)
-    res = build_instances("bidirectional", training, query_vectors, candidate_vectors,
+    res = build_instances(cfg.recipe, training, query_vectors, candidate_vectors,
                           method=cfg.sampling_method,
                           num_hard_negative_queries=cfg.num_hard_negative_queries,
                           num_hard_negative_candidates=cfg.num_hard_negative_candidates,
                           positive_threshold=cfg.positive_threshold, beta=beta, seed=cfg.seed,
-                          epoch=cfg.epoch, on_short=on_short, **kernel_opts)
-    batched = assign_batches(res.instances, cfg.train_batch_size, cfg.seed, cfg.epoch)
+                          epoch=cfg.epoch, use_hard_negative=cfg.use_hard_negative, on_short=on_short,
+                          encoder=encoder, **kernel_opts)
+    # numbered twice (order, counts) and written: assemble the instances once
+    batched = assign_batches(materialize(res.instances), cfg.train_batch_size, cfg.seed, cfg.epoch)
     val_inst = build_instances("validation", validation, query_vectors, candidate_vectors).instances
     data = EpochData(cfg, tuned, beta, calib, batched, res.dropped, val_inst)
     if output_path:
@@ -63,6 +70,16 @@ def prepare_epoch(training: DataFrame, validation: DataFrame, query_vectors: Dat
     return data
 
 
+def prepare_epoch_from_files(spark, training: str, validation: str, candidates: str, queries: str, encoder,
+                             cfg: EpochConfig, fmt: str = "tsv", dictionary_fmt: str = "text", **opts) -> EpochData:
+    """E1 as one job from user files: read both dictionaries and the labelled pairs, encode the entries, then
+    ``prepare_epoch``."""
+    dictionaries = [encode_distinct(read_dictionary(spark, path, dictionary_fmt), "text", encoder)
+                    for path in (queries, candidates)]
+    return prepare_epoch(read_pairs(spark, training, fmt), read_pairs(spark, validation, fmt), *dictionaries, cfg,
+                         encoder=encoder, **opts)
+
+
 def write_epoch(data: EpochData, path: str) -> None:
     """Instances sorted by batch, partitioned by epoch, appended."""
     (data.instances.withColumn("epoch", F.lit(data.config.epoch))

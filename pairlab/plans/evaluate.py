@@ -7,27 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import gold_rows, micro_prf, ndcg_at_k, percent4, prediction_rows
-from ..operators.similarity import top_k_join, vector_lookup
-from ..session import ensure_checkpoint_dir
+from ..operators.similarity import top_k_join, with_vectors
+from ..session import materialize
 
 
-def test_query_vectors(testing: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """Attach a vector to every test query by text (equi-join)."""
-    lk = vector_lookup(query_vectors).withColumnRenamed("text", "query")
-    return testing.join(lk, "query").select("query_id", "embedding")
+def test_query_vectors(testing: DataFrame, query_vectors: DataFrame, encoder=None) -> DataFrame:
+    """A vector for every test query: the dictionary's, or by ``encoder`` for unseen texts. Without an encoder
+    an unseen query is an error: it would count in recall and NDCG although it was never searched."""
+    v = with_vectors(testing.select("query_id", "query"), "query", query_vectors, "embedding", encoder)
+    v = materialize(v.select("query_id", "embedding"))
+    lost = v.filter(F.col("embedding").isNull()).count()
+    if lost:
+        raise ValueError(f"{lost} test queries have no vector; pass an encoder or take them out of the test set")
+    return v
 
 
 def search_test_set(testing: DataFrame, query_vectors: DataFrame, candidates: DataFrame,
-                    k: int = 5, threshold: float = 0.0, checkpoint: bool = True,
+                    k: int = 5, threshold: float = 0.0, checkpoint: bool = True, encoder=None,
                     **kernel_opts) -> DataFrame:
     """Top-k hits of every test query (L2 of the survey). The hit table is
     checkpointed: both metrics read it, and the kernel runs once."""
-    hits = top_k_join(test_query_vectors(testing, query_vectors), candidates, k=k,
+    hits = top_k_join(test_query_vectors(testing, query_vectors, encoder), candidates, k=k,
                       threshold=threshold, **kernel_opts)
-    if checkpoint:
-        ensure_checkpoint_dir(hits.sparkSession)
-        hits = hits.checkpoint(eager=True)
-    return hits
+    return materialize(hits) if checkpoint else hits
 
 
 def evaluate(testing: DataFrame, query_vectors: DataFrame, candidates: DataFrame,

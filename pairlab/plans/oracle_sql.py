@@ -119,7 +119,7 @@ tb_res AS (SELECT al.ai, al.alpha,
 
 # ------------------------------------------------------------------ mining
 def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
-                epoch: int, attempts: int = 8, fill: str = "faithful", prefix: str = "",
+                epoch: int, fill: str = "faithful", prefix: str = "",
                 pairs: str = "v1_training", known: str | None = None) -> str:
     """CTEs ending in ``{prefix}mres(row_id, slot, target_id, text, score, raw, is_fill)``."""
     from ..operators import mining as mn
@@ -131,14 +131,14 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
     code = hr.ANCHOR_CODE[anchor]
     conds = [f"score >= {float(pt)!r}::DOUBLE"]
     if method in mn.CAPPED:
-        conds.append(f"score <= {float(beta)!r}::DOUBLE")
+        cap = beta if isinstance(beta, str) else f"{float(beta)!r}::DOUBLE"
+        conds.append(f"score <= {cap}")
     if method in mn.ABOVE_TRUE:
         conds.append("score >= lo")
     weighted = method in mn.WEIGHTED
     ranked = method in mn.RANKED
     filled = method in mn.FILLED
-    rh = hr.chain_sql(seed, epoch, code + hr.STREAM_PICK, "r.row_id")
-    pu = hr.pair_unit_sql(rh, "c.corpus_id")
+    pu = hr.pair_unit_sql((seed, epoch, code + hr.STREAM_PICK, "r.row_id"), "c.corpus_id")
     if weighted:
         val = f"ln({pu}) / {clamp_sql('raw0')}"
     elif ranked:
@@ -147,7 +147,7 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
         val = f"-({pu})"
     fill_n = f"{n} + 1 - l" if fill == "faithful" else f"{n} - l"
     fill_cond = f"l <= {n}" if fill == "faithful" else f"l < {n}"
-    u_pos = hr.uniform_sql(seed, epoch, code + hr.STREAM_FILL, "row_id", "slot", "attempt")
+    u_pos = hr.wide_sql(seed, epoch, code + hr.STREAM_FILL, "row_id", "slot")
     u_key = hr.uniform_sql(seed, epoch, code + hr.STREAM_FILL_KEY, "d.row_id", "d.slot")
     if weighted:
         order = "val DESC, is_fill ASC, pos ASC, target_id ASC"
@@ -157,9 +157,8 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
         order = "val DESC, target_id ASC"
     if known:
         kp_mp = f" AND c.text NOT IN (SELECT k.{x_col} FROM {known} k WHERE k.{a_col} = r.{a_col})"
-        kp_ok = f" AND c.text NOT IN (SELECT k.{x_col} FROM {known} k WHERE k.{a_col} = m.at)"
     else:
-        kp_mp = kp_ok = ""
+        kp_mp = ""
     val_e = val.replace("r.row_id", f"{prefix}mp2.row_id").replace("c.corpus_id", f"{prefix}mp2.target_id")
     body = f"""
 {prefix}mr AS (SELECT t.row_id, t.text1, t.text2, a.embedding AS vec, {cos_sql('a.embedding', 'o.embedding')} AS lo
@@ -176,14 +175,16 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
               FALSE AS is_fill FROM {prefix}me0 e),
 {prefix}mneed AS (SELECT {prefix}ml.row_id, {fill_n} AS f, r.{x_col} AS xt, r.vec FROM {prefix}ml JOIN {prefix}mr r ON r.row_id = {prefix}ml.row_id
           WHERE {('TRUE' if filled else 'FALSE')} AND {fill_cond}),
-{prefix}mslot AS (SELECT row_id, xt, vec, unnest(range(1, f + 1)) AS slot FROM {prefix}mneed),
-{prefix}mtry AS (SELECT s.row_id, s.xt, s.vec, s.slot, unnest(range(0, {attempts})) AS attempt, r.{a_col} AS at
-          FROM {prefix}mslot s JOIN {prefix}mr r ON r.row_id = s.row_id),
-{prefix}mtry2 AS (SELECT *, CAST(floor({u_pos} * (SELECT CAST(max(corpus_id) + 1 AS DOUBLE) FROM {t_dict})) AS BIGINT) AS target_id
-          FROM {prefix}mtry),
-{prefix}mok AS (SELECT m.row_id, m.slot, m.attempt, m.vec, c.corpus_id AS target_id, c.text, c.embedding
-        FROM {prefix}mtry2 m JOIN {t_dict} c ON c.corpus_id = m.target_id WHERE c.text <> m.xt{kp_ok}),
-{prefix}mdraw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, slot ORDER BY attempt) AS rn FROM {prefix}mok) WHERE rn = 1),
+{prefix}mslot AS (SELECT row_id, vec, unnest(range(1, f + 1)) AS slot FROM {prefix}mneed),
+{prefix}mplace AS (SELECT mp.row_id, mp.target_id, mp.text, c.embedding,
+                     row_number() OVER (PARTITION BY mp.row_id ORDER BY mp.text, mp.target_id) - 1 AS place,
+                     COUNT(*) OVER (PARTITION BY mp.row_id) AS pool
+              FROM {prefix}mp mp JOIN {t_dict} c ON c.corpus_id = mp.target_id),
+{prefix}mpool AS (SELECT DISTINCT row_id, pool FROM {prefix}mplace),
+{prefix}mtry AS (SELECT row_id, vec, slot, {u_pos} AS h FROM {prefix}mslot),
+{prefix}mdraw AS (SELECT t.row_id, t.slot, t.vec, p.target_id, p.text, p.embedding
+          FROM {prefix}mtry t JOIN {prefix}mpool o ON o.row_id = t.row_id
+          JOIN {prefix}mplace p ON p.row_id = t.row_id AND p.place = t.h % o.pool),
 {prefix}mfill AS (SELECT d.row_id, d.target_id, d.text, {cos_sql('d.vec', 'd.embedding')} AS raw, d.slot AS pos, TRUE AS is_fill, d.slot
           FROM {prefix}mdraw d),
 {prefix}mfill2 AS (SELECT row_id, target_id, text, raw, {clamp_sql('raw')} AS score,
@@ -198,7 +199,7 @@ def mining_ctes(anchor: str, method: str, n: int, pt: float, beta: float, seed:
 
 
 def mining_sql(anchor: str, method: str, n: int, pt: float, beta: float, seed: int,
-               epoch: int, attempts: int = 8, fill: str = "faithful") -> str:
-    ctes = mining_ctes(anchor, method, n, pt, beta, seed, epoch, attempts, fill)
+               epoch: int, fill: str = "faithful") -> str:
+    ctes = mining_ctes(anchor, method, n, pt, beta, seed, epoch, fill)
     return with_v1(ctes + """
 SELECT row_id, slot, target_id, text, round(score, 6) AS score, round(raw, 6) AS raw, is_fill FROM mres""")

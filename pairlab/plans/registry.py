@@ -8,6 +8,7 @@ sides; scores are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from ..operators import mining as mn
 from ..operators.calibrate import EpochConfig, tune_beta
 from ..operators.metrics import gold_rows, micro_prf, ndcg_per_query, prediction_rows, similarity_correlation
 from ..operators.similarity import (first_position, first_row_cosine, pair_cosine, similarity_edges,
-                                    top_k_join, vector_lookup)
+                                    top_k_join, vector_lookup, with_vectors)
 from ..operators.encode import TRI_A, TRI_B, TRI_C, encode_distinct, mean_pool, token_table, trigram_encoder
 from ..sources.fixtures import text_fixture, vector_fixture
+from ..sources.readers import read_dictionary, read_pairs, read_testset
 from ..streaming.search import (quality_stream, rolling_quality, run_to_completion, search_stream, stream_root,
                                 windowed_quality, windowed_quality_stream)
 from . import oracle_sql as osql
@@ -29,7 +31,7 @@ from ..operators.instances import assign_batches, build_instances
 from ..operators.losses import (bidirectional_loss, contrastive_loss, cosine_mse_loss, in_batch_row_losses,
                                 one_way_loss, triplet_loss)
 from .epoch import compare_samplers, prepare_epoch, testing_pairs
-from .evaluate import evaluate, search_test_set
+from .evaluate import append_results, evaluate, search_test_set
 
 R6 = 6
 EPOCHS = list(range(9))
@@ -44,30 +46,83 @@ def _r(c):
 
 
 # ------------------------------------------------------------------ sources
+def _through_files(spark: SparkSession, df: DataFrame, name: str, fmt: str, **options) -> str:
+    """Write ``df`` in order as several files under the shared folder: input of the readers."""
+    path = f"{stream_root(spark, name)}-{uuid.uuid4().hex[:12]}"
+    df.write.format(fmt).options(**options).save(path)
+    return path
+
+
 def q_s1_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """A text dictionary: entries are numbered by file and line."""
     fx = vector_fixture(spark, sf)
-    return fx.candidates.select("corpus_id", "text", F.size("embedding").alias("dim"),
-                                _r(norm(F.col("embedding"))).alias("norm"))
+    path = _through_files(spark, fx.candidates.orderBy("corpus_id").select("text"), "s1", "text")
+    vectors = fx.candidates.select("corpus_id", F.size("embedding").alias("dim"), _r(norm(F.col("embedding"))).alias("norm"))
+    return read_dictionary(spark, path, "text").join(vectors, "corpus_id").select("corpus_id", "text", "dim", "norm")
 
 
 def q_s2_queries(spark, sf):
+    """A Parquet dictionary with its own ids."""
     fx = vector_fixture(spark, sf)
-    return fx.queries.select("corpus_id", "text", "vec_id", F.size("embedding").alias("dim"),
+    path = _through_files(spark, fx.queries.select(F.col("corpus_id").alias("id"), F.col("text").alias("entry")),
+                          "s2", "parquet")
+    rest = fx.queries.select("corpus_id", "vec_id", F.size("embedding").alias("dim"),
                              _r(norm(F.col("embedding"))).alias("norm"))
+    return read_dictionary(spark, path, "parquet", "entry", "id").join(rest, "corpus_id") \
+        .select("corpus_id", "text", "vec_id", "dim", "norm")
+
+
+def _pairs_back(spark, pairs, name, fmt, columns, **options):
+    path = _through_files(spark, pairs.orderBy("row_id").select(*columns), name, fmt, **options)
+    return read_pairs(spark, path, "tsv" if fmt == "csv" else fmt)
 
 
 def q_s3_training(spark, sf):
-    return vector_fixture(spark, sf).training
+    """Tab-separated pairs with quoted fields and columns in another order."""
+    return _pairs_back(spark, vector_fixture(spark, sf).training, "s3", "csv", ("label", "text2", "text1"),
+                       sep="\t", header=True, quoteAll=True)
 
 
 def q_s4_validation(spark, sf):
-    return vector_fixture(spark, sf).validation
+    return _pairs_back(spark, vector_fixture(spark, sf).validation, "s4", "parquet", ("text1", "text2", "label"))
 
 
 def q_s5_testing(spark, sf):
-    t = vector_fixture(spark, sf).testing
-    return t.select("query_id", "query", F.size("labels").alias("n_labels"),
-                    F.array_join(F.array_sort("labels"), "|").alias("labels"))
+    t = vector_fixture(spark, sf).testing.orderBy("query_id")
+    long = t.select("query", F.explode("labels").alias("label"))
+    back = read_testset(spark, _through_files(spark, long, "s5", "parquet"), "long")
+    return back.select("query_id", "query", F.size("labels").alias("n_labels"),
+                       F.array_join(F.array_sort("labels"), "|").alias("labels"))
+
+
+def q_s6_result_log(spark, sf):
+    """Two runs appended to one log, read back."""
+    row = q_e3_evaluate(spark, sf)
+    path = f"{stream_root(spark, 's6')}-{uuid.uuid4().hex[:12]}"
+    for epoch in (0, 1):
+        append_results(row, path, "run", "trigram", epoch)
+    return spark.read.parquet(path).select("run_id", "model", "epoch", "ndcg", "precision", "recall", "f1")
+
+
+def q_s7_epoch_table(spark, sf):
+    """The written instance table, read back."""
+    fx = vector_fixture(spark, sf)
+    path = f"{stream_root(spark, 's7')}-{uuid.uuid4().hex[:12]}"
+    prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates,
+                  EpochConfig.for_epoch(INST["epoch"], seed=INST["seed"]), output_path=path)
+    back = spark.read.parquet(f"{path}/instances")
+    return back.select("epoch", "instance_id", "batch_id", "pos", F.array_join("texts", "|").alias("texts"), "label")
+
+
+def q_c7_batch_plan(spark, sf):
+    """Trainer metadata from the number of batches."""
+    fx = vector_fixture(spark, sf)
+    d = prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates,
+                      EpochConfig.for_epoch(INST["epoch"], seed=INST["seed"]))
+    n = d.instances.agg(F.max("batch_id") + 1).first()[0] or 0
+    plan = EpochConfig.batch_plan(n)
+    return spark.range(1).select(F.lit(n).cast("long").alias("n_batches"),
+                                 *[F.lit(v).cast("long").alias(k) for k, v in plan.items()])
 
 
 def q_s8_corpus_size(spark, sf):
@@ -94,6 +149,21 @@ def q_j1_topk(spark, sf):
     return hits.select("query_id", "rank", "corpus_id", "text", _r("score").alias("score"))
 
 
+def q_j1_topk_grid(spark, sf):
+    """The same search laid on the block grid instead of a broadcast."""
+    fx = vector_fixture(spark, sf)
+    qv = with_vectors(fx.testing, "query", fx.queries, "embedding").select("query_id", "embedding")
+    hits = top_k_join(qv, fx.candidates, k=5, threshold=0.0, broadcast_limit=0, target_block=32, left_block=64)
+    return hits.select("query_id", "rank", "corpus_id", "text", _r("score").alias("score"))
+
+
+def q_p11_plain_hits(spark, sf):
+    """Hits without their scores."""
+    fx = vector_fixture(spark, sf)
+    qv = with_vectors(fx.testing, "query", fx.queries, "embedding").select("query_id", "embedding")
+    return top_k_join(qv, fx.candidates, k=5, threshold=0.0, return_scores=False)
+
+
 def _edges(spark, sf, anchor):
     fx = vector_fixture(spark, sf)
     if anchor == "query":
@@ -174,6 +244,38 @@ def q_e3_evaluate(spark, sf):
                     "tp", "n_pred", "n_gold")
 
 
+def q_e3_evaluate_text(spark, sf):
+    """Whole texts against the benchmark's texts. The query dictionary holds every second document only: the other
+    texts are encoded on the way. Gold: item number doc_id modulo the number of items."""
+    tf = text_fixture(spark, sf)
+    enc = trigram_encoder(TEXT["dim"])
+    items = mn.materialize_dictionary(encode_distinct(tf.candidates, "text", enc))
+    n = items.count()
+    gold = items.select(F.col("corpus_id").alias("gold"), F.array("text").alias("labels"))
+    docs = tf.queries.withColumn("gold", F.col("doc_id") % n)
+    testing = docs.join(gold, "gold", "left").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"),
+                                                     F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    known = encode_distinct(tf.queries.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("corpus_id"), "text"),
+                            "text", enc)
+    r = evaluate(testing, known, items, n, k=TEXT["k"], encoder=enc)
+    return r.select(_r("ndcg").alias("ndcg"), _r("precision").alias("precision"), _r("recall").alias("recall"),
+                    "tp", "n_pred", "n_gold")
+
+
+def _e3_text_sql() -> str:
+    hits = _p1_topk_sql().rsplit("SELECT doc_id, CAST(rank", 1)[0]
+    return hits.rstrip() + f""",
+v1_cand AS (SELECT item_id AS corpus_id, text FROM benchmark),
+v1_testing AS (SELECT d.doc_id AS query_id,
+                 CASE WHEN b.text IS NULL THEN []::VARCHAR[] ELSE [b.text] END AS labels
+               FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT COUNT(*) FROM benchmark)),
+v1_hits AS (SELECT rk.doc_id AS query_id, rk.rank, rk.item_id AS corpus_id, b.text, rk.score
+            FROM rk JOIN benchmark b ON b.item_id = rk.item_id WHERE rk.rank <= {TEXT["k"]}),""" + osql.ndcg_ctes(TEXT["k"]) + "," + osql.prf_cte() + """,
+nd AS (SELECT AVG(ndcg) AS ndcg FROM v1_ndcg)
+SELECT round(nd.ndcg, 6) AS ndcg, round(p.precision, 6) AS precision, round(p.recall, 6) AS recall,
+       p.tp, p.n_pred, p.n_gold FROM nd, v1_prf2 p"""
+
+
 def _validation_scores(spark, sf):
     fx = vector_fixture(spark, sf)
     return fx, pair_cosine(fx.validation, fx.queries, fx.candidates)
@@ -195,13 +297,14 @@ def q_a5_tune_beta_first_row(spark, sf):
 
 
 def q_a5_tune_beta_labels(spark, sf):
+    """Every validation pair; a positive pair counts only if its query's label of quality, where there is one, is 1."""
     fx = vector_fixture(spark, sf)
-    pos = fx.validation.filter(F.col("label") == 1.0)
-    s = pair_cosine(pos, fx.queries, fx.candidates)
-    q = fx.queries.select(F.col("text").alias("text1"), "vec_id")
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("vec_id"),
-                                                            F.col("quality").cast("double").alias("quality"))
-    scored = s.join(q, "text1").join(lab, "vec_id").select("score", F.col("quality").alias("label"))
+    s = pair_cosine(fx.validation, fx.queries, fx.candidates)
+    q = fx.queries.groupBy(F.col("text").alias("text1")).agg(F.min("vec_id").alias("vec_id"))
+    lab = spark.read.parquet(f"{sf}/labels.parquet").groupBy(F.col("doc_id").alias("vec_id")).agg(
+        F.min("quality").cast("double").alias("quality"))
+    scored = s.join(q, "text1", "left").join(lab, "vec_id", "left").select(
+        "score", (F.col("label") * F.coalesce("quality", F.lit(1.0))).alias("label"))
     r = tune_beta(scored, ALPHAS)
     return r.select(_r("alpha").alias("alpha"), "beta", "kept", "positives",
                     _r("precision").alias("precision"), "reached")
@@ -256,16 +359,13 @@ def q_m8_easy_negative(spark, sf):
 
 
 def sql_m8_easy_negative() -> str:
-    from ..functions import hashrand as hr
-    u = hr.uniform_sql(MINE["seed"], MINE["epoch"], hr.STREAM_EASY, "row_id", "slot", "attempt")
+    h = hr.wide_sql(MINE["seed"], MINE["epoch"], hr.STREAM_EASY, "row_id", 1)
     return osql.with_v1(f"""
-e0 AS (SELECT row_id, text2 AS xt, 1 AS slot FROM v1_training),
-e1 AS (SELECT row_id, xt, slot, unnest(range(0, 8)) AS attempt FROM e0),
-e2 AS (SELECT *, CAST(floor({u} * (SELECT CAST(max(corpus_id) + 1 AS DOUBLE) FROM v1_cand)) AS BIGINT) AS target_id FROM e1),
-e3 AS (SELECT e2.row_id, e2.attempt, c.corpus_id AS target_id, c.text FROM e2 JOIN v1_cand c ON c.corpus_id = e2.target_id
-       WHERE c.text <> e2.xt),
-e4 AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY attempt) AS rn FROM e3)
-SELECT row_id, target_id, text FROM e4 WHERE rn = 1""")
+e0 AS (SELECT t.row_id, c.corpus_id AS target_id, c.text,
+              row_number() OVER (PARTITION BY t.row_id ORDER BY c.text, c.corpus_id) - 1 AS place,
+              COUNT(*) OVER (PARTITION BY t.row_id) AS pool
+       FROM v1_training t JOIN v1_cand c ON c.text <> t.text2)
+SELECT row_id, target_id, text FROM e0 WHERE place = {h} % pool""")
 
 
 # ------------------------------------------------------------------ instances
@@ -304,6 +404,16 @@ def q_e1_prepare_epoch(spark, sf):
                               F.array_join("texts", "|").alias("texts"), "label")
 
 
+def _recipe(recipe: str, hard: bool = True):
+    def run(spark, sf):
+        fx = vector_fixture(spark, sf)
+        cfg = EpochConfig.for_recipe(recipe, INST["epoch"], hard, seed=INST["seed"])
+        d = prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates, cfg)
+        return d.instances.select("instance_id", "batch_id", "pos", F.size("texts").alias("n_texts"),
+                                  F.array_join("texts", "|").alias("texts"), "label")
+    return run
+
+
 def q_e4_compare_samplers(spark, sf):
     fx = vector_fixture(spark, sf)
     r = compare_samplers(testing_pairs(fx.testing), fx.queries, fx.candidates,
@@ -312,8 +422,9 @@ def q_e4_compare_samplers(spark, sf):
     return r.select("method", "anchor", "row_id", "slot", "text", _r("score").alias("score"), "is_fill")
 
 
-def _inst_sql(kind: str) -> str:
-    pt, beta, seed, ep = INST["pt"], INST["beta"], INST["seed"], INST["epoch"]
+def _inst_sql(kind: str, beta=None) -> str:
+    pt, seed, ep = INST["pt"], INST["seed"], INST["epoch"]
+    beta = INST["beta"] if beta is None else beta
     out = """SELECT instance_id, row_id, len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label
              FROM inst"""
     if kind == "validation":
@@ -342,22 +453,29 @@ inst AS (SELECT t.row_id AS instance_id, t.row_id,
 """ + out)
     ctes = osql.mining_ctes("query", mn.TOPK, 1, pt, beta, seed, ep, prefix="h1_")
     neg = "ng AS (SELECT row_id, text AS neg FROM h1_mres WHERE slot = 1)"
+    return osql.with_v1(ctes + ",\n" + neg) + _pairs_with_negatives(kind)
+
+
+def _pairs_with_negatives(kind: str) -> str:
+    """CTE ``inst`` from ``ng(row_id, neg)`` and the final select."""
+    out = """SELECT instance_id, row_id, len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label
+             FROM inst"""
     if kind == "triplet":
-        return osql.with_v1(ctes + ",\n" + neg + """,
+        return """,
 inst AS (SELECT t.row_id AS instance_id, t.row_id, [t.text1, t.text2, ng.neg] AS texts, t.label
          FROM v1_training t JOIN ng ON ng.row_id = t.row_id)
-""" + out)
-    return osql.with_v1(ctes + ",\n" + neg + """,
+""" + out
+    return """,
 inst AS (SELECT t.row_id * 2 AS instance_id, t.row_id, [t.text1, t.text2] AS texts, t.label
-         FROM v1_training t JOIN ng ON ng.row_id = t.row_id
+         FROM v1_training t
          UNION ALL
          SELECT t.row_id * 2 + 1, t.row_id, [t.text1, ng.neg], 0.0::DOUBLE
          FROM v1_training t JOIN ng ON ng.row_id = t.row_id)
-""" + out)
+""" + out
 
 
 def _batch_sql(inst_select: str, id_col: str = "instance_id") -> str:
-    key = hr.chain_sql(INST["seed"], INST["epoch"], hr.STREAM_BATCH, id_col)
+    key = hr.wide_sql(INST["seed"], INST["epoch"], hr.STREAM_BATCH, id_col)
     return f"""bk AS (SELECT *, {key} AS _bk FROM ({inst_select})),
 bi AS (SELECT *, row_number() OVER (ORDER BY _bk, {id_col}) - 1 AS _idx FROM bk)"""
 
@@ -376,6 +494,28 @@ SELECT instance_id, CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_i
        len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label FROM bi"""
 
 
+def _recipe_sql(recipe: str, hard: bool = True) -> str:
+    cfg = EpochConfig.for_recipe(recipe, INST["epoch"], hard)
+    if recipe == "one_way":      # its cap is the tuned beta
+        pc = f"""pc AS (SELECT v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
+              FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2),"""
+        src = _inst_sql("one_way", "(SELECT beta FROM tb_res)")
+        head = src.index("hc_mr AS")
+        src = src[:head] + pc + osql.tune_beta_sql("pc", [cfg.alpha]) + ",\n" + src[head:]
+    elif hard:
+        src = _inst_sql("triplet" if recipe == "triplet" else "contrastive")
+    else:
+        easy = sql_m8_easy_negative()
+        cut = easy.index("SELECT row_id, target_id, text FROM e0")
+        src = easy[:cut].rstrip() + ",\nng AS (" + easy[cut:].replace("target_id, text", "text AS neg") + ")" + \
+            _pairs_with_negatives("triplet" if recipe == "triplet" else "contrastive")
+    head = src.rsplit("SELECT instance_id, row_id, len(texts)", 1)[0]
+    return head.rstrip() + ",\n" + _batch_sql("SELECT * FROM inst") + f"""
+SELECT instance_id, CAST(_idx // {cfg.train_batch_size} AS BIGINT) AS batch_id,
+       CAST(_idx % {cfg.train_batch_size} AS INTEGER) AS pos, len(texts) AS n_texts,
+       array_to_string(texts, '|') AS texts, label FROM bi"""
+
+
 def _e4_sql() -> str:
     parts, sels = [], []
     i = 0
@@ -545,6 +685,17 @@ def q_p2_mean_pool(spark, sf):
     return pooled.select("doc_id", "n_tokens", _r(_checksum(F.col("embedding"))).alias("checksum"))
 
 
+P3_TOKENS = 32
+
+
+def q_p3_truncated_pool(spark, sf):
+    """P2 over the first tokens only (P3 is this cut)."""
+    tf = text_fixture(spark, sf)
+    tv = token_table(tf.queries, "text", trigram_encoder(TEXT["token_dim"]))
+    pooled = mean_pool(tf.queries, "doc_id", "text", tv, max_tokens=P3_TOKENS)
+    return pooled.select("doc_id", "n_tokens", _r(_checksum(F.col("embedding"))).alias("checksum"))
+
+
 def _tri_sql(src: str, key: str, text: str, dim: int, name: str) -> str:
     """CTEs ``{name}(key, idx, w)``: sparse unit trigram vectors of ``src``."""
     return f"""
@@ -575,9 +726,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ite
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM rk WHERE rank <= {TEXT["k"]}""")
 
 
-def _p2_sql() -> str:
+def _p2_sql(max_tokens: int | None = None) -> str:
+    cut = f"[:{max_tokens}]" if max_tokens else ""
     return f"""WITH
-tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS token FROM documents),
+tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''){cut}) AS token FROM documents),
 tc AS (SELECT doc_id, token, COUNT(*) AS cnt FROM tk GROUP BY doc_id, token),
 toks AS (SELECT DISTINCT token FROM tc),""" + _tri_sql("toks", "token", "token", TEXT["token_dim"], "tv") + """,
 tot AS (SELECT doc_id, SUM(cnt) AS n FROM tc GROUP BY doc_id),
@@ -621,7 +773,7 @@ def q_t1_stream_search(spark, sf):
     enc = trigram_encoder(TEXT["dim"])
     items = encode_distinct(tf.candidates, "text", enc)
     root = _fresh_dir(spark, "t1")
-    msgs = (spark.read.parquet(f"{sf}/conversations.parquet").filter(F.col("role") == "user")
+    msgs = (spark.read.parquet(f"{sf}/conversations.parquet")
             .select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"), "text"))
     msgs.repartition(4, "msg_id").write.mode("overwrite").parquet(f"{root}/source")
     q = search_stream(spark, f"{root}/source", "msg_id long, text string", items, f"{root}/sink",
@@ -651,10 +803,13 @@ def q_t2_rolling_quality(spark, sf):
 def q_t2_windowed_quality(spark, sf):
     fx = vector_fixture(spark, sf)
     root = _fresh_dir(spark, "t2w")
+    # every event is one asked query: number event_id modulo the test set's size
+    n = fx.testing.count()
+    asked = fx.testing.select(F.col("query_id").alias("q"), "query", "labels")
+    asked = with_vectors(asked, "query", fx.queries, "embedding").select("q", "labels", "embedding")
     ev = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("query_id"),
                                                            F.col("ts").cast("timestamp").alias("ts"))
-    src = (fx.testing.join(vector_lookup(fx.queries).withColumnRenamed("text", "query"), "query")
-           .join(ev, "query_id").select("query_id", "labels", "embedding", "ts"))
+    src = ev.withColumn("q", F.col("query_id") % n).join(asked, "q").select("query_id", "labels", "embedding", "ts")
     src.repartition(4, "query_id").write.mode("overwrite").parquet(f"{root}/source")
     q = quality_stream(spark, f"{root}/source",
                        "query_id long, labels array<string>, embedding array<double>, ts timestamp",
@@ -662,7 +817,7 @@ def q_t2_windowed_quality(spark, sf):
     run_to_completion(q)
     q2 = windowed_quality_stream(spark, f"{root}/counts",
                                  "query_id long, tp long, n_pred long, n_gold long, ts timestamp",
-                                 f"{root}/windows", f"{root}/checkpoint2", window="1 day", watermark="2 days")
+                                 f"{root}/windows", f"{root}/checkpoint2", window="1 day", watermark="60 days")
     run_to_completion(q2)
     w = windowed_quality(spark, f"{root}/windows")
     return w.select(F.unix_timestamp("window_start").alias("window_start"), "tp", "n_pred", "n_gold",
@@ -678,7 +833,7 @@ j AS (SELECT COALESCE(p.query_id, g.query_id) AS query_id,
              CASE WHEN p.text IS NOT NULL THEN 1 ELSE 0 END AS np, CASE WHEN g.text IS NOT NULL THEN 1 ELSE 0 END AS ng
       FROM pred p FULL OUTER JOIN gold g ON p.query_id = g.query_id AND p.text = g.text),
 pq AS (SELECT query_id, SUM(tp) AS tp, SUM(np) AS n_pred, SUM(ng) AS n_gold FROM j GROUP BY query_id),
-tq AS (SELECT pq.*, e.ts FROM pq JOIN v1_testing t ON t.query_id = pq.query_id JOIN events e ON e.event_id = pq.query_id),
+tq AS (SELECT pq.*, e.ts FROM events e JOIN pq ON pq.query_id = e.event_id % (SELECT COUNT(*) FROM v1_testing)),
 w AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, CAST(SUM(tp) AS BIGINT) AS tp,
              CAST(SUM(n_pred) AS BIGINT) AS n_pred, CAST(SUM(n_gold) AS BIGINT) AS n_gold FROM tq GROUP BY 1)
 SELECT window_start, tp, n_pred, n_gold, round(CAST(tp AS DOUBLE) / NULLIF(n_pred, 0), 6) AS precision,
@@ -689,7 +844,7 @@ FROM w""")
 
 
 def _t1_sql() -> str:
-    return ("WITH msgs AS (SELECT conv_id * 100000 + turn AS msg_id, text FROM conversations WHERE role = 'user'),"
+    return ("WITH msgs AS (SELECT conv_id * 100000 + turn AS msg_id, text FROM conversations),"
             + _tri_sql("msgs", "msg_id", "text", TEXT["dim"], "dv") + "," +
             _tri_sql("benchmark", "item_id", "text", TEXT["dim"], "iv") + f""",
 dots AS (SELECT d.msg_id, i.item_id, SUM(d.w * i.w) AS score FROM dv d JOIN iv i ON i.idx = d.idx
@@ -708,7 +863,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s3_training": q_s3_training,
         "s4_validation": q_s4_validation,
         "s5_testing": q_s5_testing,
+        "s6_result_log": q_s6_result_log,
+        "s7_epoch_table": q_s7_epoch_table,
+        "c7_batch_plan": q_c7_batch_plan,
         "s8_corpus_size": q_s8_corpus_size,
+        "j1_topk_grid": q_j1_topk_grid,
+        "p11_plain_hits": q_p11_plain_hits,
+        "p3_truncated_pool": q_p3_truncated_pool,
+        "e3_evaluate_text": q_e3_evaluate_text,
+        "e1_one_way": _recipe("one_way"),
+        "e1_contrastive": _recipe("contrastive"),
+        "e1_sentence": _recipe("sentence"),
+        "e1_triplet": _recipe("triplet"),
+        "e1_contrastive_easy": _recipe("contrastive", False),
         "p12_first_position": q_p12_first_position,
         "j1_topk": q_j1_topk,
         "j2_query_edges": q_j2_query_edges,
@@ -835,6 +1002,21 @@ def oracle_sql() -> dict[str, str]:
         "j10_known_positive_efn_candidate": _known_sql("candidate", mn.TOPK_EFN),
     }
     s["t2_rolling_quality"] = s["a3_micro_prf"]
+    s["j1_topk_grid"] = s["j1_topk"]
+    s["p11_plain_hits"] = w(osql.topk_hits_cte().lstrip() + "\nSELECT query_id, rank, corpus_id, text FROM v1_hits")
+    s["s6_result_log"] = ("WITH one AS (" + s["e3_evaluate"] + """)
+        SELECT 'run' AS run_id, 'trigram' AS model, CAST(e AS INTEGER) AS epoch, ndcg, precision, recall, f1
+        FROM one, range(2) t(e)""")
+    s["s7_epoch_table"] = ("WITH one AS (" + s["e1_prepare_epoch"] + f""")
+        SELECT CAST({INST["epoch"]} AS INTEGER) AS epoch, instance_id, batch_id, pos, texts, label FROM one""")
+    s["c7_batch_plan"] = ("WITH one AS (" + s["e1_prepare_epoch"] + """), n AS (SELECT max(batch_id) + 1 AS n FROM one)
+        SELECT n AS n_batches, CAST(ceil(n * 0.25) AS BIGINT) AS evaluation_steps,
+               CAST(ceil(n * 0.1) AS BIGINT) AS warmup_steps FROM n""")
+    s["p3_truncated_pool"] = _p2_sql(P3_TOKENS)
+    s["e3_evaluate_text"] = _e3_text_sql()
+    for recipe in ("one_way", "contrastive", "sentence", "triplet"):
+        s[f"e1_{recipe}"] = _recipe_sql(recipe)
+    s["e1_contrastive_easy"] = _recipe_sql("contrastive", False)
     s["t2_windowed_quality"] = _t2w_sql()
     pc = f"""pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2)"""
@@ -846,9 +1028,10 @@ def oracle_sql() -> dict[str, str]:
               pc AS (SELECT v.row_id, v.label AS y, {osql.cos_sql('fr.fv', 'c.embedding')} AS s
                   FROM v1_validation v JOIN v1_cand c ON c.text = v.text2 CROSS JOIN fr)"""
     s["a5_tune_beta_first_row"] = w(pcf + "," + osql.tune_beta_sql("pc", ALPHAS) + "\n" + tb_out)
-    pcl = f"""pc AS (SELECT CAST(l.quality AS DOUBLE) AS y, {osql.cos_sql('q.embedding', 'c.embedding')} AS s
+    pcl = f"""pc AS (SELECT v.label * COALESCE(CAST(l.quality AS DOUBLE), 1.0) AS y,
+              {osql.cos_sql('q.embedding', 'c.embedding')} AS s
               FROM v1_validation v JOIN v1_query q ON q.text = v.text1 JOIN v1_cand c ON c.text = v.text2
-              JOIN labels l ON l.doc_id = q.vec_id WHERE v.label = 1.0)"""
+              LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = q.vec_id)"""
     s["a5_tune_beta_labels"] = w(pcl + "," + osql.tune_beta_sql("pc", ALPHAS) + "\n" + tb_out)
     s["a11_correlation"] = w(pc + """,
         rx AS (SELECT s, (SELECT COUNT(*) FROM pc p2 WHERE p2.s < p1.s) + (COUNT(*) + 1) / 2.0 AS xr

@@ -1,59 +1,66 @@
 """Readers for user data (S1-S5): dictionaries, labelled pairs and test sets.
 
-Explicit schemas everywhere (no inference). The reference identifies a
-dictionary entry by its *position*; when the source carries no id, positions
-are assigned in file order: ``monotonically_increasing_id`` is increasing in
-file order, and ``with_global_index`` turns it into dense 0..n-1 positions
-with per-partition offsets (no single-partition window).
+A dictionary entry is identified by its *position*. When the source carries no
+id, positions follow the order of the files' names and of the rows in each file:
+rows are ordered by (file, block start, place in the block) and numbered densely
+(``with_global_index``: no single-partition window).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ordering import with_global_index
 
-PAIR_SCHEMA = T.StructType([T.StructField("text1", T.StringType()),
-                            T.StructField("text2", T.StringType()),
-                            T.StructField("label", T.DoubleType())])
+_ORDER = ["_file", "_start", "_seq"]
+
+
+def _placed(df: DataFrame, *cols) -> DataFrame:
+    """``cols`` of a scan with each row's place in the files."""
+    return df.select(*cols, F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_seq"))
 
 
 def _positions(df: DataFrame, out: str) -> DataFrame:
-    seq = df.withColumn("_seq", F.monotonically_increasing_id())
-    return with_global_index(seq, ["_seq"], out=out).drop("_seq")
+    return with_global_index(df, _ORDER, out=out).drop(*_ORDER)
 
 
 def read_dictionary(spark: SparkSession, path: str, fmt: str = "text", text_col: str = "text",
                     id_col: str | None = None) -> DataFrame:
     """``corpus_id long, text string``. ``fmt='text'``: one entry per
-    line, position = line order of a single file (Spark does not keep the
-    order *between* files of a folder, so multi-file dictionaries should
-    carry ``id_col``). ``fmt='parquet'``: ``text_col`` plus an optional
-    ``id_col`` (else positions in scan order)."""
+    line, ``fmt='parquet'``: ``text_col`` plus an optional ``id_col``; without
+    an id the position (files by name, rows in file order)."""
     if fmt == "text":
-        df = spark.read.text(path).select(F.col("value").alias("text"))
-    elif fmt == "parquet":
-        cols = [F.col(text_col).alias("text")] + ([F.col(id_col).cast("long").alias("corpus_id")] if id_col else [])
-        df = spark.read.parquet(path).select(*cols)
-    else:
+        return _positions(_placed(spark.read.text(path), F.col("value").alias("text")), "corpus_id") \
+            .select("corpus_id", "text")
+    if fmt != "parquet":
         raise ValueError("fmt must be 'text' or 'parquet'")
-    if id_col and fmt == "parquet":
-        return df.select("corpus_id", "text")
-    return _positions(df, "corpus_id").select("corpus_id", "text")
+    df = spark.read.parquet(path)
+    if id_col:
+        return df.select(F.col(id_col).cast("long").alias("corpus_id"), F.col(text_col).alias("text"))
+    return _positions(_placed(df, F.col(text_col).alias("text")), "corpus_id").select("corpus_id", "text")
+
 
+def read_pairs(spark: SparkSession, path: str, fmt: str = "tsv", multiline: bool = False) -> DataFrame:
+    """``row_id long, text1, text2, label double`` from TSV or Parquet, columns by name.
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
-    """``row_id long, text1, text2, label double``; TSV with a header
-    (``text1, text2, label``) or Parquet with those columns."""
+    TSV: a header names the columns (any order, more columns are ignored; files with different headers are an
+    error); fields may be quoted with ``"``, doubled inside. ``multiline`` also reads quoted line breaks, at the
+    price of one task per file."""
     if fmt == "tsv":
-        df = spark.read.csv(path, sep="\t", header=True, schema=PAIR_SCHEMA, quote="\u0000")
+        df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', enforceSchema=False,
+                            multiLine=multiline)
     elif fmt == "parquet":
-        df = spark.read.parquet(path).select("text1", "text2", F.col("label").cast("double").alias("label"))
+        df = spark.read.parquet(path)
     else:
         raise ValueError("fmt must be 'tsv' or 'parquet'")
-    return _positions(df, "row_id").select("row_id", "text1", "text2", "label")
+    lost = [c for c in ("text1", "text2", "label") if c not in df.columns]
+    if lost:
+        raise ValueError(f"no column(s) {lost} in {path}; found {df.columns}")
+    placed = _placed(df, "text1", "text2", F.col("label").cast("double").alias("label"))
+    return _positions(placed, "row_id").select("row_id", "text1", "text2", "label")
 
 
 def read_testset(spark: SparkSession, path: str, fmt: str = "nested") -> DataFrame:
@@ -64,14 +71,16 @@ def read_testset(spark: SparkSession, path: str, fmt: str = "nested") -> DataFra
     labels of a query are gathered with ``collect_list`` (one group per
     query, bounded by that query's labels) and queries are numbered by their
     first appearance."""
+    df = spark.read.parquet(path)
     if fmt == "nested":
-        df = spark.read.parquet(path).select("query", F.col("labels").cast("array<string>").alias("labels"))
-        return _positions(df, "query_id").select("query_id", "query", "labels")
+        rows = _placed(df, "query", F.col("labels").cast("array<string>").alias("labels"))
+        return _positions(rows, "query_id").select("query_id", "query", "labels")
     if fmt != "long":
         raise ValueError("fmt must be 'nested' or 'long'")
-    rows = spark.read.parquet(path).select("query", F.col("label").cast("string").alias("label")) \
-                .withColumn("_seq", F.monotonically_increasing_id())
+    rows = _placed(df, "query", F.col("label").cast("string").alias("label"))
+    place = F.struct(*_ORDER)
     grouped = rows.groupBy("query").agg(
-        F.min("_seq").alias("_first"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_seq", "label"))), lambda s: s["label"]).alias("labels"))
+        F.min(place).alias("_first"),
+        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), "label"))), lambda s: s["label"])
+        .alias("labels"))
     return with_global_index(grouped, ["_first"], out="query_id").select("query_id", "query", "labels")

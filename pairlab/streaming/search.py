@@ -132,8 +132,8 @@ def windowed_quality(spark: SparkSession, sink_dir: str) -> DataFrame:
         "f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def run_to_completion(query, timeout_s: int = 600) -> None:
-    """Wait for an available-now stream; raise its error if it failed."""
-    query.awaitTermination(timeout_s)
+def run_to_completion(query) -> None:
+    """Wait, as long as it takes, for an available-now stream; raise its error if it failed."""
+    query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
