@@ -57,7 +57,7 @@ TARGET_BLOCK_SCHEMA = ("tb long, n int, ids binary, th binary, hh binary, "
 LEFT_BLOCK_SCHEMA = ("lb long, n int, keys binary, vecs binary, xh binary, xv binary, "
                      "xt array<string>, lo binary, rh binary, xs_off binary, xs_h binary, "
                      "xs_t array<string>")
-TOP_SCHEMA = ("uid long, key long, n_eligible long, n_pool long, ids array<long>, "
+TOP_SCHEMA = ("uid long, spec int, key long, n_eligible long, n_pool long, ids array<long>, "
               "texts array<string>, raw array<double>, val array<double>")
 EDGE_SCHEMA = "key long, target_id long, text string, raw double"
 
@@ -179,7 +179,7 @@ class _RowState:
         self.r, self.ids, self.txt = r[keep], ids[keep], txt[keep]
         self.raw, self.val = raw[keep], val[keep]
 
-    def frame(self) -> pd.DataFrame:
+    def frame(self, spec: int) -> pd.DataFrame:
         nl = len(self.keys)
         bounds = np.searchsorted(self.r, np.arange(nl + 1))
         ids_l, txt_l, raw_l, val_l = [], [], [], []
@@ -189,7 +189,7 @@ class _RowState:
             txt_l.append(list(self.txt[a:b]))
             raw_l.append(self.raw[a:b])
             val_l.append(self.val[a:b])
-        return pd.DataFrame({"uid": self.lb * MAX_LEFT_BLOCK + np.arange(nl), "key": self.keys, "n_eligible": self.n_elig, "n_pool": self.n_pool,
+        return pd.DataFrame({"uid": self.lb * MAX_LEFT_BLOCK + np.arange(nl), "spec": spec, "key": self.keys, "n_eligible": self.n_elig, "n_pool": self.n_pool,
                              "ids": ids_l, "texts": txt_l, "raw": raw_l, "val": val_l})
 
 
@@ -202,7 +202,8 @@ def _rank_within(sorted_groups: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(starts, counts)
 
 
-def _score_block(row, spec: KernelSpec, dim: int):
+def _score_block(row, dim: int):
+    """Scores, pool membership and target ids of a block pair; the same for every spec."""
     nl, nt = int(row["n"]), int(row["n_t"])
     V = np.frombuffer(row["vecs"], dtype=np.float64).reshape(nl, dim)
     T = np.frombuffer(row["vecs_t"], dtype=np.float64).reshape(nt, dim)
@@ -229,6 +230,10 @@ def _score_block(row, spec: KernelSpec, dim: int):
             for c in np.flatnonzero(th == h):
                 if texts[c] == t:
                     pool[r, c] = False
+    return S, pool, ids
+
+
+def _eligible(row, spec: KernelSpec, S, pool):
     C = np.clip(S, CLAMP_LO, CLAMP_HI) if spec.clamp else S
     elig = pool.copy()
     if spec.above is not None:
@@ -240,7 +245,7 @@ def _score_block(row, spec: KernelSpec, dim: int):
     if spec.use_row_lo:
         lo = np.frombuffer(row["lo"], dtype=np.float64)
         elig &= C >= lo[:, None]
-    return S, C, pool, elig, ids
+    return C, elig
 
 
 def _selection_values(row, spec: KernelSpec, C, S, elig):
@@ -262,51 +267,52 @@ def _selection_values(row, spec: KernelSpec, C, S, elig):
     raise ValueError(f"unknown kernel mode {spec.mode!r}")
 
 
-def _kernel_fn(spec: KernelSpec, dim: int):
-    n = spec.n
-
+def _kernel_fn(specs: list[KernelSpec], dim: int):
     def run(batches):
-        current_lb, state = None, None
-
+        current_lb, states = None, []
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 lb = int(row["lb"])
-                if spec.mode == "edges":
-                    S, C, pool, elig, ids = _score_block(row, spec, dim)
+                S, pool, ids = _score_block(row, dim)
+                texts = np.asarray(row["texts"], dtype=object)
+                if specs[0].mode == "edges":
+                    _, elig = _eligible(row, specs[0], S, pool)
                     rr, cc = np.nonzero(elig)
                     if len(rr):
                         keys = np.frombuffer(row["keys"], dtype=np.int64)
-                        texts = np.asarray(row["texts"], dtype=object)
                         yield pd.DataFrame({"key": keys[rr], "target_id": ids[cc],
                                             "text": texts[cc], "raw": S[rr, cc]})
                     continue
                 if lb != current_lb:
-                    if state is not None:
-                        yield state.frame()
+                    yield from (state.frame(i) for i, state in enumerate(states))
                     current_lb = lb
-                    state = _RowState(lb, np.frombuffer(row["keys"], dtype=np.int64).copy())
-                S, C, pool, elig, ids = _score_block(row, spec, dim)
-                state.n_pool += pool.sum(axis=1)
-                state.n_elig += elig.sum(axis=1)
-                if not elig.any():
-                    continue
-                val = _selection_values(row, spec, C, S, elig)
-                Vm = np.where(elig, val, -np.inf)
-                nt = Vm.shape[1]
-                if nt > n:
-                    kth = np.partition(Vm, nt - n, axis=1)[:, nt - n]
-                    sel = elig & (Vm >= kth[:, None])
-                else:
-                    sel = elig
-                rr, cc = np.nonzero(sel)
-                texts = np.asarray(row["texts"], dtype=object)
-                state.merge(rr.astype(np.int64), ids[cc], texts[cc], S[rr, cc], Vm[rr, cc], n)
-        if state is not None:
-            yield state.frame()
+                    keys = np.frombuffer(row["keys"], dtype=np.int64)
+                    states = [_RowState(lb, keys.copy()) for _ in specs]
+                for spec, state in zip(specs, states):
+                    _select(row, spec, state, S, pool, ids, texts)
+        yield from (state.frame(i) for i, state in enumerate(states))
 
     return run
 
 
+def _select(row, spec: KernelSpec, state: _RowState, S, pool, ids, texts) -> None:
+    """Merge a block pair's best entries under one spec into the left block's state."""
+    C, elig = _eligible(row, spec, S, pool)
+    state.n_pool += pool.sum(axis=1)
+    state.n_elig += elig.sum(axis=1)
+    if not elig.any():
+        return
+    val = _selection_values(row, spec, C, S, elig)
+    Vm = np.where(elig, val, -np.inf)
+    nt, n = Vm.shape[1], spec.n
+    sel = elig
+    if nt > n:
+        kth = np.partition(Vm, nt - n, axis=1)[:, nt - n]
+        sel = elig & (Vm >= kth[:, None])
+    rr, cc = np.nonzero(sel)
+    state.merge(rr.astype(np.int64), ids[cc], texts[cc], S[rr, cc], Vm[rr, cc], n)
+
+
 # ------------------------------------------------------------------ driver
 @dataclass(frozen=True)
 class TargetStats:
@@ -336,7 +342,7 @@ def pack_targets(targets: DataFrame, dim: int, block: int, count: int) -> DataFr
     return t.sortWithinPartitions("corpus_id", "text").mapInPandas(_pack_targets_fn(dim, block), TARGET_BLOCK_SCHEMA)
 
 
-def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
+def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | list[KernelSpec], *,
                       left_block: int | None = None,
                       target_block: int | None = None,
                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
@@ -351,10 +357,13 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     ``corpus_id long, text string, embedding array<double>``.
 
     Returns TOP_SCHEMA rows (one per left row) or, for ``mode='edges'``,
-    EDGE_SCHEMA rows (one per eligible pair). ``left_spread=True`` tells the
+    EDGE_SCHEMA rows (one per eligible pair). A list of specs scores every
+    block pair once and returns one row per left row and spec (its place in
+    the list, column ``spec``). ``left_spread=True`` tells the
     kernel that ``left`` already has enough evenly filled partitions (e.g. a
     materialized frame), which skips the balancing shuffle."""
     spark = left.sparkSession
+    specs = spec if isinstance(spec, list) else [spec]
     stats = stats or target_stats(targets)
     cols = set(left.columns)
     lf = left.select(
@@ -371,9 +380,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
         (F.transform("xs", lambda t: F.xxhash64(t)) if "xs" in cols else F.lit(None))
         .cast("array<long>").alias("xsh"))
     if stats.count == 0:
-        if spec.mode == "edges":
+        if specs[0].mode == "edges":
             return spark.createDataFrame([], EDGE_SCHEMA)
-        return lf.select("key", F.lit(0).cast("long").alias("n_eligible"),
+        each = F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))).alias("spec")
+        return lf.select("key", each).select("key", "spec", F.lit(0).cast("long").alias("n_eligible"),
                          F.lit(0).cast("long").alias("n_pool"),
                          F.array().cast("array<long>").alias("ids"),
                          F.array().cast("array<string>").alias("texts"),
@@ -403,10 +413,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec, *,
     else:
         tasks = grid_tasks or parts
         paired = _grid_pairs(lblocks, tblocks, *grid_shape(lf.count(), stats.count, left_block, target_block, tasks))
-    if spec.mode == "edges":
-        return paired.mapInPandas(_kernel_fn(spec, dim), EDGE_SCHEMA)
-    out = paired.mapInPandas(_kernel_fn(spec, dim), TOP_SCHEMA)
-    return out.drop("uid") if local else merge_partials(out, spec.n)
+    if specs[0].mode == "edges":
+        return paired.mapInPandas(_kernel_fn(specs, dim), EDGE_SCHEMA)
+    out = paired.mapInPandas(_kernel_fn(specs, dim), TOP_SCHEMA)
+    return out.drop("uid") if local else merge_partials(out, [s.n for s in specs])
 
 
 def grid_shape(n_left: int, n_targets: int, left_block: int, target_block: int,
@@ -460,19 +470,22 @@ def _bound_arrow_batches(spark) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
-def merge_partials(parts: DataFrame, n: int) -> DataFrame:
-    """Combine partial results of the same left row (its internal number)."""
-    counts = parts.groupBy("uid").agg(F.first("key").alias("key"), F.sum("n_eligible").alias("n_eligible"),
-                                      F.sum("n_pool").alias("n_pool"))
-    ent = parts.select("uid", F.explode(F.arrays_zip("ids", "texts", "raw", "val")).alias("e")) \
-               .select("uid", F.col("e.ids").alias("id"), F.col("e.texts").alias("text"),
+def merge_partials(parts: DataFrame, n: list[int]) -> DataFrame:
+    """Combine partial results of the same left row (its internal number) and spec, ``n`` entries of each spec."""
+    by = ["uid", "spec"]
+    counts = parts.groupBy(*by).agg(F.first("key").alias("key"), F.sum("n_eligible").alias("n_eligible"),
+                                    F.sum("n_pool").alias("n_pool"))
+    ent = parts.select(*by, F.explode(F.arrays_zip("ids", "texts", "raw", "val")).alias("e")) \
+               .select(*by, F.col("e.ids").alias("id"), F.col("e.texts").alias("text"),
                        F.col("e.raw").alias("raw"), F.col("e.val").alias("val"))
-    w = Window.partitionBy("uid").orderBy(F.desc("val"), F.asc("id"), F.asc("text"))
-    top = ent.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n)
-    packed = top.groupBy("uid").agg(F.array_sort(F.collect_list(
+    w = Window.partitionBy(*by).orderBy(F.desc("val"), F.asc("id"), F.asc("text"))
+    top = ent.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max(n))
+    if len(set(n)) > 1:
+        top = top.filter(F.col("rk") <= F.element_at(F.array(*[F.lit(x) for x in n]), F.col("spec") + 1))
+    packed = top.groupBy(*by).agg(F.array_sort(F.collect_list(
         F.struct("rk", "id", "text", "raw", "val"))).alias("es"))
-    return counts.join(packed, "uid", "left").select(
-        "key", "n_eligible", "n_pool",
+    return counts.join(packed, by, "left").select(
+        "key", "spec", "n_eligible", "n_pool",
         F.coalesce(F.transform("es", lambda e: e["id"]), F.array().cast("array<long>")).alias("ids"),
         F.coalesce(F.transform("es", lambda e: e["text"]), F.array().cast("array<string>")).alias("texts"),
         F.coalesce(F.transform("es", lambda e: e["raw"]), F.array().cast("array<double>")).alias("raw"),

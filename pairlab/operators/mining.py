@@ -40,7 +40,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
@@ -125,11 +125,22 @@ def draw_from_pool(rows: DataFrame, numbered: DataFrame, count: int, seed: int,
 
 
 def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
-                   anchor: str = "query", method: str = TOPK, positive_threshold: float = 0.5,
-                   beta: float = 1.0, num_negatives: int = 1, seed: int = 0, epoch: int = 0,
-                   fill: str = "faithful",
-                   known_positives: DataFrame | None = None, encoder=None, **kernel_opts) -> MiningResult:
-    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``).
+                   anchor: str = "query", method: str = TOPK, **opts) -> MiningResult:
+    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``); options as in ``mine_methods``."""
+    return mine_methods(pairs, query_vectors, candidate_vectors, [method], anchor=anchor, **opts)[method]
+
+
+def _spec(method: str, n: int, positive_threshold: float, beta: float) -> KernelSpec:
+    mode = "weighted" if method in WEIGHTED else "rank" if method in RANKED else "uniform"
+    return KernelSpec(mode=mode, n=n, clamp=True, min_score=float(positive_threshold),
+                      max_score=float(beta) if method in CAPPED else float("inf"), use_row_lo=method in ABOVE_TRUE)
+
+
+def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, methods: list[str], *,
+                 anchor: str = "query", positive_threshold: float = 0.5, beta: float = 1.0, num_negatives: int = 1,
+                 seed: int = 0, epoch: int = 0, fill: str = "faithful", known_positives: DataFrame | None = None,
+                 encoder=None, **kernel_opts) -> dict[str, MiningResult]:
+    """Several methods over the same rows with one kernel pass: every pair is scored once.
 
     J10 (option, off by default): ``known_positives`` (``text1, text2``, e.g.
     all gold pairs) removes from the pool, besides the row's own text, every
@@ -143,10 +154,11 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
     n = int(num_negatives)
     code = hr.ANCHOR_CODE[anchor]
     t_stats = target_stats(targets)
+    above = any(m in ABOVE_TRUE for m in methods)
 
     base = pairs.select("row_id", "text1", "text2")
     rows = with_vectors(base, a_col, a_vecs, "vec", encoder)
-    if method in ABOVE_TRUE:
+    if above:
         other = query_vectors if x_col == "text1" else candidate_vectors
         rows = with_vectors(rows, x_col, other, "_ov", encoder)
         rows = rows.withColumn("lo", cosine_rows(F.col("vec"), F.col("_ov"))).drop("_ov")
@@ -154,99 +166,93 @@ def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors
         kp = known_positives.select("text1", "text2").distinct()
         excl = kp.groupBy(a_col).agg(F.collect_set(x_col).alias("xs"))
         rows = rows.join(excl, a_col, "left")
-    rows = materialize(rows)
-    # no vector for the anchor or, where the bound is the true pair's score, for the true text
-    lost = F.col("lo").isNull() if method in ABOVE_TRUE else F.col("vec").isNull()
-    missing = rows.filter(lost).select(
-        "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
-    rows = rows.filter(~lost)
-
-    if method in WEIGHTED:
-        mode = "weighted"
-    elif method in RANKED:
-        mode = "rank"
-    else:
-        mode = "uniform"
-    spec = KernelSpec(mode=mode, n=n, clamp=True, min_score=float(positive_threshold),
-                      max_score=float(beta) if method in CAPPED else float("inf"),
-                      use_row_lo=method in ABOVE_TRUE)
+    every = materialize(rows)
+    rows = every.filter(F.col("vec").isNotNull())
+
     left = rows.select(
         F.col("row_id").alias("key"), "vec", F.xxhash64(x_col).alias("xh"),
         F.col(x_col).alias("xt"),
-        (F.col("lo") if method in ABOVE_TRUE else F.lit(None).cast("double")).alias("lo"),
+        (F.col("lo") if above else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
         hr.wide_expr(seed, epoch, code + hr.STREAM_PICK, "row_id").alias("rh"))
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spread = rows.rdd.getNumPartitions() >= parts      # cheap: ``rows`` is materialized
-    res = similarity_kernel(left, targets, spec, stats=t_stats, left_spread=spread, **kernel_opts)
-    res = res.select(F.col("key").alias("row_id"), "n_eligible", "n_pool", "ids", "texts", "raw", "val")
-
-    if method in FILLED:
-        res = res.withColumn("f", fill_draws(F.col("n_eligible"), n, fill))
-    else:
-        res = res.withColumn("f", F.lit(0))
-    res = materialize(res)
-
-    def entries(df):
-        e = df.select("row_id", F.posexplode(F.arrays_zip("ids", "texts", "raw", "val")).alias("pos", "e"))
-        return e.select("row_id", "pos", F.col("e.ids").alias("target_id"), F.col("e.texts").alias("text"),
-                        F.col("e.raw").alias("raw"), F.col("e.val").alias("val"),
-                        F.lit(False).alias("is_fill"))
-
-    direct = entries(res.filter(F.col("f") == 0)).filter(F.col("pos") < n).select(
+    spread = every.rdd.getNumPartitions() >= parts      # cheap: ``every`` is materialized
+    res = similarity_kernel(left, targets, [_spec(m, n, positive_threshold, beta) for m in methods],
+                            stats=t_stats, left_spread=spread, **kernel_opts)
+    res = materialize(res.select(F.col("key").alias("row_id"), "spec", "n_eligible", "n_pool", "ids", "texts", "raw",
+                                 "val"))
+    own = F.array(F.col(x_col))
+    out = F.concat(own, F.coalesce("xs", F.array().cast("array<string>"))) if known_positives is not None else own
+    texts = rows.select("row_id", out.alias("out"))
+    numbered = numbered_targets(targets) if any(m in FILLED for m in methods) else None
+    done = {}
+    for i, method in enumerate(methods):
+        # no vector for the anchor or, where the bound is the true pair's score, for the true text
+        lost = F.col("lo").isNull() if method in ABOVE_TRUE else F.col("vec").isNull()
+        missing = every.filter(lost).select(
+            "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
+        own_res = res.filter(F.col("spec") == i)
+        if method in ABOVE_TRUE:
+            own_res = own_res.join(missing.select("row_id"), "row_id", "left_anti")
+
+        def draw(need: DataFrame) -> DataFrame:
+            need = need.join(texts, "row_id").select("row_id", "out", "f")
+            return materialize(draw_from_pool(need, numbered, t_stats.count, seed, epoch, code + hr.STREAM_FILL))
+        keys = hr.uniform_expr(seed, epoch, code + hr.STREAM_FILL_KEY, "row_id", "slot")
+        done[method] = _pick(method, own_res, missing, rows, targets, n, fill, draw, keys)
+    return done
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    e = df.select("row_id", F.posexplode(F.arrays_zip("ids", "texts", "raw", "val")).alias("pos", "e"))
+    return e.select("row_id", "pos", F.col("e.ids").alias("target_id"), F.col("e.texts").alias("text"),
+                    F.col("e.raw").alias("raw"), F.col("e.val").alias("val"), F.lit(False).alias("is_fill"))
+
+
+def _pick(method: str, res: DataFrame, missing: DataFrame, rows: DataFrame, targets: DataFrame, n: int, fill: str,
+          draw, keys: Column) -> MiningResult:
+    """Negatives and short rows of one method from its kernel result: fills, order, the first n."""
+    filled = method in FILLED
+    res = res.withColumn("f", fill_draws(F.col("n_eligible"), n, fill) if filled else F.lit(0))
+    negatives = _entries(res.filter(F.col("f") == 0)).filter(F.col("pos") < n).select(
         "row_id", (F.col("pos") + 1).alias("slot"), "target_id", "text",
         clamp(F.col("raw")).alias("score"), "raw", "is_fill")
+    if not filled:
+        # unfilled methods return min(L, n) entries
+        few = res.filter(F.col("n_eligible") < n).select(
+            "row_id", F.lit("too_few").alias("reason"), F.col("n_eligible").alias("n_found"))
+        return MiningResult(negatives.select(*NEG_SCHEMA_COLS), missing.unionByName(few))
 
     fill_rows = res.filter((F.col("f") > 0) & (F.col("n_pool") > 0))
+    draws = draw(fill_rows.select("row_id", "f"))
+    tv = targets.select(F.col("corpus_id").alias("target_id"), "text", F.col("embedding").alias("_tv"))
+    scored = (draws.join(tv, ["target_id", "text"]).join(rows.select("row_id", "vec"), "row_id")
+              .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
+    weighted = method in WEIGHTED
+    fval = F.log(keys) / clamp(F.col("raw")) if weighted else F.lit(None).cast("double")
+    elig = _entries(fill_rows)
+    # a fill that repeats an eligible target carries that entry's kernel score, so
+    # equal entries tie exactly (the reference appends copies of pool entries)
+    same = elig.select("row_id", "target_id", "text", F.col("raw").alias("_kraw"))
+    scored = (scored.join(same, ["row_id", "target_id", "text"], "left")
+              .withColumn("raw", F.coalesce("_kraw", "raw")).drop("_kraw"))
+    fills = scored.select("row_id", F.col("slot").alias("pos"), "target_id", "text", "raw",
+                          fval.alias("val"), F.lit(True).alias("is_fill"))
+    cand = elig.unionByName(fills).withColumn("score", clamp(F.col("raw")))
+    if weighted:
+        order = [F.desc("val"), F.asc("is_fill"), F.asc("pos"), F.asc("target_id")]
+    else:
+        # stable top-n over [eligible..., fills...] by clamped score
+        order = [F.desc("score"), F.asc("is_fill"),
+                 F.desc(F.when(~F.col("is_fill"), F.col("raw"))), F.asc("pos"), F.asc("target_id")]
+    w = Window.partitionBy("row_id").orderBy(*order)
+    picked = cand.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n) \
+                 .select("row_id", "slot", "target_id", "text", "score", "raw", "is_fill")
+    # filled methods always reach n unless the pool is empty
     empty_pool = res.filter((F.col("f") > 0) & (F.col("n_pool") == 0)).select(
         "row_id", F.lit("empty_pool").alias("reason"), F.col("n_eligible").alias("n_found"))
-
-    negatives = direct
-    if method in FILLED:
-        own = F.array(F.col(x_col))
-        out = F.concat(own, F.coalesce("xs", F.array().cast("array<string>"))) if known_positives is not None else own
-        need = fill_rows.join(rows.select("row_id", out.alias("out")), "row_id").select("row_id", "out", "f")
-        draws = materialize(draw_from_pool(need, numbered_targets(targets), t_stats.count, seed, epoch,
-                                           code + hr.STREAM_FILL))
-        tv = targets.select(F.col("corpus_id").alias("target_id"), F.col("embedding").alias("_tv"))
-        scored = (draws.join(tv, "target_id").join(rows.select("row_id", "vec"), "row_id")
-                  .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
-        if mode == "weighted":
-            u = hr.uniform_expr(seed, epoch, code + hr.STREAM_FILL_KEY, "row_id", "slot")
-            fval = F.log(u) / clamp(F.col("raw"))
-        else:
-            fval = F.lit(None).cast("double")
-        elig = entries(fill_rows)
-        # a fill that repeats an eligible target carries that entry's kernel score, so
-        # equal entries tie exactly (the reference appends copies of pool entries)
-        same = elig.select("row_id", "target_id", F.col("raw").alias("_kraw"))
-        scored = (scored.join(same, ["row_id", "target_id"], "left")
-                  .withColumn("raw", F.coalesce("_kraw", "raw")).drop("_kraw"))
-        fills = scored.select("row_id", F.col("slot").alias("pos"), "target_id", "text", "raw",
-                              fval.alias("val"), F.lit(True).alias("is_fill"))
-        cand = elig.unionByName(fills).withColumn("score", clamp(F.col("raw")))
-        if mode == "weighted":
-            order = [F.desc("val"), F.asc("is_fill"), F.asc("pos"), F.asc("target_id")]
-        else:
-            # stable top-n over [eligible..., fills...] by clamped score
-            order = [F.desc("score"), F.asc("is_fill"),
-                     F.desc(F.when(~F.col("is_fill"), F.col("raw"))), F.asc("pos"), F.asc("target_id")]
-        w = Window.partitionBy("row_id").orderBy(*order)
-        picked = cand.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n) \
-                     .select("row_id", "slot", "target_id", "text", "score", "raw", "is_fill")
-        negatives = negatives.unionByName(picked)
-
-    # rows that come back short, read off the kernel counts (no recount of
-    # the negatives): unfilled methods return min(L, n) entries; filled ones
-    # always reach n unless the pool is empty
-    if method in FILLED:
-        short = missing.unionByName(empty_pool)
-    else:
-        few = res.filter(F.col("n_eligible") < n).select(
-            "row_id", F.lit("too_few").alias("reason"), F.col("n_eligible").alias("n_found"))
-        short = missing.unionByName(few)
-    return MiningResult(negatives.select(*NEG_SCHEMA_COLS), short)
+    return MiningResult(negatives.unionByName(picked).select(*NEG_SCHEMA_COLS), missing.unionByName(empty_pool))
 
 
 def easy_negatives(pairs: DataFrame, candidates: DataFrame, seed: int = 0, epoch: int = 0,

@@ -9,7 +9,6 @@ The only value that travels to the driver is the tuned beta (one row).
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,15 +17,12 @@ from pyspark.sql import functions as F
 from ..operators.calibrate import EpochConfig, tune_beta
 from ..operators.encode import encode_distinct
 from ..operators.instances import assign_batches, build_instances
-from ..operators.mining import METHODS, materialize_dictionary, mine_negatives
+from ..operators.mining import METHODS, materialize_dictionary, mine_methods
 from ..operators.similarity import first_row_cosine, pair_cosine
 from ..session import materialize
 from ..sources.readers import read_dictionary, read_pairs
 
 
-DRIVER_THREADS = 4
-
-
 @dataclass
 class EpochData:
     config: EpochConfig
@@ -90,28 +86,20 @@ def write_epoch(data: EpochData, path: str) -> None:
 def compare_samplers(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
                      positive_threshold: float = 0.5, beta: float = 0.9, num_negatives: int = 3,
                      seed: int = 0, epoch: int = 0, **kernel_opts) -> DataFrame:
-    """Every method x both anchors over all rows of ``pairs``.
+    """Every method x both anchors over all rows of ``pairs``, with one kernel pass per anchor.
     Returns ``method, anchor, row_id, slot, text, score, is_fill``."""
     query_vectors = materialize_dictionary(query_vectors)
     candidate_vectors = materialize_dictionary(candidate_vectors)
     pairs = materialize(pairs)
-    combos = [(m, a) for m in METHODS for a in ("query", "candidate")]
-
-    def run(combo):
-        method, anchor = combo
-        r = mine_negatives(pairs, query_vectors, candidate_vectors, anchor=anchor, method=method,
-                           positive_threshold=positive_threshold, beta=beta,
-                           num_negatives=num_negatives, seed=seed, epoch=epoch, **kernel_opts)
-        return r.negatives.select(F.lit(method).alias("method"), F.lit(anchor).alias("anchor"),
-                                  "row_id", "slot", "text", "score", "is_fill")
-
-    # independent jobs: submit them from a few driver threads so their small
-    # stages overlap (Spark schedules concurrent jobs of one session)
-    with ThreadPoolExecutor(max_workers=DRIVER_THREADS) as pool:
-        parts = list(pool.map(run, combos))
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionByName(d)
+    out = None
+    for anchor in ("query", "candidate"):
+        found = mine_methods(pairs, query_vectors, candidate_vectors, list(METHODS), anchor=anchor,
+                             positive_threshold=positive_threshold, beta=beta,
+                             num_negatives=num_negatives, seed=seed, epoch=epoch, **kernel_opts)
+        for method, r in found.items():
+            part = r.negatives.select(F.lit(method).alias("method"), F.lit(anchor).alias("anchor"),
+                                      "row_id", "slot", "text", "score", "is_fill")
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -114,3 +114,12 @@ def test_fill_counts_golden(spark):
     assert got == [4, 2, 1, 0]
     exact = [r[0] for r in df.select(mn.fill_draws(F.col("L"), 3, "exact")).collect()]
     assert exact == [3, 1, 0, 0]
+
+
+def test_one_pass_for_several_methods_gives_each_method_alone(fx):
+    opts = dict(anchor="candidate", positive_threshold=0.5, beta=0.9, num_negatives=3, seed=2, epoch=1)
+    many = mn.mine_methods(fx.training, fx.queries, fx.candidates, list(mn.METHODS) + ["uniform"], **opts)
+    rows = lambda r: sorted(tuple(x) for x in r.negatives.select("row_id", "slot", "target_id", "is_fill").collect())
+    for method in (mn.TOPK, mn.LARGER_EFN, mn.MULTI, "uniform"):
+        alone = mn.mine_negatives(fx.training, fx.queries, fx.candidates, method=method, **opts)
+        assert rows(many[method]) == rows(alone)
