@@ -27,9 +27,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back: cuts the lineage,
-    survives lost executors, and its columns are pruned on each later read."""
+    survives lost executors, and its columns are pruned on each later read. All tables of an application lie in
+    one folder named by its id, which can go when the application has ended."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/pairlab-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/pairlab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -41,8 +41,9 @@ from .tokens import chain, mix, slices, words_of
 BASE = 1.5               # a level's counts reach from BASE^(level-1) to BASE^level
 PRIOR = 500.0            # weight of the word's own probability against its history's counts
 BITS, PROBES = 10, 6     # filter bits for each (key, level), and probes for each lookup
-SEGMENT_BYTES = 160 << 20
+SEGMENT_BYTES = 112 << 20
 HEAD_WORDS = 2_000_000
+CHUNK, COUNTED_KEYS = 1_000_000, 2_500_000  # bytes of text, and counted keys, that a worker holds at a time
 PART_BYTES = 24 << 20    # training text for each task that builds blocks; it builds about four
 
 _END = np.uint64(0x5851F42D4C957F2E)  # key of the end of a text; keys of words are even, those of pairs odd
@@ -90,11 +91,11 @@ def _count_keys(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[pa
                 pa.array(n[a:a + 500_000])], ["block", "key", "n"])
     held, size = [], 0
     for batch in batches:
-        for a, b in slices(batch.column(0)):
+        for a, b in slices(batch.column(0), CHUNK):
             tokens, pairs, _ = token_keys(batch.column(0).slice(a, b - a))
             held.append(np.unique(np.concatenate([tokens, pairs]), return_counts=True))
             size += len(held[-1][0])
-            if size > 3_000_000:
+            if size > COUNTED_KEYS:
                 yield from emit(held)
                 held, size = [], 0
     if held:
@@ -308,7 +309,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = _scorer(sent, sent.segments[0].value if single and sent.segments else None)
         for texts in batches:
-            parts = [of(texts.slice(a, b - a)) for a, b in slices(texts)]
+            parts = [of(texts.slice(a, b - a)) for a, b in slices(texts, CHUNK)]
             columns = [pa.concat_arrays(c) for c in zip(*parts)]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "n_head", "head", "rest", "score"])
 
@@ -363,7 +364,7 @@ def _joined_score(rows: DataFrame, scored: DataFrame, model: Model) -> DataFrame
             ends = int(look(np.array([_END]))[0])
             for texts in batches:
                 own, both = [], []
-                for a, b in slices(texts):
+                for a, b in slices(texts, CHUNK):
                     tokens, pairs, first = token_keys(texts.slice(a, b - a))
                     words, twos = look(tokens), look(pairs)
                     own += [words[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]

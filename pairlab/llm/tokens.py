@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at a time (a longer single text is handled whole); working memory is about 40 x this.
+#: Bytes of text handled at a time (a longer single text is handled whole), and bytes hashed at a time.
 CHUNK_BYTES = 2_000_000
+PIECE = 1 << 19
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)            # odd, so it has an inverse modulo 2^64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -45,11 +46,32 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) == 1:
         for k, base in enumerate((_STEP, _BACK)):
-            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
-    return _POWERS[0][:n], _POWERS[1][:n]
+            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(PIECE, base, np.uint64))])
+    return _POWERS[0], _POWERS[1]
+
+
+def _polynomials(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of (byte + 1) * STEP^(place in the word) for each span, modulo 2^64; a piece of the bytes at a time."""
+    forth, back = _powers()
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        if b - a > PIECE:  # one word longer than a piece
+            total = 0
+            for k, at in enumerate(range(a, b, PIECE)):
+                part = raw[at:min(b, at + PIECE)].astype(np.uint64) + np.uint64(1)
+                total += int((part * forth[:len(part)]).sum()) * pow(int(_STEP), k * PIECE, 1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+        else:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * forth[:b - a], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * back[start[i:j] - a]
+        i = j
+    return out
 
 
 @dataclass
@@ -80,10 +102,7 @@ def words_of(texts: pa.Array, word_byte: np.ndarray = NOT_SPACE) -> Words:
     edges = bounds[(bounds > 0) & (bounds < len(raw))]
     before[edges], after[edges - 1] = False, False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    forth, back = _powers(max(len(raw), 1))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forth[:len(raw)], out=sums[1:])
-    key = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _STEP)
+    key = mix(_polynomials(raw, start, end) + (end - start).astype(np.uint64) * _STEP)
     return Words(raw, start, end, key, np.searchsorted(start, bounds))
 
 
