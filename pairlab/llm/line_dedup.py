@@ -7,11 +7,12 @@
    ``BANDS * ROWS`` permutations. Long lines use a sample of their shingles (those whose hash is divisible by a
    power of 4 that follows the length); a line whose length lies near a limit is signed in both classes, so
    two similar lines always meet in one.
-3. Banding: lines with the same ``ROWS`` least values in a band share a bucket.
+3. Banding: lines with the same ``ROWS`` least values in a band share a bucket. Of the pairs to compare, those
+   that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five).
 4. Verification: the exact Jaccard similarity of all shingles, ``PERCENT`` / 100 or more. In each bucket every
-   line is compared with the least one; lines linked to it leave the bucket (they need no other link to be in its
-   component), and the rest is compared with more and more of its own lines, until all are. So a bucket of
-   many copies costs as many comparisons as it has lines.
+   line is compared with the least one; lines that are then in its component (by this or any other bucket) leave
+   the bucket, as they need no other link to be in it, and the rest is compared with more and more of its own
+   lines, until all are. So a bucket of many copies costs as many comparisons as it has lines.
 5. Components of the links by distributed union-find; of each component the first line, in order of
    (doc_id, hash of the text, line number), stays.
 
@@ -34,13 +35,15 @@ from .common import fresh, require, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 8, 80
-BANDS, ROWS = 8, 3
+BANDS, ROWS, AGREE = 8, 3, 14
 SAMPLED_FROM = 128        # shingles from which a line is sampled; each class is four times the one before
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
-_FIRST_COMPARED = 32      # lines of a bucket that its others are compared with after the first round
+TASK_PAIRS = 1_000        # pairs whose shingles one task counts
+MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that its others are compared with
 _rng = random.Random(5)
 _FLIPS = [_rng.getrandbits(31) for _ in range(BANDS * ROWS)]
 _CLASSES = 8
+_MINS = [f"m{k}" for k in range(BANDS * ROWS)]
 
 
 def _sent(table: DataFrame, row_bytes: int) -> DataFrame:
@@ -54,14 +57,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line", F.lit(" \t\r\f\v")) != "").withColumn("lh", F.xxhash64("line"))
 
 
-def _windows(lines: DataFrame, *kept: str) -> DataFrame:
-    """``kept`` columns and the window of each shingle of ``line``, as UTF-32 so that a window is cut in one step."""
-    wide = lines.select(*kept, F.length("line").alias("chars"), F.encode("line", "UTF-32").alias("wide"))
-    at = F.sequence(F.lit(0), F.greatest(F.col("chars") - SHINGLE, F.lit(0)))
-    return wide.select(*kept, "wide", F.explode(at).alias("i")).select(
-        *kept, F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * SHINGLE)).alias("window"))
-
-
 def _size_classes(n: Column) -> Column:
     """Classes of a line of n shingles: 0 up to 1.25 * 128, k from 128 * 4^(k-1) up to 1.25 * 128 * 4^k."""
     limit = [SAMPLED_FROM * 4 ** k for k in range(_CLASSES)]
@@ -70,67 +65,93 @@ def _size_classes(n: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)]))
 
 
+def _windows(lines: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns and the window of each shingle, cut in one step each from ``wide``, the line in UTF-16;
+    ``n``: the number of windows."""
+    at = lines.select(*kept, "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return at.select(*kept, F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * SHINGLE)).alias("window"))
+
+
+def _widened(line: Column) -> tuple[Column, Column]:
+    """``wide`` and ``n`` for ``_windows``."""
+    wide = F.encode(line, "UTF-16LE")
+    return wide.alias("wide"), F.greatest((F.octet_length(wide) / 2).cast("int") - SHINGLE + 1, F.lit(1)).alias("n")
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """lh and ``bands``: for each size class and band the hash of its least values. ``lines``: lh, line."""
-    n = F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))
-    classed = lines.select("lh", "line", F.explode(_size_classes(n)).alias("class"))
+    """lh, class and the least values m0, m1, ... of each line. ``lines``: lh, line."""
+    classed = lines.select("lh", *_widened(F.col("line"))).withColumn("class", F.explode(_size_classes(F.col("n"))))
     hashed = _windows(classed, "lh", "class").select("lh", "class", F.hash("window").alias("h"))
     rate = F.expr("cast(power(4, class) as int) - 1")
     taken = hashed.filter(F.col("h").bitwiseAND(rate) == 0)
-    order = F.shiftright("h", 1)
-    least = taken.groupBy("lh", "class").agg(*[
-        F.min(order.bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_FLIPS)])
-    return least.select("lh", F.array(*[
-        F.xxhash64("class", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    order = F.shiftright("h", 1)  # any fixed mixing serves; sampled values end in zeros
+    return taken.groupBy("lh", "class").agg(*[
+        F.min(order.bitwiseXOR(F.lit(c))).alias(m) for m, c in zip(_MINS, _FLIPS)])
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """bucket, lh of the buckets with two lines or more."""
-    rows = signed.select(F.explode("bands").alias("bucket"), "lh")
+    """bucket, class, lh of the buckets with two lines or more."""
+    bands = F.array(*[F.xxhash64("class", F.lit(b), *_MINS[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
+    rows = signed.select(F.explode(bands).alias("bucket"), "class", "lh")
     shared = written(rows.groupBy("bucket").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a < b")
                      .select("bucket"))
     return rows.join(_sent(shared, 40), "bucket").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines are similar. ``texts``: lh, line. Both lines come to the pair's task, where
-    their shingles are counted without another shuffle."""
-    left = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("of_a")), "a")
-    both = left.join(texts.select(F.col("lh").alias("b"), F.col("line").alias("of_b")), "b")
-    sides = both.repartition("a", "b").select("a", "b", F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("of_a").alias("line")),
-        F.struct(F.lit(2).alias("side"), F.col("of_b").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
-    items = _windows(sides, "a", "b", "side").select("a", "b", "side", F.xxhash64("window").alias("item"))
-    held = items.groupBy("a", "b", "item").agg(F.bit_or("side").alias("sides"))
-    count = held.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count(F.lit(1)).alias("all"))
-    return count.filter(F.col("shared") * 100 >= F.col("all") * PERCENT).select("a", "b")
+def likely(pairs: DataFrame, mins: DataFrame) -> DataFrame:
+    """The pairs (a, b, class) that agree in enough least values. ``mins``: lh, class and the least values."""
+    side = lambda x: mins.select(F.col("lh").alias(x), "class", F.struct(*_MINS).alias(f"mins_{x}"))
+    both = pairs.join(side("a"), ["a", "class"]).join(side("b"), ["b", "class"])
+    same = sum((F.col("mins_a")[m] == F.col("mins_b")[m]).cast("int") for m in _MINS)
+    return both.filter(same >= AGREE).select("a", "b", "class")
 
 
-def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that connect all similar lines that share a bucket."""
-    opened, links, seen, compared = buckets, None, None, 1
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, class) whose lines are similar, by the exact similarity of their shingles. ``texts``: lh, line.
+    A task gets a bounded number of pairs, so that their shingles stay in its memory."""
+    tasks = max(1, -(-pairs.count() // TASK_PAIRS))
+    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("of_a")), "a")
+    both = both.join(texts.select(F.col("lh").alias("b"), F.col("line").alias("of_b")), "b")
+    sides = both.select("a", "b", "class", F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col("of_a").alias("line")),
+        F.struct(F.lit(2).alias("side"), F.col("of_b").alias("line")))).alias("s"))
+    # the shingles of both sides are counted where the pair is, without another shuffle
+    wide = sides.repartition(tasks, "a", "b", "class").select("a", "b", "class", "s.side", *_widened(F.col("s.line")))
+    items = _windows(wide, "a", "b", "class", "side")
+    held = items.groupBy("a", "b", "class", F.xxhash64("window").alias("item")).agg(F.bit_or("side").alias("sides"))
+    count = held.groupBy("a", "b", "class").agg(F.count_if(F.col("sides") == 3).alias("shared"),
+                                                F.count(F.lit(1)).alias("every"))
+    return count.filter(F.col("shared") * 100 >= F.col("every") * PERCENT).select("a", "b", "class")
+
+
+def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar lines that share a bucket."""
+    opened, links, seen, compared = buckets.withColumn("label", F.col("lh")), None, None, 1
     while True:
         if compared == 1:
-            heads = opened.groupBy("bucket").agg(F.min("lh").alias("a"))
+            heads = opened.groupBy("bucket").agg(F.min("lh").alias("a")).withColumn("of_a", F.col("a"))
         else:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("lh"))
             heads = opened.withColumn("place", place).filter(F.col("place") <= compared)
-            heads = heads.select("bucket", F.col("lh").alias("a"))
-        met = opened.join(heads, "bucket").filter("a < lh").select("bucket", "a", F.col("lh").alias("b"))
-        pairs = met.select("a", "b").distinct()
-        fresh_pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = written(verified(fresh_pairs, texts))
+            heads = heads.select("bucket", F.col("lh").alias("a"), F.col("label").alias("of_a"))
+        heads = written(heads)
+        met = opened.join(heads, "bucket").filter("a < lh and of_a <> label")
+        pairs = met.select("a", F.col("lh").alias("b"), "class").distinct()
+        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b", "class"], "left_anti"))
+        found = written(verified(written(likely(pairs, mins)), texts).select("a", "b"))
         links = found if links is None else links.unionByName(found)
-        seen = fresh_pairs if seen is None else seen.unionByName(fresh_pairs)
-        # heads have met all others of their bucket, and lines linked to a head are in its component
-        gone = met.join(links, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("lh")).unionByName(
-            heads.select("bucket", F.col("a").alias("lh"))).distinct()
-        rest = opened.join(gone, ["bucket", "lh"], "left_anti")
-        several = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        opened = written(rest.join(several, "bucket"))
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        # heads have met all others of their bucket, and lines now in a head's component need no other link
+        labels = written(connected_components(links))
+        named = opened.drop("label").join(labels.select(F.col("node").alias("lh"), "label"), "lh", "left")
+        named = named.withColumn("label", F.coalesce("label", "lh"))
+        gone = heads.join(named.select("bucket", F.col("lh").alias("a"), "label"), ["bucket", "a"])
+        rest = named.join(gone.select("bucket", "label").distinct(), ["bucket", "label"], "left_anti")
+        several = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+        opened = written(rest.join(several.select("bucket"), "bucket").select("bucket", "class", "lh", "label"))
         if opened.isEmpty():
             return links
-        compared = max(_FIRST_COMPARED, 2 * compared)
+        compared *= MORE_COMPARED
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -144,12 +165,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     placed = written(lines.select("lh", "id", "mark", "pos"))
     nodes = written(placed.groupBy("lh").agg(F.count(F.lit(1)).alias("n"),
                                              F.min(F.struct("id", "mark", "pos")).alias("first")))
-    buckets = written(_buckets(written(signatures(lines.select("lh", "line")))))
-    asked = nodes.join(_sent(written(buckets.select("lh").distinct()), 40), "lh").select(
+    signed = written(signatures(lines.select("lh", "line")))
+    buckets = written(_buckets(signed))
+    wanted = written(buckets.select("lh").distinct())
+    asked = nodes.join(_sent(wanted, 40), "lh").select(
         "lh", F.col("first.id").alias("at_id"), F.col("first.mark").alias("at_mark"), F.col("first.pos").alias("at_pos"))
     here = F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")) & (F.col("pos") == F.col("at_pos"))
     texts = written(lines.join(_sent(written(asked), 120), "lh").filter(here).select("lh", "line").dropDuplicates(["lh"]))
-    labels = connected_components(_links(buckets, texts)).withColumnRenamed("node", "lh")
+    mins = written(signed.join(_sent(wanted, 40), "lh"))
+    labels = connected_components(_links(buckets, texts, mins)).withColumnRenamed("node", "lh")
     named = nodes.join(labels, "lh", "left").withColumn("label", F.coalesce("label", "lh"))
     classes = named.groupBy("label").agg(F.sum("n").alias("lines"), F.min("first").alias("kept"))
     repeated = named.join(classes.filter("lines > 1"), "label").select("lh", "kept")

@@ -141,7 +141,7 @@ def test_line_dedup_odd_rows_and_large_buckets(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
     base = [rng.choice(words) for _ in range(60)]
     lines = []
-    for i in range(90):  # near copies of one line
+    for i in range(40):  # near copies of one line
         own = list(base)
         own[rng.randrange(60)] = f"w{i}"
         lines.append(" ".join(own))
