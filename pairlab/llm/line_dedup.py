@@ -10,9 +10,10 @@
 3. Banding: lines with the same ``ROWS`` least values in a band share a bucket. Of the pairs to compare, those
    that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five).
 4. Verification: the exact Jaccard similarity of all shingles, ``PERCENT`` / 100 or more. In each bucket every
-   line is compared with the least one; lines that are then in its component (by this or any other bucket) leave
-   the bucket, as they need no other link to be in it, and the rest is compared with more and more of its own
-   lines, until all are. So a bucket of many copies costs as many comparisons as it has lines.
+   line is compared with the least one, then with more and more of the bucket's lines, until all are. Two lines that
+   are in one component by then (by this or any other bucket) are not compared, and a bucket whose lines all are is
+   done. So a bucket of many copies costs as many comparisons as it has lines, and no similar pair that shares a
+   bucket is left out unless its lines are linked already.
 5. Components of the links by distributed union-find; of each component the first line, in order of
    (doc_id, hash of the text, line number), stays.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, require, written
@@ -39,7 +40,7 @@ BANDS, ROWS, AGREE = 8, 3, 14
 SAMPLED_FROM = 128        # shingles from which a line is sampled; each class is four times the one before
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
-MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that its others are compared with
+MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that the others are compared with
 _rng = random.Random(5)
 _FLIPS = [_rng.getrandbits(31) for _ in range(BANDS * ROWS)]
 _CLASSES = 8
@@ -126,29 +127,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar lines that share a bucket."""
-    opened, links, seen, compared = buckets.withColumn("label", F.col("lh")), None, None, 1
+    sized = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    opened, links, seen, compared = written(sized).withColumn("label", F.col("lh")), None, None, 1
     while True:
         if compared == 1:
-            heads = opened.groupBy("bucket").agg(F.min("lh").alias("a")).withColumn("of_a", F.col("a"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("lh"))
-            heads = opened.withColumn("place", place).filter(F.col("place") <= compared)
-            heads = heads.select("bucket", F.col("lh").alias("a"), F.col("label").alias("of_a"))
-        heads = written(heads)
-        met = opened.join(heads, "bucket").filter("a < lh and of_a <> label")
-        pairs = met.select("a", F.col("lh").alias("b"), "class").distinct()
+            heads = opened.groupBy("bucket").agg(F.min("lh").alias("head")).withColumn("of_head", F.col("head"))
+        else:  # about as many of each bucket, and all of one that has no more
+            chosen = F.pmod(F.xxhash64("lh"), F.col("n")) < compared
+            heads = opened.filter(chosen).select("bucket", F.col("lh").alias("head"), F.col("label").alias("of_head"))
+        met = opened.join(written(heads), "bucket").filter("of_head <> label")
+        pairs = met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b"), "class").distinct()
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b", "class"], "left_anti"))
         found = written(verified(written(likely(pairs, mins)), texts).select("a", "b"))
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        # heads have met all others of their bucket, and lines now in a head's component need no other link
+        # a bucket is done when its lines are of one component, or all of them have been heads
         labels = written(connected_components(links))
         named = opened.drop("label").join(labels.select(F.col("node").alias("lh"), "label"), "lh", "left")
         named = named.withColumn("label", F.coalesce("label", "lh"))
-        gone = heads.join(named.select("bucket", F.col("lh").alias("a"), "label"), ["bucket", "a"])
-        rest = named.join(gone.select("bucket", "label").distinct(), ["bucket", "label"], "left_anti")
-        several = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-        opened = written(rest.join(several.select("bucket"), "bucket").select("bucket", "class", "lh", "label"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"))
+        several = several.filter((F.col("x") < F.col("y")) & (F.col("n") > max(compared, 2)))
+        opened = written(named.join(several.select("bucket"), "bucket").select("bucket", "class", "lh", "n", "label"))
         if opened.isEmpty():
             return links
         compared *= MORE_COMPARED

@@ -164,6 +164,52 @@ def test_line_dedup_odd_rows_and_large_buckets(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(nulls).collect()} == {None: "one line here\nother", 1: ""}
 
 
+def _hub_families(rng):
+    """Lines each near its family's template or the line before, but mostly not near each other."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    lines = []
+    for _ in range(12):  # one word of 21 changed
+        hub = [word() for _ in range(21)]
+        lines.append(" ".join(hub))
+        for _ in range(40):
+            own = list(hub)
+            own[rng.randrange(21)] = word()
+            lines.append(" ".join(own))
+    for _ in range(8):  # chains
+        own = [word() for _ in range(21)]
+        for _ in range(15):
+            own[rng.randrange(21)] = word()
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+    return lines
+
+
+def test_line_dedup_hub_families_and_chains(spark):
+    rows = list(enumerate(_hub_families(random.Random(21))))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _line_brute(rows)
+    assert all(got[i] != "" or t == "" for (i, _), t in zip(rows, want))
+    assert sum(got[i] != t for (i, _), t in zip(rows, want)) <= 2  # signatures may miss a pair
+
+
+def test_links_of_a_bucket_are_complete(spark):
+    """All lines in one bucket, no pair let go before verification: the links are those of brute force."""
+    lines = _hub_families(random.Random(22))[:200]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "lh long, line string")
+    buckets = df.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("class"), "lh")
+    mins = df.select("lh", F.lit(0).alias("class"), *[F.lit(0).alias(m) for m in line_dedup._MINS])
+    labels = connected_components(line_dedup._links(buckets, df, mins)).collect()
+    label = {r["node"]: r["label"] for r in labels}
+    sets = [{x[i:i + 8] for i in range(len(x) - 7)} for x in lines]
+    parent = list(range(len(lines)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if 100 * len(one & sets[j]) >= 80 * len(one | sets[j]):
+                x, y = _find(parent, i), _find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    assert {i: label.get(i, i) for i in range(len(lines))} == {i: _find(parent, i) for i in range(len(lines))}
+
+
 # ---------------------------------------------------------------- n-gram join
 def _sets(text):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
