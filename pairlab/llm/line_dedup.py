@@ -4,16 +4,15 @@
    probability below n^2 / 2^64.) Blank lines are left alone.
 2. Signatures: the shingles of a line are its windows of ``SHINGLE`` characters (a shorter line is one window).
    They are exploded and hashed in generated code, and one aggregation keeps the least value of each of
-   ``BANDS * ROWS`` permutations. Long lines use a sample of their shingles (those whose hash is divisible by a
-   power of 4 that follows the length); a line whose length lies near a limit is signed in both classes, so
-   two similar lines always meet in one.
+   ``BANDS * ROWS`` permutations of the 32-bit hashes. Every shingle counts, however long the line is, so lines
+   with the same shingles have the same signature.
 3. Banding: lines with the same ``ROWS`` least values in a band share a bucket. Of the pairs to compare, those
    that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five).
 4. Verification: the exact Jaccard similarity of all shingles, ``PERCENT`` / 100 or more. In each bucket every
    line is compared with the least one, then with more and more of the bucket's lines, until all are. Two lines that
    are in one component by then (by this or any other bucket) are not compared, and a bucket whose lines all are is
-   done. So a bucket of many copies costs as many comparisons as it has lines, and no similar pair that shares a
-   bucket is left out unless its lines are linked already.
+   done. So a bucket of near copies of one line costs about as many comparisons as it has lines; one whose lines
+   stay apart costs up to all its pairs.
 5. Components of the links by distributed union-find; of each component the first line, in order of
    (doc_id, hash of the text, line number), stays.
 
@@ -37,13 +36,11 @@ from .components import connected_components
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, AGREE = 8, 3, 14
-SAMPLED_FROM = 128        # shingles from which a line is sampled; each class is four times the one before
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
 MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that the others are compared with
 _rng = random.Random(5)
-_FLIPS = [_rng.getrandbits(31) for _ in range(BANDS * ROWS)]
-_CLASSES = 8
+_TURNS = [(_rng.getrandbits(31) | 1, _rng.getrandbits(32)) for _ in range(BANDS * ROWS)]  # h -> a h + b mod 2^32
 _MINS = [f"m{k}" for k in range(BANDS * ROWS)]
 
 
@@ -58,14 +55,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line", F.lit(" \t\r\f\v")) != "").withColumn("lh", F.xxhash64("line"))
 
 
-def _size_classes(n: Column) -> Column:
-    """Classes of a line of n shingles: 0 up to 1.25 * 128, k from 128 * 4^(k-1) up to 1.25 * 128 * 4^k."""
-    limit = [SAMPLED_FROM * 4 ** k for k in range(_CLASSES)]
-    inside = [n < 1.25 * limit[0]] + [
-        (n >= limit[k - 1]) & (n < 1.25 * limit[k]) for k in range(1, _CLASSES)] + [n >= limit[-1]]
-    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)]))
-
-
 def _windows(lines: DataFrame, *kept: str) -> DataFrame:
     """``kept`` columns and the window of each shingle, cut in one step each from ``wide``, the line in UTF-16;
     ``n``: the number of windows."""
@@ -80,49 +69,46 @@ def _widened(line: Column) -> tuple[Column, Column]:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """lh, class and the least values m0, m1, ... of each line. ``lines``: lh, line."""
-    classed = lines.select("lh", *_widened(F.col("line"))).withColumn("class", F.explode(_size_classes(F.col("n"))))
-    hashed = _windows(classed, "lh", "class").select("lh", "class", F.hash("window").alias("h"))
-    rate = F.expr("cast(power(4, class) as int) - 1")
-    taken = hashed.filter(F.col("h").bitwiseAND(rate) == 0)
-    order = F.shiftright("h", 1)  # any fixed mixing serves; sampled values end in zeros
-    return taken.groupBy("lh", "class").agg(*[
-        F.min(order.bitwiseXOR(F.lit(c))).alias(m) for m, c in zip(_MINS, _FLIPS)])
+    """lh and the least values m0, m1, ... of each line. ``lines``: lh, line."""
+    hashed = _windows(lines.select("lh", *_widened(F.col("line"))), "lh").select("lh", F.hash("window").cast("long").alias("h"))
+    least = hashed.groupBy("lh").agg(*[
+        F.min((F.col("h") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(m) for m, (a, b) in zip(_MINS, _TURNS)])
+    return least.select("lh", *[(F.col(m) - F.lit(1 << 31)).cast("int").alias(m) for m in _MINS])
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """bucket, class, lh of the buckets with two lines or more."""
-    bands = F.array(*[F.xxhash64("class", F.lit(b), *_MINS[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
-    rows = signed.select(F.explode(bands).alias("bucket"), "class", "lh")
+    """bucket, lh of the buckets with two lines or more."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *_MINS[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
+    rows = signed.select(F.explode(bands).alias("bucket"), "lh")
     shared = written(rows.groupBy("bucket").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a < b")
                      .select("bucket"))
     return rows.join(_sent(shared, 40), "bucket").distinct()
 
 
 def likely(pairs: DataFrame, mins: DataFrame) -> DataFrame:
-    """The pairs (a, b, class) that agree in enough least values. ``mins``: lh, class and the least values."""
-    side = lambda x: mins.select(F.col("lh").alias(x), "class", F.struct(*_MINS).alias(f"mins_{x}"))
-    both = pairs.join(side("a"), ["a", "class"]).join(side("b"), ["b", "class"])
+    """The pairs (a, b) that agree in enough least values. ``mins``: lh and the least values."""
+    side = lambda x: mins.select(F.col("lh").alias(x), F.struct(*_MINS).alias(f"mins_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = sum((F.col("mins_a")[m] == F.col("mins_b")[m]).cast("int") for m in _MINS)
-    return both.filter(same >= AGREE).select("a", "b", "class")
+    return both.filter(same >= AGREE).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, class) whose lines are similar, by the exact similarity of their shingles. ``texts``: lh, line.
+    """The pairs (a, b) whose lines are similar, by the exact similarity of their shingles. ``texts``: lh, line.
     A task gets a bounded number of pairs, so that their shingles stay in its memory."""
     tasks = max(1, -(-pairs.count() // TASK_PAIRS))
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("of_a")), "a")
     both = both.join(texts.select(F.col("lh").alias("b"), F.col("line").alias("of_b")), "b")
-    sides = both.select("a", "b", "class", F.explode(F.array(
+    sides = both.select("a", "b", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("of_a").alias("line")),
         F.struct(F.lit(2).alias("side"), F.col("of_b").alias("line")))).alias("s"))
     # the shingles of both sides are counted where the pair is, without another shuffle
-    wide = sides.repartition(tasks, "a", "b", "class").select("a", "b", "class", "s.side", *_widened(F.col("s.line")))
-    items = _windows(wide, "a", "b", "class", "side")
-    held = items.groupBy("a", "b", "class", F.xxhash64("window").alias("item")).agg(F.bit_or("side").alias("sides"))
-    count = held.groupBy("a", "b", "class").agg(F.count_if(F.col("sides") == 3).alias("shared"),
+    wide = sides.repartition(tasks, "a", "b").select("a", "b", "s.side", *_widened(F.col("s.line")))
+    items = _windows(wide, "a", "b", "side")
+    held = items.groupBy("a", "b", F.xxhash64("window").alias("item")).agg(F.bit_or("side").alias("sides"))
+    count = held.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"),
                                                 F.count(F.lit(1)).alias("every"))
-    return count.filter(F.col("shared") * 100 >= F.col("every") * PERCENT).select("a", "b", "class")
+    return count.filter(F.col("shared") * 100 >= F.col("every") * PERCENT).select("a", "b")
 
 
 def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
@@ -136,8 +122,8 @@ def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
             chosen = F.pmod(F.xxhash64("lh"), F.col("n")) < compared
             heads = opened.filter(chosen).select("bucket", F.col("lh").alias("head"), F.col("label").alias("of_head"))
         met = opened.join(written(heads), "bucket").filter("of_head <> label")
-        pairs = met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b"), "class").distinct()
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b", "class"], "left_anti"))
+        pairs = met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b")).distinct()
+        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         found = written(verified(written(likely(pairs, mins)), texts).select("a", "b"))
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
@@ -147,7 +133,7 @@ def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
         named = named.withColumn("label", F.coalesce("label", "lh"))
         several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"))
         several = several.filter((F.col("x") < F.col("y")) & (F.col("n") > max(compared, 2)))
-        opened = written(named.join(several.select("bucket"), "bucket").select("bucket", "class", "lh", "n", "label"))
+        opened = written(named.join(several.select("bucket"), "bucket").select("bucket", "lh", "n", "label"))
         if opened.isEmpty():
             return links
         compared *= MORE_COMPARED

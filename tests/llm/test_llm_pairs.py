@@ -196,8 +196,8 @@ def test_links_of_a_bucket_are_complete(spark):
     """All lines in one bucket, no pair let go before verification: the links are those of brute force."""
     lines = _hub_families(random.Random(22))[:200]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "lh long, line string")
-    buckets = df.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("class"), "lh")
-    mins = df.select("lh", F.lit(0).alias("class"), *[F.lit(0).alias(m) for m in line_dedup._MINS])
+    buckets = df.select(F.lit(1).cast("long").alias("bucket"), "lh")
+    mins = df.select("lh", *[F.lit(0).alias(m) for m in line_dedup._MINS])
     labels = connected_components(line_dedup._links(buckets, df, mins)).collect()
     label = {r["node"]: r["label"] for r in labels}
     sets = [{x[i:i + 8] for i in range(len(x) - 7)} for x in lines]
@@ -210,6 +210,35 @@ def test_links_of_a_bucket_are_complete(spark):
     assert {i: label.get(i, i) for i in range(len(lines))} == {i: _find(parent, i) for i in range(len(lines))}
 
 
+def _near_pairs(rng, kind):
+    """Pairs of lines of similarity 0.80 to 0.82 (or 1, of different lengths)."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    sets = lambda x: {x[i:i + 8] for i in range(max(1, len(x) - 7))}
+    out = []
+    while len(out) < 40:
+        if kind == "repetitive":  # one phrase, 100 and 1,000 characters
+            phrase = " ".join(word() for _ in range(3))
+            one, two = (phrase * 60)[:100], (phrase * 60)[:1000]
+        else:
+            words = [word() for _ in range(8 if kind == "short" else 60)]
+            one = " ".join(words)
+            two = one[:len(one) - rng.randint(0, len(one) // 5)] + word()[:rng.randint(0, 6)]
+        same = len(sets(one) & sets(two)) / len(sets(one) | sets(two))
+        if 0.80 <= same <= 0.82 or same == 1:
+            if one != two:
+                out.append((one, two))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["short", "sampled", "repetitive"])
+def test_line_dedup_recall_near_the_limit(spark, kind):
+    lines = [x for pair in _near_pairs(random.Random(31), kind) for x in pair]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    found = sum(got[i] == "" for i in range(1, len(lines), 2))
+    assert found == 40 if kind == "repetitive" else found >= 38
+
+
 # ---------------------------------------------------------------- n-gram join
 def _sets(text):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
