@@ -1,6 +1,7 @@
 """Inputs unlike the fixture: duplicate and unknown texts, sparse ids, short rows, quoted files."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pairlab.plans.epoch import prepare_epoch, prepare_epoch_from_files
 from pairlab.plans.evaluate import evaluate
 from pairlab.session import ensure_checkpoint_dir
 from pairlab.sources.readers import read_dictionary, read_pairs
+from tests.oracle_check import compare
 
 DICT = "corpus_id long, text string, embedding array<double>"
 PAIRS = "row_id long, text1 string, text2 string, label double"
@@ -199,3 +201,20 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     monkeypatch.setattr(session, "ship_package", lambda s: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_windowed_quality_of_a_table_longer_than_any_fixture(spark, tmp_path):
+    """Events over 20 times the fixture's span, in files that each cover all of it: none is dropped as late."""
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if name != "events.parquet":
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    kind = ev.schema["ts"].dataType
+    at, first = F.unix_timestamp(F.col("ts").cast("timestamp")), ev.agg(F.min(F.col("ts").cast("timestamp"))).first()[0]
+    start = F.unix_timestamp(F.lit(first))
+    ev = ev.withColumn("ts", F.timestamp_seconds(start + (at - start) * 20).cast(kind))
+    assert ev.agg(F.max("ts") - F.min("ts")).first()[0].days > 60
+    ev.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    res = compare(spark, str(tmp_path), ["t2_windowed_quality"], verbose=False)
+    assert res["t2_windowed_quality"][0] is True, res
