@@ -344,6 +344,35 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, MID).count() == out.count()
 
 
+def _five_word_components(rows):
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[p:p + 5]) for p in range(max(1, len(words) - 4))})
+    parent = list(range(len(rows)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if 100 * len(one & sets[j]) >= 80 * len(one | sets[j]):
+                x, y = _find(parent, i), _find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    return {_find(parent, k) for k in range(len(rows))}
+
+
+def test_near_duplicates_stage_takes_five_words(spark):
+    rng = random.Random(41)
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(300)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, 295, 12), g % 9):  # 6 words replaced: 0.816 of five words, 0.886 of three
+            words[at] = f"g{g}x{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, MID).collect()}
+    assert kept == _five_word_components(rows) and len(kept) < 100
+
+
 def test_pipeline_stages_on_empty_and_odd_tables(spark, tmp_path):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     odd = [(1, None, "en", "s", None), (None, "some text without id", None, None, 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
