@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_rounds, chat_grammar, decontaminate, line_dedup, lm_bloom, quality_gbt, secret_trigrams, signature_join, url_digests
+from . import (ann_forest, bpe_rounds, chat_grammar, conversation_trie, debruijn, decontaminate, line_dedup, lm_bloom,
+               periodic_runs, quality_gbt, secret_trigrams, signature_join, url_digests)
 from .common import table
 
 # Fixed values of the contracts.
@@ -82,8 +83,36 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_trigrams.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    length = F.crc32(F.col("conv").cast("string")) % 9
+    return conversation_trie.prefix_trie(*conversation_trie.graft(turns, F.col("conv") - F.col("conv") % 5, length))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    # words are repeated in a tenth of the documents
+    repeated = periodic_runs.repeat_words(F.col("text"), F.when(h % 10 == 0, g), 3 + g % 8)
+    found = docs.select("doc_id", periodic_runs.periodic_runs(repeated).alias("r")).select("doc_id", "r.*")
+    found = found.withColumn("top", periodic_runs.greatest_exponent(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op5_line_dedup, op6_quality, op7_url_filter, op8_ngram_join, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_lm_score, op2_chat_format, op3_decontaminate, op4_ann, op5_line_dedup, op6_quality, op7_url_filter,
+        op8_ngram_join, op9_bpe, op10_secrets, op11_prefix_trie, op12_periodic_runs, op13_substring_dedup)}
 
 
 _OP2_SQL = r"""
@@ -209,7 +238,67 @@ FROM given LEFT JOIN lists USING (doc_id)
 """
 
 
+#: crc32 of a text of digits: the byte table follows from the polynomial.
+_OP11_SQL = r"""
+WITH bytes AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384)
+    ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+given AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM given GROUP BY c),
+plan AS (
+  SELECT c, c - c % 5 AS trunk, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+    CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])),
+    4294967295) % 9 AS h FROM sizes, bytes),
+planned AS (SELECT plan.*, least(h, coalesce(n, 0)) AS m FROM plan LEFT JOIN sizes ON sizes.c = trunk),
+turns AS (
+  SELECT p.c, pos, role, text FROM planned p JOIN given g ON g.c = trunk AND pos < h
+  UNION ALL SELECT p.c, pos - h + m, role, text FROM planned p JOIN given g ON g.c = p.c AND pos >= h),
+placed AS (
+  SELECT c, pos + 1 AS depth, sha256(string_agg(sha256(role) || sha256(text), '') OVER (
+    PARTITION BY c ORDER BY pos)) AS node, octet_length(encode(text)) AS bytes FROM turns
+  UNION ALL SELECT c, 0, 'root', 0 FROM planned),
+ends AS (SELECT c, max(depth) AS size FROM placed GROUP BY c),
+nodes AS (
+  SELECT node, min(c) AS c, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = size), '')) AS ends_sha256
+  FROM placed JOIN ends USING (c) GROUP BY node),
+above AS (
+  SELECT up.node AS over, n.node, n.depth - up.depth AS levels, n.saved FROM nodes n JOIN placed up
+  ON up.c = n.c AND up.depth <= n.depth),
+inner_nodes AS (SELECT DISTINCT over FROM above WHERE levels = 1),
+sums AS (
+  SELECT over AS node, count(*) FILTER (WHERE levels = 1) AS n_children,
+    count(*) FILTER (WHERE node NOT IN (SELECT over FROM inner_nodes)) AS n_leaves, sum(saved) AS saved_tokens
+  FROM above GROUP BY over)
+SELECT n.c AS conv_id, n.depth, p.c AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN above a ON a.node = n.node AND a.levels = 1
+LEFT JOIN nodes p ON p.node = a.over
+"""
+
+_OP13_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words WHERE len(w) >= 13)),
+least AS (SELECT win, min(doc_id) AS source FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN least USING (win) WHERE source < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT words.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id LEFT JOIN removed ON removed.doc_id = words.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL, "op8_ngram_join": _OP8_SQL,
-            "op10_secrets": _op10_sql()}
+    return {"op2_chat_format": _OP2_SQL, "op3_decontaminate": _OP3_SQL, "op7_url_filter": _OP7_SQL,
+            "op8_ngram_join": _OP8_SQL, "op10_secrets": _op10_sql(), "op11_prefix_trie": _OP11_SQL,
+            "op13_substring_dedup": _OP13_SQL}

@@ -76,7 +76,7 @@ def _polynomials(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 @dataclass
 class Words:
-    raw: np.ndarray    # lower-cased bytes of all texts
+    raw: np.ndarray    # (lower-cased) bytes of all texts
     start: np.ndarray  # byte span of each word
     end: np.ndarray
     key: np.ndarray    # 64-bit key of each word
@@ -86,16 +86,35 @@ class Words:
         """Words a to b, joined by blanks."""
         return b" ".join([self.raw[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b])])
 
-
-def words_of(texts: pa.Array, word_byte: np.ndarray = NOT_SPACE) -> Words:
-    """Words of every text (null: none), A-Z lower-cased."""
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """The kept words (a mask) of every text, joined by one blank."""
+        chosen = np.flatnonzero(keep)
+        return self.strings(chosen, np.searchsorted(chosen, self.first))
+
+    def strings(self, chosen: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """Words (by their numbers) joined by one blank: text i gets ``chosen[cuts[i]:cuts[i + 1]]``."""
+        size = self.end[chosen] - self.start[chosen] + 1  # with a blank after each word
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[chosen] - (ends - size), size) + np.arange(int(size.sum()))
+        out = self.raw[np.minimum(at, max(0, len(self.raw) - 1))]
+        out[ends - 1] = 32
+        some = cuts[1:] > cuts[:-1]
+        keep = np.ones(len(out), bool)
+        keep[ends[cuts[1:][some] - 1] - 1] = False  # a text's last blank goes
+        bounds = np.concatenate([[0], ends])[cuts] - np.concatenate([[0], np.cumsum(some)])
+        return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(bounds.astype(np.int64).tobytes()),
+                                                pa.py_buffer(out[keep].tobytes())).cast(pa.string())
+
+
+def words_of(texts: pa.Array, word_byte: np.ndarray = NOT_SPACE, lower: bool = True) -> Words:
+    """Words of every text (null: none), A-Z lower-cased unless ``lower`` is false."""
     texts = texts.cast(pa.large_string()).fill_null("") if not pa.types.is_large_string(texts.type) or texts.null_count \
         else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None and len(texts) else \
         np.zeros(0, np.uint8)
-    raw, bounds = _LOWER[raw], offsets - offsets[0]
+    raw, bounds = _LOWER[raw] if lower else raw, offsets - offsets[0]
     inside = word_byte[raw]
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]

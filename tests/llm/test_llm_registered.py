@@ -6,12 +6,13 @@ import __spark_entry__ as se
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
-SQL = ["op2_chat_format", "op3_decontaminate", "op7_url_filter", "op8_ngram_join", "op10_secrets"]
+SQL = ["op2_chat_format", "op3_decontaminate", "op7_url_filter", "op8_ngram_join", "op10_secrets", "op11_prefix_trie",
+       "op13_substring_dedup"]
 
 
 def test_all_operators_are_registered():
     names = list(se.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
