@@ -40,8 +40,8 @@ from .components import connected_components
 from .tokens import chain, mix, slices, words_of
 
 WIDTH = 13
-BUCKET_WINDOWS = 3_000_000
-SLICE_BYTES = 8_000_000
+BUCKET_WINDOWS = 1_500_000
+SLICE_BYTES = 3_000_000
 SENT_ROWS = 200_000    # rows of documents to verify that are broadcast (5 MB); beyond, texts are joined by shuffle
 _NEAR = 12             # a block of a line has 2^12 words
 
@@ -147,10 +147,10 @@ def _name(table: pa.Table) -> pa.Table:
     part = np.repeat(np.arange(len(at)), [len(x) for x in at])
     at, owner = np.concatenate(at), np.concatenate(owner)
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    del same
-    rows = order[many]
+    there = key[order]
+    same = there[1:] == there[:-1]
+    rows = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    del order, there, same
     rows = rows[np.lexsort((at[rows], base[part[rows]], owner[rows], key[rows]))]
     lead = np.concatenate([[True], np.diff(key[rows]) != 0]) if len(rows) else np.zeros(0, bool)
     source = rows[lead][np.cumsum(lead) - 1] if len(rows) else rows
