@@ -4,11 +4,16 @@ A document is the set of its distinct word shingles, kept as 64-bit keys; docume
 
 1. Candidates. Two linked sets of at most m shingles differ in at most k = (100 - p) * 2m / (100 + p) of them
    (p: ``percent``), so of k + 1 + e parts into which a hash deals all shingles, e + 1 at least are the same in
-   both. A node has a mark for each part that is not empty (for all, if more than e are empty, which is rare), so
-   linked nodes have a common mark. m is the limit of the node's size class (and also of the next class where
-   it may be linked with a larger set). Nodes with a common mark are connected through the smallest of them,
-   never pair by pair, and components of that graph are the groups in which links are sought: every link lies
-   inside a group.
+   both. A node has a mark for each part that is not empty. If at most e of one node's parts are empty, a common
+   part is not, and linked nodes have a common mark. A node with more empty parts has all its shingles dealt
+   to parts once more, by another hash, until it has at most e; of two linked nodes the one that stops first has
+   a common mark with the other, which has dealt in that way too. Where parts would be small (p below 85), a part of
+   a set that is not small is three cells and has a mark for each two of them: it takes two differing shingles to spoil a part, so half the
+   parts do, and a mark stands for four times the shingles. m is the limit of the node's size class (and also
+   of the next class where it may be linked with a larger set). Marks go by hash to tasks of about ``BUCKET_TEXT``
+   bytes of text, once for each slice of texts. Nodes with a common mark are connected through the smallest of
+   them, never pair by pair, and components of that graph are the groups in which links are sought: every link
+   lies inside a group.
 2. Signature trees. The sets of a group are leaves of a tree whose nodes hold OR- and AND-combined token bitmaps
    and size ranges. A dual traversal goes down from pairs of nodes and prunes those whose sizes differ too
    much, whose greatest possible overlap is too small, or all of whose members are in one class already.
@@ -44,6 +49,9 @@ from .tokens import chain, mix, slices, words_of
 SHINGLE, PERCENT = 3, 90
 CLASS_RATIO = 1.5         # sizes in one class
 SENT_KEYS = 2_000_000     # candidate nodes whose keys are broadcast (32 MB); beyond, texts are joined instead
+SPARE = 4                 # a part that may be empty for so many that may differ
+TRIPLES = 60              # sizes beyond which a part may be three cells
+BUCKET_TEXT = 12 << 20    # bytes of text whose marks one task compares
 BLOCK_BYTES = 8 << 20     # shingle keys handled by one task at a time
 _FAN, _BITS = 16, 1024
 
@@ -101,41 +109,97 @@ def _describe(size: int):
 
 
 def part_marks(items: np.ndarray, percent: int) -> np.ndarray:
-    """Marks of a set's parts, one of which two linked sets share at least."""
+    """Marks of a set's parts; two linked sets have one in common at least."""
     n, low, out = len(items), 1, []
     while (high := max(low + 1, math.ceil(low * CLASS_RATIO))) <= n:  # sizes of a class: low to high - 1
         low = high
     classes = [high]
     if 100 * n >= percent * high:  # may be linked with a set of the next class
         classes.append(max(high + 1, math.ceil(high * CLASS_RATIO)))
-    mixed = mix(items)
     for limit in classes:
         differ = (100 - percent) * 2 * (limit - 1) // (100 + percent)
-        spare = 1 + differ // 16 if differ else 0
-        parts = differ + 1 + spare
-        part = (items >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed[order], out=sums[1:])
-        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        name = chain(np.full(parts, limit, np.uint64), np.arange(parts, dtype=np.uint64))
-        marks, held = chain(name, sums[cuts[1:]] - sums[cuts[:-1]]), cuts[1:] > cuts[:-1]
-        out.append(marks[held] if (~held).sum() <= spare else marks)
+        triples = limit > TRIPLES and 100 + percent < 12 * (100 - percent)  # parts of single shingles tell little
+        spoilt = differ // 2 if triples else differ
+        spare = 1 + spoilt // SPARE if differ else 0
+        parts, deal, empty = spoilt + 1 + spare, 0, spare + 1
+        cells = 3 * parts if triples else parts
+        while empty > spare:  # deal once more: see 1. above
+            mixed = mix(items + np.uint64(deal)) if deal else items
+            cell = (mixed >> np.uint64(32)) % np.uint64(cells)
+            order = np.argsort(cell, kind="stable")
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(items[order]), out=sums[1:])
+            cuts = np.searchsorted(cell[order], np.arange(cells + 1, dtype=np.uint64))
+            held, content = cuts[1:] > cuts[:-1], sums[cuts[1:]] - sums[cuts[:-1]]
+            name = chain(np.full(cells, limit + (deal << 40), np.uint64), np.arange(cells, dtype=np.uint64))
+            if triples:  # two cells of three
+                content = chain(content, np.roll(content.reshape(-1, 3), 1, axis=1).ravel())
+                held = held | np.roll(held.reshape(-1, 3), 1, axis=1).ravel()
+                empty = int((~held.reshape(-1, 3).all(axis=1)).sum())
+            else:
+                empty = int((~held).sum())
+            out.append(chain(name, content)[held])
+            deal += 1
     return np.concatenate(out)
 
 
-def _marks(size: int, percent: int):
+def _marks(size: int, percent: int, buckets: int):
+    """Marks of a slice's sets by bucket (route: its number): each mark once, with the least key that has it; the other
+    keys are edges to that key (route: negative)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _sets_of(batch, size):
                 own = {set_key(s): s for s in sets if len(s)}
-                parts = [part_marks(s, percent) for s in own.values()]
-                if parts:
-                    yield _batch(["part", "key"], np.concatenate(parts).view(np.int64),
-                                 np.repeat(np.fromiter(own, np.int64), [len(p) for p in parts]))
+                if own:
+                    keys = np.sort(np.fromiter(own, np.int64))
+                    yield _mark_rows(keys, [part_marks(own[k], percent) for k in keys.tolist()], buckets)
     return run
 
 
+def _mark_rows(keys: np.ndarray, parts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    marks, at = np.concatenate(parts), np.repeat(np.arange(len(keys)), [len(p) for p in parts])
+    order = np.argsort(marks, kind="stable")  # equal marks by key
+    marks, at = marks[order], at[order]
+    lead = np.concatenate([[True], marks[1:] != marks[:-1]])
+    least = at[lead][np.cumsum(lead) - 1]
+    edges = np.unique(np.stack([at, least], axis=1)[at != least], axis=0)
+    rows = [(-1 - int(marks[0] % np.uint64(buckets)), keys[edges[:, 0]].tobytes(), keys[edges[:, 1]].tobytes(), None)]
+    marks, at = marks[lead], at[lead]
+    bucket = (mix(marks) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((at, bucket))
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = by[cuts[i]:cuts[i + 1]]
+        held, n = np.unique(at[mine], return_counts=True)
+        rows.append((i, marks[mine].tobytes(), keys[held].tobytes(), n.astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+        zip(*rows), [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], ["route", "marks", "keys", "n"])
+
+
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+
+
+def _mark_edges(table: pa.Table) -> pa.Table:
+    """Edges (a, b) from keys with a common mark to the least of them."""
+    if table.column("route")[0].as_py() < 0:
+        edges = np.stack([_joined(table, c, np.int64) for c in ("marks", "keys")], axis=1)
+    else:
+        marks = _joined(table, "marks", np.uint64)
+        keys = np.repeat(_joined(table, "keys", np.int64), _joined(table, "n", np.uint32))
+        order = np.argsort(marks, kind="stable")
+        there = marks[order]
+        same = there[1:] == there[:-1]
+        rows = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        del order, there, same
+        rows = rows[np.lexsort((keys[rows], marks[rows]))]
+        marks, keys = marks[rows], keys[rows]
+        lead = np.concatenate([[True], marks[1:] != marks[:-1]])[:len(marks)]
+        edges = np.stack([keys, keys[lead][np.cumsum(lead) - 1]], axis=1)
+    edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+    return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+
 # ---------------------------------------------------------------- signature trees
 class SignatureTree:
     """Levels from the leaves up; a node covers ``_FAN`` consecutive nodes of the level below."""
@@ -254,11 +318,10 @@ def _join_blocks(percent: int):
 # ---------------------------------------------------------------- the join
 def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """node, label: groups of nodes that share marks."""
-    own = written(docs.mapInArrow(_marks(size, percent), "part long, key long"))
-    shared = own.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = shared.filter("least < most").select("part", "least")
-    edges = own.join(shared, "part").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    return connected_components(edges)
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(volume / BUCKET_TEXT))
+    packed = docs.mapInArrow(_marks(size, percent, buckets), "route long, marks binary, keys binary, n binary")
+    return connected_components(packed.groupBy("route").applyInArrow(_mark_edges, _LINKS))
 
 
 def _numbers(column: pa.Array) -> np.ndarray:

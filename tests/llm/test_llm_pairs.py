@@ -308,15 +308,30 @@ def test_ngram_join_odd_rows(spark):
     assert signature_join.keep_one(df.limit(0)).count() == 0
 
 
-def test_linked_sets_always_share_a_mark():
-    rng = np.random.default_rng(5)
-    for _ in range(400):
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_always_share_a_mark(percent):
+    rng, linked = np.random.default_rng(5), 0
+    marks = lambda x: set(signature_join.part_marks(x, percent).tolist())
+    for _ in range(300):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
-        for drop in range(0, n // 8 + 1, max(1, n // 40)):
-            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, n // 16 + 1)), np.uint64)]))
-            if len(b) and signature_join._linked(a, b, 90):
-                assert set(signature_join.part_marks(a, 90).tolist()) & set(signature_join.part_marks(b, 90).tolist())
+        for drop in range(0, n // 5 + 1, max(1, n // 25)):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, n // 10 + 1)), np.uint64)]))
+            if len(b) and signature_join._linked(a, b, percent):
+                linked += 1
+                assert marks(a) & marks(b)
+    assert linked > 300
+
+
+@pytest.mark.parametrize("size,percent,most", [(3, 90, 100), (5, 80, 450)])
+def test_marks_tell_texts_apart(size, percent, most):
+    """No mark of an empty part: it would be common to sets that share nothing."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2 ** 63, int(rng.integers(1, 500)), dtype=np.uint64)) for _ in range(300)]
+    marks = [signature_join.part_marks(s, percent) for s in sets]
+    every = np.concatenate([np.unique(m) for m in marks])
+    assert len(np.unique(every)) == len(every)
+    assert len(every) / len(sets) < most
 
 
 # ---------------------------------------------------------------- pipeline
