@@ -19,9 +19,16 @@ Layout
   internal number (a window planned as a partial and a final
   ``WindowGroupLimit``), whatever tasks AQE makes of the join.
 * Inside a task the scores of a block pair are one float64 matrix product of
-  unit vectors; only the selected entries (top-n by a key, or edges above a
-  threshold) leave the task. The full N x M score set is never materialised
-  nor shuffled.
+  unit vectors, one row for each distinct anchor of the left block; its rows
+  (training pairs) share the scores and, for ranks, one list of best targets
+  that is longer than asked by the most excluded texts a row has. Only the
+  selected entries (top-n by a key, or edges above a threshold) leave the
+  task. The full N x M score set is never materialised nor shuffled.
+* A block's vectors lie in a cap: a center and the greatest angle to it. No
+  score of a pair is above the cosine of the centers' angle less both caps;
+  pairs whose bound is below the threshold (or, where only entries are asked,
+  below the smallest entry kept by each row) are passed over.
+* A dictionary that is searched often is packed once (``packed_targets``).
 
 Selection keys (larger wins, ties by target id ascending)
   rank      raw cosine (search and top-K mining)
@@ -53,10 +60,10 @@ from ..session import materialize
 CLAMP_LO, CLAMP_HI = 0.001, 1.0
 
 TARGET_BLOCK_SCHEMA = ("tb long, n int, ids binary, th binary, hh binary, "
-                       "texts array<string>, vecs binary")
-LEFT_BLOCK_SCHEMA = ("lb long, n int, keys binary, vecs binary, xh binary, xv binary, "
-                     "xt array<string>, lo binary, rh binary, xs_off binary, xs_h binary, "
-                     "xs_t array<string>")
+                       "texts array<string>, vecs binary, center binary, reach double")
+LEFT_BLOCK_SCHEMA = ("lb long, n int, na int, owner binary, keys binary, vecs binary, center_l binary, "
+                     "reach_l double, xh binary, xv binary, xt array<string>, lo binary, rh binary, "
+                     "xs_off binary, xs_h binary, xs_t array<string>")
 TOP_SCHEMA = ("uid long, spec int, key long, n_eligible long, n_pool long, ids array<long>, "
               "texts array<string>, raw array<double>, val array<double>")
 EDGE_SCHEMA = "key long, target_id long, text string, raw double"
@@ -76,6 +83,8 @@ class KernelSpec:
     above: float | None = None      # strict, on the raw score
     max_score: float = math.inf     # inclusive, on the (clamped) score
     use_row_lo: bool = False        # per-row inclusive bound column ``lo``
+    hash: int = 0                   # which of the row's hashes (``rh``) draws
+    counts: bool = True             # n_eligible must be exact (else only the entries must)
 
 
 # ------------------------------------------------------------------ packing
@@ -106,6 +115,16 @@ def _block_numbers():
         n += 1
 
 
+def _cap(mat: np.ndarray) -> tuple[np.ndarray, float]:
+    """A direction and the greatest angle between it and a row of ``mat``."""
+    center = mat.sum(axis=0)
+    size = float(np.sqrt(center @ center))
+    if not size:
+        return center, math.pi
+    center /= size
+    return center, math.acos(max(-1.0, min(1.0, float((mat @ center).min()))))
+
+
 def _pack_targets_fn(dim: int, block: int):
     def pack(batches):
         numbers = _block_numbers()
@@ -114,26 +133,48 @@ def _pack_targets_fn(dim: int, block: int):
                 part = pdf.iloc[start:start + block]
                 ids = part["corpus_id"].to_numpy(np.int64)
                 mat = _unit_rows(_stack(part["embedding"].tolist(), dim))
+                center, reach = _cap(mat)
                 yield pd.DataFrame({
                     "tb": [next(numbers)], "n": [len(ids)], "ids": [ids.tobytes()],
                     "th": [part["th"].to_numpy(np.int64).tobytes()], "hh": [hr.wide_np(ids).tobytes()],
-                    "texts": [part["text"].tolist()], "vecs": [mat.tobytes()]})
+                    "texts": [part["text"].tolist()], "vecs": [mat.tobytes()], "center": [center.tobytes()],
+                    "reach": [reach]})
     return pack
 
 
+def _anchor_cuts(new: np.ndarray, block: int) -> list[int]:
+    """Block borders: at most ``block`` rows, not inside an anchor's rows unless they alone are more."""
+    starts, cuts, n = np.flatnonzero(new), [0], len(new)
+    while cuts[-1] < n:
+        end = cuts[-1] + block
+        if end < n:
+            begin = int(starts[np.searchsorted(starts, end, "right") - 1])
+            end = begin if begin > cuts[-1] else end
+        cuts.append(min(n, end))
+    return cuts
+
+
 def _pack_left_fn(dim: int, block: int):
+    """Rows next to each other with equal vectors are one anchor: its vector is packed, and scored, once."""
     def pack(batches):
         numbers = _block_numbers()
         for pdf in batches:
-            for start in range(0, len(pdf), block):
-                part = pdf.iloc[start:start + block]
-                n = len(part)
+            every = _unit_rows(_stack(pdf["vec"].tolist(), dim))
+            new = np.ones(len(pdf), bool)
+            new[1:] = (every[1:] != every[:-1]).any(axis=1)
+            cuts = _anchor_cuts(new, block)
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                part = pdf.iloc[start:end]
+                n = end - start
+                first = np.union1d([0], np.flatnonzero(new[start:end]))
+                mat = every[start:end][first]
+                owner = np.searchsorted(first, np.arange(n), "right") - 1
+                center, reach = _cap(mat)
                 keys = part["key"].to_numpy(np.int64)
-                mat = _unit_rows(_stack(part["vec"].tolist(), dim))
                 xv = part["xv"].to_numpy(bool)
                 xh = part["xh"].to_numpy(np.int64)
                 lo = part["lo"].astype("float64").fillna(np.inf).to_numpy(np.float64)
-                rh = part["rh"].to_numpy(np.int64)
+                rh = np.array(part["rh"].tolist(), np.int64)
                 xt = [t if isinstance(t, str) else None for t in part["xt"].tolist()]
                 # extra excluded texts per row (J10), flattened with offsets
                 sets = [list(x) if x is not None else [] for x in part["xs"].tolist()]
@@ -143,8 +184,9 @@ def _pack_left_fn(dim: int, block: int):
                 xs_h = np.asarray([h for x in part["xsh"].tolist() if x is not None for h in x],
                                   dtype=np.int64)
                 yield pd.DataFrame({
-                    "lb": [next(numbers)], "n": [n], "keys": [keys.tobytes()],
-                    "vecs": [mat.tobytes()], "xh": [xh.tobytes()],
+                    "lb": [next(numbers)], "n": [n], "na": [len(mat)], "owner": [owner.tobytes()],
+                    "keys": [keys.tobytes()], "vecs": [mat.tobytes()], "center_l": [center.tobytes()],
+                    "reach_l": [reach], "xh": [xh.tobytes()],
                     "xv": [xv.astype(np.uint8).tobytes()], "xt": [xt],
                     "lo": [lo.tobytes()], "rh": [rh.tobytes()], "xs_off": [off.tobytes()],
                     "xs_h": [xs_h.tobytes()], "xs_t": [xs_t]})
@@ -179,6 +221,11 @@ class _RowState:
         self.r, self.ids, self.txt = r[keep], ids[keep], txt[keep]
         self.raw, self.val = raw[keep], val[keep]
 
+    def least(self, n: int) -> float:
+        """The smallest kept value if every row has ``n`` entries, else minus infinity."""
+        full = len(self.r) == n * len(self.keys)
+        return float(self.val.min()) if full and len(self.val) else -math.inf
+
     def frame(self, spec: int) -> pd.DataFrame:
         nl = len(self.keys)
         bounds = np.searchsorted(self.r, np.arange(nl + 1))
@@ -202,107 +249,224 @@ def _rank_within(sorted_groups: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(starts, counts)
 
 
-def _score_block(row, dim: int):
-    """Scores, pool membership and target ids of a block pair; the same for every spec."""
-    nl, nt = int(row["n"]), int(row["n_t"])
-    V = np.frombuffer(row["vecs"], dtype=np.float64).reshape(nl, dim)
-    T = np.frombuffer(row["vecs_t"], dtype=np.float64).reshape(nt, dim)
-    ids = np.frombuffer(row["ids"], dtype=np.int64)
-    S = V @ T.T
-    pool = np.ones((nl, nt), dtype=bool)
-    xv = np.frombuffer(row["xv"], dtype=np.uint8).astype(bool)
-    if xv.any():
-        xh = np.frombuffer(row["xh"], dtype=np.int64)
-        th = np.frombuffer(row["th"], dtype=np.int64)
-        hit = (xh[:, None] == th[None, :]) & xv[:, None]
-        rr, cc = np.nonzero(hit)
-        if len(rr):
-            xt, texts = row["xt"], row["texts"]
-            same = np.fromiter((xt[a] == texts[b] for a, b in zip(rr, cc)), dtype=bool, count=len(rr))
-            pool[rr[same], cc[same]] = False
-    off = np.frombuffer(row["xs_off"], dtype=np.int64)
-    if off[-1] > 0:
+@dataclass
+class _Pair:
+    """A left block and a target block: what does not depend on the spec."""
+    row: dict
+    dim: int
+
+    def __post_init__(self):
+        row = self.row
+        self.ids = np.frombuffer(row["ids"], dtype=np.int64)
+        self.owner = np.frombuffer(row["owner"], dtype=np.int64)
+        self.nt = len(self.ids)
+        self.lo = np.frombuffer(row["lo"], dtype=np.float64)
+        self.rh = np.frombuffer(row["rh"], dtype=np.int64).reshape(len(self.owner), -1)
+        self.xr, self.xc = self._excluded()
+        self._scores = None
+
+    def _excluded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, target) places of excluded texts, by row then target."""
+        row = self.row
+        xv = np.flatnonzero(np.frombuffer(row["xv"], dtype=np.uint8))
+        off = np.frombuffer(row["xs_off"], dtype=np.int64)
+        if not len(xv) and not off[-1]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owner = np.concatenate([xv, np.repeat(np.arange(len(self.owner)), np.diff(off))])
+        hashes = np.concatenate([np.frombuffer(row["xh"], dtype=np.int64)[xv],
+                                 np.frombuffer(row["xs_h"], dtype=np.int64)])
         th = np.frombuffer(row["th"], dtype=np.int64)
-        xs_h = np.frombuffer(row["xs_h"], dtype=np.int64)
-        xs_t, texts = row["xs_t"], row["texts"]
-        owner = np.repeat(np.arange(nl), np.diff(off))
-        for r, h, t in zip(owner, xs_h, xs_t):
-            for c in np.flatnonzero(th == h):
-                if texts[c] == t:
-                    pool[r, c] = False
-    return S, pool, ids
-
-
-def _eligible(row, spec: KernelSpec, S, pool):
-    C = np.clip(S, CLAMP_LO, CLAMP_HI) if spec.clamp else S
-    elig = pool.copy()
+        order = np.argsort(th, kind="stable")
+        a, b = (np.searchsorted(th[order], hashes, side) for side in ("left", "right"))
+        hit = np.repeat(np.arange(len(hashes)), b - a)
+        if not len(hit):
+            return hit, hit
+        cc = order[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(len(hit))]
+        xt, xs_t, texts, n = row["xt"], row["xs_t"], row["texts"], len(xv)
+        same = np.fromiter(((xt[xv[k]] if k < n else xs_t[k - n]) == texts[c] for k, c in zip(hit, cc)),
+                           dtype=bool, count=len(hit))
+        out = np.unique(owner[hit[same]] * self.nt + cc[same])
+        return out // self.nt, out % self.nt
+
+    @property
+    def scores(self) -> np.ndarray:
+        """Anchors x targets, computed once a pair and only if some spec needs it."""
+        if self._scores is None:
+            V = np.frombuffer(self.row["vecs"], dtype=np.float64).reshape(-1, self.dim)
+            T = np.frombuffer(self.row["vecs_t"], dtype=np.float64).reshape(self.nt, self.dim)
+            self._scores = V @ T.T
+        return self._scores
+
+    def bound(self) -> float:
+        """No score of the pair is above this: the blocks' vectors lie in caps around their centers."""
+        c, d = (np.frombuffer(self.row[k], dtype=np.float64) for k in ("center", "center_l"))
+        angle = math.acos(max(-1.0, min(1.0, float(c @ d)))) - self.row["reach"] - self.row["reach_l"]
+        return math.cos(max(0.0, angle)) + 1e-6 if angle < math.pi else 1.0  # acos is rough near 1
+
+    def excluded_at(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        known = self.xr * self.nt + self.xc
+        if not len(known):
+            return np.zeros(len(rows), bool)
+        want = rows * self.nt + cols
+        return known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
+
+
+def _clamped(spec: KernelSpec, scores: np.ndarray) -> np.ndarray:
+    return np.clip(scores, CLAMP_LO, CLAMP_HI) if spec.clamp else scores
+
+
+def _eligible(spec: KernelSpec, S: np.ndarray) -> np.ndarray:
+    """Eligibility by score alone (not by the row's own bound and excluded texts)."""
+    C = _clamped(spec, S)
+    elig = np.ones(S.shape, dtype=bool)
     if spec.above is not None:
         elig &= S > spec.above
     if spec.min_score > -math.inf:
         elig &= C >= spec.min_score
     if spec.max_score < math.inf:
         elig &= C <= spec.max_score
-    if spec.use_row_lo:
-        lo = np.frombuffer(row["lo"], dtype=np.float64)
-        elig &= C >= lo[:, None]
-    return C, elig
+    return elig
 
 
-def _selection_values(row, spec: KernelSpec, C, S, elig):
-    if spec.mode == "rank":
-        return S
-    rh = np.frombuffer(row["rh"], dtype=np.int64)
-    hh = np.frombuffer(row["hh"], dtype=np.int64)
-    if elig.mean() > 0.25:
-        u = hr.pair_unit_np(rh[:, None], hh[None, :])
-    else:
-        u = np.full(elig.shape, 0.5)
-        rr, cc = np.nonzero(elig)
-        u[rr, cc] = hr.pair_unit_np(rh[rr], hh[cc])
-    if spec.mode == "weighted":
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.log(u) / C
-    if spec.mode == "uniform":
-        return -u
-    raise ValueError(f"unknown kernel mode {spec.mode!r}")
+def _nothing_above(spec: KernelSpec, bound: float, state: "_RowState | None") -> bool:
+    """Whether a pair without scores above ``bound`` gives this spec nothing."""
+    if spec.above is not None and bound <= spec.above:
+        return True
+    if bound < spec.min_score and not (spec.clamp and spec.min_score <= CLAMP_LO):
+        return True
+    return spec.mode == "rank" and not spec.counts and state is not None and bound < state.least(spec.n)
+
+
+def _expand(owner: np.ndarray, na: int, aa: np.ndarray, cc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (anchor, target), sorted by anchor, for each of the anchor's rows: (row, target, place of the entry)."""
+    first = np.searchsorted(aa, np.arange(na + 1))
+    size = np.diff(first)[owner]
+    rows = np.repeat(np.arange(len(owner)), size)
+    at = np.repeat(first[owner] - (np.cumsum(size) - size), size) + np.arange(len(rows))
+    return rows, cc[at], at
 
 
-def _kernel_fn(specs: list[KernelSpec], dim: int):
+def _kernel_fn(specs: list[KernelSpec], dim: int, skipped: list | None = None):
+    """``skipped`` (tests): gets, for each block pair, whether it was passed over without scores."""
     def run(batches):
         current_lb, states = None, []
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                lb = int(row["lb"])
-                S, pool, ids = _score_block(row, dim)
+                pair = _Pair(row, dim)
+                bound = pair.bound()
                 texts = np.asarray(row["texts"], dtype=object)
                 if specs[0].mode == "edges":
-                    _, elig = _eligible(row, specs[0], S, pool)
-                    rr, cc = np.nonzero(elig)
-                    if len(rr):
+                    skip = _nothing_above(specs[0], bound, None)
+                    if not skip:
+                        rr, cc, raw = _edges_of(pair, specs[0])
+                        if len(rr):
+                            keys = np.frombuffer(row["keys"], dtype=np.int64)
+                            yield pd.DataFrame({"key": keys[rr], "target_id": pair.ids[cc],
+                                                "text": texts[cc], "raw": raw})
+                else:
+                    lb = int(row["lb"])
+                    if lb != current_lb:
+                        yield from (state.frame(i) for i, state in enumerate(states))
+                        current_lb = lb
                         keys = np.frombuffer(row["keys"], dtype=np.int64)
-                        yield pd.DataFrame({"key": keys[rr], "target_id": ids[cc],
-                                            "text": texts[cc], "raw": S[rr, cc]})
-                    continue
-                if lb != current_lb:
-                    yield from (state.frame(i) for i, state in enumerate(states))
-                    current_lb = lb
-                    keys = np.frombuffer(row["keys"], dtype=np.int64)
-                    states = [_RowState(lb, keys.copy()) for _ in specs]
-                for spec, state in zip(specs, states):
-                    _select(row, spec, state, S, pool, ids, texts)
+                        states = [_RowState(lb, keys.copy()) for _ in specs]
+                    skip = True
+                    pool = pair.nt - np.bincount(pair.xr, minlength=len(pair.owner))
+                    for spec, state in zip(specs, states):
+                        state.n_pool += pool
+                        if not _nothing_above(spec, bound, state):
+                            skip = False
+                            _select(pair, spec, state, texts)
+                if skipped is not None:
+                    skipped.append(skip)
         yield from (state.frame(i) for i, state in enumerate(states))
 
     return run
 
 
-def _select(row, spec: KernelSpec, state: _RowState, S, pool, ids, texts) -> None:
+def _edges_of(pair: _Pair, spec: KernelSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    S = pair.scores
+    aa, ca = np.nonzero(_eligible(spec, S))
+    rr, cc, _ = _expand(pair.owner, len(S), aa, ca)
+    keep = ~pair.excluded_at(rr, cc)
+    if spec.use_row_lo:
+        keep &= _clamped(spec, S)[pair.owner[rr], cc] >= pair.lo[rr]
+    return rr[keep], cc[keep], S[pair.owner[rr[keep]], cc[keep]]
+
+
+def _select(pair: _Pair, spec: KernelSpec, state: _RowState, texts) -> None:
     """Merge a block pair's best entries under one spec into the left block's state."""
-    C, elig = _eligible(row, spec, S, pool)
-    state.n_pool += pool.sum(axis=1)
+    (_ranked if spec.mode == "rank" else _drawn)(pair, spec, state, texts)
+
+
+def _ranked(pair: _Pair, spec: KernelSpec, state: _RowState, texts) -> None:
+    """Best scores: one list an anchor, long enough that each of its rows finds its own best in it."""
+    S, owner = pair.scores, pair.owner
+    elig = _eligible(spec, S)
+    C = _clamped(spec, S)
+    if spec.use_row_lo:  # eligible entries at or above the row's bound
+        sizes = np.sort(np.where(elig, C, -np.inf), axis=1)
+        count = np.empty(len(owner), np.int64)
+        for a in range(len(S)):
+            rows = np.flatnonzero(owner == a) if len(S) < len(owner) else np.array([a])
+            count[rows] = S.shape[1] - np.searchsorted(sizes[a], np.maximum(pair.lo[rows], -1e300), "left")
+    else:
+        count = elig.sum(axis=1)[owner]
+    xr, xc = pair.xr, pair.xc
+    gone = elig[owner[xr], xc]
+    if spec.use_row_lo:
+        gone = gone & (C[owner[xr], xc] >= pair.lo[xr])
+    state.n_elig += count - np.bincount(xr[gone], minlength=len(owner))
+    if not elig.any():
+        return
+    need = spec.n + int(np.bincount(xr, minlength=1).max()) if len(xr) else spec.n
+    Vm = np.where(elig, S, -np.inf)
+    nt = Vm.shape[1]
+    sel = elig
+    if nt > need:
+        kth = np.partition(Vm, nt - need, axis=1)[:, nt - need]
+        sel = elig & (Vm >= kth[:, None])
+    aa, ca = np.nonzero(sel)
+    order = np.lexsort((pair.ids[ca], -S[aa, ca], aa))
+    aa, ca = aa[order], ca[order]
+    short = _rank_within(aa) < need
+    rr, cc, _ = _expand(owner, len(S), aa[short], ca[short])
+    keep = ~pair.excluded_at(rr, cc)
+    if spec.use_row_lo:
+        keep &= C[owner[rr], cc] >= pair.lo[rr]
+    rr, cc = rr[keep], cc[keep]
+    top = _rank_within(rr) < spec.n
+    rr, cc = rr[top], cc[top]
+    raw = S[owner[rr], cc]
+    state.merge(rr.astype(np.int64), pair.ids[cc], texts[cc], raw, raw, spec.n)
+
+
+def _drawn(pair: _Pair, spec: KernelSpec, state: _RowState, texts) -> None:
+    """Keyed draws: every row has keys of its own, on scores it shares with its anchor's other rows."""
+    S = pair.scores[pair.owner]
+    elig = _eligible(spec, pair.scores)[pair.owner]
+    C = _clamped(spec, S)
+    if spec.use_row_lo:
+        elig &= C >= pair.lo[:, None]
+    elig[pair.xr, pair.xc] = False
     state.n_elig += elig.sum(axis=1)
     if not elig.any():
         return
-    val = _selection_values(row, spec, C, S, elig)
+    rh = pair.rh[:, spec.hash]
+    hh = np.frombuffer(pair.row["hh"], dtype=np.int64)
+    if elig.mean() > 0.25:
+        u = hr.pair_unit_np(rh[:, None], hh[None, :])
+    else:
+        u = np.full(elig.shape, 0.5)
+        rr, cc = np.nonzero(elig)
+        u[rr, cc] = hr.pair_unit_np(rh[rr], hh[cc])
+    if spec.mode == "weighted":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            val = np.log(u) / C
+    elif spec.mode == "uniform":
+        val = -u
+    else:
+        raise ValueError(f"unknown kernel mode {spec.mode!r}")
     Vm = np.where(elig, val, -np.inf)
     nt, n = Vm.shape[1], spec.n
     sel = elig
@@ -310,7 +474,7 @@ def _select(row, spec: KernelSpec, state: _RowState, S, pool, ids, texts) -> Non
         kth = np.partition(Vm, nt - n, axis=1)[:, nt - n]
         sel = elig & (Vm >= kth[:, None])
     rr, cc = np.nonzero(sel)
-    state.merge(rr.astype(np.int64), ids[cc], texts[cc], S[rr, cc], Vm[rr, cc], n)
+    state.merge(rr.astype(np.int64), pair.ids[cc], texts[cc], S[rr, cc], Vm[rr, cc], n)
 
 
 # ------------------------------------------------------------------ driver
@@ -325,24 +489,77 @@ class TargetStats:
         return self.count * (self.dim * 8 + 24 + 16) + self.text_bytes
 
 
+@dataclass(frozen=True)
+class PackedTargets:
+    """Targets packed once: blocks, and the sizes that decide how they meet the left side."""
+    blocks: DataFrame
+    stats: TargetStats
+
+
+def target_block_rows(dim: int) -> int:
+    """Rows of a target block: block rows shrink with the dimension, so a block stays around 16 MB."""
+    return max(128, min(DEFAULT_TARGET_BLOCK, (16 << 20) // (8 * max(dim, 1))))
+
+
+def packed_targets(targets: DataFrame, *, clusters: int = 0, target_block: int | None = None,
+                   stats: TargetStats | None = None, path: str | None = None) -> PackedTargets:
+    """Pack a dictionary once for many calls of the kernel. The blocks are written to ``path`` (a folder of one
+    version of the dictionary, read again by ``read_packed``) or, without one, to the checkpoint folder.
+    ``clusters`` > 0 puts near targets into common blocks (by the nearest of so many targets), so that more
+    pairs of blocks are passed over; results do not depend on it."""
+    stats = stats or target_stats(targets)
+    blocks = pack_targets(targets, stats.dim, target_block or target_block_rows(stats.dim), stats.count, clusters)
+    if path is None:
+        return PackedTargets(materialize(blocks), stats)
+    sizes = [F.lit(getattr(stats, k)).cast("long").alias(f"all_{k}") for k in ("count", "dim", "text_bytes")]
+    blocks.select("*", *sizes).write.mode("overwrite").parquet(path)
+    return read_packed(blocks.sparkSession, path)
+
+
+def read_packed(spark, path: str) -> PackedTargets:
+    """Blocks that ``packed_targets`` wrote to ``path``."""
+    blocks = spark.read.parquet(path)
+    row = blocks.select("all_count", "all_dim", "all_text_bytes").first()
+    stats = TargetStats(*(int(x) for x in row)) if row else TargetStats(0, 0, 0)
+    return PackedTargets(blocks.drop("all_count", "all_dim", "all_text_bytes"), stats)
+
+
 def target_stats(targets: DataFrame) -> TargetStats:
     row = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
                       F.sum(F.octet_length("text")).alias("tb")).collect()[0]
     return TargetStats(int(row["n"] or 0), int(row["d"] or 0), int(row["tb"] or 0))
 
 
-def pack_targets(targets: DataFrame, dim: int, block: int, count: int) -> DataFrame:
+def _nearest_pivot(pivots: np.ndarray):
+    """Number of the pivot with the greatest cosine, for each vector."""
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int32")
+        return pd.Series((_unit_rows(_stack(vectors.tolist(), pivots.shape[1])) @ pivots.T).argmax(axis=1).astype("int32"))
+    return nearest
+
+
+def pack_targets(targets: DataFrame, dim: int, block: int, count: int, clusters: int = 0) -> DataFrame:
     """Blocks of at most ``block`` targets, packed where they lie. A small table lies in too many
-    partitions; they are put together (no shuffle) so that blocks are full."""
+    partitions; they are put together (no shuffle) so that blocks are full. With ``clusters``, targets are first
+    dealt by the nearest of that many targets (the pivots, chosen by a hash and held by the driver: at most 1,024 rows)."""
     t = targets.select(
         F.col("corpus_id").cast("long").alias("corpus_id"), "text",
         F.col("embedding").cast("array<double>").alias("embedding"), F.xxhash64("text").alias("th"))
+    parts = max(1, -(-count // block))
+    if clusters and count:
+        chosen = t.orderBy(F.xxhash64("corpus_id", "text")).limit(min(1024, clusters)).select("embedding").collect()
+        pivots = _unit_rows(_stack([r["embedding"] for r in chosen], dim))
+        t = t.withColumn("near", _nearest_pivot(pivots)("embedding"))
+        t = t.repartitionByRange(min(parts, len(pivots)), "near").sortWithinPartitions("near", "corpus_id", "text")
+        return t.drop("near").mapInPandas(_pack_targets_fn(dim, block), TARGET_BLOCK_SCHEMA)
     if count <= block * 64:
-        t = t.coalesce(max(1, -(-count // block)))
+        t = t.coalesce(parts)
     return t.sortWithinPartitions("corpus_id", "text").mapInPandas(_pack_targets_fn(dim, block), TARGET_BLOCK_SCHEMA)
 
 
-def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | list[KernelSpec], *,
+def similarity_kernel(left: DataFrame, targets: DataFrame | PackedTargets, spec: KernelSpec | list[KernelSpec], *,
                       left_block: int | None = None,
                       target_block: int | None = None,
                       broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
@@ -353,8 +570,9 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | li
     """Run the kernel. ``left`` has ``key long, vec array<double>`` and optional
     ``xh long`` (excluded text hash), ``xt string`` (excluded text), ``xs
     array<string>`` (further excluded texts, J10), ``lo double``
-    and ``rh long`` (row hash for random keys). ``targets`` has
-    ``corpus_id long, text string, embedding array<double>``.
+    and ``rh array<long>`` (row hashes for random keys, one for each number in the specs' ``hash``) and
+    ``anchor long``: rows with equal numbers come next to each other, and those of them with equal vectors are
+    scored once. ``targets`` has ``corpus_id long, text string, embedding array<double>``, or is packed already.
 
     Returns TOP_SCHEMA rows (one per left row) or, for ``mode='edges'``,
     EDGE_SCHEMA rows (one per eligible pair). A list of specs scores every
@@ -364,7 +582,8 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | li
     materialized frame), which skips the balancing shuffle."""
     spark = left.sparkSession
     specs = spec if isinstance(spec, list) else [spec]
-    stats = stats or target_stats(targets)
+    packed = targets if isinstance(targets, PackedTargets) else None
+    stats = packed.stats if packed else stats or target_stats(targets)
     cols = set(left.columns)
     lf = left.select(
         F.col("key").cast("long").alias("key"),
@@ -374,8 +593,8 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | li
         (F.col("xh").isNotNull() if "xh" in cols else F.lit(False)).alias("xv"),
         (F.col("xt") if "xt" in cols else F.lit(None)).cast("string").alias("xt"),
         (F.col("lo") if "lo" in cols else F.lit(None)).cast("double").alias("lo"),
-        F.coalesce(F.col("rh").cast("long"), F.lit(0).cast("long")).alias("rh")
-        if "rh" in cols else F.lit(0).cast("long").alias("rh"),
+        (F.col("rh") if "rh" in cols else F.array(F.lit(0))).cast("array<long>").alias("rh"),
+        (F.col("anchor").cast("long") if "anchor" in cols else F.lit(0).cast("long")).alias("anchor"),
         (F.col("xs") if "xs" in cols else F.lit(None)).cast("array<string>").alias("xs"),
         (F.transform("xs", lambda t: F.xxhash64(t)) if "xs" in cols else F.lit(None))
         .cast("array<long>").alias("xsh"))
@@ -393,7 +612,7 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | li
     _bound_arrow_batches(spark)
     # block rows shrink with the dimension so a packed block stays ~8-16 MB
     left_block = min(MAX_LEFT_BLOCK, left_block) if left_block else max(64, min(DEFAULT_LEFT_BLOCK, (8 << 20) // (8 * max(dim, 1))))
-    target_block = target_block or max(128, min(DEFAULT_TARGET_BLOCK, (16 << 20) // (8 * max(dim, 1))))
+    target_block = target_block or target_block_rows(dim)
     # Spread the anchors evenly before the compute-heavy kernel. An explicit
     # partition count is kept by AQE (a small upstream shuffle would otherwise
     # be coalesced into one task); at scale this is one shuffle of the left
@@ -405,9 +624,10 @@ def similarity_kernel(left: DataFrame, targets: DataFrame, spec: KernelSpec | li
     local = stats.packed_bytes() <= broadcast_limit
     if not local:
         lf = materialize(lf)      # counted and packed: read once from the checkpoint folder
-    tblocks = pack_targets(targets, dim, target_block, stats.count).select(
-        "tb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"))
-    lblocks = lf.sortWithinPartitions("key").mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
+    tblocks = (packed.blocks if packed else pack_targets(targets, dim, target_block, stats.count)).select(
+        "tb", F.col("n").alias("n_t"), "ids", "th", "hh", "texts", F.col("vecs").alias("vecs_t"), "center", "reach")
+    lf = lf.sortWithinPartitions("anchor", "key") if "anchor" in cols else lf.sortWithinPartitions("key")
+    lblocks = lf.drop("anchor").mapInPandas(_pack_left_fn(dim, left_block), LEFT_BLOCK_SCHEMA)
     if local:
         paired = _grid_pairs(lblocks, tblocks, 1, 1, send=True)
     else:

@@ -48,7 +48,7 @@ from ..functions.vectors import clamp, cosine_rows
 from ..session import materialize
 from .blocks import KernelSpec, similarity_kernel, target_stats
 from .ordering import with_global_index
-from .similarity import with_vectors
+from .similarity import by_anchor, with_vectors
 
 # The method names of the reference.
 TOPK = "topK"
@@ -166,20 +166,19 @@ def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors:
         kp = known_positives.select("text1", "text2").distinct()
         excl = kp.groupBy(a_col).agg(F.collect_set(x_col).alias("xs"))
         rows = rows.join(excl, a_col, "left")
-    every = materialize(rows)
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    every = materialize(by_anchor(rows, a_col, "row_id", parts))
     rows = every.filter(F.col("vec").isNotNull())
 
     left = rows.select(
-        F.col("row_id").alias("key"), "vec", F.xxhash64(x_col).alias("xh"),
+        F.col("row_id").alias("key"), "anchor", "vec", F.xxhash64(x_col).alias("xh"),
         F.col(x_col).alias("xt"),
         (F.col("lo") if above else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
-        hr.wide_expr(seed, epoch, code + hr.STREAM_PICK, "row_id").alias("rh"))
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spread = every.rdd.getNumPartitions() >= parts      # cheap: ``every`` is materialized
+        F.array(hr.wide_expr(seed, epoch, code + hr.STREAM_PICK, "row_id")).alias("rh"))
     res = similarity_kernel(left, targets, [_spec(m, n, positive_threshold, beta) for m in methods],
-                            stats=t_stats, left_spread=spread, **kernel_opts)
+                            stats=t_stats, left_spread=True, **kernel_opts)
     res = materialize(res.select(F.col("key").alias("row_id"), "spec", "n_eligible", "n_pool", "ids", "texts", "raw",
                                  "val"))
     own = F.array(F.col(x_col))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_rows
-from .blocks import KernelSpec, similarity_kernel
+from .blocks import KernelSpec, PackedTargets, similarity_kernel
 
 
 def vector_lookup(dictionary: DataFrame) -> DataFrame:
@@ -24,20 +24,20 @@ def first_position(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("text").agg(F.min("corpus_id").alias("corpus_id"))
 
 
-def top_k_join(queries: DataFrame, candidates: DataFrame, k: int = 5,
+def top_k_join(queries: DataFrame, candidates: DataFrame | PackedTargets, k: int = 5,
                threshold: float = 0.0, key: str = "query_id",
                return_scores: bool = True, **kernel_opts) -> DataFrame:
     """For every query row the ``k`` most similar candidates with
     ``score > threshold``, ranked by score desc then corpus_id asc.
 
     ``queries``: ``<key>, embedding``; ``candidates``: ``corpus_id, text,
-    embedding``. Returns ``<key>, rank, corpus_id, text[, score]``."""
+    embedding``, or ``blocks.packed_targets`` of them. Returns ``<key>, rank, corpus_id, text[, score]``."""
     left = queries.select(F.col(key).alias("key"), F.col("embedding").alias("vec"))
     if "left_spread" not in kernel_opts and getattr(queries, "_pairlab_materialized", False):
         spark = queries.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         kernel_opts["left_spread"] = queries.rdd.getNumPartitions() >= parts   # cheap: materialized
-    res = similarity_kernel(left, candidates, KernelSpec(mode="rank", n=k, above=threshold),
+    res = similarity_kernel(left, candidates, KernelSpec(mode="rank", n=k, above=threshold, counts=False),
                             **kernel_opts)
     hits = res.select(F.col("key").alias(key),
                       F.posexplode(F.arrays_zip("ids", "texts", "raw")).alias("pos", "e"))
@@ -60,11 +60,26 @@ def similarity_edges(left: DataFrame, targets: DataFrame, min_score: float,
     """All (row, target) pairs whose (clamped) score is >= min_score,
     skipping targets whose text equals the row's excluded text.
 
-    ``left``: ``key, vec[, xh, xt]``. Returns ``key, target_id, text, raw``."""
+    ``left``: ``key, vec[, xh, xt, anchor]``; rows of one ``anchor`` (see ``by_anchor``) are scored once.
+    Returns ``key, target_id, text, raw``."""
     return similarity_kernel(left, targets, KernelSpec(mode="edges", clamp=clamp,
                                                        min_score=min_score), **kernel_opts)
 
 
+ANCHOR_ROWS = 2048   # rows of an anchor in one partition
+
+
+def by_anchor(rows: DataFrame, col: str, row: str, parts: int) -> DataFrame:
+    """``rows`` dealt so that those with one text in ``col`` lie together (column ``anchor``: its hash), at most about
+    ``ANCHOR_ROWS`` of them in a partition: the few texts with more rows are dealt to several. The table of
+    those, one row for every ``ANCHOR_ROWS`` rows at most, is small against the rows and joined by text."""
+    anchored = rows.withColumn("anchor", F.xxhash64(col))
+    hot = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ANCHOR_ROWS)
+    share = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(float(ANCHOR_ROWS)))
+    spread = anchored.join(hot, "anchor", "left").withColumn("_part", F.pmod(F.xxhash64(row), share))
+    return spread.repartition(parts, "anchor", "_part").drop("_n", "_part")
+
+
 def with_vectors(df: DataFrame, text_col: str, dictionary: DataFrame, out: str, encoder=None) -> DataFrame:
     """``df`` with the vector of ``text_col`` in column ``out``: the dictionary's first entry of that text or,
     with an ``encoder`` (column -> array<double>), for any other text its encoding, each distinct text once.

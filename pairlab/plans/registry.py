@@ -18,7 +18,7 @@ from ..functions.vectors import norm
 from ..operators import mining as mn
 from ..operators.calibrate import EpochConfig, tune_beta
 from ..operators.metrics import gold_rows, micro_prf, ndcg_per_query, prediction_rows, similarity_correlation
-from ..operators.similarity import (first_position, first_row_cosine, pair_cosine, similarity_edges,
+from ..operators.similarity import (by_anchor, first_position, first_row_cosine, pair_cosine, similarity_edges,
                                     top_k_join, vector_lookup, with_vectors)
 from ..operators.encode import TRI_A, TRI_B, TRI_C, encode_distinct, mean_pool, token_table, trigram_encoder
 from ..sources.fixtures import text_fixture, vector_fixture
@@ -171,9 +171,10 @@ def _edges(spark, sf, anchor):
     else:
         a_col, x_col, a_d, t_d = "text2", "text1", fx.candidates, fx.queries
     lk = vector_lookup(a_d).select(F.col("text").alias(a_col), F.col("embedding").alias("vec"))
-    left = fx.training.join(lk, a_col).select(F.col("row_id").alias("key"), "vec",
-                                              F.xxhash64(x_col).alias("xh"), F.col(x_col).alias("xt"))
-    e = similarity_edges(left, t_d, min_score=0.5, clamp=True)
+    rows = by_anchor(fx.training.join(lk, a_col), a_col, "row_id", spark.sparkContext.defaultParallelism)
+    left = rows.select(F.col("row_id").alias("key"), "anchor", "vec", F.xxhash64(x_col).alias("xh"),
+                       F.col(x_col).alias("xt"))
+    e = similarity_edges(left, t_d, min_score=0.5, clamp=True, left_spread=True)
     return e.select(F.col("key").alias("row_id"), "target_id", "text", _r("raw").alias("score"),
                     _r(F.greatest(F.lit(0.001), F.least(F.lit(1.0), F.col("raw")))).alias("clamped"))
 
