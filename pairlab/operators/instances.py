@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashrand as hr
 from ..session import materialize
-from .mining import (MULTI_EFN, TOPK, easy_negatives, materialize_dictionary, mine_negatives,
+from .mining import (MULTI_EFN, TOPK, MiningResult, easy_negatives, materialize_dictionary, mine_negatives,
                      negatives_as_arrays)
 
 KINDS = ("bidirectional", "one_way", "contrastive", "sentence", "triplet", "validation")
@@ -52,8 +52,9 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
                     num_hard_negative_queries: int = 10, num_hard_negative_candidates: int = 3,
                     positive_threshold: float = 0.5, beta: float = 1.0, seed: int = 0, epoch: int = 0,
                     use_hard_negative: bool = True, on_short: str = "drop", encoder=None,
-                    **kernel_opts) -> InstanceResult:
-    """I1-I6. ``pairs``: ``row_id, text1, text2, label``."""
+                    mined: tuple[MiningResult, MiningResult] | None = None, **kernel_opts) -> InstanceResult:
+    """I1-I6. ``pairs``: ``row_id, text1, text2, label``. ``mined`` (bidirectional): hard queries and hard candidates
+    that were mined before."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     lab = F.col("label").cast("double").alias("label")
@@ -70,13 +71,15 @@ def build_instances(kind: str, pairs: DataFrame, query_vectors: DataFrame,
         return InstanceResult(inst, pairs.select("row_id", F.lit("").alias("reason")).limit(0))
 
     if kind == "bidirectional":                                        # I1
-        # the two directions are independent jobs: run them side by side
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            fq = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="candidate",
-                             method=method, num_negatives=num_hard_negative_queries, **common)
-            fc = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="query",
-                             method=method, num_negatives=num_hard_negative_candidates, **common)
-            hq, hc = fq.result(), fc.result()
+        if mined is None:
+            # the two directions are independent jobs: run them side by side
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                fq = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="candidate",
+                                 method=method, num_negatives=num_hard_negative_queries, **common)
+                fc = pool.submit(mine_negatives, pairs, query_vectors, candidate_vectors, anchor="query",
+                                 method=method, num_negatives=num_hard_negative_candidates, **common)
+                mined = fq.result(), fc.result()
+        hq, hc = mined
         # both directions gathered by one groupBy (side 0 = hard queries, 1 = hard candidates)
         both = (hq.negatives.select("row_id", F.lit(0).alias("side"), "slot", "text")
                 .unionByName(hc.negatives.select("row_id", F.lit(1).alias("side"), "slot", "text")))

@@ -74,6 +74,15 @@ class MiningResult:
     short: DataFrame       # row_id, reason, n_found
 
 
+@dataclass(frozen=True)
+class Draw:
+    """What one kernel pass is asked for, once or several times: method, bounds and the epoch's random stream."""
+    method: str = TOPK
+    positive_threshold: float = 0.5
+    beta: float = 1.0
+    epoch: int = 0
+
+
 def fill_draws(n_eligible, n: int, fill: str = "faithful"):
     """number of random fills for a row with ``n_eligible`` entries:
     faithful max(0, n + 1 - L) (draws while the list has <= n entries),
@@ -126,21 +135,30 @@ def draw_from_pool(rows: DataFrame, numbered: DataFrame, count: int, seed: int,
 
 def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
                    anchor: str = "query", method: str = TOPK, **opts) -> MiningResult:
-    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``); options as in ``mine_methods``."""
+    """M1-M7 for every row of ``pairs`` (``row_id, text1, text2``); options as in ``mine_draws``."""
     return mine_methods(pairs, query_vectors, candidate_vectors, [method], anchor=anchor, **opts)[method]
 
 
-def _spec(method: str, n: int, positive_threshold: float, beta: float) -> KernelSpec:
+def _spec(draw: Draw, n: int, stream: int) -> KernelSpec:
+    method = draw.method
     mode = "weighted" if method in WEIGHTED else "rank" if method in RANKED else "uniform"
-    return KernelSpec(mode=mode, n=n, clamp=True, min_score=float(positive_threshold),
-                      max_score=float(beta) if method in CAPPED else float("inf"), use_row_lo=method in ABOVE_TRUE)
+    return KernelSpec(mode=mode, n=n, clamp=True, min_score=float(draw.positive_threshold),
+                      max_score=float(draw.beta) if method in CAPPED else float("inf"),
+                      use_row_lo=method in ABOVE_TRUE, hash=stream)
 
 
 def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, methods: list[str], *,
-                 anchor: str = "query", positive_threshold: float = 0.5, beta: float = 1.0, num_negatives: int = 1,
-                 seed: int = 0, epoch: int = 0, fill: str = "faithful", known_positives: DataFrame | None = None,
-                 encoder=None, **kernel_opts) -> dict[str, MiningResult]:
-    """Several methods over the same rows with one kernel pass: every pair is scored once.
+                 positive_threshold: float = 0.5, beta: float = 1.0, epoch: int = 0, **opts) -> dict[str, MiningResult]:
+    """Several methods over the same rows with one kernel pass; options as in ``mine_draws``."""
+    draws = [Draw(m, positive_threshold, beta, epoch) for m in methods]
+    return dict(zip(methods, mine_draws(pairs, query_vectors, candidate_vectors, draws, **opts)))
+
+
+def mine_draws(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, draws: list[Draw], *,
+               anchor: str = "query", num_negatives: int = 1, seed: int = 0, fill: str = "faithful",
+               known_positives: DataFrame | None = None, encoder=None, **kernel_opts) -> list[MiningResult]:
+    """Several draws (methods, bounds, epochs) over the same rows with one kernel pass: every pair of an anchor
+    and a target is scored once, and each draw has a random stream, a threshold and a cap of its own.
 
     J10 (option, off by default): ``known_positives`` (``text1, text2``, e.g.
     all gold pairs) removes from the pool, besides the row's own text, every
@@ -154,7 +172,8 @@ def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors:
     n = int(num_negatives)
     code = hr.ANCHOR_CODE[anchor]
     t_stats = target_stats(targets)
-    above = any(m in ABOVE_TRUE for m in methods)
+    above = any(d.method in ABOVE_TRUE for d in draws)
+    epochs = sorted({d.epoch for d in draws})
 
     base = pairs.select("row_id", "text1", "text2")
     rows = with_vectors(base, a_col, a_vecs, "vec", encoder)
@@ -176,17 +195,18 @@ def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors:
         F.col(x_col).alias("xt"),
         (F.col("lo") if above else F.lit(None).cast("double")).alias("lo"),
         (F.col("xs") if known_positives is not None else F.lit(None).cast("array<string>")).alias("xs"),
-        F.array(hr.wide_expr(seed, epoch, code + hr.STREAM_PICK, "row_id")).alias("rh"))
-    res = similarity_kernel(left, targets, [_spec(m, n, positive_threshold, beta) for m in methods],
+        F.array(*[hr.wide_expr(seed, e, code + hr.STREAM_PICK, "row_id") for e in epochs]).alias("rh"))
+    res = similarity_kernel(left, targets, [_spec(d, n, epochs.index(d.epoch)) for d in draws],
                             stats=t_stats, left_spread=True, **kernel_opts)
     res = materialize(res.select(F.col("key").alias("row_id"), "spec", "n_eligible", "n_pool", "ids", "texts", "raw",
                                  "val"))
     own = F.array(F.col(x_col))
     out = F.concat(own, F.coalesce("xs", F.array().cast("array<string>"))) if known_positives is not None else own
     texts = rows.select("row_id", out.alias("out"))
-    numbered = numbered_targets(targets) if any(m in FILLED for m in methods) else None
-    done = {}
-    for i, method in enumerate(methods):
+    numbered = numbered_targets(targets) if any(d.method in FILLED for d in draws) else None
+    done = []
+    for i, wanted in enumerate(draws):
+        method, epoch = wanted.method, wanted.epoch
         # no vector for the anchor or, where the bound is the true pair's score, for the true text
         lost = F.col("lo").isNull() if method in ABOVE_TRUE else F.col("vec").isNull()
         missing = every.filter(lost).select(
@@ -195,11 +215,11 @@ def mine_methods(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors:
         if method in ABOVE_TRUE:
             own_res = own_res.join(missing.select("row_id"), "row_id", "left_anti")
 
-        def draw(need: DataFrame) -> DataFrame:
+        def draw(need: DataFrame, epoch: int = epoch) -> DataFrame:
             need = need.join(texts, "row_id").select("row_id", "out", "f")
             return materialize(draw_from_pool(need, numbered, t_stats.count, seed, epoch, code + hr.STREAM_FILL))
         keys = hr.uniform_expr(seed, epoch, code + hr.STREAM_FILL_KEY, "row_id", "slot")
-        done[method] = _pick(method, own_res, missing, rows, targets, n, fill, draw, keys)
+        done.append(_pick(method, own_res, missing, rows, targets, n, fill, draw, keys))
     return done
 
 

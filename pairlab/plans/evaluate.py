@@ -1,10 +1,11 @@
 """Retrieval evaluation -- top-k search over the test set, then NDCG@k and
-micro precision / recall / F1 in one job. S6: append to the result log."""
+micro precision / recall / F1 in one job. S6: the result log."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.metrics import gold_rows, micro_prf, ndcg_at_k, percent4, prediction_rows
 from ..operators.similarity import top_k_join, with_vectors
@@ -46,7 +47,16 @@ def evaluate(testing: DataFrame, query_vectors: DataFrame, candidates: DataFrame
 
 
 def append_results(results: DataFrame, path: str, run_id: str, model: str, epoch: int) -> None:
-    """Append one metrics row to a Parquet result log (never truncated)."""
+    """Add the metrics of a run's epoch to a Parquet result log. Logging the same run and epoch again (a
+    retried job) replaces its rows; the rest of the log stays."""
     (results.select(F.lit(run_id).alias("run_id"), F.lit(model).alias("model"),
                     F.lit(int(epoch)).alias("epoch"), "*")
-     .write.mode("append").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "epoch").parquet(path))
+
+
+def read_results(spark, path: str) -> DataFrame:
+    """The result log; run ids are text, also those that look like numbers."""
+    found = spark.read.parquet(path).schema
+    kinds = {"run_id": T.StringType(), "epoch": T.IntegerType()}
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
+    return spark.read.schema(schema).parquet(path)

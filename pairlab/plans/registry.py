@@ -30,7 +30,7 @@ from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
 from ..operators.losses import (bidirectional_loss, contrastive_loss, cosine_mse_loss, in_batch_row_losses,
                                 one_way_loss, triplet_loss)
-from .epoch import compare_samplers, prepare_epoch, testing_pairs
+from .epoch import compare_samplers, prepare_epoch, prepare_epochs, testing_pairs
 from .evaluate import append_results, evaluate, search_test_set
 
 R6 = 6
@@ -405,6 +405,18 @@ def q_e1_prepare_epoch(spark, sf):
                               F.array_join("texts", "|").alias("texts"), "label")
 
 
+def q_e2_epochs(spark, sf):
+    """The schedule 0 ... 8 with one scoring pass for each direction."""
+    fx = vector_fixture(spark, sf)
+    configs = [EpochConfig.for_epoch(e, seed=INST["seed"]) for e in EPOCHS]
+    out = None
+    for d in prepare_epochs(fx.training, fx.validation, fx.queries, fx.candidates, configs):
+        part = d.instances.select(F.lit(d.config.epoch).alias("epoch"), "instance_id", "batch_id", "pos",
+                                  F.size("texts").alias("n_texts"), F.array_join("texts", "|").alias("texts"), "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _recipe(recipe: str, hard: bool = True):
     def run(spark, sf):
         fx = vector_fixture(spark, sf)
@@ -423,8 +435,9 @@ def q_e4_compare_samplers(spark, sf):
     return r.select("method", "anchor", "row_id", "slot", "text", _r("score").alias("score"), "is_fill")
 
 
-def _inst_sql(kind: str, beta=None) -> str:
-    pt, seed, ep = INST["pt"], INST["seed"], INST["epoch"]
+def _inst_sql(kind: str, beta=None, pt=None, ep=None) -> str:
+    seed = INST["seed"]
+    pt, ep = INST["pt"] if pt is None else pt, INST["epoch"] if ep is None else ep
     beta = INST["beta"] if beta is None else beta
     out = """SELECT instance_id, row_id, len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label
              FROM inst"""
@@ -475,8 +488,8 @@ inst AS (SELECT t.row_id * 2 AS instance_id, t.row_id, [t.text1, t.text2] AS tex
 """ + out
 
 
-def _batch_sql(inst_select: str, id_col: str = "instance_id") -> str:
-    key = hr.wide_sql(INST["seed"], INST["epoch"], hr.STREAM_BATCH, id_col)
+def _batch_sql(inst_select: str, id_col: str = "instance_id", ep=None) -> str:
+    key = hr.wide_sql(INST["seed"], INST["epoch"] if ep is None else ep, hr.STREAM_BATCH, id_col)
     return f"""bk AS (SELECT *, {key} AS _bk FROM ({inst_select})),
 bi AS (SELECT *, row_number() OVER (ORDER BY _bk, {id_col}) - 1 AS _idx FROM bk)"""
 
@@ -487,14 +500,20 @@ SELECT instance_id, CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_i
 FROM bi""")
 
 
-def _e1_sql() -> str:
-    src = _inst_sql("bidirectional")
+def _e1_sql(pt=None, ep=None) -> str:
+    src = _inst_sql("bidirectional", pt=pt, ep=ep)
     head, tail = src.rsplit("SELECT instance_id, row_id, len(texts)", 1)
-    return head.rstrip() + ",\n" + _batch_sql("SELECT * FROM inst") + f"""
+    return head.rstrip() + ",\n" + _batch_sql("SELECT * FROM inst", ep=ep) + f"""
 SELECT instance_id, CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_idx % {INST["batch"]} AS INTEGER) AS pos,
        len(texts) AS n_texts, array_to_string(texts, '|') AS texts, label FROM bi"""
 
 
+def _e2_sql() -> str:
+    """Nine single epochs, each by its own mining."""
+    parts = [f"SELECT {e} AS epoch, * FROM ({_e1_sql(EpochConfig.for_epoch(e).positive_threshold, e)})" for e in EPOCHS]
+    return "\nUNION ALL\n".join(parts)
+
+
 def _recipe_sql(recipe: str, hard: bool = True) -> str:
     cfg = EpochConfig.for_recipe(recipe, INST["epoch"], hard)
     if recipe == "one_way":      # its cap is the tuned beta
@@ -904,6 +923,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "i6_validation": _build("validation", mn.TOPK),
         "w5_batches": q_w5_batches,
         "e1_prepare_epoch": q_e1_prepare_epoch,
+        "e2_epochs": q_e2_epochs,
         "e4_compare_samplers": q_e4_compare_samplers,
         "a6_bidirectional_loss": q_a6_bidirectional_loss,
         "a6_batch_loss": q_a6_batch_loss,
@@ -991,6 +1011,7 @@ def oracle_sql() -> dict[str, str]:
         "i6_validation": _inst_sql("validation"),
         "w5_batches": _w5_sql(),
         "e1_prepare_epoch": _e1_sql(),
+        "e2_epochs": _e2_sql(),
         "e4_compare_samplers": _e4_sql(),
         "a6_bidirectional_loss": _a6_sql(),
         "a6_batch_loss": _a6_batch_sql(),

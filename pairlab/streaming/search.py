@@ -8,8 +8,11 @@ the sink is idempotent and the stream's checkpoint gives exactly-once
 output. No state, no watermark.
 
 T2 -- rolling retrieval quality: every micro-batch of labelled test queries
-appends its per-query counts (true positives, predicted, gold; plus event
-time when present) to a Parquet table; micro precision / recall / F1 are an
+appends the counts of each of its rows (true positives, predicted, gold; plus
+event time when present) to a Parquet table. Rows are counted one by one, not
+merged by key, so results do not depend on how rows fall into micro-batches;
+with event time and a watermark, rows delivered more than once (equal key,
+time and labels) are counted once by stateful deduplication; micro precision / recall / F1 are an
 aggregation on read, over all batches or per tumbling event-time window.
 """
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import gold_rows, prediction_rows
 from ..operators.similarity import top_k_join
-from ..operators.blocks import target_stats
+from ..operators.blocks import packed_targets
 from ..session import ensure_checkpoint_dir, materialize
 
 
@@ -39,14 +42,12 @@ def search_stream(spark: SparkSession, source_dir: str, schema, candidates: Data
 
     ``encode(df) -> df`` adds an ``embedding`` column to a micro-batch (e.g.
     ``encode_distinct``); when None the source already carries one."""
-    # the dictionary is static: write it once and size it once for every micro-batch
-    cands = materialize(candidates.select("corpus_id", "text", "embedding"))
-    stats = target_stats(cands)
+    # the dictionary is static: pack it once for every micro-batch
+    packed = packed_targets(materialize(candidates.select("corpus_id", "text", "embedding")))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         q = encode(batch) if encode else batch
-        hits = top_k_join(q.select(key, "embedding"), cands, k=k, threshold=threshold, key=key,
-                          stats=stats, **kernel_opts)
+        hits = top_k_join(q.select(key, "embedding"), packed, k=k, threshold=threshold, key=key, **kernel_opts)
         (hits.withColumn("batch", F.lit(int(batch_id)))
          .write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={int(batch_id)}")))
 
@@ -58,26 +59,29 @@ def search_stream(spark: SparkSession, source_dir: str, schema, candidates: Data
 
 def quality_stream(spark: SparkSession, source_dir: str, schema, candidates: DataFrame,
                    sink_dir: str, checkpoint_dir: str, *, key: str = "query_id", k: int = 5,
-                   ts_col: str | None = None, max_files_per_trigger: int = 1, **kernel_opts):
-    """Per-query counts of each micro-batch, appended idempotently."""
-    cands = materialize(candidates.select("corpus_id", "text", "embedding"))
-    stats = target_stats(cands)
+                   ts_col: str | None = None, watermark: str | None = None, max_files_per_trigger: int = 1,
+                   **kernel_opts):
+    """The counts of each row, written idempotently by micro-batch. With ``ts_col`` and ``watermark``, rows
+    with equal key, event time and labels that come within the watermark are counted once."""
+    packed = packed_targets(materialize(candidates.select("corpus_id", "text", "embedding")))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = top_k_join(batch.select(key, "embedding"), cands, k=k, key=key, stats=stats, **kernel_opts)
-        p = prediction_rows(hits, key).withColumn("_p", F.lit(1))
-        g = gold_rows(batch, key).withColumn("_g", F.lit(1))
-        j = p.join(g, [key, "text"], "full_outer")
-        counts = j.groupBy(key).agg(
+        # a number for each row, fixed by writing the batch
+        rows = materialize(batch.withColumn("_row", F.monotonically_increasing_id()))
+        hits = top_k_join(rows.select("_row", "embedding"), packed, k=k, key="_row", **kernel_opts)
+        p = prediction_rows(hits, "_row").withColumn("_p", F.lit(1))
+        g = gold_rows(rows, "_row").withColumn("_g", F.lit(1))
+        counts = p.join(g, ["_row", "text"], "full_outer").groupBy("_row").agg(
             F.sum(F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), 1).otherwise(0)).alias("tp"),
             F.count("_p").alias("n_pred"), F.count("_g").alias("n_gold"))
-        if ts_col:
-            counts = counts.join(batch.select(key, ts_col), key, "left")
-        (counts.withColumn("batch", F.lit(int(batch_id)))
+        kept = rows.select("_row", key, *([ts_col] if ts_col else []))
+        (kept.join(counts, "_row").drop("_row").withColumn("batch", F.lit(int(batch_id)))
          .write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={int(batch_id)}")))
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
+    if ts_col and watermark:
+        stream = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([key, ts_col, "labels"])
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
 
