@@ -346,14 +346,25 @@ def _expand(owner: np.ndarray, na: int, aa: np.ndarray, cc: np.ndarray) -> tuple
     return rows, cc[at], at
 
 
+def _best_first(rows: list[dict], dim: int):
+    """Pairs of a batch with their bounds; a left block's pairs with the greatest bound first, so that its best
+    entries are known early. (Results do not depend on the order.)"""
+    pairs = [_Pair(row, dim) for row in rows]
+    bounds = [p.bound() for p in pairs]
+    turn, turns = 0, []
+    for i, row in enumerate(rows):
+        turn += i > 0 and row["lb"] != rows[i - 1]["lb"]
+        turns.append(turn)
+    for i in sorted(range(len(rows)), key=lambda i: (turns[i], -bounds[i])):
+        yield rows[i], pairs[i], bounds[i]
+
+
 def _kernel_fn(specs: list[KernelSpec], dim: int, skipped: list | None = None):
     """``skipped`` (tests): gets, for each block pair, whether it was passed over without scores."""
     def run(batches):
         current_lb, states = None, []
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                pair = _Pair(row, dim)
-                bound = pair.bound()
+            for row, pair, bound in _best_first(pdf.to_dict("records"), dim):
                 texts = np.asarray(row["texts"], dtype=object)
                 if specs[0].mode == "edges":
                     skip = _nothing_above(specs[0], bound, None)
@@ -540,17 +551,30 @@ def _nearest_pivot(pivots: np.ndarray):
     return nearest
 
 
+def _far_apart(vectors: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the vectors, each the one that is farthest from those before."""
+    if not len(vectors):
+        return vectors
+    at, near = [0], vectors @ vectors[0]
+    while len(at) < min(n, len(vectors)):
+        at.append(int(near.argmin()))
+        near = np.maximum(near, vectors @ vectors[at[-1]])
+    return vectors[at]
+
+
 def pack_targets(targets: DataFrame, dim: int, block: int, count: int, clusters: int = 0) -> DataFrame:
     """Blocks of at most ``block`` targets, packed where they lie. A small table lies in too many
     partitions; they are put together (no shuffle) so that blocks are full. With ``clusters``, targets are first
-    dealt by the nearest of that many targets (the pivots, chosen by a hash and held by the driver: at most 1,024 rows)."""
+    dealt by the nearest of that many targets (the pivots: far apart among four times as many that a hash chooses,
+    so the driver holds at most 4,096 rows)."""
     t = targets.select(
         F.col("corpus_id").cast("long").alias("corpus_id"), "text",
         F.col("embedding").cast("array<double>").alias("embedding"), F.xxhash64("text").alias("th"))
     parts = max(1, -(-count // block))
     if clusters and count:
-        chosen = t.orderBy(F.xxhash64("corpus_id", "text")).limit(min(1024, clusters)).select("embedding").collect()
-        pivots = _unit_rows(_stack([r["embedding"] for r in chosen], dim))
+        clusters = min(1024, clusters)
+        chosen = t.orderBy(F.xxhash64("corpus_id", "text")).limit(4 * clusters).select("embedding").collect()
+        pivots = _far_apart(_unit_rows(_stack([r["embedding"] for r in chosen], dim)), clusters)
         t = t.withColumn("near", _nearest_pivot(pivots)("embedding"))
         t = t.repartitionByRange(min(parts, len(pivots)), "near").sortWithinPartitions("near", "corpus_id", "text")
         return t.drop("near").mapInPandas(_pack_targets_fn(dim, block), TARGET_BLOCK_SCHEMA)

@@ -113,24 +113,26 @@ def numbered_targets(targets: DataFrame) -> DataFrame:
     return with_global_index(t, ["text", "target_id"], out="place")
 
 
-def draw_from_pool(rows: DataFrame, numbered: DataFrame, count: int, seed: int, epoch: int, stream: int) -> DataFrame:
+def draw_from_pool(rows: DataFrame, numbered: DataFrame, count: int, seed: int, epoch: int | str, stream: int,
+                   by: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Uniform draws with replacement from the targets whose text is not excluded.
 
-    ``rows``: ``row_id, f`` (number of draws) and ``out array<string>``, the excluded texts. Rows with an
-    empty pool get none. Returns ``row_id, slot, target_id, text``."""
+    ``rows``: the key columns ``by`` (``row_id`` among them, and ``epoch`` if that is a column's name), ``f`` (number of
+    draws) and ``out array<string>``, the excluded texts. Rows with an empty pool get none. Returns the key columns,
+    ``slot, target_id, text``."""
     spans = numbered.groupBy("text").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
-    asked = rows.select("row_id", F.explode(F.array_distinct("out")).alias("text"))
-    held = asked.join(spans, "text").groupBy("row_id").agg(
+    asked = rows.select(*by, F.explode(F.array_distinct("out")).alias("text"))
+    held = asked.join(spans, "text").groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
     none = F.array().cast("array<struct<start: bigint, n: bigint>>")
-    known = rows.select("row_id", "f").join(held, "row_id", "left").withColumn("spans", F.coalesce("spans", none))
+    known = rows.select(*by, "f").join(held, list(by), "left").withColumn("spans", F.coalesce("spans", none))
     left = F.lit(int(count)).cast("long") - F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
     slots = known.withColumn("_left", left).filter("_left > 0 and f > 0").select(
-        "row_id", "spans", "_left", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
+        *by, "spans", "_left", F.explode(F.sequence(F.lit(1), F.col("f"))).alias("slot"))
     at = hr.wide_expr(seed, epoch, stream, "row_id", "slot") % F.col("_left")
     place = F.aggregate("spans", at, lambda p, s: F.when(s["start"] <= p, p + s["n"]).otherwise(p))
-    return slots.select("row_id", "slot", place.alias("place")).join(numbered, "place") \
-                .select("row_id", "slot", "target_id", "text")
+    return slots.select(*by, "slot", place.alias("place")).join(numbered, "place") \
+                .select(*by, "slot", "target_id", "text")
 
 
 def mine_negatives(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame, *,
@@ -204,47 +206,60 @@ def mine_draws(pairs: DataFrame, query_vectors: DataFrame, candidate_vectors: Da
     out = F.concat(own, F.coalesce("xs", F.array().cast("array<string>"))) if known_positives is not None else own
     texts = rows.select("row_id", out.alias("out"))
     numbered = numbered_targets(targets) if any(d.method in FILLED for d in draws) else None
-    done = []
-    for i, wanted in enumerate(draws):
-        method, epoch = wanted.method, wanted.epoch
+    done: list[MiningResult | None] = [None] * len(draws)
+    for method in dict.fromkeys(d.method for d in draws):
         # no vector for the anchor or, where the bound is the true pair's score, for the true text
         lost = F.col("lo").isNull() if method in ABOVE_TRUE else F.col("vec").isNull()
         missing = every.filter(lost).select(
             "row_id", F.lit("no_vector").alias("reason"), F.lit(0).cast("long").alias("n_found"))
-        own_res = res.filter(F.col("spec") == i)
+        mine = [i for i, d in enumerate(draws) if d.method == method]
+        own_res = res.filter(F.col("spec").isin(mine)).withColumn(
+            "epoch", F.get(F.array(*[F.lit(d.epoch) for d in draws]), F.col("spec")))
         if method in ABOVE_TRUE:
             own_res = own_res.join(missing.select("row_id"), "row_id", "left_anti")
 
-        def draw(need: DataFrame, epoch: int = epoch) -> DataFrame:
-            need = need.join(texts, "row_id").select("row_id", "out", "f")
-            return materialize(draw_from_pool(need, numbered, t_stats.count, seed, epoch, code + hr.STREAM_FILL))
-        keys = hr.uniform_expr(seed, epoch, code + hr.STREAM_FILL_KEY, "row_id", "slot")
-        done.append(_pick(method, own_res, missing, rows, targets, n, fill, draw, keys))
+        def draw(need: DataFrame) -> DataFrame:
+            need = need.join(texts, "row_id").select(*_BY, "out", "f")
+            return materialize(draw_from_pool(need, numbered, t_stats.count, seed, "epoch", code + hr.STREAM_FILL, _BY))
+        keys = hr.uniform_expr(seed, "epoch", code + hr.STREAM_FILL_KEY, "row_id", "slot")
+        # all draws of a method are filled and ordered together
+        negatives, short = _pick(method, own_res, rows, targets, n, fill, draw, keys)
+        if len(mine) > 1:
+            negatives, short = materialize(negatives), materialize(short)
+        for i in mine:
+            done[i] = MiningResult(
+                negatives.filter(F.col("spec") == i).select(*NEG_SCHEMA_COLS),
+                missing.unionByName(short.filter(F.col("spec") == i).select(*missing.columns)))
     return done
 
 
+_BY = ("spec", "epoch", "row_id")
+
+
 def _entries(df: DataFrame) -> DataFrame:
-    e = df.select("row_id", F.posexplode(F.arrays_zip("ids", "texts", "raw", "val")).alias("pos", "e"))
-    return e.select("row_id", "pos", F.col("e.ids").alias("target_id"), F.col("e.texts").alias("text"),
+    e = df.select(*_BY, F.posexplode(F.arrays_zip("ids", "texts", "raw", "val")).alias("pos", "e"))
+    return e.select(*_BY, "pos", F.col("e.ids").alias("target_id"), F.col("e.texts").alias("text"),
                     F.col("e.raw").alias("raw"), F.col("e.val").alias("val"), F.lit(False).alias("is_fill"))
 
 
-def _pick(method: str, res: DataFrame, missing: DataFrame, rows: DataFrame, targets: DataFrame, n: int, fill: str,
-          draw, keys: Column) -> MiningResult:
-    """Negatives and short rows of one method from its kernel result: fills, order, the first n."""
+def _pick(method: str, res: DataFrame, rows: DataFrame, targets: DataFrame, n: int, fill: str,
+          draw, keys: Column) -> tuple[DataFrame, DataFrame]:
+    """Negatives and short rows of a method's draws (column ``spec``) from its kernel result: fills, order, the
+    first n."""
     filled = method in FILLED
+    cols = ["spec", *NEG_SCHEMA_COLS]
     res = res.withColumn("f", fill_draws(F.col("n_eligible"), n, fill) if filled else F.lit(0))
     negatives = _entries(res.filter(F.col("f") == 0)).filter(F.col("pos") < n).select(
-        "row_id", (F.col("pos") + 1).alias("slot"), "target_id", "text",
+        "spec", "row_id", (F.col("pos") + 1).alias("slot"), "target_id", "text",
         clamp(F.col("raw")).alias("score"), "raw", "is_fill")
     if not filled:
         # unfilled methods return min(L, n) entries
         few = res.filter(F.col("n_eligible") < n).select(
-            "row_id", F.lit("too_few").alias("reason"), F.col("n_eligible").alias("n_found"))
-        return MiningResult(negatives.select(*NEG_SCHEMA_COLS), missing.unionByName(few))
+            "spec", "row_id", F.lit("too_few").alias("reason"), F.col("n_eligible").alias("n_found"))
+        return negatives.select(*cols), few
 
     fill_rows = res.filter((F.col("f") > 0) & (F.col("n_pool") > 0))
-    draws = draw(fill_rows.select("row_id", "f"))
+    draws = draw(fill_rows.select(*_BY, "f"))
     tv = targets.select(F.col("corpus_id").alias("target_id"), "text", F.col("embedding").alias("_tv"))
     scored = (draws.join(tv, ["target_id", "text"]).join(rows.select("row_id", "vec"), "row_id")
               .withColumn("raw", cosine_rows(F.col("vec"), F.col("_tv"))).drop("_tv", "vec"))
@@ -253,10 +268,10 @@ def _pick(method: str, res: DataFrame, missing: DataFrame, rows: DataFrame, targ
     elig = _entries(fill_rows)
     # a fill that repeats an eligible target carries that entry's kernel score, so
     # equal entries tie exactly (the reference appends copies of pool entries)
-    same = elig.select("row_id", "target_id", "text", F.col("raw").alias("_kraw"))
-    scored = (scored.join(same, ["row_id", "target_id", "text"], "left")
+    same = elig.select(*_BY, "target_id", "text", F.col("raw").alias("_kraw"))
+    scored = (scored.join(same, [*_BY, "target_id", "text"], "left")
               .withColumn("raw", F.coalesce("_kraw", "raw")).drop("_kraw"))
-    fills = scored.select("row_id", F.col("slot").alias("pos"), "target_id", "text", "raw",
+    fills = scored.select(*_BY, F.col("slot").alias("pos"), "target_id", "text", "raw",
                           fval.alias("val"), F.lit(True).alias("is_fill"))
     cand = elig.unionByName(fills).withColumn("score", clamp(F.col("raw")))
     if weighted:
@@ -265,13 +280,12 @@ def _pick(method: str, res: DataFrame, missing: DataFrame, rows: DataFrame, targ
         # stable top-n over [eligible..., fills...] by clamped score
         order = [F.desc("score"), F.asc("is_fill"),
                  F.desc(F.when(~F.col("is_fill"), F.col("raw"))), F.asc("pos"), F.asc("target_id")]
-    w = Window.partitionBy("row_id").orderBy(*order)
-    picked = cand.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n) \
-                 .select("row_id", "slot", "target_id", "text", "score", "raw", "is_fill")
+    w = Window.partitionBy("spec", "row_id").orderBy(*order)
+    picked = cand.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n).select(*cols)
     # filled methods always reach n unless the pool is empty
     empty_pool = res.filter((F.col("f") > 0) & (F.col("n_pool") == 0)).select(
-        "row_id", F.lit("empty_pool").alias("reason"), F.col("n_eligible").alias("n_found"))
-    return MiningResult(negatives.unionByName(picked).select(*NEG_SCHEMA_COLS), missing.unionByName(empty_pool))
+        "spec", "row_id", F.lit("empty_pool").alias("reason"), F.col("n_eligible").alias("n_found"))
+    return negatives.select(*cols).unionByName(picked), empty_pool
 
 
 def easy_negatives(pairs: DataFrame, candidates: DataFrame, seed: int = 0, epoch: int = 0,
