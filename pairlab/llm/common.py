@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,45 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/pairlab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _scopes[-1:]:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    _delete(table.sparkSession, table._written_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` made inside go at the end, so that a job of several steps holds the tables of one step only.
+    The step's result must have been written by then with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+        spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing refers to any more
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``written``, to outlast the step that it ends."""
+    out = written(df)
+    for paths in _scopes[-1:]:
+        paths.pop()
+    return out
 
 
 def require(df: DataFrame, *names: str) -> None:

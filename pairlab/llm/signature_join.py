@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, require, written
@@ -48,12 +48,14 @@ from .tokens import chain, mix, slices, words_of
 
 SHINGLE, PERCENT = 3, 90
 CLASS_RATIO = 1.5         # sizes in one class
-SENT_KEYS = 2_000_000     # candidate nodes whose keys are broadcast (32 MB); beyond, texts are joined instead
+SENT_KEYS = 2_000_000     # keep_one: up to a quarter of so many rows to leave out are broadcast
 SPARE = 4                 # a part that may be empty for so many that may differ
 TRIPLES = 60              # sizes beyond which a part may be three cells
 BUCKET_TEXT = 12 << 20    # bytes of text whose marks one task compares
-BLOCK_BYTES = 8 << 20     # shingle keys handled by one task at a time
-_FAN, _BITS = 16, 1024
+BLOCK_BYTES = 8 << 20     # bytes of sets handled by one task at a time
+SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
+SET_BYTES = 512           # what a set takes besides its shingle keys: bitmaps, array headers
+_FAN, _BITS, _STEP = 16, 1024, 2048
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -201,6 +203,13 @@ def _mark_edges(table: pa.Table) -> pa.Table:
 
 
 # ---------------------------------------------------------------- signature trees
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    marks = np.zeros((len(sets), _BITS), bool)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    marks[rows, (np.concatenate(sets) % np.uint64(_BITS)).astype(int)] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
 class SignatureTree:
     """Levels from the leaves up; a node covers ``_FAN`` consecutive nodes of the level below."""
 
@@ -209,9 +218,7 @@ class SignatureTree:
         order = np.argsort(lead, kind="stable")  # sets with a common least element come together
         self.sets, self.keys = [sets[i] for i in order], keys[order]
         self.size = np.array([len(s) for s in self.sets], np.int64)
-        marks = np.zeros((len(sets), _BITS), bool)
-        marks[np.repeat(np.arange(len(sets)), self.size), (np.concatenate(self.sets) % np.uint64(_BITS)).astype(int)] = True
-        bits = np.packbits(marks, axis=1).view(np.uint64)
+        bits = np.concatenate([_bitmaps(self.sets[i:i + _STEP]) for i in range(0, len(sets), _STEP)])
         self.levels = [(bits, bits, self.size, self.size)]
         while len(self.levels[-1][0]) > 1:
             some, every, low, high = self.levels[-1]
@@ -324,53 +331,38 @@ def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return connected_components(packed.groupBy("route").applyInArrow(_mark_edges, _LINKS))
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.fill_null(0).to_numpy(zero_copy_only=False)
-
+def _sent(table: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() * 32 <= SEND_BYTES else table
 
-def _pair(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return chain(ids.view(np.uint64), keys.view(np.uint64))
 
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def _group_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """grp, key, items for each of ``nodes`` (node, id, label): the set of a row that has this id and this key. A row given
+    twice gives its set twice."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, sets in _sets_of(batch, size):
+                grp, node = (batch.column(c).slice(at, len(ids)) for c in (2, 3))
+                at += len(ids)
+                here = np.array([set_key(s) for s in sets], np.int64) == node.to_numpy()
+                yield pa.RecordBatch.from_arrays([grp.filter(pa.array(here)), node.filter(pa.array(here)), pa.array(
+                    [sets[r].tobytes() for r in np.flatnonzero(here)], pa.binary())], ["grp", "key", "items"])
+    chosen = docs.join(_sent(nodes), "id").select("id", "text", "label", "node")
+    return chosen.mapInArrow(pick, "grp long, key long, items binary")
 
 
-def _group_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """key, items for each of ``nodes`` (node, id): the set of the row that has this id and this key."""
-    def run(lookup):
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if lookup is not None:
-                    batch = batch.filter(pa.array(_among(_numbers(batch.column(0)), lookup.value[0])))
-                for ids, sets in _sets_of(batch, size):
-                    keys = np.array([set_key(s) for s in sets], np.int64)
-                    keep = keys != 0
-                    if lookup is not None:
-                        keep &= _among(_pair(_numbers(pa.array(ids, pa.int64())), keys), lookup.value[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(
-                        [sets[r].tobytes() for r in np.flatnonzero(keep)], pa.binary())], ["key", "items"])
-        return pick
-    n = nodes.count()
-    if n <= SENT_KEYS:
-        rows = nodes.select("id", "node").toArrow()
-        ids, keys = (rows.column(c).to_numpy() for c in ("id", "node"))
-        lookup = docs.sparkSession.sparkContext.broadcast((np.sort(ids), np.sort(_pair(ids, keys))))
-        return docs.mapInArrow(run(lookup), "key long, items binary")
-    chosen = docs.join(nodes.select("id"), "id").select("id", "text")
-    sets = chosen.mapInArrow(run(None), "key long, items binary")
-    return sets.join(nodes.select(F.col("node").alias("key")), "key", "left_semi")
+def _weight(items: Column) -> Column:
+    return F.length(items) + F.lit(SET_BYTES)
 
 
 def _links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links (a, b) that connect all linked sets. ``sets``: grp, key, items."""
-    sizes = sets.groupBy("grp").agg(F.sum(F.length("items")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    sizes = sets.groupBy("grp").agg(F.sum(_weight(F.col("items"))).alias("bytes"), F.count(F.lit(1)).alias("n"))
     sizes = sizes.filter("n > 1").withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
     total = sizes.agg(F.sum("bytes").alias("bytes"), F.max("blocks").alias("blocks")).first()
     tasks = max(1, math.ceil((total["bytes"] or 0) / block_bytes))
-    placed = sets.join(sizes.select("grp", "blocks"), "grp").withColumn(
+    placed = sets.join(_sent(written(sizes.select("grp", "blocks"))), "grp").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # small groups are packed into tasks; a block of a large group is a task of its own
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", "block"))
@@ -381,19 +373,20 @@ def _links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     links = written(links)
     large = placed.filter("blocks > 1")
     labels = written(connected_components(links)).withColumnRenamed("node", "key")
-    named = large.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = large.join(_sent(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
     # representatives of the blocks' classes, joined in blocks again as long as there are several
     heads = named.filter("key = label").select("grp", "key", "items")
     across = written(_links(heads, percent, block_bytes) if _shrinks(heads, large) else heads.limit(0).select(
         F.col("key").alias("a"), F.col("key").alias("b")))
     links = written(links.unionByName(across))
     labels = written(connected_components(links)).withColumnRenamed("node", "key")
-    named = written(large.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    named = written(large.join(_sent(labels), "key", "left").withColumn("label", F.coalesce("label", "key")))
     # all pairs that remain have a member outside the group's largest class
     most = named.groupBy("grp", "label").count().groupBy("grp").agg(
         F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = written(named.join(most, "grp").filter("label <> main").drop("main"))
-    chunks = rest.groupBy("grp").agg(F.ceil(F.sum(F.length("items")) / block_bytes).cast("int").alias("chunks"))
+    rest = written(named.join(_sent(written(most)), "grp").filter("label <> main").drop("main"))
+    chunks = _sent(written(rest.groupBy("grp").agg(
+        F.ceil(F.sum(_weight(F.col("items"))) / block_bytes).cast("int").alias("chunks"))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = named.join(chunks, "grp").select("grp", "block", every("chunks").alias("chunk"), "key", "label", "items")
     right = rest.join(chunks, "grp").select(
@@ -418,8 +411,8 @@ def _components(documents: DataFrame, id_col: str, text: str, size: int, percent
     classes = written(rows.filter("key <> 0").groupBy("key").agg(F.min("id").alias("id")))
     nodes = written(classes.select(F.col("key").alias("node"), "id").join(groups, "node").filter("id is not null"))
     sets = _group_sets(docs, nodes, size)
-    sets = written(sets.dropDuplicates(["key"]).join(
-        nodes.select(F.col("node").alias("key"), F.col("label").alias("grp")), "key"))
+    twice = rows.filter("key <> 0 and id is not null").groupBy("id", "key").count().filter("count > 1")
+    sets = written(sets if twice.isEmpty() else sets.dropDuplicates(["key"]))
     labels = connected_components(_links(sets, percent, block_bytes)).withColumnRenamed("node", "key")
     classes = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = classes.groupBy("label").agg(F.min("id").alias("component"))
