@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm import bpe_rounds, decontaminate, line_dedup, quality_gbt, signature_join
-from pairlab.llm.common import fresh, table, written
+from pairlab.llm.common import fresh, keep, passing, table
 from pairlab.session import ensure_checkpoint_dir
 
 
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with passing(spark):  # a stage's own tables go when its result is written
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
