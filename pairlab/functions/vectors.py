@@ -60,13 +60,27 @@ def _add_scaled(w: Column):
     return lambda s, z: s + w * z
 
 
-def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.full(len(a), np.nan)
+def _aligned(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Which rows have two vectors of one length, and those as matrices."""
     ok = np.fromiter(((x is not None and y is not None and len(x) > 0 and len(x) == len(y))
                       for x, y in zip(a, b)), dtype=bool, count=len(a))
-    if ok.any():
-        A = np.vstack(a[ok].to_numpy()).astype(np.float64)
-        B = np.vstack(b[ok].to_numpy()).astype(np.float64)
+    if not ok.any():
+        return ok, None, None
+    return ok, *(np.vstack(x[ok].to_numpy()).astype(np.float64) for x in (a, b))
+
+
+def _euclid_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    ok, A, B = _aligned(a, b)
+    out = np.full(len(a), np.nan)
+    if A is not None:
+        out[ok] = np.sqrt(((A - B) ** 2).sum(axis=1))
+    return pd.Series(out).astype(object).where(ok, None)
+
+
+def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.full(len(a), np.nan)
+    ok, A, B = _aligned(a, b)
+    if A is not None:
         na = np.sqrt((A * A).sum(axis=1))
         nb = np.sqrt((B * B).sum(axis=1))
         dot = (A * B).sum(axis=1)
@@ -87,4 +101,12 @@ def cosine_rows(a: Column, b: Column) -> Column:
     return _COS_UDF(a, b)
 
 
-_COS_UDF = None
+def euclid_rows(a: Column, b: Column) -> Column:
+    """Euclidean distance of many aligned pairs, as ``cosine_rows``; NULL when a vector is missing."""
+    global _EUCLID_UDF
+    if _EUCLID_UDF is None:
+        _EUCLID_UDF = F.pandas_udf(_euclid_batch, "double")
+    return _EUCLID_UDF(a, b)
+
+
+_COS_UDF = _EUCLID_UDF = None

@@ -2,9 +2,10 @@
 
 P1, the encoder, is a plug-in point; the built-in one hashes code-point
 trigrams of the whole text into ``dim`` signed buckets and normalises the
-count vector (feature hashing). It runs in an iterator ``pandas_udf``
-(Arrow batches, numpy per text) and is applied to each *distinct* text
-once, then joined back, so repeated texts cost nothing extra.
+count vector (feature hashing). It runs in an iterator ``arrow_udf``: the
+trigrams of many texts are hashed and counted together, with one bincount for
+up to ``BATCH_CHARS`` characters (or one longer text). It is applied to each
+*distinct* text once, then joined back, so repeated texts cost nothing extra.
 
 P2, mean pooling, averages token vectors over a document's tokens: tokens
 are counted per (document, token) first -- a partial aggregation that
@@ -22,7 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,8 @@ from ..session import materialize
 # Fixed values of the built-in encoder: trigram hash multipliers and default width.
 TRI_A, TRI_B, TRI_C = 1000003, 10007, 101
 DEFAULT_DIM = 256
+#: Characters and rows that are encoded together.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 4096
 TOKEN_PATTERN = r"\s+"
 #: Documents of a token from which it counts as hot, and bytes of vectors of hot tokens that are broadcast.
 HOT_DOCS, HOT_BYTES = 10_000, 64 << 20
@@ -52,12 +56,43 @@ def trigram_vector(text: str | None, dim: int = DEFAULT_DIM) -> np.ndarray:
     return v / n if n > 0 else v
 
 
+def trigram_matrix(texts: pa.Array, dim: int = DEFAULT_DIM) -> np.ndarray:
+    """``trigram_vector`` of each text of a batch, as rows."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].to_pybytes()[ends[0]:ends[-1]] if ends[-1] > ends[0] else b""
+    cp = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    whole = row[:-2] == row[2:]  # trigrams that lie in one text
+    h = (cp[:-2] * TRI_A + cp[1:-1] * TRI_B + cp[2:] * TRI_C)[whole]
+    sign = 1.0 - 2.0 * ((h // dim) % 2)
+    at = row[:-2][whole] * dim + h % dim
+    m = np.bincount(at, weights=sign, minlength=len(texts) * dim).astype(np.float64).reshape(len(texts), dim)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=m, where=n > 0)
+
+
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch with a bounded number of rows and characters; a text that is longer is a part."""
+    total = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < len(texts):
+        stop = int(np.searchsorted(total, done + BATCH_CHARS, side="right"))
+        stop = min(max(stop, start + 1), start + BATCH_ROWS, len(texts))
+        yield texts.slice(start, stop - start)
+        start, done = stop, int(total[stop - 1])
+
+
 def trigram_encoder(dim: int = DEFAULT_DIM):
     """P1 as a Spark expression factory: ``encoder(col) -> array<double>``."""
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([trigram_vector(t, dim) for t in s])
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [trigram_matrix(part, dim) for part in _pieces(texts)]
+            flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+            starts = np.arange(len(texts) + 1, dtype=np.int32) * dim
+            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
     return encode
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_rows
+from ..functions.vectors import cosine_rows, euclid_rows
 from .similarity import vector_lookup
 
 ROW_LOSS_SCHEMA = "batch_id long, pos int, forward double, backward double"
@@ -45,7 +45,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch_loss_fn(n_hard_queries: int, scale: float):
+def cosine_matrix(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _unit(a) @ _unit(c).T
+
+
+def dot_matrix(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return a @ c.T
+
+
+def _batch_loss_fn(n_hard_queries: int, scale: float, similarity):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         # an instance with a text that has no vector, or with fewer texts than the others, is left out as a
         # whole, so that the rest stays aligned; its row comes back with null losses
@@ -61,9 +69,9 @@ def _batch_loss_fn(n_hard_queries: int, scale: float):
         b, dim = len(whole), len(part["vec"].iloc[0])
         anchors = part[part["side"] == 0].sort_values(["blk", "pos"])
         cands = part[part["side"] == 1].sort_values(["blk", "pos"])
-        A = _unit(np.vstack(anchors["vec"].to_numpy()).reshape(-1, dim).astype(np.float64))
-        C = _unit(np.vstack(cands["vec"].to_numpy()).reshape(-1, dim).astype(np.float64))
-        S = scale * (A @ C.T)                       # ((Hq+1)B) x ((Hc+1)B)
+        A = np.vstack(anchors["vec"].to_numpy()).reshape(-1, dim).astype(np.float64)
+        C = np.vstack(cands["vec"].to_numpy()).reshape(-1, dim).astype(np.float64)
+        S = scale * similarity(A, C)                # ((Hq+1)B) x ((Hc+1)B)
         idx = np.arange(b)
         diag = S[idx, idx]
         kept = out["pos"].isin(whole).to_numpy()
@@ -86,19 +94,20 @@ def _exploded_vectors(batched: DataFrame, query_vectors: DataFrame, candidate_ve
 
 
 def in_batch_row_losses(batched: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,
-                        n_hard_queries: int, scale: float = 20.0) -> DataFrame:
+                        n_hard_queries: int, scale: float = 20.0, similarity=cosine_matrix) -> DataFrame:
     """A6 per row: ``batch_id, pos, forward, backward`` (null for an instance with a text without a vector).
 
-    ``batched``: ``batch_id, pos, texts`` (W5 output over I1/I2 instances)."""
+    ``batched``: ``batch_id, pos, texts`` (W5 output over I1/I2 instances). ``similarity``: a function of two
+    matrices, of anchors and of candidates as rows, that returns the matrix of their scores."""
     vec = _exploded_vectors(batched, query_vectors, candidate_vectors, n_hard_queries)
     return vec.select("batch_id", "pos", "side", "blk", "vec").groupBy("batch_id") \
-              .applyInPandas(_batch_loss_fn(n_hard_queries, float(scale)), ROW_LOSS_SCHEMA)
+              .applyInPandas(_batch_loss_fn(n_hard_queries, float(scale), similarity), ROW_LOSS_SCHEMA)
 
 
 def bidirectional_loss(batched: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,
-                       n_hard_queries: int, scale: float = 20.0) -> DataFrame:
+                       n_hard_queries: int, scale: float = 20.0, similarity=cosine_matrix) -> DataFrame:
     """A6 per batch: ``batch_id, n, forward, backward, loss``."""
-    rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, n_hard_queries, scale)
+    rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, n_hard_queries, scale, similarity)
     return rows.groupBy("batch_id").agg(
         F.count("forward").alias("n"), F.avg("forward").alias("forward"),
         F.avg("backward").alias("backward")).withColumn(
@@ -106,9 +115,9 @@ def bidirectional_loss(batched: DataFrame, query_vectors: DataFrame, candidate_v
 
 
 def one_way_loss(batched: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,
-                 scale: float = 20.0) -> DataFrame:
+                 scale: float = 20.0, similarity=cosine_matrix) -> DataFrame:
     """A7 per batch: ``batch_id, n, loss`` (forward half, no hard queries)."""
-    rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, 0, scale)
+    rows = in_batch_row_losses(batched, query_vectors, candidate_vectors, 0, scale, similarity)
     return rows.groupBy("batch_id").agg(F.count("forward").alias("n"), F.avg("forward").alias("loss"))
 
 
@@ -141,15 +150,10 @@ def cosine_mse_loss(pairs_inst: DataFrame, query_vectors: DataFrame, candidate_v
     return v.agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("loss"))
 
 
-def _euclid(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                              lambda acc, x: acc + x))
-
-
 def triplet_loss(triplets: DataFrame, query_vectors: DataFrame, candidate_vectors: DataFrame,
                  margin: float) -> DataFrame:
     """A10: mean of max(0, |a-p| - |a-n| + margin), Euclidean distances."""
     v = _pair_vectors(triplets, query_vectors, candidate_vectors, 3)
-    row = F.greatest(F.lit(0.0), _euclid(F.col("v0"), F.col("v1")) - _euclid(F.col("v0"), F.col("v2"))
+    row = F.greatest(F.lit(0.0), euclid_rows(F.col("v0"), F.col("v1")) - euclid_rows(F.col("v0"), F.col("v2"))
                      + F.lit(float(margin)))
     return v.agg(F.count(F.lit(1)).alias("n"), F.avg(row).alias("loss"))

@@ -28,8 +28,8 @@ from ..streaming.search import (quality_stream, rolling_quality, run_to_completi
 from . import oracle_sql as osql
 from ..functions import hashrand as hr
 from ..operators.instances import assign_batches, build_instances
-from ..operators.losses import (bidirectional_loss, contrastive_loss, cosine_mse_loss, in_batch_row_losses,
-                                one_way_loss, triplet_loss)
+from ..operators.losses import (bidirectional_loss, contrastive_loss, cosine_mse_loss, dot_matrix,
+                                in_batch_row_losses, one_way_loss, triplet_loss)
 from .epoch import compare_samplers, prepare_epoch, prepare_epochs, testing_pairs
 from .evaluate import append_results, evaluate, search_test_set
 
@@ -574,6 +574,12 @@ def q_a6_batch_loss(spark, sf):
     return r.select("batch_id", "n", _r("loss").alias("loss"))
 
 
+def q_a6_dot_loss(spark, sf):
+    fx, b = _epoch_batches(spark, sf)
+    r = in_batch_row_losses(b, fx.queries, fx.candidates, INST["nq"], LOSS["scale"], similarity=dot_matrix)
+    return r.select("batch_id", "pos", _r("forward").alias("forward"), _r("backward").alias("backward"))
+
+
 def q_a7_one_way_loss(spark, sf):
     fx, b = _epoch_batches(spark, sf)
     nq = INST["nq"]
@@ -602,7 +608,8 @@ bt AS (SELECT CAST(_idx // {INST["batch"]} AS BIGINT) AS batch_id, CAST(_idx % {
               texts FROM bi)""", ""
 
 
-def _inbatch_sql(texts_expr: str, nq: int) -> str:
+def _inbatch_sql(texts_expr: str, nq: int, score: str | None = None) -> str:
+    score = score or osql.cos_sql("a.vec", "c.vec")
     base, _ = _loss_sql_base()
     sc = float(LOSS["scale"])
     return base + f""",
@@ -617,14 +624,14 @@ ev AS (SELECT e.*, COALESCE(q.embedding, c.embedding) AS vec FROM exs e
 anc AS (SELECT * FROM ev WHERE side = 0),
 cnd AS (SELECT * FROM ev WHERE side = 1),
 fs AS (SELECT a.batch_id, a.pos, c.blk AS cblk, c.pos AS cpos,
-              {sc!r}::DOUBLE * {osql.cos_sql('a.vec', 'c.vec')} AS s
+              {sc!r}::DOUBLE * {score} AS s
        FROM anc a JOIN cnd c ON a.batch_id = c.batch_id WHERE a.blk = 0),
 fm AS (SELECT batch_id, pos, max(s) AS m FROM fs GROUP BY batch_id, pos),
 fl AS (SELECT fs.batch_id, fs.pos, fm.m + ln(sum(exp(fs.s - fm.m))) AS lse,
               max(CASE WHEN fs.cblk = 0 AND fs.cpos = fs.pos THEN fs.s END) AS d
        FROM fs JOIN fm ON fm.batch_id = fs.batch_id AND fm.pos = fs.pos GROUP BY fs.batch_id, fs.pos, fm.m),
 bs AS (SELECT c.batch_id, c.pos, a.blk AS ablk, a.pos AS apos,
-              {sc!r}::DOUBLE * {osql.cos_sql('a.vec', 'c.vec')} AS s
+              {sc!r}::DOUBLE * {score} AS s
        FROM anc a JOIN cnd c ON a.batch_id = c.batch_id WHERE c.blk = 0),
 bm AS (SELECT batch_id, pos, max(s) AS m FROM bs GROUP BY batch_id, pos),
 bl AS (SELECT bs.batch_id, bs.pos, bm.m + ln(sum(exp(bs.s - bm.m))) AS lse,
@@ -634,8 +641,8 @@ rl AS (SELECT fl.batch_id, fl.pos, fl.lse - fl.d AS forward, bl.lse - bl.d AS ba
        FROM fl JOIN bl ON bl.batch_id = fl.batch_id AND bl.pos = fl.pos)"""
 
 
-def _a6_sql() -> str:
-    return _inbatch_sql("texts", INST["nq"]) + """
+def _a6_sql(score: str | None = None) -> str:
+    return _inbatch_sql("texts", INST["nq"], score) + """
 SELECT batch_id, pos, round(forward, 6) AS forward, round(backward, 6) AS backward FROM rl"""
 
 
@@ -927,6 +934,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e4_compare_samplers": q_e4_compare_samplers,
         "a6_bidirectional_loss": q_a6_bidirectional_loss,
         "a6_batch_loss": q_a6_batch_loss,
+        "a6_dot_loss": q_a6_dot_loss,
         "a7_one_way_loss": q_a7_one_way_loss,
         "a8_contrastive_loss": _pair_loss("contrastive", contrastive_loss, LOSS["contrastive_margin"]),
         "a9_cosine_mse_loss": _pair_loss("contrastive", cosine_mse_loss),
@@ -1015,6 +1023,7 @@ def oracle_sql() -> dict[str, str]:
         "e4_compare_samplers": _e4_sql(),
         "a6_bidirectional_loss": _a6_sql(),
         "a6_batch_loss": _a6_batch_sql(),
+        "a6_dot_loss": _a6_sql("list_dot_product(a.vec, c.vec)"),
         "a7_one_way_loss": _a7_sql(),
         "a8_contrastive_loss": _pair_loss_sql("contrastive", "contrastive"),
         "a9_cosine_mse_loss": _pair_loss_sql("contrastive", "mse"),

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 
-from pairlab.operators.losses import bidirectional_loss, in_batch_row_losses, one_way_loss
+from pairlab.functions.vectors import euclid_rows
+from pairlab.operators.losses import bidirectional_loss, dot_matrix, in_batch_row_losses, one_way_loss
 
 
 def _setup(spark):
@@ -37,3 +39,21 @@ def test_one_way_golden(spark, scale, expected):
     one = batched.selectExpr("batch_id", "pos", "array(texts[0], texts[2], texts[3]) AS texts")
     got = one_way_loss(one, qv, cv, scale).collect()[0]
     assert got.loss == pytest.approx(expected, abs=1e-12)
+
+
+def test_similarity_of_the_losses_is_a_parameter(spark):
+    qv, cv, batched = _setup(spark)
+    doubled = cv.selectExpr("corpus_id", "text", "transform(embedding, x -> 2 * x) AS embedding")
+    rows = {r.pos: r for r in in_batch_row_losses(batched, qv, doubled, 1, 1.0, dot_matrix).collect()}
+    q = np.array([[1.0, 0.0], [0.0, 1.0]])
+    c = 2 * np.array([[0.8, 0.6], [0.0, 1.0], [0.6, 0.8], [-1.0, 0.0]])
+    s = q @ c.T
+    for i in range(2):
+        assert rows[i].forward == pytest.approx(np.log(np.exp(s[i]).sum()) - s[i, i], abs=1e-12)
+
+
+def test_euclid_rows(spark):
+    df = spark.createDataFrame([(0, [0.0, 3.0], [4.0, 0.0]), (1, None, [1.0, 2.0]), (2, [1.0], [1.0, 2.0]),
+                                (3, [1.0], [1.0])], "k int, a array<double>, b array<double>")
+    got = {r.k: r.d for r in df.select("k", euclid_rows("a", "b").alias("d")).collect()}
+    assert got == {0: 5.0, 1: None, 2: None, 3: 0.0}

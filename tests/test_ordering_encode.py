@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pairlab.operators import encode
 from pairlab.operators.encode import encode_distinct, mean_pool, trigram_encoder, trigram_vector
 from pairlab.operators.instances import assign_batches
 from pairlab.operators.ordering import exclusive_prefix_sum, with_global_index
@@ -42,3 +44,16 @@ def test_encoder_udf_matches_python_and_mean_pool(spark):
     assert pooled[1] == (0, [0.0, 0.0])
     trunc = {r.k: r.n_tokens for r in mean_pool(df, "k", "text", tv, max_tokens=2).collect()}
     assert trunc[3] == 2   # 'the', 'cat' of the first two tokens
+
+
+def test_batch_encoder_equals_text_by_text(monkeypatch):
+    texts = [None, "", "ab", "abc", "h\u00e9llo \U0001f600 w\u00f6rld", "xyz" * 5000, "abc", "the cat"]
+    batch = pa.array([*texts, "cut off"])
+    want = np.stack([trigram_vector(t, 32) for t in texts])
+    assert np.array_equal(encode.trigram_matrix(batch.slice(0, len(texts)), 32), want)
+    assert np.array_equal(encode.trigram_matrix(batch.slice(3, 5), 32), want[3:])
+    for most in (1, 5, 100, 1 << 20):
+        monkeypatch.setattr(encode, "BATCH_CHARS", most)
+        parts = list(encode._pieces(batch))
+        assert sum(map(len, parts)) == len(batch) and all(map(len, parts))
+        assert np.array_equal(np.concatenate([encode.trigram_matrix(p, 32) for p in parts])[:-1], want)
