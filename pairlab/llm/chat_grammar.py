@@ -108,10 +108,20 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return checked.select("conv_id", "formatted", "turns", spans.alias("loss_spans"))
 
 
+def masked_texts(formatted: Column, spans: Column) -> Column:
+    """array of the texts under the loss mask, cut from ``formatted`` at ``spans`` and unescaped. In UTF-32 a span
+    is cut in one step, however far into the conversation it lies."""
+    bom = F.unhex(F.lit("0000FEFF"))  # given, so that a U+FEFF that a text starts with stays
+    cut = lambda wide: F.transform(spans, lambda s: unescape(F.decode(F.concat(
+        bom, F.substring(wide, 4 * s["start"] + 1, 4 * (s["end"] - s["start"]))), "UTF-32")))
+    return F.transform(F.array(F.encode(formatted, "UTF-32")), cut)[0]  # encoded once, not once a span
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """The digest columns of ``format_conversations``, from the turns read back from its output."""
+    """The digest columns of ``format_conversations``: of the turns read back from its output, and of the text
+    under its loss mask."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    masked = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    masked = masked_texts(F.col("formatted"), F.col("loss_spans"))
     return formatted.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.array_join(masked, "").alias("loss"),

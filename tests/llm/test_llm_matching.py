@@ -1,5 +1,6 @@
 """Chat formatting, decontamination, url rules and secret scans: odd rows and hostile texts."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -57,6 +58,18 @@ def test_chat_nulls_ties_and_empty(spark):
     assert chat_grammar.format_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_loss_is_read_through_the_mask(spark):
+    """Also where texts start with a byte order mark, or hold characters beyond the BMP or control strings."""
+    texts = ["\ufeffa", "\U0001f600 b", "", "</s>[INST] ok [/INST]", "\ufeff", "\\[\\INST]"]
+    rows = [(1, 2 * i + k, role, t) for i, t in enumerate(texts) for k, role in enumerate(["user", "assistant"])]
+    out = chat_grammar.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = "".join(texts)
+    (got,) = chat_grammar.digests(out).collect()
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(whole), hashlib.sha256(whole.encode()).hexdigest())
+    wrong = out.withColumn("loss_spans", F.slice("loss_spans", 1, 2))  # a wrong mask shows in the digest
+    assert chat_grammar.digests(wrong).first()["loss_chars"] == 5
+
+
 def _words(text):
     return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(
         c.lower() if "A" <= c <= "Z" else c for c in text or ""))
