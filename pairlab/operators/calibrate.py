@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -179,3 +179,9 @@ class EpochConfig:
         warm up over ceil(10 %) of them."""
         return {"evaluation_steps": math.ceil(n_batches * EVAL_FRACTION),
                 "warmup_steps": math.ceil(n_batches * WARMUP_FRACTION)}
+
+    @staticmethod
+    def batch_plan_columns(n_batches: Column) -> list[Column]:
+        """``batch_plan`` of a column of batch counts."""
+        return [F.ceil(n_batches * F.lit(part)).cast("long").alias(name)
+                for name, part in (("evaluation_steps", EVAL_FRACTION), ("warmup_steps", WARMUP_FRACTION))]

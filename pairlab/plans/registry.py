@@ -119,10 +119,8 @@ def q_c7_batch_plan(spark, sf):
     fx = vector_fixture(spark, sf)
     d = prepare_epoch(fx.training, fx.validation, fx.queries, fx.candidates,
                       EpochConfig.for_epoch(INST["epoch"], seed=INST["seed"]))
-    n = d.instances.agg(F.max("batch_id") + 1).first()[0] or 0
-    plan = EpochConfig.batch_plan(n)
-    return spark.range(1).select(F.lit(n).cast("long").alias("n_batches"),
-                                 *[F.lit(v).cast("long").alias(k) for k, v in plan.items()])
+    count = d.instances.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).cast("long").alias("n_batches"))
+    return count.select("n_batches", *EpochConfig.batch_plan_columns(F.col("n_batches")))
 
 
 def q_s8_corpus_size(spark, sf):

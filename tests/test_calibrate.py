@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pairlab.operators.calibrate import EpochConfig, beta_ladder, tune_beta
 
@@ -42,3 +43,8 @@ def test_epoch_schedule():
 
 def test_batch_plan():
     assert EpochConfig.batch_plan(13) == {"evaluation_steps": 4, "warmup_steps": 2}
+
+
+def test_batch_plan_columns(spark):
+    plan = spark.range(200).select("id", *EpochConfig.batch_plan_columns(F.col("id"))).collect()
+    assert [r.asDict() for r in plan] == [{"id": n, **EpochConfig.batch_plan(n)} for n in range(200)]
