@@ -2,7 +2,8 @@
 
 1. A line is its text's 64-bit hash; equal lines are one node. (Two of n different lines share a hash with
    probability below n^2 / 2^64.) Blank lines are left alone.
-2. Signatures: the shingles of a line are its windows of ``SHINGLE`` characters (a shorter line is one window).
+2. Signatures: the shingles of a line are its windows of ``SHINGLE`` characters (UTF-16 units, so one beyond the BMP
+   counts as two; a shorter line is one window).
    They are exploded and hashed in generated code, and one aggregation keeps the least value of each of
    ``BANDS * ROWS`` permutations of the 32-bit hashes. Every shingle counts, however long the line is, so lines
    with the same shingles have the same signature.

@@ -177,3 +177,43 @@ def test_bpe_odd_texts(spark, odd, empty):
         "read", bpe_rounds.bpe_decode(spark, F.col("ids"))).collect()
     assert all(r["read"] == (r["text"] or "") for r in back)
     assert empty.select(bpe_rounds.bpe_digest(spark, F.col("text"))).count() == 0
+
+
+def _statistics_brute(text):
+    """The features of one text, each from its definition."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality_gbt.FEATURES)
+    share = lambda pattern: len(re.findall(pattern, raw)) / len(raw)
+    words, lines = re.findall(rb"[^\x20\x09-\x0d]+", raw), re.split(rb"\n", raw)
+    n = max(1, len(words))
+    out = [share(p) for p in (rb"[A-Z]", rb"[a-z]", rb"[0-9]", rb"[\x80-\xff]", rb"\n", rb"[.?]", rb"[,;:]", rb"!", rb"\|",
+                              rb"['\"`]", rb"[()\[\]{}<>]", rb"[#$%&*+\-/=@\\^_~]")]
+    most = max(Counter(words).values(), default=0)
+    again = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values())
+    return out + [
+        math.log(1 + len(raw)), math.log(1 + len(words)), sum(map(len, words)) / n, len(set(words)) / n, most / n, again / n,
+        math.log(1 + len(lines)), math.log(1 + len(raw) / len(lines)), math.log(1 + max(len(x) for x in lines)),
+        len(set(lines)) / len(lines), entropy, math.log(1 + len(words) / max(1, len(re.findall(rb"[.?]", raw))))]
+
+
+def test_document_statistics_against_brute_force(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [None, "", " \n\t", "a", "a a a", "\n\n", "\u00e9\U0001f600! |x|", "A.b?c,d;e:\x0bf\x0cg", "x" * 100_000]
+    got = quality_gbt.document_statistics(texts)
+    assert got.shape == (len(texts), len(quality_gbt.FEATURES))
+    for row, text in zip(got, texts):
+        assert row == pytest.approx(_statistics_brute(text), abs=1e-9)
+
+
+def test_null_ids_in_the_queries(spark, tmp_path):
+    """A null id has a null held_out; op1 learns from its text, op6 does not (a null id has no label)."""
+    docs = [(i, f"some words of text {i}") for i in range(30)] + [(None, "unheard of")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    scored = {r["doc_id"]: r for r in se.queries()["op1_lm_score"](spark, str(tmp_path)).collect()}
+    assert len(scored) == 31 and scored[None]["held_out"] is None and scored[None]["n_known"] == scored[None]["n_tokens"] == 3
+    judged = {r["doc_id"]: r for r in se.queries()["op6_quality"](spark, str(tmp_path)).collect()}
+    assert len(judged) == 31 and judged[None]["held_out"] is None and 0 <= judged[None]["score"] <= 1
