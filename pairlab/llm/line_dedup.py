@@ -177,6 +177,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     size = removed.agg(F.sum(F.size(gone))).first()[0] or 0
     removed = _sent(removed, 100) if size * 8 <= SEND_BYTES else removed
     joined = docs.join(removed, docs[id_col].eqNullSafe(F.col(by_id)) & (F.xxhash64(docs[text]) == F.col(by_mark)), "left")
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
+    staying = lambda lines: F.transform(  # noqa: E731  linear in the lines, however many go
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: lines[i])
+    left = F.transform(F.array(F.split(F.col(text), "\n", -1)), staying)[0]  # split once
     kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text, kept).select(*docs.columns)
