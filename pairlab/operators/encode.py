@@ -7,12 +7,12 @@ trigrams of many texts are hashed and counted together, with one bincount for
 up to ``BATCH_CHARS`` characters (or one longer text). It is applied to each
 *distinct* text once, then joined back, so repeated texts cost nothing extra.
 
-P2, mean pooling, averages token vectors over a document's tokens: tokens
-are counted per (document, token) first -- a partial aggregation that
-shrinks the data to the per-document vocabulary -- then joined to the
-token-vector table (hot tokens by broadcast) and averaged with ``Summarizer.mean`` weighted by the
-counts (JVM side, bounded state per group). Tokens without a vector are
-dropped; a document with none gets the zero vector.
+P2, mean pooling, averages token vectors over a document's tokens. The most
+frequent tokens (a bounded broadcast of vectors, chosen by their number of
+occurrences) are added up batch by batch where the texts lie; only the others
+are counted per (document, token) and joined to the token-vector table, and
+both are averaged in order of the key, weighted by the counts. Tokens without
+a vector are dropped; a document with none gets the zero vector.
 
 P3, truncation to ``max_tokens`` (the reference's ``max_seq_length``), is an
 explicit option; by default whole texts are used.
@@ -29,6 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..session import materialize
 
@@ -38,8 +39,9 @@ DEFAULT_DIM = 256
 #: Characters and rows that are encoded together.
 BATCH_CHARS, BATCH_ROWS = 1 << 20, 4096
 TOKEN_PATTERN = r"\s+"
-#: Documents of a token from which it counts as hot, and bytes of vectors of hot tokens that are broadcast.
-HOT_DOCS, HOT_BYTES = 10_000, 64 << 20
+#: Occurrences from which a token may be sent, bytes of vectors that are sent (of the most frequent tokens), and occurrences
+#: that are added up together.
+HOT_DOCS, HOT_BYTES, HOT_STEP = 2, 64 << 20, 1 << 15
 
 
 def trigram_vector(text: str | None, dim: int = DEFAULT_DIM) -> np.ndarray:
@@ -114,34 +116,97 @@ def mean_pool(docs: DataFrame, key: str, text_col: str, token_vectors: DataFrame
               max_tokens: int | None = None) -> DataFrame:
     """``key, n_tokens, embedding`` = mean of the token vectors.
 
-    ``token_vectors``: ``token string, embedding array<double>``."""
-    dim_row = token_vectors.select(F.max(F.size("embedding")).alias("d")).first()
-    dim = int(dim_row["d"] or 0)
-    tok = docs.select(key, F.explode(tokens(F.col(text_col), max_tokens)).alias("token"))
-    counts = tok.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    vectors = token_vectors.select("token", array_to_vector("embedding").alias("v"))
-    # a token of very many documents is one hot join key: such tokens (at most rows / HOT_DOCS of them) are
-    # broadcast while their vectors fit, the others are joined by key
-    counts = materialize(counts)
-    hot = materialize(counts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= HOT_DOCS)
-                      .select("token"))
-    if 0 < hot.count() * dim * 8 <= HOT_BYTES:
-        of_hot = counts.join(F.broadcast(vectors.join(F.broadcast(hot), "token")), "token")
-        of_rest = counts.join(F.broadcast(hot), "token", "left_anti").join(vectors, "token")
-        known = of_hot.unionByName(of_rest)
-    else:
-        known = counts.join(vectors, "token")
-    pooled = known.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("cnt")).alias("m"),
-                                    F.sum("cnt").cast("long").alias("n_tokens"))
+    ``token_vectors``: ``token string, embedding array<double>``; a column ``n``, if there is one, says how often a token
+    occurs, else the tokens are counted."""
+    counted = "n" in token_vectors.columns
+    vectors = materialize(token_vectors.select("token", "embedding", *["n"] * counted))
+    dim = int(vectors.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 0)
+    listed = docs.select(key, tokens(F.col(text_col), max_tokens).alias("tokens"))
+    # the most frequent tokens are added up where the texts lie; the others, with fewer occurrences, are joined by token
+    often = vectors.groupBy("token").agg(F.max("n").alias("n")) if counted else listed.select(
+        F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    often = often.filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "token").limit(HOT_BYTES // (8 * max(dim, 1)))
+    sent = (vectors.join(F.broadcast(often.select("token")), "token").select("token", array_to_vector("embedding").alias("v"))
+            .groupBy("token").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("total"), F.count(F.lit(1)).alias("n")))
+    sent = sent.toArrow().combine_chunks()
+    matrix = pc.list_flatten(sent.column("total")).to_numpy().reshape(-1, max(dim, 1))
+    hot = docs.sparkSession.sparkContext.broadcast((sent.column("token").to_pylist(), matrix, sent.column("n").to_numpy()))
+    names = StructType([docs.select(key).schema[0], StructField("n", LongType()), StructField(
+        "mean", ArrayType(DoubleType())), StructField("rest", ArrayType(StringType()))])
+    pooled = materialize(listed.mapInArrow(_hot_means(hot), names))
+    rest = pooled.select(key, F.explode("rest").alias("token")).groupBy(key, "token").agg(
+        F.count(F.lit(1)).cast("double").alias("cnt")).join(vectors, "token")
+    known = pooled.filter("n > 0").select(key, F.col("mean").alias("embedding"), F.col("n").cast("double").alias("cnt"))
+    known = known.unionByName(rest.select(key, "embedding", "cnt")).filter(F.col(key).isNotNull())
+    names = StructType([docs.select(key).schema[0], StructField("n", DoubleType()), StructField("m", ArrayType(DoubleType()))])
+    pooled = known.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(_means(max(dim, 1)), names)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (docs.select(key).join(pooled, key, "left")
-            .select(key, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
-                    F.when(F.col("m").isNotNull(), vector_to_array("m")).otherwise(zeros).alias("embedding")))
+            .select(key, F.coalesce(F.col("n").cast("long"), F.lit(0)).cast("long").alias("n_tokens"),
+                    F.coalesce("m", zeros).alias("embedding")))
+
+
+def _hot_means(hot):
+    """Rows of (key, token lists): the number and the mean of the vectors of ``hot`` tokens, and the other tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, times = hot.value
+        names = pa.array(names, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten()
+            at = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy()
+            row = np.repeat(np.arange(len(lists)), sizes)
+            some = at >= 0
+            total, n = np.zeros((len(lists), matrix.shape[1])), np.zeros(len(lists), np.int64)
+            rows, which = row[some], at[some]
+            for start in range(0, len(rows), HOT_STEP):
+                r, w = rows[start:start + HOT_STEP], which[start:start + HOT_STEP]
+                first = np.flatnonzero(np.diff(r, prepend=-1))
+                total[r[first]] += np.add.reduceat(matrix[w], first, axis=0)
+                n[r[first]] += np.add.reduceat(times[w], first)
+            np.divide(total, n[:, None], out=total, where=n[:, None] > 0)
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(
+                row[~some], minlength=len(lists)))).astype(np.int32)), flat.filter(pa.array(~some)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(total), rest], [
+                batch.schema.names[0], "n", "mean", "rest"])
+    return run
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
+def _means(dim: int):
+    """Weighted means of the vectors of each key; rows (key, vector, weight) come in order of the key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(keys, n, total):
+            return pa.RecordBatch.from_arrays([keys, pa.array(n), _lists(total / n[:, None])], [*names[:1], "n", "m"])
+        last = None  # the key that may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            names, cnt = batch.schema.names, batch.column(2).to_numpy()
+            first = np.append(0, pc.run_end_encode(batch.column(0)).run_ends.to_numpy()[:-1])
+            total = np.add.reduceat(batch.column(1).flatten().to_numpy().reshape(-1, dim) * cnt[:, None], first, axis=0)
+            n, keys = np.add.reduceat(cnt, first), batch.column(0).take(pa.array(first))
+            if last is not None and last[0].equals(keys[:1]):
+                total[0] += last[2][0]
+                n[0] += last[1][0]
+            elif last is not None:
+                yield rows(*last)
+            if len(n) > 1:
+                yield rows(keys[:-1], n[:-1], total[:-1])
+            last = keys[-1:], n[-1:], total[-1:]
+        if last is not None:
+            yield rows(*last)
+    return run
 
 
 def token_table(docs: DataFrame, text_col: str, encoder=None) -> DataFrame:
     """Token-vector table derived from the corpus: every distinct token,
-    encoded by ``encoder`` (default: trigram hashing)."""
-    t = docs.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").count()
+    encoded by ``encoder`` (default: trigram hashing), and how often it occurs."""
+    t = docs.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     enc = encoder or trigram_encoder()
-    return t.select("token", enc(F.col("token")).alias("embedding"))
+    return t.select("token", enc(F.col("token")).alias("embedding"), "n")

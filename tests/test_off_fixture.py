@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,26 @@ def test_hot_tokens_change_nothing(spark, monkeypatch):
     assert {k: (n, pytest.approx(v)) for k, (n, v) in a.items()} == b
 
 
+def test_frequent_tokens_are_pooled_where_the_texts_lie(spark, monkeypatch):
+    """No table has a row for each document and frequent token; odd rows and vectors count as in a join."""
+    from pairlab.operators import encode
+    rows = [(i % 290, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30)) + f" rare{i} none") for i in range(300)]
+    rows += [(None, "w1 w2"), (1000, None), (1001, " "), (1002, "none")]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    words = [f"w{j}" for j in range(40)] + ["w3", None] + [f"rare{i}" for i in range(300)]
+    vec = {(w, n): np.random.default_rng(n).normal(size=8) for n, w in enumerate(words)}
+    tv = spark.createDataFrame([(w, v.tolist()) for (w, _), v in vec.items()], "token string, embedding array<double>")
+    sizes, real = [], encode.materialize
+    monkeypatch.setattr(encode, "materialize", lambda df: (lambda out: sizes.append(out.count()) or out)(real(df)))
+    got = mean_pool(docs, "k", "text", tv).collect()
+    assert max(sizes) <= len(words) + len(rows)
+    assert sorted((r.k is None, r.k) for r in got if r.k is not None) == sorted((False, k) for k, _ in rows if k is not None)
+    for r in got:
+        own = [v for k, t in rows if k is not None and k == r.k and t for w in t.split() for (x, _), v in vec.items() if x == w]
+        assert r.n_tokens == len(own)
+        assert list(r.embedding) == pytest.approx(list(np.mean(own, axis=0)) if own else [0.0] * 8)
+
+
 def _folder(spark, tmp_path):
     ensure_checkpoint_dir(spark)
     return str(tmp_path)
