@@ -42,7 +42,7 @@ from .tokens import chain, mix, slices, words_of
 WIDTH = 13
 BUCKET_WINDOWS = 1_500_000
 SLICE_BYTES = 3_000_000
-SENT_ROWS = 200_000    # rows of documents to verify that are broadcast (5 MB); beyond, texts are joined by shuffle
+SENT_IDS = 2_000_000   # up to so many ids of documents to verify are broadcast (50 MB), and only their texts are shuffled
 _NEAR = 12             # a block of a line has 2^12 words
 
 _PACKED = "route long, base long, ids binary, marks binary, words binary, at binary, keys binary"
@@ -313,8 +313,9 @@ def _differs(docs: DataFrame, stretches: DataFrame, places: DataFrame, width: in
     n = wanted.count()
     if not n:
         return False
-    wanted = F.broadcast(wanted) if n <= SENT_ROWS // 20 else wanted
-    found = docs.join(wanted, ["id", "mark"]).select(
+    if n <= SENT_IDS:
+        docs = docs.join(F.broadcast(wanted.select("id")), "id", "left_semi")
+    found = docs.join(wanted.hint("merge"), ["id", "mark"]).select(
         F.explode(F.arrays_zip(F.col("wanted.source").alias("source"), _span_digests(width)(
             F.col("text"), F.col("wanted.start")).alias("sha"))).alias("f"))
     return not found.groupBy("f.source").agg(F.min("f.sha").alias("x"), F.max("f.sha").alias("y")).filter("x <> y").isEmpty()
@@ -382,5 +383,6 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "te
     spans = spans.select(F.col("id").alias(by_id), F.col("mark").alias(by_mark), "spans")
     own = documents.withColumn(cut, F.col(text).cast("string"))
     here = (F.col(id_col).cast("long") == F.col(by_id)) & (F.xxhash64(cut) == F.col(by_mark))
-    both = own.join(spans.withColumnRenamed("spans", fresh(own, "spans")[0]), here, "left")
+    # spans grow with the corpus: joined by shuffle at every size
+    both = own.join(spans.withColumnRenamed("spans", fresh(own, "spans")[0]).hint("merge"), here, "left")
     return both.withColumn(cut, without_spans(F.col(cut), F.col(both.columns[-1]))).select(*documents.columns, cut)

@@ -277,3 +277,35 @@ def test_windows_with_one_key_are_told_apart(spark, monkeypatch):
     rows = [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))]
     out = debruijn.remove_repeats(spark.createDataFrame(rows, DOCS))
     assert [r["cut"]["n_removed"] for r in out.collect()] == [0, 0] and salts == [0, 2]
+
+
+def test_repeats_are_joined_alike_at_any_size(spark, monkeypatch):
+    """Texts meet their spans by a shuffle also in a small table; only texts to verify are shuffled for that, or all."""
+    from pairlab.llm import debruijn
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 40:i % 40 + 13] + [f"x{i}"] * (i % 3) + words[:14 * (i % 2)])) for i in range(90)]
+    docs = spark.createDataFrame(rows + [(None, " ".join(words)), (3, None)], "doc_id long, text string")
+    out = debruijn.remove_repeats(docs)
+    first = sorted(map(str, out.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    monkeypatch.setattr(debruijn, "SENT_IDS", 0)
+    assert sorted(map(str, debruijn.remove_repeats(docs).collect())) == first
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    import time
+
+    from pairlab.llm.common import written
+    env = spark._jvm.org.apache.spark.SparkEnv
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data",
+                                   env.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")))
+    before = files()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, None)
+    table = written(spark.range(10_000).repartition(5).selectExpr("id % 7 as k").groupBy("k").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7 and spark.conf.get(name, None) == had
