@@ -8,7 +8,9 @@
    ``BANDS * ROWS`` permutations of the 32-bit hashes. Every shingle counts, however long the line is, so lines
    with the same shingles have the same signature.
 3. Banding: lines with the same ``ROWS`` least values in a band share a bucket. Of the pairs to compare, those
-   that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five).
+   that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five), and so are
+   those whose bitmaps show that they cannot be similar: each line of a bucket has one of ``64 * WORDS`` bits, a hash of
+   each shingle sets one, and a bit that only one of two lines has stands for a shingle at least that the other lacks.
 4. Verification: the exact Jaccard similarity of all shingles, ``PERCENT`` / 100 or more. In each bucket every
    line is compared with the least one, then with more and more of the bucket's lines, until all are. Two lines that
    are in one component by then (by this or any other bucket) are not compared, and a bucket whose lines all are is
@@ -32,11 +34,12 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, require, written
+from .common import fresh, keep, passing, require, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, AGREE = 8, 3, 14
+WORDS = 32                # words of 64 bits of a line's bitmap
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
 MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that the others are compared with
@@ -94,6 +97,30 @@ def likely(pairs: DataFrame, mins: DataFrame) -> DataFrame:
     return both.filter(same >= AGREE).select("a", "b")
 
 
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """lh, n (windows of the line) and the words w0, w1, ... of its bitmap. ``texts``: lh, line."""
+    wide = texts.select("lh", *_widened(F.col("line")))
+    bits = _windows(wide, "lh", "n").select("lh", "n", F.xxhash64("window").alias("h"))
+    bits = bits.groupBy("lh", "n", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    return bits.groupBy("lh", "n").agg(*[
+        F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)])
+
+
+def possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave open that they are similar: with x shingles that only a has and y that only b
+    has, their similarity is (m - x) / (m + y) for the m shingles of a, and no smaller with more than m."""
+    words = [f"w{k}" for k in range(WORDS)]
+    side = lambda x: maps.select(F.col("lh").alias(x), F.col("n").alias(f"n_{x}"), F.struct(*words).alias(f"of_{x}"))
+    sent = F.broadcast if maps.count() * (16 + 8 * WORDS) <= SEND_BYTES else lambda x: x
+    one, two = sent(side("a")), sent(side("b"))
+    both = pairs.join(one, "a").join(two, "b")
+    lost = lambda x, y: sum(F.bit_count(F.col(x)[w].bitwiseAND(F.bitwise_not(F.col(y)[w]))) for w in words)
+    both = both.select("a", "b", "n_a", "n_b", lost("of_a", "of_b").alias("x"), lost("of_b", "of_a").alias("y"))
+    may = lambda n, x, y: 100 * (F.col(n) - F.col(x)) >= PERCENT * (F.col(n) + F.col(y))
+    return both.filter(may("n_a", "x", "y") & may("n_b", "y", "x")).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar, by the exact similarity of their shingles. ``texts``: lh, line.
     A task gets a bounded number of pairs, so that their shingles stay in its memory."""
@@ -114,6 +141,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar lines that share a bucket."""
+    maps = written(bitmaps(texts))
     sized = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
     opened, links, seen, compared = written(sized).withColumn("label", F.col("lh")), None, None, 1
     while True:
@@ -125,7 +153,7 @@ def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
         met = opened.join(written(heads), "bucket").filter("of_head <> label")
         pairs = met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b")).distinct()
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = written(verified(written(likely(pairs, mins)), texts).select("a", "b"))
+        found = written(verified(written(possible(likely(pairs, mins), maps)), texts).select("a", "b"))
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
         # a bucket is done when its lines are of one component, or all of them have been heads
@@ -171,7 +199,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining lines of each text."""
     require(docs, id_col, text)
-    removed = written(removed_lines(docs, id_col, text))
+    with passing(docs.sparkSession):  # the tables of the search go with it
+        removed = keep(removed_lines(docs, id_col, text))
     by_id, by_mark, gone = fresh(docs, "by_id", "by_mark", "gone_lines")
     removed = removed.select(F.col("id").alias(by_id), F.col("mark").alias(by_mark), F.col("removed").alias(gone))
     size = removed.agg(F.sum(F.size(gone))).first()[0] or 0
