@@ -19,9 +19,12 @@ A document is the set of its distinct word shingles, kept as 64-bit keys; docume
    much, whose greatest possible overlap is too small, or all of whose members are in one class already.
    What remains is verified exactly, and a link joins two classes (union-find), so a group of m near copies
    costs about m verifications and not m^2.
-3. A group beyond ``block_bytes`` is cut into blocks. Blocks are joined within themselves, then the classes'
-   representatives across blocks, then whatever is not of the group's largest class against all blocks, which
-   completes the pairs.
+3. Sets of groups beyond ``block_bytes`` are thinned first: a set linked with another shares p percent of its own
+   shingles at least, so one with fewer shingles that any other set of such groups has is linked with nothing. The rest
+   are grouped by their marks again. A group that is still too large is cut into blocks. Blocks are joined within
+   themselves, then the classes' representatives across blocks, then whatever is not of the group's largest class
+   against all blocks, which completes the pairs; these go in rounds, so that the copies of a round are no more than
+   ``ROUND_COPIES`` times the sets.
 4. Components of the links give the classes over all documents.
 
 Two different sets share a key with probability below n^2 / 2^64 for n documents, as do two shingles.
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, require, written
+from .common import fresh, keep, passing, require, written
 from .components import connected_components
 from .tokens import chain, mix, slices, words_of
 
@@ -54,6 +57,7 @@ TRIPLES = 60              # sizes beyond which a part may be three cells
 BUCKET_TEXT = 12 << 20    # bytes of text whose marks one task compares
 BLOCK_BYTES = 8 << 20     # bytes of sets handled by one task at a time
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
+ROUND_COPIES = 2          # copies of a large group's sets that one round of block pairs makes
 SET_BYTES = 512           # what a set takes besides its shingle keys: bitmaps, array headers
 _FAN, _BITS, _STEP = 16, 1024, 2048
 
@@ -174,6 +178,13 @@ def _mark_rows(keys: np.ndarray, parts: list[np.ndarray], buckets: int) -> pa.Re
         mine = by[cuts[i]:cuts[i + 1]]
         held, n = np.unique(at[mine], return_counts=True)
         rows.append((i, marks[mine].tobytes(), keys[held].tobytes(), n.astype(np.uint32).tobytes()))
+    return _routed(rows)
+
+
+_ROUTED = "route long, marks binary, keys binary, n binary"
+
+
+def _routed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
         zip(*rows), [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], ["route", "marks", "keys", "n"])
 
@@ -202,6 +213,65 @@ def _mark_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
 
+# ---------------------------------------------------------------- shingles that several sets have
+def _set_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(keys, sets) of slices of a batch with columns key, items."""
+    for a, b in slices(batch.column("items")):
+        yield batch.column("key").slice(a, b - a).to_numpy(), [
+            np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items").slice(a, b - a)]
+
+
+def _shingles(buckets: int):
+    """Shingles of a slice's sets by bucket (route: its number), with the key of their set; those of several sets of the slice go once,
+    without a key (0), and are counted here (route: negative)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, sets in _set_slices(batch):
+                items, at = np.concatenate(sets), np.repeat(np.arange(len(keys)), [len(s) for s in sets])
+                order = np.argsort(items, kind="stable")
+                items, at = items[order], at[order]
+                lead = np.concatenate([[True], items[1:] != items[:-1]])
+                several = ~(lead & np.concatenate([lead[1:], [True]]))
+                n = np.bincount(at[several], minlength=len(keys))
+                rows = [(-1 - int(items[0] % np.uint64(buckets)), None, keys[n > 0].tobytes(), n[n > 0].astype(np.uint32).tobytes())]
+                owner = np.where(several, 0, keys[at])[lead]
+                items = items[lead]
+                bucket = (mix(items) % np.uint64(buckets)).astype(np.int64)
+                by = np.lexsort((owner, bucket))
+                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine = by[cuts[i]:cuts[i + 1]]
+                    held, n = np.unique(owner[mine], return_counts=True)
+                    rows.append((i, items[mine].tobytes(), held.tobytes(), n.astype(np.uint32).tobytes()))
+                yield _routed(rows)
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """key, n: how many of a set's shingles another set has too, of those of one bucket."""
+    keys, n = _joined(table, "keys", np.int64), _joined(table, "n", np.uint32)
+    if table.column("route")[0].as_py() >= 0:
+        items, keys = _joined(table, "marks", np.uint64), np.repeat(keys, n)
+        order = np.argsort(items, kind="stable")
+        items = items[order]
+        same = items[1:] == items[:-1]
+        again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        keys, n = keys[again], np.ones(len(again), np.int64)
+        keys, n = keys[keys != 0], n[keys != 0]
+    held, at = np.unique(keys, return_inverse=True)
+    return pa.table({"key": held, "n": np.bincount(at, n, len(held)).astype(np.int64)})
+
+
+def _set_marks(percent: int, buckets: int):
+    """``_marks`` of sets that are there already: columns key, items."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, sets in _set_slices(batch):
+                order = np.argsort(keys)
+                yield _mark_rows(keys[order], [part_marks(sets[i], percent) for i in order.tolist()], buckets)
+    return run
+
+
 # ---------------------------------------------------------------- signature trees
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     marks = np.zeros((len(sets), _BITS), bool)
@@ -327,7 +397,7 @@ def _candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """node, label: groups of nodes that share marks."""
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(volume / BUCKET_TEXT))
-    packed = docs.mapInArrow(_marks(size, percent, buckets), "route long, marks binary, keys binary, n binary")
+    packed = docs.mapInArrow(_marks(size, percent, buckets), _ROUTED)
     return connected_components(packed.groupBy("route").applyInArrow(_mark_edges, _LINKS))
 
 
@@ -356,13 +426,47 @@ def _weight(items: Column) -> Column:
     return F.length(items) + F.lit(SET_BYTES)
 
 
+def _sizes(sets: DataFrame, block_bytes: int) -> DataFrame:
+    """grp, bytes, n, blocks of the groups of several sets."""
+    sizes = sets.groupBy("grp").agg(F.sum(_weight(F.col("items"))).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return written(sizes.filter("n > 1").withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int")))
+
+
+def _large_bytes(sizes: DataFrame) -> int:
+    return sizes.filter("blocks > 1").agg(F.sum("bytes")).first()[0] or 0
+
+
+def _thinned(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """``sets`` (grp, key, items), those of large groups without what can have no link, in groups made anew; again as long as
+    that halves them."""
+    sizes = _sizes(sets, block_bytes)
+    volume = _large_bytes(sizes)
+    while volume:
+        large = sizes.filter("blocks > 1").select("grp")
+        there = sets.join(_sent(large), "grp", "left_semi").select("key", "items")
+        buckets = max(1, math.ceil(volume / BUCKET_TEXT))
+        split = there.mapInArrow(_shingles(buckets), _ROUTED).groupBy("route").applyInArrow(_shared, "key long, n long")
+        shared = written(split.groupBy("key").agg(F.sum("n").alias("n")))
+        kept = there.join(_sent(shared), "key").filter(F.col("n") * 800 >= F.length("items") * percent).select("key", "items")
+        packed = kept.mapInArrow(_set_marks(percent, buckets), _ROUTED)
+        groups = written(connected_components(packed.groupBy("route").applyInArrow(_mark_edges, _LINKS)))
+        named = groups.select(F.col("node").alias("key"), F.col("label").alias("to"))
+        again = there.join(_sent(named), "key").select(F.col("to").alias("grp"), "key", "items")
+        # groups are named by keys of their sets, in either way, so that those of small groups are of others
+        sets = written(sets.join(_sent(large), "grp", "left_anti").select("grp", "key", "items").unionByName(again))
+        sizes, before = _sizes(sets, block_bytes), volume
+        volume = _large_bytes(sizes)
+        if 2 * volume > before:
+            break
+    return sets
+
+
 def _links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links (a, b) that connect all linked sets. ``sets``: grp, key, items."""
-    sizes = sets.groupBy("grp").agg(F.sum(_weight(F.col("items"))).alias("bytes"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.filter("n > 1").withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
+    sizes = _sizes(sets, block_bytes)
     total = sizes.agg(F.sum("bytes").alias("bytes"), F.max("blocks").alias("blocks")).first()
     tasks = max(1, math.ceil((total["bytes"] or 0) / block_bytes))
-    placed = sets.join(_sent(written(sizes.select("grp", "blocks"))), "grp").withColumn(
+    placed = sets.join(_sent(sizes.select("grp", "blocks")), "grp").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # small groups are packed into tasks; a block of a large group is a task of its own
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", "block"))
@@ -380,21 +484,31 @@ def _links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
         F.col("key").alias("a"), F.col("key").alias("b")))
     links = written(links.unionByName(across))
     labels = written(connected_components(links)).withColumnRenamed("node", "key")
-    named = written(large.join(_sent(labels), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    # tables of keys only: the shingles stay where they are
+    names = written(large.select("grp", "key", "blocks", _weight(F.col("items")).alias("weight"))
+                    .join(_sent(labels), "key", "left").withColumn("label", F.coalesce("label", "key")))
     # all pairs that remain have a member outside the group's largest class
-    most = named.groupBy("grp", "label").count().groupBy("grp").agg(
+    most = names.groupBy("grp", "label").count().groupBy("grp").agg(
         F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = written(named.join(_sent(written(most)), "grp").filter("label <> main").drop("main"))
-    chunks = _sent(written(rest.groupBy("grp").agg(
-        F.ceil(F.sum(_weight(F.col("items"))) / block_bytes).cast("int").alias("chunks"))))
+    rest = written(names.join(_sent(written(most)), "grp").filter("label <> main").select("grp", "key", "weight", "label", "blocks"))
+    chunks = written(rest.groupBy("grp", "blocks").agg(F.ceil(F.sum("weight") / block_bytes).cast("int").alias("chunks")))
+    # a round's copies: those of the left sets by chunks, of the right ones by blocks
+    copies = chunks.agg(F.sum(2 * F.col("blocks").cast("long") * F.col("chunks"))).first()[0] or 0
+    rounds = max(1, math.ceil(copies * block_bytes / (ROUND_COPIES * total["bytes"])))
+    chunks = _sent(chunks.select("grp", "chunks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = named.join(chunks, "grp").select("grp", "block", every("chunks").alias("chunk"), "key", "label", "items")
-    right = rest.join(chunks, "grp").select(
+    left = large.join(_sent(names.select("key", "label")), "key").join(chunks, "grp").select(
+        "grp", "block", every("chunks").alias("chunk"), "key", "label", "items")
+    right = large.join(_sent(rest.select("key", "label")), "key").join(chunks, "grp").select(
         "grp", every("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")
         .alias("chunk"), "key", "label", "items")
+    right = right.toDF(*right.columns)  # columns of its own, both sides come from one table
     by = ["grp", "block", "chunk"]
-    last = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_join_blocks(percent), _LINKS)
-    return links.unionByName(last)
+    for turn in range(rounds):
+        now = F.pmod(F.xxhash64(*by), F.lit(rounds)) == turn
+        last = left.filter(now).groupBy(*by).cogroup(right.filter(now).groupBy(*by)).applyInArrow(_join_blocks(percent), _LINKS)
+        links = links.unionByName(written(last) if rounds > 1 else last)
+    return links
 
 
 def _shrinks(heads: DataFrame, large: DataFrame) -> bool:
@@ -413,6 +527,7 @@ def _components(documents: DataFrame, id_col: str, text: str, size: int, percent
     sets = _group_sets(docs, nodes, size)
     twice = rows.filter("key <> 0 and id is not null").groupBy("id", "key").count().filter("count > 1")
     sets = written(sets if twice.isEmpty() else sets.dropDuplicates(["key"]))
+    sets = _thinned(sets, percent, block_bytes)
     labels = connected_components(_links(sets, percent, block_bytes)).withColumnRenamed("node", "key")
     classes = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = classes.groupBy("label").agg(F.min("id").alias("component"))
@@ -433,7 +548,8 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text: str = "text", s
              percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``documents`` without those linked to one with a smaller id: one row of each component
     stays. Rows given twice (same id and text) stay once; rows without an id all stay."""
-    rows = written(_components(documents, id_col, text, size, percent, block_bytes))
+    with passing(documents.sparkSession):  # the tables of the join go with it
+        rows = keep(_components(documents, id_col, text, size, percent, block_bytes))
     by_id, by_mark = fresh(documents, "by_id", "by_mark")
 
     def among(some: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line dedup: what does not grow with the pairs of a large group, and which tables stay."""
+"""Line dedup and the n-gram join: what does not grow with the pairs of a large group, and which tables stay."""
 
 import os
 import random
@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.llm import line_dedup
+from pairlab.llm import line_dedup, signature_join
 from pairlab.llm.components import connected_components
 from pairlab.session import ensure_checkpoint_dir
 
@@ -57,6 +57,49 @@ def test_bitmaps_let_no_similar_pair_go(spark):
     assert {(i, j) for i, j in pairs[:1000] if _similarity(lines[i], lines[j]) >= 0.8} <= may
 
 
+def _large_group(rng):
+    """Sets with one passage in common, so that all are of one group: few of them are linked."""
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"w{rng.randrange(10 ** 6)}" for _ in range(60)] + passage) for _ in range(150)]
+    for k in range(20):  # linked pairs
+        words = texts[k].split()
+        words[5] = "other"
+        texts.append(" ".join(words))
+    return texts
+
+
+def _grouped(spark, texts):
+    import pyarrow as pa
+    sets = signature_join.shingle_sets(pa.array(texts), 3)
+    rows = [(1, signature_join.set_key(s), bytearray(s.tobytes())) for s in sets]
+    return sets, spark.createDataFrame(rows, "grp long, key long, items binary")
+
+
+def _brute(sets, percent):
+    keys = [signature_join.set_key(s) for s in sets]
+    return {frozenset((keys[i], keys[j])) for i in range(len(sets)) for j in range(i)
+            if signature_join._linked(sets[i], sets[j], percent)}
+
+
+def test_a_large_group_is_thinned_to_what_may_be_linked(spark):
+    sets, df = _grouped(spark, _large_group(random.Random(7)))
+    left = signature_join._thinned(df, 90, 20_000).collect()
+    linked = {k for pair in _brute(sets, 90) for k in pair}
+    assert len(linked) == 40 and linked == {r["key"] for r in left}
+    groups = {r["key"]: r["grp"] for r in left}
+    assert all(len({groups[k] for k in pair}) == 1 for pair in _brute(sets, 90))
+    assert len(set(groups.values())) > 10
+    assert signature_join._thinned(df, 90, 8 << 20).count() == len(sets)  # not large: left alone
+
+
+@pytest.mark.parametrize("copies", [2, 0.2])
+def test_blocks_of_a_large_group_in_rounds(spark, monkeypatch, copies):
+    monkeypatch.setattr(signature_join, "ROUND_COPIES", copies)
+    sets, df = _grouped(spark, _large_group(random.Random(8)))
+    links = {frozenset((r["a"], r["b"])) for r in signature_join._links(df, 90, 20_000).collect()}
+    assert links == _brute(sets, 90)
+
+
 def test_only_results_stay_in_the_shared_folder(spark):
     """The tables that the searches write go with them."""
     root = f"{ensure_checkpoint_dir(spark)}/pairlab-{spark.sparkContext.applicationId}"
@@ -66,3 +109,6 @@ def test_only_results_stay_in_the_shared_folder(spark):
     before = tables()
     assert line_dedup.dedup_lines(docs).count() == 9
     assert len(tables() - before) == 1
+    before = tables()
+    assert signature_join.keep_one(docs).count() <= 9
+    assert len(tables() - before) <= 3
