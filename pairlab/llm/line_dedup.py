@@ -42,7 +42,7 @@ BANDS, ROWS, AGREE = 8, 3, 14
 WORDS = 32                # words of 64 bits of a line's bitmap
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
-MORE_COMPARED = 64        # growth, from round to round, of the lines of a bucket that the others are compared with
+MORE_COMPARED = 8         # growth, from round to round, of the lines of a bucket that the others are compared with
 _rng = random.Random(5)
 _TURNS = [(_rng.getrandbits(31) | 1, _rng.getrandbits(32)) for _ in range(BANDS * ROWS)]  # h -> a h + b mod 2^32
 _MINS = [f"m{k}" for k in range(BANDS * ROWS)]

@@ -54,7 +54,7 @@ CLASS_RATIO = 1.5         # sizes in one class
 SENT_KEYS = 2_000_000     # keep_one: up to a quarter of so many rows to leave out are broadcast
 SPARE = 4                 # a part that may be empty for so many that may differ
 TRIPLES = 60              # sizes beyond which a part may be three cells
-BUCKET_TEXT = 12 << 20    # bytes of text whose marks one task compares
+BUCKET_TEXT = 6 << 20     # bytes of text whose marks one task compares
 BLOCK_BYTES = 8 << 20     # bytes of sets handled by one task at a time
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 ROUND_COPIES = 2          # copies of a large group's sets that one round of block pairs makes
