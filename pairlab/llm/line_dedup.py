@@ -30,6 +30,7 @@ lines of any length are read whole.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,14 @@ BANDS, ROWS, AGREE = 8, 3, 14
 WORDS = 32                # words of 64 bits of a line's bitmap
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
-MORE_COMPARED = 8         # growth, from round to round, of the lines of a bucket that the others are compared with
+MORE_COMPARED = 32        # growth, from round to round, of the lines of a bucket that the others are compared with
+_WORDS = [f"w{k}" for k in range(WORDS)]
+EXPECTED = 7              # shingles of a line that are expected to be near each of the starts
 _rng = random.Random(5)
-_TURNS = [(_rng.getrandbits(31) | 1, _rng.getrandbits(32)) for _ in range(BANDS * ROWS)]  # h -> a h + b mod 2^32
+_TURNS = [_rng.getrandbits(31) | 1 for _ in range(4)]  # h -> a h mod 2^32
+_FULL, _NEAR = (1 << 32) - 1, (1 << 29) - 1
 _MINS = [f"m{k}" for k in range(BANDS * ROWS)]
+_PLACES = [(m, k % 4, (k // 4) << 29) for k, m in enumerate(_MINS)]  # permutation: h_j xor a start
 
 
 def _sent(table: DataFrame, row_bytes: int) -> DataFrame:
@@ -60,10 +65,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, *kept: str) -> DataFrame:
-    """``kept`` columns and the window of each shingle, cut in one step each from ``wide``, the line in UTF-16;
+    """``kept`` columns, the number and the window of each shingle, cut in one step each from ``wide``, the line in UTF-16;
     ``n``: the number of windows."""
     at = lines.select(*kept, "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return at.select(*kept, F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * SHINGLE)).alias("window"))
+    return at.select(*kept, "i", F.substring("wide", 2 * F.col("i") + 1, F.lit(2 * SHINGLE)).alias("window"))
 
 
 def _widened(line: Column) -> tuple[Column, Column]:
@@ -72,12 +77,28 @@ def _widened(line: Column) -> tuple[Column, Column]:
     return wide.alias("wide"), F.greatest((F.octet_length(wide) / 2).cast("int") - SHINGLE + 1, F.lit(1)).alias("n")
 
 
+def _least(hashed: DataFrame, *by: str) -> DataFrame:
+    """The least values of each group. ``hashed``: by and h, the hash of a shingle."""
+    turned = hashed.select(*by, *[(F.col("h") * F.lit(a)).bitwiseAND(F.lit(_FULL)).alias(f"h{j}") for j, a in enumerate(_TURNS)])
+    least = turned.groupBy(*by).agg(*[F.min(F.col(f"h{j}").bitwiseXOR(F.lit(c))).alias(m) for m, j, c in _PLACES])
+    return least.select(*by, *[(F.col(m) - F.lit(1 << 31)).cast("int").alias(m) for m in _MINS])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """lh and the least values m0, m1, ... of each line. ``lines``: lh, line."""
-    hashed = _windows(lines.select("lh", *_widened(F.col("line"))), "lh").select("lh", F.hash("window").cast("long").alias("h"))
-    least = hashed.groupBy("lh").agg(*[
-        F.min((F.col("h") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(m) for m, (a, b) in zip(_MINS, _TURNS)])
-    return least.select("lh", *[(F.col(m) - F.lit(1 << 31)).cast("int").alias(m) for m in _MINS])
+    cap = F.least(F.lit(_NEAR), F.floor(F.lit(float(EXPECTED << 32)) / F.col("n"))).cast("long")
+    wide = lines.select("lh", *_widened(F.col("line"))).withColumn("cap", cap)
+    number = F.hash("window").cast("long").bitwiseAND(F.lit(_FULL))
+    few = [(F.col("h") * F.lit(a)).bitwiseAND(F.lit(_NEAR)) <= F.col("cap") for a in _TURNS]
+    few = reduce(Column.__or__, few, F.col("i") == 0)  # the first one too, so that each line has a row
+    some = _least(_windows(wide, "lh", "cap").select("lh", "cap", "i", number.alias("h")).filter(few), "lh", "cap")
+    some = written(some.select("lh", F.col("cap").cast("int").alias("cap"), *_MINS))
+    # least values up to the cap are those of all shingles
+    whole = (F.col("cap") == _NEAR) | (F.greatest(*_MINS).cast("long") + F.lit(1 << 31) <= F.col("cap"))
+    left = written(some.filter(~whole).select("lh"))
+    again = wide.filter(F.col("cap") < _NEAR).join(_sent(left, 40), "lh", "left_semi")
+    again = written(_least(_windows(again, "lh").select("lh", number.alias("h")), "lh"))
+    return some.filter(whole).select("lh", *_MINS).unionByName(again)
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -107,18 +128,37 @@ def bitmaps(texts: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)])
 
 
+def _may_be(end: str) -> Column:
+    """Whether the bitmaps of two lines, the other's columns ending in ``end``, leave open that they are similar."""
+    both = sum(F.bit_count(F.col(w).bitwiseAND(F.col(w + end))) for w in _WORDS)  # named once: a condition is read as it stands
+    least = lambda n, own, other: PERCENT * (F.col(n) + F.col(other)) - 100 * (F.col(n) - F.col(own))
+    return (100 + PERCENT) * both >= F.greatest(least("n", "bits", "bits" + end), least("n" + end, "bits" + end, "bits"))
+
+
+def _counted(maps: DataFrame) -> DataFrame:
+    """``maps`` and the number of each one's bits, written: the planner would go through all renamings of such a sum."""
+    return written(maps.withColumn("bits", sum(F.bit_count(w) for w in _WORDS)))
+
+
 def possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave open that they are similar: with x shingles that only a has and y that only b
     has, their similarity is (m - x) / (m + y) for the m shingles of a, and no smaller with more than m."""
-    words = [f"w{k}" for k in range(WORDS)]
-    side = lambda x: maps.select(F.col("lh").alias(x), F.col("n").alias(f"n_{x}"), F.struct(*words).alias(f"of_{x}"))
-    sent = F.broadcast if maps.count() * (16 + 8 * WORDS) <= SEND_BYTES else lambda x: x
-    one, two = sent(side("a")), sent(side("b"))
-    both = pairs.join(one, "a").join(two, "b")
-    lost = lambda x, y: sum(F.bit_count(F.col(x)[w].bitwiseAND(F.bitwise_not(F.col(y)[w]))) for w in words)
-    both = both.select("a", "b", "n_a", "n_b", lost("of_a", "of_b").alias("x"), lost("of_b", "of_a").alias("y"))
-    may = lambda n, x, y: 100 * (F.col(n) - F.col(x)) >= PERCENT * (F.col(n) + F.col(y))
-    return both.filter(may("n_a", "x", "y") & may("n_b", "y", "x")).select("a", "b")
+    known = _counted(maps)
+    sent = F.broadcast if known.count() * (16 + 8 * WORDS) <= SEND_BYTES else lambda x: x
+    two = known.select(F.col("lh").alias("b"), *[F.col(c).alias(c + "_b") for c in known.columns if c != "lh"])
+    return pairs.join(sent(known.withColumnRenamed("lh", "a")), "a").join(sent(two), "b").filter(_may_be("_b")).select("a", "b")
+
+
+def _meetings(opened: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a line and a head of its bucket, not of one component, that may be similar. Least values and bitmaps
+    are compared where the bucket is, so that only pairs that pass become rows."""
+    left = opened.select("bucket", "lh", "label").join(known, "lh")
+    other = [c for c in known.columns if c != "lh"]
+    right = heads.join(known.select(F.col("lh").alias("head"), *[F.col(c).alias(c + "_h") for c in other]), "head")
+    same = sum((F.col(m) == F.col(m + "_h")).cast("int") for m in _MINS)
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("of_head") != F.col("label"))
+                    & (same >= AGREE) & _may_be("_h"))
+    return met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -139,33 +179,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return count.filter(F.col("shared") * 100 >= F.col("every") * PERCENT).select("a", "b")
 
 
-def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar lines that share a bucket."""
-    maps = written(bitmaps(texts))
+def _linked(buckets: DataFrame, texts: DataFrame, mins: DataFrame, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect all similar lines that share a bucket, and their components (node, label). ``copies``: lh, n (equal
+    lines); the line of a bucket with most is the first that the others are compared with, as near copies are near to it
+    rather than to one another."""
     sized = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    opened, links, seen, compared = written(sized).withColumn("label", F.col("lh")), None, None, 1
+    often = F.lit(1).cast("long")
+    if copies is not None:
+        sized, often = sized.join(_sent(copies.select("lh", F.col("n").alias("often")), 40), "lh"), F.col("often")
+    sized = written(sized.select("bucket", "lh", "n", often.alias("often")))
+    most = sized.groupBy("bucket").agg(F.max("often").alias("often"))
+    heads = written(sized.join(most, ["bucket", "often"]).groupBy("bucket").agg(F.min("lh").alias("head")))
+    met = sized.join(heads, "bucket").filter("head <> lh")
+    pairs = written(met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b")).distinct())
+    links = written(verified(written(likely(pairs, mins)), texts))
+    labels = written(connected_components(links))
+    opened, seen, compared = sized, pairs, 1
     while True:
-        if compared == 1:
-            heads = opened.groupBy("bucket").agg(F.min("lh").alias("head")).withColumn("of_head", F.col("head"))
-        else:  # about as many of each bucket, and all of one that has no more
-            chosen = F.pmod(F.xxhash64("lh"), F.col("n")) < compared
-            heads = opened.filter(chosen).select("bucket", F.col("lh").alias("head"), F.col("label").alias("of_head"))
-        met = opened.join(written(heads), "bucket").filter("of_head <> label")
-        pairs = met.select(F.least("head", "lh").alias("a"), F.greatest("head", "lh").alias("b")).distinct()
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = written(verified(written(possible(likely(pairs, mins), maps)), texts).select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
         # a bucket is done when its lines are of one component, or all of them have been heads
-        labels = written(connected_components(links))
-        named = opened.drop("label").join(labels.select(F.col("node").alias("lh"), "label"), "lh", "left")
+        named = opened.select("bucket", "lh", "n").join(labels.withColumnRenamed("node", "lh"), "lh", "left")
         named = named.withColumn("label", F.coalesce("label", "lh"))
         several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"))
         several = several.filter((F.col("x") < F.col("y")) & (F.col("n") > max(compared, 2)))
         opened = written(named.join(several.select("bucket"), "bucket").select("bucket", "lh", "n", "label"))
         if opened.isEmpty():
-            return links
+            return links, labels
+        if compared == 1:
+            there = written(opened.select("lh").distinct())
+            maps = bitmaps(texts.join(_sent(there, 40), "lh", "left_semi"))
+            known = written(mins.join(_counted(maps), "lh"))
         compared *= MORE_COMPARED
+        chosen = F.pmod(F.xxhash64("lh"), F.col("n")) < compared  # about as many of each bucket, all of one that has no more
+        heads = opened.filter(chosen).select("bucket", F.col("lh").alias("head"), F.col("label").alias("of_head"))
+        pairs = written(_meetings(opened, written(heads), known).join(seen, ["a", "b"], "left_anti"))
+        seen = seen.unionByName(pairs)
+        found = written(verified(pairs, texts))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = written(connected_components(links))
+
+
+def _links(buckets: DataFrame, texts: DataFrame, mins: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    return _linked(buckets, texts, mins, copies)[0]
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -179,7 +234,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     placed = written(lines.select("lh", "id", "mark", "pos"))
     nodes = written(placed.groupBy("lh").agg(F.count(F.lit(1)).alias("n"),
                                              F.min(F.struct("id", "mark", "pos")).alias("first")))
-    signed = written(signatures(lines.select("lh", "line")))
+    signed = signatures(lines.select("lh", "line"))
     buckets = written(_buckets(signed))
     wanted = written(buckets.select("lh").distinct())
     asked = nodes.join(_sent(wanted, 40), "lh").select(
@@ -187,7 +242,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     here = F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")) & (F.col("pos") == F.col("at_pos"))
     texts = written(lines.join(_sent(written(asked), 120), "lh").filter(here).select("lh", "line").dropDuplicates(["lh"]))
     mins = written(signed.join(_sent(wanted, 40), "lh"))
-    labels = connected_components(_links(buckets, texts, mins)).withColumnRenamed("node", "lh")
+    labels = _linked(buckets, texts, mins, nodes)[1].withColumnRenamed("node", "lh")
     named = nodes.join(labels, "lh", "left").withColumn("label", F.coalesce("label", "lh"))
     classes = named.groupBy("label").agg(F.sum("n").alias("lines"), F.min("first").alias("kept"))
     repeated = named.join(classes.filter("lines > 1"), "label").select("lh", "kept")

@@ -45,6 +45,36 @@ def test_lines_that_stay_apart_are_not_counted_out(spark, monkeypatch):
     assert sum(seen) < 300  # of 3,160 pairs
 
 
+def test_pairs_that_cannot_be_similar_are_no_rows(spark, monkeypatch):
+    """Lines of one bucket that stay apart: their pairs are neither written nor shuffled."""
+    rng = random.Random(8)
+    df = spark.createDataFrame(list(enumerate([*_variants(rng, 90, 12), *_variants(rng, 20, 1)])), "lh long, line string")
+    mins = df.select("lh", *[F.lit(0).alias(m) for m in line_dedup._MINS])
+    rows, real = [], line_dedup.written
+
+    def counted(table):
+        out = real(table)
+        rows.append(out.count() if out.columns == ["a", "b"] else 0)
+        return out
+    monkeypatch.setattr(line_dedup, "written", counted)
+    links = line_dedup._links(df.select(F.lit(1).cast("long").alias("bucket"), "lh"), df, mins)
+    assert {r["node"]: r["label"] for r in connected_components(links).collect()} == {i: 90 for i in range(90, 110)}
+    assert max(rows) < 600  # of 5,995 pairs
+
+
+def test_signatures_are_those_of_all_shingles(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9)))
+    lines = [" ".join(word() for _ in range(k)) for k in (1, 3, 9, 12, 40, 80, 200, 1000)] + ["a" * 100, "a" * 10000, "ab " * 700, "x", "é𝔘" * 200]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "lh long, line string")
+    wide = df.select("lh", *line_dedup._widened(F.col("line")))
+    hashed = line_dedup._windows(wide, "lh").select("lh", F.hash("window").cast("long").bitwiseAND(F.lit((1 << 32) - 1)).alias("h"))
+    want = {r["lh"]: r for r in line_dedup._least(hashed, "lh").collect()}
+    got = line_dedup.signatures(df).collect()
+    assert len(got) == len(lines) and {r["lh"]: r for r in got} == want
+    assert want[8][1:] == want[9][1:]
+
+
 def test_bitmaps_let_no_similar_pair_go(spark):
     rng = random.Random(6)
     lines = [x for k in range(1, 7) for x in _variants(rng, 8, k)] + ["short", "short line", "ab " * 900, "ab " * 40, "é𝔘" * 30]
