@@ -5,14 +5,17 @@
 2. Signatures: the shingles of a line are its windows of ``SHINGLE`` characters (UTF-16 units, so one beyond the BMP
    counts as two; a shorter line is one window).
    They are exploded and hashed in generated code, and one aggregation keeps the least value of each of
-   ``BANDS * ROWS`` permutations of the 32-bit hashes. Every shingle counts, however long the line is, so lines
-   with the same shingles have the same signature.
+   ``BANDS * ROWS`` permutations: four multiples of the 32-bit hash, each xor with six starts. Shingles that are not
+   near any start (``EXPECTED`` of a line are expected to be near each) are left out of the aggregation first; a line where a
+   least value is farther off is done again with all its shingles. So the values are those of all shingles, however long
+   the line is, and lines with the same shingles have the same signature.
 3. Banding: lines with the same ``ROWS`` least values in a band share a bucket. Of the pairs to compare, those
    that agree in fewer than ``AGREE`` of all least values are let go (similar ones agree in four of five), and so are
    those whose bitmaps show that they cannot be similar: each line of a bucket has one of ``64 * WORDS`` bits, a hash of
    each shingle sets one, and a bit that only one of two lines has stands for a shingle at least that the other lacks.
+   Both are conditions of the bucket's join, so that pairs let go never become rows.
 4. Verification: the exact Jaccard similarity of all shingles, ``PERCENT`` / 100 or more. In each bucket every
-   line is compared with the least one, then with more and more of the bucket's lines, until all are. Two lines that
+   line is compared with the one that has most copies, then with more and more of the bucket's lines, until all are. Two lines that
    are in one component by then (by this or any other bucket) are not compared, and a bucket whose lines all are is
    done. So a bucket of near copies of one line costs about as many comparisons as it has lines; one whose lines
    stay apart costs up to all its pairs.
@@ -39,7 +42,7 @@ from .common import fresh, keep, passing, require, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 8, 80
-BANDS, ROWS, AGREE = 8, 3, 14
+BANDS, ROWS, AGREE = 8, 3, 12
 WORDS = 32                # words of 64 bits of a line's bitmap
 SEND_BYTES = 32 << 20     # tables up to this size are broadcast, larger ones are joined by a shuffle
 TASK_PAIRS = 1_000        # pairs whose shingles one task counts
