@@ -211,3 +211,31 @@ def test_counts_do_not_depend_on_batch_borders(spark, with_time):
     given = rows if with_time else rows + again
     assert got[2] == sum(len(r[1]) for r in given)
     assert materialize(spark.read.parquet(f"{root}/out")).count() == len(given)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_a_question_asked_often_is_scored_once_a_batch(spark, monkeypatch, clash):
+    """Rows with equal vector and labels share one scoring; labels that differ only in the place of a null have one
+    hash and stay apart all the same."""
+    from pairlab.streaming import search
+    rng = np.random.default_rng(9)
+    targets = _dictionary(spark, rng.normal(size=(20, 8)))
+    vec, labels = rng.normal(size=(3, 8)), [["t1", "t2"], [None, "t3"] if clash else ["t3"], []]
+    rows = [(i, labels[i % 3], vec[i % 3].tolist(), 1000 + i) for i in range(300)]
+    rows += [(300 + i, ["t3", None], vec[1].tolist(), 2000) for i in range(5 * clash)]
+    df = spark.createDataFrame(rows, "query_id long, labels array<string>, embedding array<double>, ts long")
+    df = df.withColumn("ts", F.timestamp_seconds("ts"))
+    scored, real = [], search.top_k_join
+    monkeypatch.setattr(search, "top_k_join", lambda q, *a, **k: scored.append(q.count()) or real(q, *a, **k))
+    root = _folder(spark, "t2")
+    df.repartition(2).write.parquet(f"{root}/in")
+    run_to_completion(quality_stream(spark, f"{root}/in", df.schema, targets, f"{root}/out", f"{root}/state", ts_col="ts"))
+    assert scored == [3 + clash] * 2
+    hits = {(r["q"], r["text"]) for r in real(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)],
+                                                                   "q long, embedding array<double>"), targets, key="q").collect()}
+    n_pred = [sum(1 for q, _ in hits if q == i) for i in range(3)]
+    got = {r["query_id"]: (r["tp"], r["n_pred"], r["n_gold"]) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert len(got) == len(rows)
+    for i, gold, _, _ in rows:
+        q = i % 3 if i < 300 else 1
+        assert got[i] == (sum((q, t) in hits for t in gold), n_pred[q], len(gold))
