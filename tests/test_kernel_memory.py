@@ -80,3 +80,40 @@ def test_draws_are_those_of_the_whole_matrix(spark, mode, low):
             best = np.lexsort((np.arange(600), -val))[:min(5, may.sum())]
             assert r["ids"] == best.tolist() and r["n_eligible"] == may.sum() and r["n_pool"] == 599
         assert len(found) == 40
+
+
+def _draws(pairs, specs):
+    out = [b for b in blocks._kernel_fn(specs, DIM)(iter([pairs]))]
+    return pa.Table.from_batches(out).to_pylist()
+
+
+@pytest.mark.parametrize("mode", ["weighted", "uniform"])
+def test_a_draw_computes_few_keys_and_merges_once_a_chunk(monkeypatch, mode):
+    """Most keys are known not to be among the best by half a hash, in the first block too; entries of a chunk's parts
+    are merged together."""
+    pairs = _batch(256, 2048, 4)
+    specs = [KernelSpec(mode=mode, n=3, clamp=True, min_score=0.0), KernelSpec(mode="weighted", n=3, clamp=True, min_score=0.8)]
+    keys, merges, unit, merge = [], [], hr.joined_unit_np, blocks._RowState.merge
+    monkeypatch.setattr(hr, "joined_unit_np", lambda one, *a: keys.append(np.size(one)) or unit(one, *a))
+    monkeypatch.setattr(blocks._RowState, "merge", lambda self, *a: merges.append(1) or merge(self, *a))
+    want = _draws(pairs, specs[:1])
+    assert sum(keys) < 0.05 * 256 * 8192 and len(merges) <= 4
+    merges.clear()
+    both = _draws(pairs, specs)
+    assert len(merges) <= 2 * 4
+    assert [r for r in both if r["spec"] == 0] == want
+
+
+@pytest.mark.parametrize("mode", ["weighted", "uniform"])
+@pytest.mark.parametrize("low", [0.0, None])
+def test_a_guess_does_not_change_a_draw(monkeypatch, mode, low):
+    """Whatever keys a row is asked for at first: none, too great ones, all."""
+    pairs = _batch(64, 512, 3)
+    spec = KernelSpec(mode=mode, n=4, clamp=True, min_score=0.0, use_row_lo=low is not None)
+    want = _draws(pairs, [spec])
+    assert all(len(r["ids"]) == 4 for r in want)
+    for guess in (-1e-9, -1e-3, -1e3, -np.inf):
+        monkeypatch.setattr(blocks, "_guess", lambda chunk, spec, guess=guess: np.full(len(chunk.scores), guess))
+        for cut in (0.0, 1.0):
+            monkeypatch.setattr(blocks, "PAIR_CUT", cut)
+            assert _draws(pairs, [spec]) == want
